@@ -84,3 +84,220 @@ SELECT prev_activity AS from_activity, activity,
        round(avg(waiting_hours), 6) AS mean_wait_hours,
        count(*) AS n_transitions
 FROM valid GROUP BY prev_activity, activity""", TRANS_CTE)
+
+
+# --- case level ----------------------------------------------------------------
+
+def _outcome_sql(col: str) -> str:
+    from caseflow.model import EVENTS_MODEL
+
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(EVENTS_MODEL.outcome_map.items()))
+    return f"CASE {col} {whens} ELSE '{EVENTS_MODEL.outcome_default}' END"
+
+
+CASES_CTE = TRANS_CTE + f""",
+case_raw AS (
+  SELECT case_id,
+         min(ts) AS case_start, max(ts) AS case_end,
+         date_diff('microsecond', min(ts), max(ts)) / 3600000000.0 AS duration_hours,
+         count(activity) AS n_events,
+         count(DISTINCT activity) AS n_unique_activities,
+         count(DISTINCT resource) AS n_resources,
+         first(activity ORDER BY ts DESC, event_seq DESC, activity DESC) AS last_activity,
+         first(activity ORDER BY ts, event_seq, activity) AS first_activity,
+         first(requested_amount ORDER BY ts, event_seq, activity)
+           FILTER (WHERE requested_amount IS NOT NULL) AS requested_amount,
+         bool_or(activity IN ('error')) AS has_marker,
+         min(position) FILTER (WHERE activity IN ('view')) AS first_a,
+         max(position) FILTER (WHERE activity IN ('click')) AS last_o
+  FROM trans GROUP BY case_id
+),
+cases AS (
+  SELECT *, duration_hours / 24 AS duration_days,
+         {_outcome_sql('last_activity')} AS outcome,
+         CAST(duration_hours / 24 > 5 AS INTEGER) AS sla_breach,
+         5 AS sla_days,
+         CAST(month(case_start) AS INTEGER) AS start_month,
+         CAST(quarter(case_start) AS INTEGER) AS start_quarter,
+         dayname(case_start) AS start_dow,
+         strftime(case_start, '%b') AS start_month_name,
+         CASE WHEN duration_hours / 24 <= 7 THEN '1 - 0-7 days (Fast)'
+              WHEN duration_hours / 24 <= 14 THEN '2 - 8-14 days (On Time)'
+              WHEN duration_hours / 24 <= 21 THEN '3 - 15-21 days (Late)'
+              WHEN duration_hours / 24 <= 30 THEN '4 - 22-30 days (Very Late)'
+              ELSE '5 - 30+ days (Critical)' END AS duration_bucket,
+         CAST(n_events - n_unique_activities AS BIGINT) AS rework_events,
+         CAST(n_events > n_unique_activities AS INTEGER) AS has_rework
+  FROM case_raw
+),
+variants AS (
+  SELECT case_id, string_agg(activity, ' → ' ORDER BY ts, event_seq, activity) AS variant
+  FROM log GROUP BY case_id
+),
+vcounts AS (
+  SELECT variant, count(*) AS n_cases FROM variants GROUP BY variant
+),
+vranks AS (
+  SELECT variant, n_cases,
+         row_number() OVER (ORDER BY n_cases DESC, variant ASC) AS variant_rank
+  FROM vcounts
+),
+cvar AS (
+  SELECT c.case_id, c.sla_breach, v.variant, r.variant_rank
+  FROM cases c LEFT JOIN variants v USING (case_id) LEFT JOIN vranks r USING (variant)
+),
+conf AS (
+  SELECT case_id,
+         coalesce(first_activity IN ('signup'), false) AS s_ok,
+         coalesce(last_activity IN ('purchase'), false) AS e_ok,
+         NOT coalesce(has_marker, false) AS r_ok,
+         (first_a IS NULL OR last_o IS NULL OR first_a < last_o) AS o_ok
+  FROM case_raw
+),
+conf2 AS (
+  SELECT case_id,
+         CAST(s_ok AND e_ok AND r_ok AND o_ok AS INTEGER) AS is_conformant,
+         CAST(s_ok AS INTEGER) AS starts_correctly, CAST(e_ok AS INTEGER) AS ends_correctly,
+         CAST(r_ok AS INTEGER) AS no_rework_conf, CAST(o_ok AS INTEGER) AS correct_order,
+         coalesce(nullif(concat_ws(',',
+             CASE WHEN NOT s_ok THEN 'bad_start' END, CASE WHEN NOT e_ok THEN 'bad_end' END,
+             CASE WHEN NOT r_ok THEN 'rework_detected' END,
+             CASE WHEN NOT o_ok THEN 'wrong_order' END), ''), 'none') AS deviation_types
+  FROM conf
+),
+acounts AS (
+  SELECT case_id, activity, count(*) AS count FROM log GROUP BY case_id, activity
+)"""
+
+ORACLE["cas_case_table"] = _w("""
+SELECT case_id, strftime(case_start, '%Y-%m-%d %H:%M:%S') AS case_start,
+       strftime(case_end, '%Y-%m-%d %H:%M:%S') AS case_end,
+       round(duration_hours, 6) AS duration_hours, round(duration_days, 6) AS duration_days,
+       n_events, n_unique_activities, n_resources, last_activity,
+       CAST(NULL AS VARCHAR) AS loan_goal,
+       round(requested_amount, 6) AS requested_amount,
+       CAST(NULL AS VARCHAR) AS application_type, outcome, sla_breach, sla_days,
+       start_month, start_quarter, start_dow, start_month_name, duration_bucket,
+       has_rework, rework_events
+FROM cases""", CASES_CTE)
+
+ORACLE["cas_duration_profile"] = _w("""
+SELECT count(*) AS n_cases, CAST(sum(sla_breach) AS BIGINT) AS sla_breaches,
+       round(avg(sla_breach) * 100, 6) AS breach_pct,
+       round((1 - avg(sla_breach)) * 100, 6) AS met_pct,
+       round(avg(duration_days), 6) AS mean_days,
+       round(quantile_cont(duration_days, 0.5), 6) AS median_days,
+       round(min(duration_days), 6) AS min_days, round(max(duration_days), 6) AS max_days
+FROM cases""", CASES_CTE)
+
+ORACLE["cas_outcome_distribution"] = _w("""
+SELECT outcome, count(*) AS n_cases,
+       round(count(*) * 100.0 / (SELECT count(*) FROM cases), 6) AS share_pct
+FROM cases GROUP BY outcome""", CASES_CTE)
+
+ORACLE["cas_completed_cases"] = _w("""
+SELECT case_id, outcome, round(duration_days, 6) AS duration_days, sla_breach
+FROM cases WHERE outcome <> 'Still Processing'""", CASES_CTE)
+
+ORACLE["var_case_variants"] = _w("""
+SELECT case_id, variant, CAST(variant_rank AS BIGINT) AS variant_rank,
+       CAST(coalesce(variant_rank <= 3, false) AS INTEGER) AS is_top3_variant,
+       CAST(coalesce(variant_rank <= 10, false) AS INTEGER) AS is_top10_variant
+FROM cvar""", CASES_CTE)
+
+ORACLE["var_counts"] = _w("""
+SELECT variant, n_cases, CAST(variant_rank AS BIGINT) AS variant_rank FROM vranks""", CASES_CTE)
+
+ORACLE["var_activity_frequency"] = _w("""
+SELECT activity, count(*) AS n_events,
+       round(count(*) * 100.0 / (SELECT count(*) FROM log), 6) AS share_pct
+FROM log GROUP BY activity""", CASES_CTE)
+
+ORACLE["var_coverage"] = _w("""
+SELECT count(*) AS n_variants, CAST(sum(n_cases) AS BIGINT) AS n_cases,
+       round(sum(n_cases) FILTER (WHERE variant_rank <= 3) * 100.0 / sum(n_cases), 6) AS top3_share_pct,
+       round(sum(n_cases) FILTER (WHERE variant_rank <= 10) * 100.0 / sum(n_cases), 6) AS top10_share_pct,
+       round(100 - sum(n_cases) FILTER (WHERE variant_rank <= 3) * 100.0 / sum(n_cases), 6) AS tail_share_pct
+FROM vranks""", CASES_CTE)
+
+ORACLE["var_top5"] = _w("""
+SELECT CAST(variant_rank AS BIGINT) AS variant_rank, variant, n_cases,
+       round(n_cases * 100.0 / (SELECT sum(n_cases) FROM vranks), 6) AS share_pct,
+       CASE WHEN length(variant) < 80 THEN variant ELSE substring(variant, 1, 77) || '...' END
+         AS variant_short
+FROM vranks WHERE variant_rank <= 5""", CASES_CTE)
+
+ORACLE["var_pareto"] = _w("""
+SELECT CAST(variant_rank AS BIGINT) AS variant_rank, n_cases,
+       round(sum(n_cases) OVER (ORDER BY variant_rank) * 100.0
+             / (SELECT sum(n_cases) FROM vranks), 6) AS cumulative_pct,
+       CAST(sum(n_cases) OVER (ORDER BY variant_rank) * 100.0
+             / (SELECT sum(n_cases) FROM vranks) >= 80 AS INTEGER) AS above_80
+FROM vranks WHERE variant_rank <= 20""", CASES_CTE)
+
+ORACLE["var_breach_by_rank_bucket"] = _w("""
+SELECT CASE WHEN variant_rank <= 1 THEN 'Rank 1' || chr(10) || '(Most common)'
+            WHEN variant_rank <= 3 THEN 'Rank 2-3' WHEN variant_rank <= 10 THEN 'Rank 4-10'
+            WHEN variant_rank <= 50 THEN 'Rank 11-50' ELSE 'Rank 51+' END AS rank_bucket,
+       CASE WHEN variant_rank <= 1 THEN 1 WHEN variant_rank <= 3 THEN 2
+            WHEN variant_rank <= 10 THEN 3 WHEN variant_rank <= 50 THEN 4 ELSE 5 END AS bucket_order,
+       round(avg(sla_breach) * 100, 6) AS breach_rate_pct, count(*) AS n_cases
+FROM cvar GROUP BY 1, 2""", CASES_CTE)
+
+ORACLE["rwk_activity_counts"] = _w("""
+SELECT case_id, activity, count FROM acounts""", CASES_CTE)
+
+ORACLE["rwk_prevalence"] = _w("""
+SELECT CAST(sum(CAST(mx > 1 AS BIGINT)) AS BIGINT) AS cases_with_rework, count(*) AS total_cases,
+       round(avg(CAST(mx > 1 AS DOUBLE)) * 100, 6) AS rework_pct,
+       CAST(sum(extra) AS BIGINT) AS rework_events
+FROM (SELECT case_id, max(count) AS mx, sum(count - 1) AS extra FROM acounts GROUP BY case_id)""",
+                              CASES_CTE)
+
+ORACLE["rwk_by_activity"] = _w("""
+SELECT activity, count(*) AS cases_with_rework, round(avg(count), 6) AS avg_repeats,
+       CAST(row_number() OVER (ORDER BY count(*) DESC, activity) AS BIGINT) AS rework_rank
+FROM acounts WHERE count > 1 GROUP BY activity
+ORDER BY cases_with_rework DESC, activity LIMIT 10""", CASES_CTE)
+
+ORACLE["rwk_case_flags"] = _w("""
+SELECT case_id, CAST(max(count) > 1 AS INTEGER) AS has_rework,
+       CAST(sum(count - 1) AS BIGINT) AS rework_events
+FROM acounts GROUP BY case_id""", CASES_CTE)
+
+ORACLE["cnf_case_conformance"] = _w("""
+SELECT * FROM conf2""", CASES_CTE)
+
+ORACLE["cnf_rate"] = _w("""
+SELECT round(avg(is_conformant) * 100, 6) AS conformance_rate_pct,
+       CAST(sum(is_conformant) AS BIGINT) AS conformant_cases,
+       CAST(sum(1 - is_conformant) AS BIGINT) AS non_conformant_cases,
+       count(*) AS n_cases
+FROM conf2""", CASES_CTE)
+
+ORACLE["cnf_deviations"] = _w("""
+SELECT deviation, count(*) AS n_cases
+FROM (SELECT unnest(string_split(deviation_types, ',')) AS deviation
+      FROM conf2 WHERE deviation_types <> 'none')
+GROUP BY deviation""", CASES_CTE)
+
+ORACLE["cnf_breach_by_conformance"] = _w("""
+SELECT round(avg(sla_breach) FILTER (WHERE coalesce(is_conformant, 0) = 1) * 100, 6)
+         AS breach_pct_conformant,
+       round(avg(sla_breach) FILTER (WHERE coalesce(is_conformant, 0) = 0) * 100, 6)
+         AS breach_pct_non_conformant,
+       round(CASE WHEN avg(sla_breach) FILTER (WHERE coalesce(is_conformant, 0) = 1) > 0
+             THEN avg(sla_breach) FILTER (WHERE coalesce(is_conformant, 0) = 0)
+                  / avg(sla_breach) FILTER (WHERE coalesce(is_conformant, 0) = 1) END, 6)
+         AS breach_ratio
+FROM cases LEFT JOIN conf2 USING (case_id)""", CASES_CTE)
+
+ORACLE["btn_top_bottlenecks"] = _w("""
+SELECT activity, round(avg(waiting_hours), 6) AS mean_wait_hours,
+       count(*) AS n_occurrences,
+       round(sum(waiting_hours) / 24, 4) AS total_wait_days,
+       round(avg(waiting_hours) * count(*), 4) AS bottleneck_score,
+       CAST(row_number() OVER (ORDER BY avg(waiting_hours) * count(*) DESC, activity) AS BIGINT)
+         AS bottleneck_rank
+FROM valid GROUP BY activity
+ORDER BY bottleneck_score DESC, activity LIMIT 10""", CASES_CTE)

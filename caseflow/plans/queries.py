@@ -88,3 +88,153 @@ def q_bottleneck(spark, sf_dir):
 @register("btn_transition_waits")
 def q_transition_waits(spark, sf_dir):
     return rounded(waits.transition_waits(_valid(spark, sf_dir)))
+
+
+# --- 2.3 case level -------------------------------------------------------------
+
+from caseflow.operators import cases as cs  # noqa: E402
+from caseflow.operators import conformance as cf  # noqa: E402
+from caseflow.operators import rework as rw  # noqa: E402
+from caseflow.operators import variants as vr  # noqa: E402
+
+
+def _aggs(spark, sf_dir):
+    return cs.case_aggregates(clean_log(spark, sf_dir), MODEL)
+
+
+def _cases(spark, sf_dir):
+    return cs.case_table(_aggs(spark, sf_dir), MODEL)
+
+
+@register("cas_case_table")
+def q_case_table(spark, sf_dir):
+    df = cs.case_table(_aggs(spark, sf_dir), MODEL, format_times=True)
+    return rounded(df)
+
+
+@register("cas_duration_profile")
+def q_duration_profile(spark, sf_dir):
+    return rounded(cs.duration_profile(_cases(spark, sf_dir)))
+
+
+@register("cas_outcome_distribution")
+def q_outcome_distribution(spark, sf_dir):
+    return rounded(cs.outcome_distribution(_cases(spark, sf_dir)))
+
+
+@register("cas_completed_cases")
+def q_completed(spark, sf_dir):
+    df = cs.completed_cases(_cases(spark, sf_dir), MODEL)
+    return rounded(df.select("case_id", "outcome", "duration_days", "sla_breach"))
+
+
+# --- 2.6 variants ----------------------------------------------------------------
+
+def _variants(spark, sf_dir):
+    return vr.case_variants(clean_log(spark, sf_dir), MODEL.slice_hours)
+
+
+def _ranks(spark, sf_dir):
+    return vr.variant_ranks(vr.variant_counts(_variants(spark, sf_dir)))
+
+
+@register("var_case_variants")
+def q_case_variants(spark, sf_dir):
+    cases = _cases(spark, sf_dir).select("case_id")
+    out = vr.attach_variants(cases, _variants(spark, sf_dir), _ranks(spark, sf_dir))
+    return out.select("case_id", "variant", "variant_rank", "is_top3_variant", "is_top10_variant")
+
+
+@register("var_counts")
+def q_variant_counts(spark, sf_dir):
+    return _ranks(spark, sf_dir).select("variant", "n_cases", "variant_rank")
+
+
+@register("var_activity_frequency")
+def q_activity_frequency(spark, sf_dir):
+    return rounded(vr.activity_frequency(clean_log(spark, sf_dir)))
+
+
+@register("var_coverage")
+def q_coverage(spark, sf_dir):
+    return rounded(vr.variant_coverage(vr.variant_counts(_variants(spark, sf_dir))))
+
+
+@register("var_top5")
+def q_top5(spark, sf_dir):
+    return rounded(vr.top_variants(vr.variant_counts(_variants(spark, sf_dir)), 5))
+
+
+@register("var_pareto")
+def q_pareto(spark, sf_dir):
+    return rounded(vr.variant_pareto(vr.variant_counts(_variants(spark, sf_dir)), 20))
+
+
+@register("var_breach_by_rank_bucket")
+def q_breach_by_bucket(spark, sf_dir):
+    cases = _cases(spark, sf_dir).select("case_id", "sla_breach")
+    cv = vr.attach_variants(cases, _variants(spark, sf_dir), _ranks(spark, sf_dir))
+    return rounded(vr.breach_by_rank_bucket(cv))
+
+
+# --- 2.7 rework ---------------------------------------------------------------------
+
+def _acounts(spark, sf_dir):
+    return rw.activity_counts(clean_log(spark, sf_dir))
+
+
+@register("rwk_activity_counts")
+def q_activity_counts(spark, sf_dir):
+    return _acounts(spark, sf_dir)
+
+
+@register("rwk_prevalence")
+def q_rework_prevalence(spark, sf_dir):
+    return rounded(rw.rework_prevalence(_acounts(spark, sf_dir)))
+
+
+@register("rwk_by_activity")
+def q_rework_by_activity(spark, sf_dir):
+    return rounded(rw.rework_by_activity(_acounts(spark, sf_dir), 10))
+
+
+@register("rwk_case_flags")
+def q_rework_flags(spark, sf_dir):
+    return rw.case_rework_flags(_acounts(spark, sf_dir))
+
+
+# --- 2.7 conformance ----------------------------------------------------------------
+
+def _conf(spark, sf_dir):
+    return cf.conformance(_aggs(spark, sf_dir), MODEL)
+
+
+@register("cnf_case_conformance")
+def q_conformance(spark, sf_dir):
+    return _conf(spark, sf_dir).drop("deviations")
+
+
+@register("cnf_rate")
+def q_conformance_rate(spark, sf_dir):
+    return rounded(cf.conformance_rate(_conf(spark, sf_dir)))
+
+
+@register("cnf_deviations")
+def q_deviations(spark, sf_dir):
+    return cf.deviation_breakdown(_conf(spark, sf_dir))
+
+
+@register("cnf_breach_by_conformance")
+def q_breach_by_conformance(spark, sf_dir):
+    aggs = _aggs(spark, sf_dir)
+    return rounded(cf.breach_by_conformance(cs.case_table(aggs, MODEL),
+                                            cf.conformance(aggs, MODEL)))
+
+
+@register("btn_top_bottlenecks")
+def q_top_bottlenecks(spark, sf_dir):
+    st = waits.bottleneck_stats(_valid(spark, sf_dir), MODEL)
+    top = waits.top_bottlenecks(st, 10)
+    return rounded(top.select("activity", "mean_wait_hours", "n_occurrences", "total_wait_days",
+                              "bottleneck_score", "bottleneck_rank"),
+                   sums=("total_wait_days", "bottleneck_score"))
