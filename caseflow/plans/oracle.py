@@ -301,3 +301,128 @@ SELECT activity, round(avg(waiting_hours), 6) AS mean_wait_hours,
          AS bottleneck_rank
 FROM valid GROUP BY activity
 ORDER BY bottleneck_score DESC, activity LIMIT 10""", CASES_CTE)
+
+
+# --- chart data and KPIs ---------------------------------------------------------
+
+def _hist_sql(expr: str, clip: float, bins: int) -> str:
+    return f"""
+, hv AS (SELECT least(CAST({expr} AS DOUBLE), {clip}) AS x FROM cases),
+hr AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+              CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM hv),
+hb AS (SELECT least(floor((x - lo) * ({float(bins)} / (hi - lo))), {bins - 1}) AS bin FROM hv, hr),
+hc AS (SELECT bin, count(*) AS n FROM hb GROUP BY bin),
+hm AS (SELECT quantile_cont(CAST({expr} AS DOUBLE), 0.5) AS median FROM cases)
+SELECT CAST(g.range AS INTEGER) AS bin,
+       round(lo + g.range * ((hi - lo) / {float(bins)}), 6) AS bin_start,
+       round(lo + (g.range + 1) * ((hi - lo) / {float(bins)}), 6) AS bin_end,
+       CAST(coalesce(hc.n, 0) AS BIGINT) AS n_cases, round(median, 6) AS median
+FROM range(0, {bins}) g CROSS JOIN hr CROSS JOIN hm LEFT JOIN hc ON hc.bin = g.range"""
+
+
+def _w_tail(tail: str) -> str:
+    """Statement whose extra CTEs continue the case-level CTE list."""
+    return "WITH " + CASES_CTE.strip() + "\n" + tail
+
+
+ORACLE["cht_duration_histogram"] = _w_tail(_hist_sql("duration_days", 60.0, 40))
+ORACLE["cht_events_histogram"] = _w_tail(_hist_sql("n_events", 50.0, 30))
+ORACLE["cht_activities_histogram"] = _w_tail(_hist_sql("n_unique_activities", 20.0, 20))
+
+ORACLE["cht_breach_by_month"] = _w("""
+SELECT start_month, round(avg(sla_breach), 6) AS breach_rate, count(*) AS n_cases,
+       CAST(row_number() OVER (ORDER BY avg(sla_breach) DESC, start_month) = 1 AS INTEGER) AS is_peak
+FROM cases GROUP BY start_month""", CASES_CTE)
+
+BOX_TAIL = """
+, bq AS (SELECT {g}quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+                quantile_cont(v, 0.75) AS q3 FROM bv {gb}),
+bf AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM bq)
+SELECT {g}count(*) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
+       round(any_value(q3), 6) AS q3,
+       round(min(v) FILTER (WHERE v >= lo_f AND v <= hi_f), 6) AS whisker_low,
+       round(max(v) FILTER (WHERE v >= lo_f AND v <= hi_f), 6) AS whisker_high,
+       CAST(count(*) FILTER (WHERE NOT (v >= lo_f AND v <= hi_f)) AS BIGINT) AS n_outliers
+FROM bv JOIN bf USING ({key}) {gb}"""
+
+ORACLE["cht_duration_box_by_outcome"] = _w_tail("""
+, bv AS (SELECT outcome, least(duration_days, 60.0) AS v FROM cases)""" + BOX_TAIL.format(
+    g="outcome, ", gb="GROUP BY outcome", key="outcome"))
+
+ORACLE["cht_breach_by_amount_quintile"] = _w_tail("""
+, amt AS (SELECT requested_amount AS x, sla_breach FROM cases WHERE requested_amount IS NOT NULL),
+ed AS (SELECT list_sort(list_distinct(quantile_cont(x, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS edges
+       FROM amt),
+bk AS (SELECT greatest(1, coalesce(CAST(edges[1] < x AS INTEGER), 0) + coalesce(CAST(edges[2] < x AS INTEGER), 0) + coalesce(CAST(edges[3] < x AS INTEGER), 0) + coalesce(CAST(edges[4] < x AS INTEGER), 0) + coalesce(CAST(edges[5] < x AS INTEGER), 0) + coalesce(CAST(edges[6] < x AS INTEGER), 0)) AS bucket,
+              edges, sla_breach
+       FROM amt, ed)
+SELECT CAST(bucket AS INTEGER) AS bucket, round(edges[bucket], 6) AS lower_edge,
+       round(edges[bucket + 1], 6) AS upper_edge,
+       round(avg(sla_breach) * 100, 6) AS breach_rate_pct, count(*) AS n_cases,
+       'Q' || CAST(bucket AS VARCHAR) AS label
+FROM bk GROUP BY bucket, edges""")
+
+ORACLE["cht_event_volume"] = _w("""
+SELECT strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n_events
+FROM log GROUP BY 1""")
+
+ORACLE["btn_wait_box_top5"] = _w_tail("""
+, bstat AS (SELECT activity, avg(waiting_hours) * count(*) AS score FROM valid GROUP BY activity),
+btop AS (SELECT activity, CAST(row_number() OVER (ORDER BY score DESC, activity) AS BIGINT)
+                AS bottleneck_rank FROM bstat ORDER BY score DESC, activity LIMIT 5),
+bcap AS (SELECT quantile_cont(waiting_hours, 0.95) AS cap FROM valid),
+bv AS (SELECT activity, least(waiting_hours, cap) AS v FROM valid JOIN btop USING (activity), bcap)
+""" + BOX_TAIL.format(g="activity, ", gb="GROUP BY activity", key="activity").replace(
+    "SELECT activity, count(*) AS n,",
+    "SELECT activity, any_value(bottleneck_rank) AS bottleneck_rank, count(*) AS n,").replace(
+    "FROM bv JOIN bf USING (activity)", "FROM bv JOIN bf USING (activity) JOIN btop USING (activity)"))
+
+ORACLE["kpi_discovery_summary"] = _w("""
+SELECT (SELECT count(*) FROM log) AS n_events,
+       (SELECT count(*) FROM cases) AS n_cases,
+       (SELECT count(DISTINCT activity) FROM log) AS n_activities,
+       (SELECT strftime(min(ts), '%Y-%m-%d') FROM log) AS first_date,
+       (SELECT strftime(max(ts), '%Y-%m-%d') FROM log) AS last_date,
+       (SELECT count(*) FROM vranks) AS n_variants,
+       round((SELECT sum(n_cases) FILTER (WHERE variant_rank <= 3) * 100.0 / sum(n_cases)
+              FROM vranks), 6) AS top3_share_pct,
+       round(100 - (SELECT sum(n_cases) FILTER (WHERE variant_rank <= 3) * 100.0 / sum(n_cases)
+              FROM vranks), 6) AS tail_share_pct,
+       round(avg(duration_days), 6) AS mean_days,
+       round(quantile_cont(duration_days, 0.5), 6) AS median_days,
+       round(min(duration_days), 6) AS min_days, round(max(duration_days), 6) AS max_days,
+       CAST(sum(sla_breach) AS BIGINT) AS sla_breaches,
+       round(avg(sla_breach) * 100, 6) AS breach_pct,
+       round((1 - avg(sla_breach)) * 100, 6) AS met_pct
+FROM cases""", CASES_CTE)
+
+ORACLE["kpi_bottleneck_summary"] = _w("""
+SELECT t.activity AS top_bottleneck, round(t.mean_wait_hours, 6) AS top_mean_wait_hours,
+       round(t.total_wait_days, 4) AS top_total_wait_days,
+       round(r.rework_pct, 6) AS rework_pct, r.rework_events,
+       round(c.conformance_rate_pct, 6) AS conformance_rate_pct,
+       round(100 - c.conformance_rate_pct, 6) AS non_conformance_pct
+FROM (SELECT activity, avg(waiting_hours) AS mean_wait_hours,
+             sum(waiting_hours) / 24 AS total_wait_days
+      FROM valid GROUP BY activity
+      ORDER BY avg(waiting_hours) * count(*) DESC, activity LIMIT 1) t,
+     (SELECT avg(CAST(mx > 1 AS DOUBLE)) * 100 AS rework_pct,
+             CAST(sum(extra) AS BIGINT) AS rework_events
+      FROM (SELECT case_id, max(count) AS mx, sum(count - 1) AS extra
+            FROM acounts GROUP BY case_id)) r,
+     (SELECT avg(is_conformant) * 100 AS conformance_rate_pct FROM conf2) c""", CASES_CTE)
+
+ORACLE["kpi_monthly_trend"] = _w("""
+SELECT strftime(date_trunc('month', case_start), '%Y-%m') AS start_period, count(*) AS n_cases,
+       round(avg(sla_breach) * 100, 6) AS breach_rate_pct, round(avg(duration_days), 6) AS mean_days
+FROM cases GROUP BY 1""", CASES_CTE)
+
+ORACLE["kpi_outcome_sla"] = _w("""
+SELECT outcome, CAST(count(*) FILTER (WHERE sla_breach = 0) AS BIGINT) AS sla_met,
+       CAST(count(*) FILTER (WHERE sla_breach = 1) AS BIGINT) AS sla_breached
+FROM cases GROUP BY outcome""", CASES_CTE)
+
+ORACLE["kpi_complexity"] = _w("""
+SELECT n_unique_activities, count(*) AS n_cases, round(avg(duration_days), 6) AS mean_days,
+       round(quantile_cont(duration_days, 0.5), 6) AS median_days
+FROM cases GROUP BY n_unique_activities""", CASES_CTE)

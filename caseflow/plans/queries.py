@@ -238,3 +238,85 @@ def q_top_bottlenecks(spark, sf_dir):
     return rounded(top.select("activity", "mean_wait_hours", "n_occurrences", "total_wait_days",
                               "bottleneck_score", "bottleneck_rank"),
                    sums=("total_wait_days", "bottleneck_score"))
+
+
+# --- 2.8 chart data -------------------------------------------------------------------
+
+from caseflow.operators import charts as ch  # noqa: E402
+from caseflow.operators import kpi  # noqa: E402
+
+
+@register("cht_duration_histogram")
+def q_duration_hist(spark, sf_dir):
+    return rounded(ch.histogram(_cases(spark, sf_dir), "duration_days", 40, 60.0))
+
+
+@register("cht_events_histogram")
+def q_events_hist(spark, sf_dir):
+    return rounded(ch.histogram(_cases(spark, sf_dir), "n_events", 30, 50.0))
+
+
+@register("cht_activities_histogram")
+def q_activities_hist(spark, sf_dir):
+    return rounded(ch.histogram(_cases(spark, sf_dir), "n_unique_activities", 20, 20.0))
+
+
+@register("cht_breach_by_month")
+def q_breach_by_month(spark, sf_dir):
+    return rounded(ch.breach_by_month(_cases(spark, sf_dir)))
+
+
+@register("cht_duration_box_by_outcome")
+def q_duration_box(spark, sf_dir):
+    return rounded(ch.duration_box_by_outcome(_cases(spark, sf_dir)))
+
+
+@register("cht_breach_by_amount_quintile")
+def q_amount_quintile(spark, sf_dir):
+    return rounded(ch.breach_by_amount_quintile(_cases(spark, sf_dir)))
+
+
+@register("cht_event_volume")
+def q_event_volume(spark, sf_dir):
+    return ch.event_volume_by_month(clean_log(spark, sf_dir))
+
+
+@register("btn_wait_box_top5")
+def q_wait_box(spark, sf_dir):
+    valid = _valid(spark, sf_dir)
+    st = waits.bottleneck_stats(valid, MODEL)
+    return rounded(waits.wait_box_top(valid, st, 5, 0.95).select(
+        "activity", "bottleneck_rank", "n", "q1", "median", "q3", "whisker_low",
+        "whisker_high", "n_outliers"))
+
+
+# --- 2.9 KPI tables --------------------------------------------------------------------
+
+@register("kpi_discovery_summary")
+def q_kpi_discovery(spark, sf_dir):
+    log = clean_log(spark, sf_dir)
+    return rounded(kpi.discovery_summary(log, _cases(spark, sf_dir),
+                                         vr.variant_counts(_variants(spark, sf_dir))))
+
+
+@register("kpi_bottleneck_summary")
+def q_kpi_bottleneck(spark, sf_dir):
+    st = waits.bottleneck_stats(_valid(spark, sf_dir), MODEL)
+    out = kpi.bottleneck_summary(st, rw.rework_prevalence(_acounts(spark, sf_dir)),
+                                 cf.conformance_rate(_conf(spark, sf_dir)))
+    return rounded(out, sums=("top_total_wait_days",))
+
+
+@register("kpi_monthly_trend")
+def q_kpi_monthly(spark, sf_dir):
+    return rounded(kpi.monthly_trend(_cases(spark, sf_dir)))
+
+
+@register("kpi_outcome_sla")
+def q_kpi_outcome_sla(spark, sf_dir):
+    return kpi.outcome_sla_matrix(_cases(spark, sf_dir))
+
+
+@register("kpi_complexity")
+def q_kpi_complexity(spark, sf_dir):
+    return rounded(kpi.complexity_vs_duration(_cases(spark, sf_dir)))
