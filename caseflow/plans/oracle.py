@@ -426,3 +426,108 @@ ORACLE["kpi_complexity"] = _w("""
 SELECT n_unique_activities, count(*) AS n_cases, round(avg(duration_days), 6) AS mean_days,
        round(quantile_cont(duration_days, 0.5), 6) AS median_days
 FROM cases GROUP BY n_unique_activities""", CASES_CTE)
+
+
+# --- sources, sinks, adapters ----------------------------------------------------
+
+ORACLE["src_xes_roundtrip"] = _w("""
+SELECT case_id, activity, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, resource FROM log""")
+
+ORACLE["src_csv_event_roundtrip"] = ORACLE["cln_clean_log"]
+
+ORACLE["src_csv_case_roundtrip"] = _w("""
+SELECT case_id, strftime(case_start, '%Y-%m-%d %H:%M:%S') AS case_start,
+       strftime(case_end, '%Y-%m-%d %H:%M:%S') AS case_end,
+       round(duration_hours, 6) AS duration_hours, round(duration_days, 6) AS duration_days,
+       n_events, n_unique_activities, n_resources, last_activity,
+       CAST(NULL AS VARCHAR) AS loan_goal, round(requested_amount, 6) AS requested_amount,
+       CAST(NULL AS VARCHAR) AS application_type, outcome, sla_breach, sla_days,
+       start_month, start_quarter, start_dow, start_month_name, duration_bucket,
+       has_rework, rework_events
+FROM cases""", CASES_CTE)
+
+ORACLE["snk_sanitized_cases"] = _w("""
+SELECT case_id, strftime(case_start, '%Y-%m-%d %H:%M:%S') AS case_start,
+       strftime(case_end, '%Y-%m-%d %H:%M:%S') AS case_end,
+       round(duration_hours, 6) AS duration_hours, round(duration_days, 6) AS duration_days,
+       n_events, n_unique_activities, n_resources,
+       trim(regexp_replace(last_activity, '[\\r\\n\\t]+', ' ', 'g')) AS last_activity,
+       CAST(NULL AS VARCHAR) AS loan_goal, round(requested_amount, 6) AS requested_amount,
+       CAST(NULL AS VARCHAR) AS application_type,
+       trim(regexp_replace(outcome, '[\\r\\n\\t]+', ' ', 'g')) AS outcome, sla_breach, sla_days,
+       start_month, start_quarter, start_dow, start_month_name,
+       trim(regexp_replace(duration_bucket, '[\\r\\n\\t]+', ' ', 'g')) AS duration_bucket,
+       has_rework, rework_events
+FROM cases""", CASES_CTE)
+
+ORACLE["snk_sanitize_conversations"] = """
+SELECT conv_id, turn, trim(regexp_replace(role, '[\\r\\n\\t]+', ' ', 'g')) AS role,
+       trim(regexp_replace(text, '[\\r\\n\\t]+', ' ', 'g')) AS text
+FROM conversations"""
+
+ORDERS_CTE = """
+olog0 AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS case_id, 'Order placed' AS activity,
+         CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderpriority AS resource
+  FROM orders
+  UNION ALL
+  SELECT CAST(l_orderkey AS VARCHAR), 'Ship ' || l_returnflag || l_linestatus,
+         CAST(l_shipdate AS TIMESTAMP), CAST(NULL AS VARCHAR)
+  FROM lineitem
+),
+olog AS (
+  SELECT DISTINCT case_id, activity, ts FROM olog0
+  WHERE case_id IS NOT NULL AND activity IS NOT NULL AND ts IS NOT NULL
+),
+otrans AS (
+  SELECT activity, lag(activity) OVER w AS prev_activity,
+         date_diff('microsecond', lag(ts) OVER w, ts) / 3600000000.0 AS waiting_hours
+  FROM olog WINDOW w AS (PARTITION BY case_id ORDER BY ts, activity)
+),
+ovalid AS (
+  SELECT * FROM otrans
+  WHERE prev_activity IS NOT NULL AND waiting_hours >= 0 AND waiting_hours < 1440
+)"""
+
+ORACLE["adp_orders_bottleneck"] = "WITH " + ORDERS_CTE.strip() + """
+SELECT activity,
+       round(avg(waiting_hours), 6) AS mean_wait_hours,
+       round(quantile_cont(waiting_hours, 0.5), 6) AS median_wait_hours,
+       round(sum(waiting_hours), 4) AS total_wait_hours,
+       count(waiting_hours) AS n_occurrences,
+       round(quantile_cont(waiting_hours, 0.9), 6) AS p90_wait_hours,
+       round(avg(waiting_hours) / 24, 6) AS mean_wait_days,
+       round(sum(waiting_hours) / 24, 4) AS total_wait_days,
+       round(avg(waiting_hours) * count(waiting_hours), 4) AS bottleneck_score
+FROM ovalid GROUP BY activity"""
+
+ORACLE["adp_conversation_variants"] = """
+WITH clog AS (
+  SELECT CAST(conv_id AS VARCHAR) AS case_id, role AS activity, turn
+  FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND turn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, role, turn ORDER BY turn) = 1
+),
+cv AS (SELECT case_id, string_agg(activity, ' → ' ORDER BY turn, activity) AS variant
+       FROM clog GROUP BY case_id),
+cc AS (SELECT variant, count(*) AS n_cases FROM cv GROUP BY variant)
+SELECT variant, n_cases,
+       CAST(row_number() OVER (ORDER BY n_cases DESC, variant) AS BIGINT) AS variant_rank
+FROM cc"""
+
+ORACLE["adp_user_case_table"] = """
+WITH ulog AS (
+  SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity, CAST(ts AS TIMESTAMP) AS ts,
+         event_id AS event_seq
+  FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type, ts ORDER BY event_id) = 1
+),
+uc AS (
+  SELECT case_id, date_diff('microsecond', min(ts), max(ts)) / 3600000000.0 / 24 AS duration_days,
+         count(*) AS n_events, count(DISTINCT activity) AS n_unique_activities,
+         first(activity ORDER BY ts DESC, event_seq DESC, activity DESC) AS last_activity
+  FROM ulog GROUP BY case_id
+)
+SELECT case_id, round(duration_days, 6) AS duration_days, n_events, n_unique_activities,
+       last_activity, """ + _outcome_sql("last_activity") + """ AS outcome,
+       CAST(duration_days > 5 AS INTEGER) AS sla_breach
+FROM uc"""

@@ -320,3 +320,82 @@ def q_kpi_outcome_sla(spark, sf_dir):
 @register("kpi_complexity")
 def q_kpi_complexity(spark, sf_dir):
     return rounded(kpi.complexity_vs_duration(_cases(spark, sf_dir)))
+
+
+# --- 2.1 sources and sinks (round trips through the shared scratch folder) --------------
+
+from caseflow.session import scratch_path  # noqa: E402
+from caseflow.sources import csv as csv_src  # noqa: E402
+from caseflow.sources import sinks, xes  # noqa: E402
+
+
+@register("src_xes_roundtrip")
+def q_xes_roundtrip(spark, sf_dir):
+    """SNK (XES) then SRC-1: the cleaned log written as XES and read back."""
+    path = sinks.write_xes(clean_log(spark, sf_dir), scratch_path(spark, "xes"))
+    back = cl.clean(xes.read_xes(spark, path))
+    return back.select("case_id", "activity",
+                       format_ts("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "resource")
+
+
+@register("src_csv_event_roundtrip")
+def q_csv_event_roundtrip(spark, sf_dir):
+    """SNK-1 (CSV) then SRC-2: cleaned log through CSV with a typed schema."""
+    path = sinks.write_event_log(clean_log(spark, sf_dir), scratch_path(spark, "evcsv"), "csv")
+    back = csv_src.read_event_csv(spark, path)
+    return rounded(back.select("case_id", "activity",
+                               format_ts("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+                               "resource", "requested_amount", "event_seq"))
+
+
+@register("src_csv_case_roundtrip")
+def q_csv_case_roundtrip(spark, sf_dir):
+    """SNK-1 (CSV) then SRC-3: the case table through CSV."""
+    path = sinks.write_table(_cases(spark, sf_dir), scratch_path(spark, "casecsv"), "csv")
+    back = csv_src.read_case_csv(spark, path)
+    return rounded(back.withColumn("case_start", format_ts("case_start"))
+                   .withColumn("case_end", format_ts("case_end")))
+
+
+@register("snk_sanitized_cases")
+def q_sanitized_cases(spark, sf_dir):
+    """SNK-3 on the case table (strings cleaned, timestamps as text)."""
+    return rounded(sinks.sanitize_for_export(_cases(spark, sf_dir)))
+
+
+@register("snk_sanitize_conversations")
+def q_sanitize_conversations(spark, sf_dir):
+    """SNK-3 on whole conversation texts (which do hold line breaks)."""
+    return sinks.sanitize_for_export(adapters.table(spark, sf_dir, "conversations"))
+
+
+# --- SRC-5 other adapters ------------------------------------------------------------------
+
+from caseflow.model import REFERENCE_MODEL  # noqa: E402
+
+
+@register("adp_orders_bottleneck")
+def q_orders_bottleneck(spark, sf_dir):
+    """Orders + line items as a log: waits are days to years, so the 60-day
+    cut of the reference model decides what counts."""
+    log = cl.clean(adapters.orders_lineitems(adapters.table(spark, sf_dir, "orders"),
+                                             adapters.table(spark, sf_dir, "lineitem")))
+    valid = waits.valid_transitions(waits.transitions(log, REFERENCE_MODEL), REFERENCE_MODEL)
+    return rounded(waits.bottleneck_stats(valid, REFERENCE_MODEL),
+                   sums=("total_wait_hours", "total_wait_days", "bottleneck_score"))
+
+
+@register("adp_conversation_variants")
+def q_conversation_variants(spark, sf_dir):
+    """Conversations as a log (role per turn): variant counts and ranks."""
+    log = cl.clean(adapters.conversations_log(adapters.table(spark, sf_dir, "conversations")))
+    return vr.variant_ranks(vr.variant_counts(vr.case_variants(log)))
+
+
+@register("adp_user_case_table")
+def q_user_cases(spark, sf_dir):
+    """Events with one case per user (long cases): durations and outcome."""
+    log = cl.clean(adapters.events_user(adapters.table(spark, sf_dir, "events")))
+    ct = cs.case_table(cs.case_aggregates(log, MODEL), MODEL)
+    return rounded(ct.select("case_id", "duration_days", "n_events", "n_unique_activities",
+                             "last_activity", "outcome", "sla_breach"))
