@@ -98,3 +98,26 @@ def quantiles(df: DataFrame, value: str, probs: dict, group: list | tuple = (),
 def scalar_quantile(df: DataFrame, value: str, p: float, exact: bool = True) -> DataFrame:
     """1-row DataFrame with column ``q``: the ``p`` quantile over all rows."""
     return quantiles(df, value, {"q": p}, (), exact)
+
+
+def running_sums(df: DataFrame, order: list, cols: list, prefix: str = "cum_",
+                 num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``cols`` over the whole table under
+    ``order`` (total order expected), without a single-partition window:
+    range partitions get their offsets from per-partition totals (n rows),
+    then each partition accumulates its own rows."""
+    order = [_col(c) for c in order]
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    keyed = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+             .withColumn("_pid", F.spark_partition_id())
+             .withColumn("_mid", F.monotonically_increasing_id()))
+    keyed = checkpointed(keyed)
+    totals = keyed.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # n rows
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0))
+                                      .alias(f"_b_{c}") for c in cols])
+    wl = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    out = keyed.join(F.broadcast(offsets), "_pid", "inner")
+    for c in cols:
+        out = out.withColumn(f"{prefix}{c}", F.col(f"_b_{c}") + F.sum(c).over(wl))
+    return out.drop("_pid", "_mid", *[f"_b_{c}" for c in cols])

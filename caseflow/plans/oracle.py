@@ -531,3 +531,47 @@ SELECT case_id, round(duration_days, 6) AS duration_days, n_events, n_unique_act
        last_activity, """ + _outcome_sql("last_activity") + """ AS outcome,
        CAST(duration_days > 5 AS INTEGER) AS sla_breach
 FROM uc"""
+
+
+# --- models: features, weights, split --------------------------------------------
+
+FEAT_CTE = CASES_CTE + """,
+feat AS (
+  SELECT case_id, CAST(n_events AS DOUBLE) AS n_events,
+         CAST(n_unique_activities AS DOUBLE) AS n_unique_activities,
+         CAST(n_resources AS DOUBLE) AS n_resources, CAST(has_rework AS DOUBLE) AS has_rework,
+         CAST(rework_events AS DOUBLE) AS rework_events,
+         CAST(start_month AS DOUBLE) AS start_month,
+         ln(1 + coalesce(requested_amount, 0)) AS log_requested_amount,
+         CAST(dense_rank() OVER (ORDER BY coalesce(outcome, 'Other')) - 1 AS DOUBLE)
+           AS outcome_encoded,
+         CAST(coalesce(isodow(case_start) - 1, 0) AS DOUBLE) AS dow_encoded,
+         CAST(0 AS DOUBLE) AS app_type_encoded,
+         sla_breach AS label
+  FROM cases
+)"""
+
+ORACLE["ml_features"] = _w("""
+SELECT case_id, n_events, n_unique_activities, n_resources, has_rework, rework_events,
+       start_month, round(log_requested_amount, 6) AS log_requested_amount, outcome_encoded,
+       dow_encoded, app_type_encoded, label
+FROM feat""", FEAT_CTE)
+
+ORACLE["ml_class_balance"] = _w("""
+SELECT label, count(*) AS n_cases, round(count(*) * 100.0 / (SELECT count(*) FROM feat), 6)
+       AS share_pct
+FROM feat GROUP BY label""", FEAT_CTE)
+
+ORACLE["ml_balanced_weights"] = _w("""
+SELECT label, count(*) AS n_label,
+       round((SELECT count(*) FROM feat) / (2.0 * count(*)), 6) AS weight
+FROM feat GROUP BY label""", FEAT_CTE)
+
+ORACLE["ml_split"] = _w("""
+SELECT case_id, label,
+       CAST(p <= ceil(n * 0.25) AS INTEGER) AS is_test,
+       CASE WHEN p > ceil(n * 0.25) THEN CAST((p - ceil(n * 0.25) - 1) % 5 AS INTEGER) END AS fold
+FROM (SELECT case_id, label,
+             row_number() OVER (PARTITION BY label ORDER BY md5(case_id || '#42'), case_id) AS p,
+             count(*) OVER (PARTITION BY label) AS n
+      FROM feat)""", FEAT_CTE)

@@ -399,3 +399,65 @@ def q_user_cases(spark, sf_dir):
     ct = cs.case_table(cs.case_aggregates(log, MODEL), MODEL)
     return rounded(ct.select("case_id", "duration_days", "n_events", "n_unique_activities",
                              "last_activity", "outcome", "sla_breach"))
+
+
+# --- 2.10 models ------------------------------------------------------------------------
+
+from caseflow.operators import ml  # noqa: E402
+
+_FITS: dict = {}
+
+
+def _prepared(spark, sf_dir):
+    return ml.prepare(_cases(spark, sf_dir))
+
+
+def _fit(spark, sf_dir):
+    """One fit per (session, data folder), shared by the model queries."""
+    key = (id(spark), sf_dir)
+    if key not in _FITS:
+        prepared = _prepared(spark, sf_dir).cache()
+        _FITS[key] = ml.fit_models(prepared)
+    return _FITS[key]
+
+
+@register("ml_features")
+def q_ml_features(spark, sf_dir):
+    return rounded(ml.feature_table(_cases(spark, sf_dir)))
+
+
+@register("ml_class_balance")
+def q_ml_balance(spark, sf_dir):
+    return rounded(ml.class_balance(ml.feature_table(_cases(spark, sf_dir))))
+
+
+@register("ml_balanced_weights")
+def q_ml_weights(spark, sf_dir):
+    return rounded(ml.balanced_weights(ml.feature_table(_cases(spark, sf_dir))))
+
+
+@register("ml_split")
+def q_ml_split(spark, sf_dir):
+    return _prepared(spark, sf_dir).select("case_id", "label", "is_test", "fold")
+
+
+@register("ml_model_comparison")
+def q_ml_models(spark, sf_dir):
+    return ml.comparison(spark, _fit(spark, sf_dir))
+
+
+@register("ml_feature_importance")
+def q_ml_importance(spark, sf_dir):
+    return ml.importances(spark, _fit(spark, sf_dir))
+
+
+@register("ml_roc_points")
+def q_ml_roc(spark, sf_dir):
+    res = _fit(spark, sf_dir)
+    return ml.roc_points(ml.scored(res, res.best))
+
+
+@register("ml_confusion")
+def q_ml_confusion(spark, sf_dir):
+    res = _fit(spark, sf_dir)
+    return ml.confusion(ml.scored(res, res.best))
