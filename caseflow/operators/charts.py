@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.operators.ranking import quantiles, scalar_quantile
-from caseflow.operators.util import broadcast_if_small
+from caseflow.operators.ranking import quantiles, ranked_values, scalar_quantile
+from caseflow.operators.util import broadcast_if_small, checkpointed
 
 
 def histogram(df: DataFrame, value: str, bins: int, clip_upper: float | None = None,
@@ -20,10 +20,11 @@ def histogram(df: DataFrame, value: str, bins: int, clip_upper: float | None = N
     """Equal-width histogram between the min and max of the (clipped) values;
     the last bin is closed.  Empty bins are present with count 0.  When
     ``with_median`` is set, the median of the *unclipped* values is attached."""
-    x = F.col(value).cast("double")
+    raw = checkpointed(df.select(F.col(value).cast("double").alias("_m")))  # read 3 times
+    x = F.col("_m")
     if clip_upper is not None:
         x = F.least(x, F.lit(float(clip_upper)))
-    vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    vals = raw.select(x.alias("_x")).filter(F.col("_x").isNotNull())
     rng = vals.agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"))
     # numpy widens an empty range by 0.5 on each side
     rng = rng.select(
@@ -42,7 +43,7 @@ def histogram(df: DataFrame, value: str, bins: int, clip_upper: float | None = N
                    (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_end"),
                    F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_cases")))
     if with_median:
-        med = scalar_quantile(df.select(F.col(value).cast("double").alias("_m")), "_m", 0.5)
+        med = scalar_quantile(raw, "_m", 0.5)
         out = out.crossJoin(F.broadcast(med.withColumnRenamed("q", "median")))
     return out
 
@@ -51,24 +52,23 @@ def box_stats(df: DataFrame, value: str, group: list | tuple = (), exact: bool =
     """Quartiles, 1.5*IQR whiskers (the most extreme values inside the
     fences) and outlier count per group."""
     group = list(group)
-    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group, exact)
+    ranked = ranked_values(df, value, group) if exact else None  # checkpointed, read twice
+    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group, exact,
+                  extra={"n": F.count}, ranked=ranked)
     q = q.withColumn("_iqr", F.col("q3") - F.col("q1")) \
          .withColumn("_lo_f", F.col("q1") - 1.5 * F.col("_iqr")) \
          .withColumn("_hi_f", F.col("q3") + 1.5 * F.col("_iqr"))
-    v = F.col(value).cast("double")
-    base = df.select(*group, v.alias("_v")).filter(F.col("_v").isNotNull())
+    base = ranked.select(*group, "_v") if exact else \
+        df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     joined = (base.join(broadcast_if_small(q), group, "inner") if group
               else base.crossJoin(F.broadcast(q)))
     inside = (F.col("_v") >= F.col("_lo_f")) & (F.col("_v") <= F.col("_hi_f"))
-    agg = joined.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
+    return joined.groupBy(*group).agg(
+        F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
+        F.first("q3").alias("q3"),
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
         F.sum((~inside).cast("long")).alias("n_outliers"))
-    out = agg.join(q.drop("_iqr", "_lo_f", "_hi_f"), group, "inner") if group else \
-        agg.crossJoin(F.broadcast(q.drop("_iqr", "_lo_f", "_hi_f")))
-    return out.select(*group, "n", "q1", "median", "q3", "whisker_low", "whisker_high",
-                      "n_outliers")
 
 
 def duration_box_by_outcome(cases: DataFrame, clip_days: float = 60.0) -> DataFrame:

@@ -80,9 +80,18 @@ def squeeze_loan_goal(df: DataFrame, col: str = LOAN_GOAL) -> DataFrame:
     return df.withColumn(col, squeeze_whitespace(col))
 
 
-def clean(df: DataFrame) -> DataFrame:
-    """CLN-1..4 on a canonical or XES-named log."""
+def clean(df: DataFrame, keep: list | tuple | None = None) -> DataFrame:
+    """CLN-1..4 on a canonical or XES-named log.
+
+    ``keep`` names the attribute columns to carry besides case, activity, ts
+    and event_seq (default: all).  The survivor of a duplicate group is
+    chosen over every kept column, so Catalyst cannot prune what is kept:
+    pass only what the analysis needs and the scan/shuffle shrink with it.
+    """
     df = rename_to_canonical(standardise_case_column(df))
+    if keep is not None:
+        core = [c for c in (CASE, ACTIVITY, TS, SEQ) if c in df.columns]
+        df = df.select(*core, *[c for c in keep if c in df.columns and c not in core])
     df = drop_incomplete(df)
     df = coerce_timestamp(df)
     return dedup_events(df)

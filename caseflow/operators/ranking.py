@@ -15,6 +15,7 @@ survive executor loss).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +39,17 @@ def positions(df: DataFrame, order: list, group: list | tuple = (),
     order = [_col(c) for c in order]
     n = num_partitions or shuffle_partitions(df.sparkSession)
     keys = [F.col(g) for g in group] + order
-    keyed = (df.repartitionByRange(n, *keys)
-               .sortWithinPartitions(*keys)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    keyed = checkpointed(keyed)
+    # The range exchange samples its input in a separate job; keep the input
+    # cached just until the checkpoint is written so it is computed once.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        keyed = (src.repartitionByRange(n, *keys)
+                   .sortWithinPartitions(*keys)
+                   .withColumn("_pid", F.spark_partition_id())
+                   .withColumn("_mid", F.monotonically_increasing_id()))
+        keyed = checkpointed(keyed)
+    finally:
+        src.unpersist()
 
     stats = keyed.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_cnt"),
                                               F.min("_mid").alias("_base"))
@@ -62,37 +69,55 @@ def positions(df: DataFrame, order: list, group: list | tuple = (),
 
 
 def quantiles(df: DataFrame, value: str, probs: dict, group: list | tuple = (),
-              exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+              exact: bool = True, accuracy: int = 100_000, extra: dict | None = None,
+              ranked: DataFrame | None = None) -> DataFrame:
     """One row per group with one DOUBLE column per entry of ``probs``
     (``{'median': 0.5, 'p90': 0.9}``), linear interpolation between the two
     nearest ranks (numpy's default).  NULL values are ignored.
 
-    ``exact=False`` uses ``percentile_approx`` (a bounded sketch per group).
+    ``extra`` adds plain aggregates of the value in the same pass
+    (``{'mean': F.avg}``).  ``exact=False`` uses ``percentile_approx`` (a
+    bounded sketch per group).  ``ranked`` reuses the output of
+    :func:`ranked_values`.
     """
     group = list(group)
-    vals = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     names = list(probs)
+    extra = extra or {}
     if not exact:
+        vals = _values(df, value, group)
         arr = F.percentile_approx("_v", [float(probs[k]) for k in names], accuracy)
-        agg = vals.groupBy(*group).agg(arr.alias("_q"))
-        return agg.select(*group, *[F.col("_q")[i].alias(k) for i, k in enumerate(names)])
+        agg = vals.groupBy(*group).agg(arr.alias("_q"),
+                                       *[fn(F.col("_v")).alias(k) for k, fn in extra.items()])
+        return agg.select(*group, *[F.col("_q")[i].alias(k) for i, k in enumerate(names)],
+                          *extra.keys())
 
-    ranked = positions(vals, [F.col("_v")], group, name="_pos", total="_n")
+    if ranked is None:
+        ranked = ranked_values(df, value, group)
     idx = F.col("_pos") - 1
-    need = None
-    aggs = []
+    aggs = [fn(F.col("_v")).alias(k) for k, fn in extra.items()]
     for k in names:
         h = (F.col("_n") - 1) * F.lit(float(probs[k]))
         lo, hi = F.floor(h), F.ceil(h)
-        cond = (idx == lo) | (idx == hi)
-        need = cond if need is None else (need | cond)
         aggs += [F.max(F.when(idx == lo, F.col("_v"))).alias(f"_lo_{k}"),
                  F.max(F.when(idx == hi, F.col("_v"))).alias(f"_hi_{k}"),
-                 F.first(h - lo).alias(f"_f_{k}")]
-    picked = ranked.filter(need).groupBy(*group).agg(*aggs)
+                 F.max(h - lo).alias(f"_f_{k}")]
+    # one pass over the ranked rows; every aggregate combines map-side
+    picked = ranked.groupBy(*group).agg(*aggs)
     cols = [F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_f_{k}")
             for k in names]
-    return picked.select(*group, *[c.alias(k) for c, k in zip(cols, names)])
+    return picked.select(*group, *[c.alias(k) for c, k in zip(cols, names)], *extra.keys())
+
+
+def _values(df: DataFrame, value: str, group: list) -> DataFrame:
+    return (df.select(*group, F.col(value).cast("double").alias("_v"))
+            .filter(F.col("_v").isNotNull()))
+
+
+def ranked_values(df: DataFrame, value: str, group: list | tuple = ()) -> DataFrame:
+    """Non-NULL values as ``_v`` with 1-based rank ``_pos`` and group size
+    ``_n`` (checkpointed; reusable for several statistics)."""
+    group = list(group)
+    return positions(_values(df, value, group), [F.col("_v")], group, name="_pos", total="_n")
 
 
 def scalar_quantile(df: DataFrame, value: str, p: float, exact: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.time import hours_between
 from caseflow.model import REFERENCE_MODEL, ProcessModel
 from caseflow.operators.ranking import quantiles, scalar_quantile
+from caseflow.operators.util import checkpointed
 from caseflow.operators.sequence import with_previous
 from caseflow.schema import ACTIVITY, TS
 
@@ -33,13 +34,10 @@ def bottleneck_stats(valid: DataFrame, model: ProcessModel = REFERENCE_MODEL) ->
     map-side combined; medians/p90 come from the distributed exact quantile
     operator (or a sketch when ``model.exact_quantiles`` is off).
     """
-    basic = valid.groupBy(ACTIVITY).agg(
-        F.avg("waiting_hours").alias("mean_wait_hours"),
-        F.sum("waiting_hours").alias("total_wait_hours"),
-        F.count("waiting_hours").alias("n_occurrences"))
-    q = quantiles(valid, "waiting_hours", {"median_wait_hours": 0.5, "p90_wait_hours": 0.9},
-                  [ACTIVITY], exact=model.exact_quantiles)
-    out = basic.join(q, ACTIVITY, "left")
+    out = quantiles(valid, "waiting_hours", {"median_wait_hours": 0.5, "p90_wait_hours": 0.9},
+                    [ACTIVITY], exact=model.exact_quantiles,
+                    extra={"mean_wait_hours": F.avg, "total_wait_hours": F.sum,
+                           "n_occurrences": F.count})
     return out.select(
         ACTIVITY, "mean_wait_hours", "median_wait_hours", "total_wait_hours",
         "n_occurrences", "p90_wait_hours",
@@ -63,12 +61,15 @@ def transition_waits(valid: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("n_transitions")))
 
 
-def wait_box_top(valid: DataFrame, stats: DataFrame, k: int = 5, cap_p: float = 0.95,
+def wait_box_top(valid: DataFrame, stats: DataFrame | None = None, k: int = 5, cap_p: float = 0.95,
                  exact: bool = True) -> DataFrame:
     """Box statistics of the waits of the top-k bottlenecks, clipped at the
     global ``cap_p`` quantile of all valid waits."""
     from caseflow.operators.charts import box_stats
 
+    # the waits feed three statistics: materialise the narrow input once
+    valid = checkpointed(valid.select(ACTIVITY, "waiting_hours"))
+    stats = stats if stats is not None else bottleneck_stats(valid)
     cap = scalar_quantile(valid, "waiting_hours", cap_p, exact)
     top = F.broadcast(top_bottlenecks(stats, k).select(ACTIVITY, "bottleneck_rank"))
     clipped = (valid.join(top, ACTIVITY, "inner")

@@ -44,12 +44,19 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.main_log(spark, sf_dir)
 
 
-def clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.clean(raw_log(spark, sf_dir))
+# attribute columns each family of analyses needs beyond case/activity/ts/seq
+ALL_ATTRS = None
+CASE_ATTRS = ("resource", "loan_goal", "requested_amount", "application_type")
+NO_ATTRS = ()
+
+
+def clean_log(spark: SparkSession, sf_dir: str, keep=ALL_ATTRS) -> DataFrame:
+    return cl.clean(raw_log(spark, sf_dir), keep)
 
 
 def _valid(spark, sf_dir):
-    return waits.valid_transitions(waits.transitions(clean_log(spark, sf_dir), MODEL), MODEL)
+    log = clean_log(spark, sf_dir, NO_ATTRS)
+    return waits.valid_transitions(waits.transitions(log, MODEL), MODEL)
 
 
 # --- 2.2 cleaning -----------------------------------------------------------
@@ -64,7 +71,7 @@ def q_clean_log(spark, sf_dir):
 
 @register("cln_profile")
 def q_clean_profile(spark, sf_dir):
-    prof = cl.clean_profile(raw_log(spark, sf_dir), clean_log(spark, sf_dir))
+    prof = cl.clean_profile(raw_log(spark, sf_dir), clean_log(spark, sf_dir, NO_ATTRS))
     return prof.withColumn("first_date", F.date_format("first_date", "yyyy-MM-dd")) \
                .withColumn("last_date", F.date_format("last_date", "yyyy-MM-dd"))
 
@@ -73,7 +80,7 @@ def q_clean_profile(spark, sf_dir):
 
 @register("win_transitions")
 def q_transitions(spark, sf_dir):
-    tr = waits.transitions(clean_log(spark, sf_dir), MODEL)
+    tr = waits.transitions(clean_log(spark, sf_dir, NO_ATTRS), MODEL)
     return rounded(tr.select("case_id", "activity", "event_seq", "prev_activity",
                              format_ts("prev_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("prev_ts"),
                              "waiting_hours", "position"))
@@ -98,8 +105,8 @@ from caseflow.operators import rework as rw  # noqa: E402
 from caseflow.operators import variants as vr  # noqa: E402
 
 
-def _aggs(spark, sf_dir):
-    return cs.case_aggregates(clean_log(spark, sf_dir), MODEL)
+def _aggs(spark, sf_dir, keep=CASE_ATTRS):
+    return cs.case_aggregates(clean_log(spark, sf_dir, keep), MODEL)
 
 
 def _cases(spark, sf_dir):
@@ -131,7 +138,7 @@ def q_completed(spark, sf_dir):
 # --- 2.6 variants ----------------------------------------------------------------
 
 def _variants(spark, sf_dir):
-    return vr.case_variants(clean_log(spark, sf_dir), MODEL.slice_hours)
+    return vr.case_variants(clean_log(spark, sf_dir, NO_ATTRS), MODEL.slice_hours)
 
 
 def _ranks(spark, sf_dir):
@@ -152,7 +159,7 @@ def q_variant_counts(spark, sf_dir):
 
 @register("var_activity_frequency")
 def q_activity_frequency(spark, sf_dir):
-    return rounded(vr.activity_frequency(clean_log(spark, sf_dir)))
+    return rounded(vr.activity_frequency(clean_log(spark, sf_dir, NO_ATTRS)))
 
 
 @register("var_coverage")
@@ -180,7 +187,7 @@ def q_breach_by_bucket(spark, sf_dir):
 # --- 2.7 rework ---------------------------------------------------------------------
 
 def _acounts(spark, sf_dir):
-    return rw.activity_counts(clean_log(spark, sf_dir))
+    return rw.activity_counts(clean_log(spark, sf_dir, NO_ATTRS))
 
 
 @register("rwk_activity_counts")
@@ -206,7 +213,8 @@ def q_rework_flags(spark, sf_dir):
 # --- 2.7 conformance ----------------------------------------------------------------
 
 def _conf(spark, sf_dir):
-    return cf.conformance(_aggs(spark, sf_dir), MODEL)
+    # conformance needs activities and order only: no attribute columns
+    return cf.conformance(_aggs(spark, sf_dir, NO_ATTRS), MODEL)
 
 
 @register("cnf_case_conformance")
@@ -278,7 +286,7 @@ def q_amount_quintile(spark, sf_dir):
 
 @register("cht_event_volume")
 def q_event_volume(spark, sf_dir):
-    return ch.event_volume_by_month(clean_log(spark, sf_dir))
+    return ch.event_volume_by_month(clean_log(spark, sf_dir, NO_ATTRS))
 
 
 @register("btn_wait_box_top5")
@@ -294,7 +302,7 @@ def q_wait_box(spark, sf_dir):
 
 @register("kpi_discovery_summary")
 def q_kpi_discovery(spark, sf_dir):
-    log = clean_log(spark, sf_dir)
+    log = clean_log(spark, sf_dir, NO_ATTRS)
     return rounded(kpi.discovery_summary(log, _cases(spark, sf_dir),
                                          vr.variant_counts(_variants(spark, sf_dir))))
 
@@ -332,7 +340,7 @@ from caseflow.sources import sinks, xes  # noqa: E402
 @register("src_xes_roundtrip")
 def q_xes_roundtrip(spark, sf_dir):
     """SNK (XES) then SRC-1: the cleaned log written as XES and read back."""
-    path = sinks.write_xes(clean_log(spark, sf_dir), scratch_path(spark, "xes"))
+    path = sinks.write_xes(clean_log(spark, sf_dir, ("resource",)), scratch_path(spark, "xes"))
     back = cl.clean(xes.read_xes(spark, path))
     return back.select("case_id", "activity",
                        format_ts("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "resource")
