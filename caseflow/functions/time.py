@@ -28,7 +28,10 @@ def ts_slice(ts=TS, hours: int = 24) -> Column:
     """
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     h = F.timestamp_diff("HOUR", epoch, _c(ts))
-    return F.floor(h / F.lit(int(hours))).cast("long")
+    # non-nullable on purpose: ts is never NULL after cleaning, and a NULL-free
+    # key stops the optimizer from adding a filter to one side of the slice
+    # self-join only, which would keep the two sides from sharing one shuffle
+    return F.coalesce(F.floor(h / F.lit(int(hours))).cast("long"), F.lit(0).cast("long"))
 
 
 def order_key(ts=TS, seq=SEQ) -> Column:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import squeeze_whitespace
-from caseflow.schema import ACTIVITY, CASE, CRITICAL, LOAN_GOAL, SEQ, TS, XES_NAMES
+from caseflow.functions.time import ts_slice
+from caseflow.schema import (ACTIVITY, CASE, CRITICAL, LOAN_GOAL, SEQ, SLICE, TS,
+                             XES_NAMES)
 
 
 def standardise_case_column(df: DataFrame, target: str = "case:concept:name") -> DataFrame:
@@ -54,19 +56,20 @@ def coerce_timestamp(df: DataFrame, col: str = TS, fmt: str | None = None) -> Da
 def dedup_events(df: DataFrame, key=(CASE, ACTIVITY, TS)) -> DataFrame:
     """Exact-duplicate removal on ``key``, keeping the first event.
 
-    One hash aggregation with map-side combine; the survivor is the row with
-    the smallest ``event_seq`` (or the smallest remaining attributes when the
-    source has no position).  NB: a group of copies is reduced map-side, so a
-    hot duplicate group never reaches one task whole.
+    The survivor is the row with the smallest ``event_seq`` (then the
+    smallest remaining attributes, for NULL or equal positions), so the
+    result never depends on partitioning.  A group of copies is reduced
+    map-side, so a hot duplicate group never reaches one task whole.
     """
     key = list(key)
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.dropDuplicates(key)
+    if rest == [SEQ]:
+        # nothing but the position to keep: a plain hash aggregate
+        return df.groupBy(*key).agg(F.min(SEQ).alias(SEQ)).select(*df.columns)
     payload = F.struct(*[F.col(c) for c in rest])
     if SEQ in df.columns:
-        # min over (seq, payload): seq first = file order; payload breaks
-        # ties/NULL positions deterministically.
         keep = F.min(F.struct(F.col(SEQ).alias("_o"), payload.alias("_p")))["_p"]
     else:
         keep = F.min(payload)
@@ -80,13 +83,21 @@ def squeeze_loan_goal(df: DataFrame, col: str = LOAN_GOAL) -> DataFrame:
     return df.withColumn(col, squeeze_whitespace(col))
 
 
-def clean(df: DataFrame, keep: list | tuple | None = None) -> DataFrame:
+def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24,
+          layout: bool = True) -> DataFrame:
     """CLN-1..4 on a canonical or XES-named log.
 
     ``keep`` names the attribute columns to carry besides case, activity, ts
     and event_seq (default: all).  The survivor of a duplicate group is
     chosen over every kept column, so Catalyst cannot prune what is kept:
     pass only what the analysis needs and the scan/shuffle shrink with it.
+
+    With ``layout`` (default) the clean log is hash-partitioned on
+    ``(case_id, ts_slice)`` and deduplicated inside that layout (the slice is
+    a function of ts, so grouping by it changes nothing).  Every sequence
+    window, slice summary and variant piece downstream reuses this one
+    exchange, and a case that holds a large share of the log is still spread
+    over as many tasks as it has time slices.
     """
     df = rename_to_canonical(standardise_case_column(df))
     if keep is not None:
@@ -94,7 +105,10 @@ def clean(df: DataFrame, keep: list | tuple | None = None) -> DataFrame:
         df = df.select(*core, *[c for c in keep if c in df.columns and c not in core])
     df = drop_incomplete(df)
     df = coerce_timestamp(df)
-    return dedup_events(df)
+    if not layout:
+        return dedup_events(df)
+    df = df.withColumn(SLICE, ts_slice(TS, slice_hours)).repartition(CASE, SLICE)
+    return dedup_events(df, key=(CASE, SLICE, ACTIVITY, TS))
 
 
 def clean_profile(raw: DataFrame, cleaned: DataFrame) -> DataFrame:

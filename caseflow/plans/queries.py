@@ -51,7 +51,7 @@ NO_ATTRS = ()
 
 
 def clean_log(spark: SparkSession, sf_dir: str, keep=ALL_ATTRS) -> DataFrame:
-    return cl.clean(raw_log(spark, sf_dir), keep)
+    return cl.clean(raw_log(spark, sf_dir), keep, MODEL.slice_hours)
 
 
 def _valid(spark, sf_dir):
@@ -147,8 +147,8 @@ def _ranks(spark, sf_dir):
 
 @register("var_case_variants")
 def q_case_variants(spark, sf_dir):
-    cases = _cases(spark, sf_dir).select("case_id")
-    out = vr.attach_variants(cases, _variants(spark, sf_dir), _ranks(spark, sf_dir))
+    variants = _variants(spark, sf_dir)
+    out = vr.attach_variants(variants.select("case_id"), variants, _ranks(spark, sf_dir))
     return out.select("case_id", "variant", "variant_rank", "is_top3_variant", "is_top10_variant")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.functions.text import sanitize_text
-from caseflow.schema import ACTIVITY, CASE, LIFECYCLE, RESOURCE, SEQ, TS
+from caseflow.schema import ACTIVITY, CASE, LIFECYCLE, RESOURCE, SEQ, SLICE, TS
 
 CSV_TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -32,8 +32,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_event_log(log: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """The cleaned log, laid out by case and time inside each file."""
-    return write_table(log, path, fmt, sort_within=[CASE, TS, SEQ])
+    """The cleaned log, laid out by case and time inside each file (the
+    internal ``ts_slice`` layout column is not written)."""
+    return write_table(log.drop(SLICE), path, fmt, sort_within=[CASE, TS, SEQ])
 
 
 def sanitize_for_export(df: DataFrame, ts_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
