@@ -575,3 +575,13 @@ FROM (SELECT case_id, label,
              row_number() OVER (PARTITION BY label ORDER BY md5(case_id || '#42'), case_id) AS p,
              count(*) OVER (PARTITION BY label) AS n
       FROM feat)""", FEAT_CTE)
+
+
+# --- streaming versions ------------------------------------------------------------
+
+ORACLE["stm_live_activity_frequency"] = _w("""
+SELECT activity, count(*) AS n_events FROM log GROUP BY activity""")
+
+ORACLE["stm_live_event_volume"] = _w("""
+SELECT strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n_events
+FROM log GROUP BY 1""")

@@ -469,3 +469,28 @@ def q_ml_roc(spark, sf_dir):
 def q_ml_confusion(spark, sf_dir):
     res = _fit(spark, sf_dir)
     return ml.confusion(ml.scored(res, res.best))
+
+
+# --- streaming: the same operators over a file stream of the events table ------------
+
+from caseflow.streaming import live  # noqa: E402
+
+
+def _event_stream(spark, sf_dir):
+    # the events parquet as a file stream, through the same adapter projection
+    raw = live.file_stream(spark, sf_dir, glob="events*.parquet")
+    return adapters.events_user_week(raw)
+
+
+@register("stm_live_activity_frequency")
+def q_live_activity_frequency(spark, sf_dir):
+    agg = live.live_activity_frequency(_event_stream(spark, sf_dir))
+    name = f"caseflow_live_act_{abs(hash(scratch_path(spark, 'q'))) % 10**9}"
+    return live.run_to_table(agg, name, scratch_path(spark, "stream-ckpt"))
+
+
+@register("stm_live_event_volume")
+def q_live_event_volume(spark, sf_dir):
+    agg = live.live_event_volume(_event_stream(spark, sf_dir))
+    name = f"caseflow_live_vol_{abs(hash(scratch_path(spark, 'q'))) % 10**9}"
+    return live.run_to_table(agg, name, scratch_path(spark, "stream-ckpt"))
