@@ -585,3 +585,15 @@ SELECT activity, count(*) AS n_events FROM log GROUP BY activity""")
 ORACLE["stm_live_event_volume"] = _w("""
 SELECT strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n_events
 FROM log GROUP BY 1""")
+
+ORACLE["adp_user_transitions"] = """
+WITH ulog AS (
+  SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity, CAST(ts AS TIMESTAMP) AS ts,
+         event_id AS event_seq
+  FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type, ts ORDER BY event_id) = 1
+)
+SELECT case_id, event_seq, lag(activity) OVER w AS prev_activity,
+       round(date_diff('microsecond', lag(ts) OVER w, ts) / 3600000000.0, 6) AS waiting_hours,
+       CAST(row_number() OVER w - 1 AS BIGINT) AS position
+FROM ulog WINDOW w AS (PARTITION BY case_id ORDER BY ts, event_seq, activity)"""

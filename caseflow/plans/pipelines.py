@@ -74,7 +74,7 @@ def run_bottleneck(log: DataFrame, cases: DataFrame, model: ProcessModel = REFER
         log = checkpointed(cl.clean(log, None, model.slice_hours))
     valid = checkpointed(waits.valid_transitions(waits.transitions(log, model), model)
                          .select(CASE, ACTIVITY, "prev_activity", "waiting_hours"))
-    stats = waits.bottleneck_stats(valid, model)
+    stats = checkpointed(waits.bottleneck_stats(valid, model))   # feeds four outputs
     counts = rw.activity_counts(log)
     flags = rw.case_rework_flags(counts)
     aggs = cs.case_aggregates(log, model)

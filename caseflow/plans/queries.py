@@ -494,3 +494,15 @@ def q_live_event_volume(spark, sf_dir):
     agg = live.live_event_volume(_event_stream(spark, sf_dir))
     name = f"caseflow_live_vol_{abs(hash(scratch_path(spark, 'q'))) % 10**9}"
     return live.run_to_table(agg, name, scratch_path(spark, "stream-ckpt"))
+
+
+@register("adp_user_transitions")
+def q_user_transitions(spark, sf_dir):
+    """Previous event and position on month-long cases (one per user): each
+    case spans ~30 daily slices, so the two-level sequence operator has to
+    stitch many slices per case."""
+    log = cl.clean(adapters.events_user(adapters.table(spark, sf_dir, "events")), (),
+                   MODEL.slice_hours)
+    tr = waits.transitions(log, MODEL)
+    return rounded(tr.select("case_id", "event_seq", "prev_activity", "waiting_hours",
+                             "position"))
