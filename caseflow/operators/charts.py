@@ -107,8 +107,10 @@ def breach_by_amount_quintile(cases: DataFrame, value: str = "requested_amount",
     bucket = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < x)))
     return (base.crossJoin(F.broadcast(edges))
             .select(bucket.cast("int").alias("bucket"),
-                    F.col("edges")[bucket - 1].alias("lower_edge"),
-                    F.col("edges")[bucket].alias("upper_edge"), "sla_breach")
+                    F.element_at("edges", bucket).alias("lower_edge"),
+                    # one merged edge (all values equal): the bucket is [v, v]
+                    F.element_at("edges", F.least(bucket + 1, F.size("edges")))
+                    .alias("upper_edge"), "sla_breach")
             .groupBy("bucket", "lower_edge", "upper_edge")
             .agg((F.avg("sla_breach") * 100).alias("breach_rate_pct"),
                  F.count(F.lit(1)).alias("n_cases"))

@@ -357,7 +357,7 @@ bk AS (SELECT greatest(1, coalesce(CAST(edges[1] < x AS INTEGER), 0) + coalesce(
               edges, sla_breach
        FROM amt, ed)
 SELECT CAST(bucket AS INTEGER) AS bucket, round(edges[bucket], 6) AS lower_edge,
-       round(edges[bucket + 1], 6) AS upper_edge,
+       round(edges[least(bucket + 1, len(edges))], 6) AS upper_edge,
        round(avg(sla_breach) * 100, 6) AS breach_rate_pct, count(*) AS n_cases,
        'Q' || CAST(bucket AS VARCHAR) AS label
 FROM bk GROUP BY bucket, edges""")
