@@ -92,12 +92,12 @@ def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24
     chosen over every kept column, so Catalyst cannot prune what is kept:
     pass only what the analysis needs and the scan/shuffle shrink with it.
 
-    With ``layout`` (default) the clean log is hash-partitioned on
-    ``(case_id, ts_slice)`` and deduplicated inside that layout (the slice is
-    a function of ts, so grouping by it changes nothing).  Every sequence
-    window, slice summary and variant piece downstream reuses this one
-    exchange, and a case that holds a large share of the log is still spread
-    over as many tasks as it has time slices.
+    With ``layout`` (default) the deduplicated log is hash-partitioned on
+    ``(case_id, ts_slice)`` (the slice is a function of ts, so adding it to
+    the dedup key changes nothing).  Every sequence window, slice summary and
+    variant piece downstream reuses this one exchange, and a case that holds
+    a large share of the log is still spread over as many tasks as it has
+    time slices.
     """
     df = rename_to_canonical(standardise_case_column(df))
     if keep is not None:
@@ -107,8 +107,11 @@ def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24
     df = coerce_timestamp(df)
     if not layout:
         return dedup_events(df)
-    df = df.withColumn(SLICE, ts_slice(TS, slice_hours)).repartition(CASE, SLICE)
-    return dedup_events(df, key=(CASE, SLICE, ACTIVITY, TS))
+    df = df.withColumn(SLICE, ts_slice(TS, slice_hours))
+    # dedup first: Spark plans it with a partial (map-side) aggregation, so a
+    # group of copies holding a large share of the rows is collapsed before
+    # any shuffle; then the deduplicated log gets its (case, slice) layout
+    return dedup_events(df, key=(CASE, SLICE, ACTIVITY, TS)).repartition(CASE, SLICE)
 
 
 def clean_profile(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
