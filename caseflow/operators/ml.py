@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -41,7 +41,6 @@ def feature_table(cases: DataFrame) -> DataFrame:
     codes for outcome / application type, weekday code; label column."""
     cols = [CASE]
     feats = []
-    df = cases
     for c in NUMERIC:
         if c in cases.columns:
             cols.append(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c))
@@ -271,4 +270,4 @@ def prepare(cases: DataFrame) -> DataFrame:
 
 __all__ = ["feature_table", "class_balance", "balanced_weights", "split_and_folds",
            "model_specs", "fit_models", "comparison", "importances", "scored", "roc_points",
-           "auc_from_roc", "confusion", "prepare", "PipelineModel"]
+           "auc_from_roc", "confusion", "prepare"]
