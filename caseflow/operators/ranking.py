@@ -63,7 +63,10 @@ def positions(df: DataFrame, order: list, group: list | tuple = (),
         wt = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
         stats = stats.withColumn(total, F.sum("_cnt").over(wt))
     stats = stats.drop("_cnt")
-    out = keyed.join(broadcast_if_small(stats), [*group, "_pid"], "inner")
+    # ungrouped: one stats row per range partition, a proven bound of n rows;
+    # grouped: groups x n rows, broadcast only after counting them
+    small = F.broadcast(stats) if not group else broadcast_if_small(stats)
+    out = keyed.join(small, [*group, "_pid"], "inner")
     out = out.withColumn(name, (F.col("_before") + F.col("_mid") - F.col("_base") + 1).cast("long"))
     return out.drop("_pid", "_mid", "_base", "_before")
 

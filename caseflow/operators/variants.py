@@ -23,6 +23,7 @@ from caseflow.schema import ACTIVITY, CASE, SEQ, SLICE, TS
 # Variants ranked at or above this bound are attached by broadcast; they are
 # the only ones that can be hot.  Any variant below it has at most
 # n_cases / HOT_VARIANTS cases, so the shuffle join on the rest is balanced.
+# (Rank positions are consecutive, so ranks <= HOT_VARIANTS is <= 1000 rows.)
 HOT_VARIANTS = 1000
 
 
@@ -58,21 +59,25 @@ def attach_variants(cases: DataFrame, variants: DataFrame, ranks: DataFrame,
                     hot: int = HOT_VARIANTS) -> DataFrame:
     """JN-2/JN-3 and WIN-5: variant, rank and top-3/top-10 flags per case.
 
-    The join on variant text is split: the top ``hot`` ranks (a proven
-    bound) are broadcast; only the rest, none of which can be hot, shuffles.
+    Ranks 1..``hot`` (a proven bound) come from a broadcast join; they hold
+    every variant that can be hot.  The remaining ranks come from one shuffle
+    join on the key (0, variant text); rows already ranked carry the key
+    (1, case_id) instead, which matches nothing and spreads evenly, so no
+    hot variant ever lands in one task and the input is read once.
     """
     cv = cases.join(variants, CASE, "left")
     top = F.broadcast(ranks.filter(F.col("variant_rank") <= hot)
                       .select("variant", F.col("variant_rank").alias("_r_top")))
     rest = ranks.filter(F.col("variant_rank") > hot).select(
-        "variant", F.col("variant_rank").alias("_r_rest"))
-    step = cv.join(top, "variant", "left")
-    matched = step.filter(F.col("_r_top").isNotNull() | F.col("variant").isNull()) \
-                  .withColumn("variant_rank", F.col("_r_top"))
-    others = (step.filter(F.col("_r_top").isNull() & F.col("variant").isNotNull())
-              .join(rest, "variant", "left")
-              .withColumn("variant_rank", F.col("_r_rest")))
-    out = matched.drop("_r_top").unionByName(others.drop("_r_top", "_r_rest"))
+        F.lit(0).alias("_kf"), F.col("variant").alias("_kt"),
+        F.col("variant_rank").alias("_r_rest"))
+    ranked_here = F.col("_r_top").isNotNull() | F.col("variant").isNull()
+    step = (cv.join(top, "variant", "left")
+            .withColumn("_kf", F.when(ranked_here, F.lit(1)).otherwise(F.lit(0)))
+            .withColumn("_kt", F.when(ranked_here, F.col(CASE)).otherwise(F.col("variant"))))
+    out = (step.join(rest, ["_kf", "_kt"], "left")
+           .withColumn("variant_rank", F.coalesce(F.col("_r_top"), F.col("_r_rest")))
+           .drop("_kf", "_kt", "_r_top", "_r_rest"))
     out = (out.withColumn("is_top3_variant", (F.col("variant_rank") <= 3).cast("int"))
               .withColumn("is_top10_variant", (F.col("variant_rank") <= 10).cast("int")))
     return out.fillna(0, subset=["is_top3_variant", "is_top10_variant"])
