@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.operators.ranking import quantiles, ranked_values, scalar_quantile
+from caseflow.operators.ranking import quantiles, scalar_quantile
 from caseflow.operators.util import broadcast_if_small, checkpointed
 
 
@@ -52,14 +52,12 @@ def box_stats(df: DataFrame, value: str, group: list | tuple = (), exact: bool =
     """Quartiles, 1.5*IQR whiskers (the most extreme values inside the
     fences) and outlier count per group."""
     group = list(group)
-    ranked = ranked_values(df, value, group) if exact else None  # checkpointed, read twice
     q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group, exact,
-                  extra={"n": F.count}, ranked=ranked)
+                  extra={"n": F.count})
     q = q.withColumn("_iqr", F.col("q3") - F.col("q1")) \
          .withColumn("_lo_f", F.col("q1") - 1.5 * F.col("_iqr")) \
          .withColumn("_hi_f", F.col("q3") + 1.5 * F.col("_iqr"))
-    base = ranked.select(*group, "_v") if exact else \
-        df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    base = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     joined = (base.join(broadcast_if_small(q), group, "inner") if group
               else base.crossJoin(F.broadcast(q)))
     inside = (F.col("_v") >= F.col("_lo_f")) & (F.col("_v") <= F.col("_hi_f"))

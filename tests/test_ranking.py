@@ -49,3 +49,32 @@ def test_running_sums(spark):
     want = np.cumsum([x for _, x in sorted(rows, key=lambda t: -t[0])])
     got_sorted = [r["cum_x"] for r in sorted(got, key=lambda r: -r["s"])]
     assert got_sorted == list(want)
+
+
+def test_sketch_quantiles_close_to_exact(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.choice("ab"), rnd.uniform(0, 100)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ex = {r["g"]: r["m"] for r in quantiles(df, "v", {"m": .5}, ["g"]).collect()}
+    ap = {r["g"]: r["m"] for r in quantiles(df, "v", {"m": .5}, ["g"], exact=False,
+                                             extra={"n": F.count}).collect()}
+    for g in "ab":
+        assert abs(ex[g] - ap[g]) < 1.0
+
+
+def test_quantiles_big_groups_take_distributed_path(spark):
+    """Both paths agree: a tiny small-group bound forces the rank path for
+    the big group while the small one uses percentile."""
+    rows = [("big", float(i % 97)) for i in range(900)] + [("small", float(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    mixed = {r["g"]: (r["m"], r["p9"]) for r in
+             quantiles(df, "v", {"m": .5, "p9": .9}, ["g"], small_group_rows=100).collect()}
+    plain = {r["g"]: (r["m"], r["p9"]) for r in
+             quantiles(df, "v", {"m": .5, "p9": .9}, ["g"]).collect()}
+    for g in ("big", "small"):
+        vals = [v for gg, v in rows if gg == g]
+        want = (np.percentile(vals, 50), np.percentile(vals, 90))
+        assert abs(mixed[g][0] - want[0]) < 1e-9 and abs(mixed[g][1] - want[1]) < 1e-9
+        assert abs(plain[g][0] - want[0]) < 1e-9 and abs(plain[g][1] - want[1]) < 1e-9
+    glob = quantiles(df, "v", {"m": .5}, (), small_group_rows=10).first()["m"]
+    assert abs(glob - np.percentile([v for _, v in rows], 50)) < 1e-9
