@@ -52,8 +52,9 @@ def box_stats(df: DataFrame, value: str, group: list | tuple = (), exact: bool =
     """Quartiles, 1.5*IQR whiskers (the most extreme values inside the
     fences) and outlier count per group."""
     group = list(group)
-    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group, exact,
-                  extra={"n": F.count})
+    # one row per group, read by the size check and the whisker pass
+    q = checkpointed(quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group,
+                               exact, extra={"n": F.count}))
     q = q.withColumn("_iqr", F.col("q3") - F.col("q1")) \
          .withColumn("_lo_f", F.col("q1") - 1.5 * F.col("_iqr")) \
          .withColumn("_hi_f", F.col("q3") + 1.5 * F.col("_iqr"))

@@ -70,8 +70,10 @@ def wait_box_top(valid: DataFrame, stats: DataFrame | None = None, k: int = 5, c
     # the waits feed three statistics: materialise the narrow input once
     valid = checkpointed(valid.select(ACTIVITY, "waiting_hours"))
     stats = stats if stats is not None else bottleneck_stats(valid)
-    cap = scalar_quantile(valid, "waiting_hours", cap_p, exact)
-    top = F.broadcast(top_bottlenecks(stats, k).select(ACTIVITY, "bottleneck_rank"))
+    # small results read by several jobs below: materialise them once so
+    # the later size checks do not recompute the statistics behind them
+    cap = checkpointed(scalar_quantile(valid, "waiting_hours", cap_p, exact))
+    top = F.broadcast(checkpointed(top_bottlenecks(stats, k).select(ACTIVITY, "bottleneck_rank")))
     clipped = (valid.join(top, ACTIVITY, "inner")
                .crossJoin(F.broadcast(cap))
                .select(ACTIVITY, "bottleneck_rank",
