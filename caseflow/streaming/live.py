@@ -65,17 +65,26 @@ def live_event_volume(log: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def run_to_table(stream_df: DataFrame, name: str, checkpoint: str,
-                 mode: str = "complete") -> DataFrame:
+                 mode: str = "complete", state_partitions: int | None = None) -> DataFrame:
     """Drive a bounded-state streaming aggregate over everything available,
     then return the result as a batch DataFrame (tests and the registered
     query; the memory sink holds only the aggregate rows)."""
     spark = stream_df.sparkSession
-    q = (stream_df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", checkpoint).start())
+    # A stateful query fixes its state partitions from spark.sql.shuffle.partitions
+    # when it first starts; size them by the cores of the cluster (the default
+    # parallelism) rather than a batch-oriented session default.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions",
+                   str(state_partitions or spark.sparkContext.defaultParallelism))
     try:
-        q.processAllAvailable()
+        q = (stream_df.writeStream.format("memory").queryName(name).outputMode(mode)
+             .option("checkpointLocation", checkpoint).start())
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
     finally:
-        q.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.table(name)
 
 
