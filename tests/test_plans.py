@@ -54,3 +54,12 @@ def test_every_query_has_oracle_or_is_model(spark):
     missing = [k for k in qs if k not in sql and not k.startswith("ml_")]
     assert missing == [] or set(missing) <= {"ml_model_comparison", "ml_feature_importance",
                                               "ml_roc_points", "ml_confusion"}
+
+
+def test_entry_in_session_without_time_zone(spark):
+    """The driver's session may have no zone set: entry must still work."""
+    spark.conf.unset("spark.sql.session.timeZone")
+    try:
+        assert E.entry(spark).count() >= 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
