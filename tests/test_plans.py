@@ -43,6 +43,14 @@ def test_transitions_window_is_partitioned_by_case_and_slice(spark):
     assert "SinglePartition" not in txt
 
 
+@pytest.mark.parametrize("name", ["cas_case_table", "cnf_case_conformance", "rwk_case_flags",
+                                  "win_transitions", "adp_user_transitions"])
+def test_no_single_partition_exchange(spark, name):
+    """Per-case work never funnels the log through one partition."""
+    txt = plan_text(E.queries()[name](spark, SF001))
+    assert "SinglePartition" not in txt, txt
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
