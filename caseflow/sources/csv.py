@@ -57,8 +57,18 @@ def _load(spark: SparkSession, path: str, schema: T.StructType, what: str) -> Da
 
 
 def read_event_csv(spark: SparkSession, path: str, header_names: list | None = None) -> DataFrame:
-    """Event-log CSV with canonical or XES-style header names."""
-    names = header_names or EVENT_LOG.fieldNames()
+    """Event-log CSV with canonical or XES-style header names, in any column
+    order: the header line is read first (no inference pass over the data)
+    and the schema is declared by name."""
+    if header_names is None:
+        try:
+            header_names = spark.read.option("header", True).csv(path).columns
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+                raise FileNotFoundError(
+                    f"event log not found at {path}; run the discovery step first") from e
+            raise
+    names = header_names
     fields = {f.name: f.dataType for f in EVENT_LOG.fields}
     canon = {"case:concept:name": "case_id", "concept:name": "activity",
              "time:timestamp": "ts", "org:resource": "resource",

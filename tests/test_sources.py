@@ -89,3 +89,20 @@ def test_sanitize(spark):
     rows = sinks.sanitize_for_export(df).collect()
     assert rows[0]["s"] == "a b" and rows[0]["t"] is None
     assert rows[1]["s"] == "x y  z"   # only CR/LF/TAB runs collapse
+
+
+def test_reference_style_csv(spark, tmp_dir):
+    """XES-style header names in another order, pandas-style timestamps."""
+    path = os.path.join(tmp_dir, "ref.csv")
+    with open(path, "w") as f:
+        f.write("org:resource,concept:name,time:timestamp,case:concept:name,case:RequestedAmount\n")
+        f.write("User_1,A_Create Application,2016-01-01 09:51:15.304000,Application_1,20000.0\n")
+        f.write("User_2,A_Submitted,2016-01-01 09:51:15,Application_1,20000.0\n")
+        f.write(",W_Call,not a date,Application_2,\n")
+    log = csv_src.read_event_csv(spark, path)
+    got = sorted((r["case_id"], r["activity"], str(r["ts"]), r["resource"],
+                  r["requested_amount"]) for r in log.collect())
+    assert got[0] == ("Application_1", "A_Create Application", "2016-01-01 09:51:15.304000",
+                      "User_1", 20000.0)
+    assert got[1][2] == "2016-01-01 09:51:15"
+    assert cl.clean(log).count() == 2      # the unparsable time drops
