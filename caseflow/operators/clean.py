@@ -84,7 +84,7 @@ def squeeze_loan_goal(df: DataFrame, col: str = LOAN_GOAL) -> DataFrame:
 
 
 def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24,
-          layout: bool = True) -> DataFrame:
+          layout: bool = False) -> DataFrame:
     """CLN-1..4 on a canonical or XES-named log.
 
     ``keep`` names the attribute columns to carry besides case, activity, ts
@@ -92,12 +92,16 @@ def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24
     chosen over every kept column, so Catalyst cannot prune what is kept:
     pass only what the analysis needs and the scan/shuffle shrink with it.
 
-    With ``layout`` (default) the deduplicated log is hash-partitioned on
-    ``(case_id, ts_slice)`` (the slice is a function of ts, so adding it to
-    the dedup key changes nothing).  Every sequence window, slice summary and
-    variant piece downstream reuses this one exchange, and a case that holds
-    a large share of the log is still spread over as many tasks as it has
-    time slices.
+    The log always carries ``ts_slice`` (the slice is a function of ts, so
+    adding it to the dedup key changes nothing).  With ``layout`` the
+    deduplicated log is also hash-partitioned on ``(case_id, ts_slice)``:
+    worth it when the log is materialised once and feeds many sequence
+    operators (the end-to-end jobs), because the checkpoint keeps that
+    partitioning and every window, slice summary and variant piece reads it
+    without a shuffle.  Aggregation-only analyses skip it (it would be one
+    more full shuffle of the log); a standalone sequence operator gets the
+    same exchange from its own window.  Either way a case holding a large
+    share of the log is spread over as many tasks as it has time slices.
     """
     df = rename_to_canonical(standardise_case_column(df))
     if keep is not None:
@@ -105,13 +109,12 @@ def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24
         df = df.select(*core, *[c for c in keep if c in df.columns and c not in core])
     df = drop_incomplete(df)
     df = coerce_timestamp(df)
-    if not layout:
-        return dedup_events(df)
     df = df.withColumn(SLICE, ts_slice(TS, slice_hours))
-    # dedup first: Spark plans it with a partial (map-side) aggregation, so a
-    # group of copies holding a large share of the rows is collapsed before
-    # any shuffle; then the deduplicated log gets its (case, slice) layout
-    return dedup_events(df, key=(CASE, SLICE, ACTIVITY, TS)).repartition(CASE, SLICE)
+    # Spark plans the dedup with a partial (map-side) aggregation, so a group
+    # of copies holding a large share of the rows is collapsed before any
+    # shuffle; only then is the deduplicated log laid out, if asked
+    out = dedup_events(df, key=(CASE, SLICE, ACTIVITY, TS))
+    return out.repartition(CASE, SLICE) if layout else out
 
 
 def clean_profile(raw: DataFrame, cleaned: DataFrame) -> DataFrame:

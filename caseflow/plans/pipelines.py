@@ -32,7 +32,8 @@ def run_discovery(raw_log: DataFrame, model: ProcessModel = REFERENCE_MODEL,
                   keep: list | tuple | None = None) -> dict:
     """Everything the discovery step produces, as lazy DataFrames (the
     clean log, case table and variant counts are already materialised)."""
-    log = checkpointed(cl.clean(raw_log, keep, model.slice_hours))
+    # laid out on (case_id, ts_slice) once; the checkpoint keeps the layout
+    log = checkpointed(cl.clean(raw_log, keep, model.slice_hours, layout=True))
     aggs = cs.case_aggregates(log, model)
     cases = cs.case_table(aggs, model)
     variants = vr.case_variants(log, model.slice_hours)
@@ -71,7 +72,7 @@ def run_bottleneck(log: DataFrame, cases: DataFrame, model: ProcessModel = REFER
     (``event_log_cleaned``), ``cases`` the case table."""
     if SLICE not in log.columns:
         # a log read back from files: restore the layout once
-        log = checkpointed(cl.clean(log, None, model.slice_hours))
+        log = checkpointed(cl.clean(log, None, model.slice_hours, layout=True))
     valid = checkpointed(waits.valid_transitions(waits.transitions(log, model), model)
                          .select(CASE, ACTIVITY, "prev_activity", "waiting_hours"))
     stats = checkpointed(waits.bottleneck_stats(valid, model))   # feeds four outputs
