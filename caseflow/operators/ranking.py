@@ -108,13 +108,15 @@ def quantiles(df: DataFrame, value: str, probs: dict, group: list | tuple = (),
     if ranked is not None:
         return _from_ranked(ranked, probs, group, extra)
 
-    vals = _values(df, value, group)
+    # the narrow (group, value) input is read by the size check and again by
+    # the answer: materialise it once instead of recomputing what feeds it
+    vals = checkpointed(_values(df, value, group))
     sizes = vals.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     big = sizes.filter(F.col("_n") > small_group_rows).select(*group)
     if big.limit(1).count() == 0:
         return _from_percentile(vals, probs, group, extra)
     if not group:
-        return _from_ranked(ranked_values(df, value, group), probs, group, extra)
+        return _from_ranked(ranked_values(vals, "_v", group), probs, group, extra)
     big = broadcast_if_small(big)   # at most total / small_group_rows groups
     small_part = _from_percentile(vals.join(big, group, "left_anti"), probs, group, extra)
     big_part = _from_ranked(ranked_values(vals.join(big, group, "left_semi"), "_v", group),

@@ -387,7 +387,7 @@ def q_orders_bottleneck(spark, sf_dir):
     """Orders + line items as a log: waits are days to years, so the 60-day
     cut of the reference model decides what counts."""
     log = cl.clean(adapters.orders_lineitems(adapters.table(spark, sf_dir, "orders"),
-                                             adapters.table(spark, sf_dir, "lineitem")))
+                                             adapters.table(spark, sf_dir, "lineitem")), ())
     valid = waits.valid_transitions(waits.transitions(log, REFERENCE_MODEL), REFERENCE_MODEL)
     return rounded(waits.bottleneck_stats(valid, REFERENCE_MODEL),
                    sums=("total_wait_hours", "total_wait_days", "bottleneck_score"))
@@ -396,14 +396,14 @@ def q_orders_bottleneck(spark, sf_dir):
 @register("adp_conversation_variants")
 def q_conversation_variants(spark, sf_dir):
     """Conversations as a log (role per turn): variant counts and ranks."""
-    log = cl.clean(adapters.conversations_log(adapters.table(spark, sf_dir, "conversations")))
+    log = cl.clean(adapters.conversations_log(adapters.table(spark, sf_dir, "conversations")), ())
     return vr.variant_ranks(vr.variant_counts(vr.case_variants(log)))
 
 
 @register("adp_user_case_table")
 def q_user_cases(spark, sf_dir):
     """Events with one case per user (long cases): durations and outcome."""
-    log = cl.clean(adapters.events_user(adapters.table(spark, sf_dir, "events")))
+    log = cl.clean(adapters.events_user(adapters.table(spark, sf_dir, "events")), ())
     ct = cs.case_table(cs.case_aggregates(log, MODEL), MODEL)
     return rounded(ct.select("case_id", "duration_days", "n_events", "n_unique_activities",
                              "last_activity", "outcome", "sla_breach"))
