@@ -36,7 +36,7 @@ def run_discovery(raw_log: DataFrame, model: ProcessModel = REFERENCE_MODEL,
     log = checkpointed(cl.clean(raw_log, keep, model.slice_hours, layout=True))
     aggs = cs.case_aggregates(log, model)
     cases = cs.case_table(aggs, model)
-    variants = vr.case_variants(log, model.slice_hours)
+    variants = checkpointed(vr.case_variants(log, model.slice_hours))   # read twice
     counts = checkpointed(vr.variant_counts(variants))
     ranks = vr.variant_ranks(counts)
     cases_v = checkpointed(vr.attach_variants(cases, variants, ranks))

@@ -15,6 +15,7 @@ from caseflow.functions.time import format_ts
 from caseflow.model import EVENTS_MODEL
 from caseflow.operators import clean as cl
 from caseflow.operators import waits
+from caseflow.operators.util import checkpointed
 from caseflow.sources import adapters
 
 MODEL = EVENTS_MODEL
@@ -137,8 +138,10 @@ def q_completed(spark, sf_dir):
 
 # --- 2.6 variants ----------------------------------------------------------------
 
-def _variants(spark, sf_dir):
-    return vr.case_variants(clean_log(spark, sf_dir, NO_ATTRS), MODEL.slice_hours)
+def _variants(spark, sf_dir, materialise: bool = False):
+    v = vr.case_variants(clean_log(spark, sf_dir, NO_ATTRS), MODEL.slice_hours)
+    # read twice (counts/ranks and the per-case attach): build it once
+    return checkpointed(v) if materialise else v
 
 
 def _ranks(spark, sf_dir):
@@ -147,8 +150,9 @@ def _ranks(spark, sf_dir):
 
 @register("var_case_variants")
 def q_case_variants(spark, sf_dir):
-    variants = _variants(spark, sf_dir)
-    out = vr.attach_variants(variants.select("case_id"), variants, _ranks(spark, sf_dir))
+    variants = _variants(spark, sf_dir, materialise=True)
+    ranks = vr.variant_ranks(vr.variant_counts(variants))
+    out = vr.attach_variants(variants.select("case_id"), variants, ranks)
     return out.select("case_id", "variant", "variant_rank", "is_top3_variant", "is_top10_variant")
 
 
@@ -180,7 +184,8 @@ def q_pareto(spark, sf_dir):
 @register("var_breach_by_rank_bucket")
 def q_breach_by_bucket(spark, sf_dir):
     cases = _cases(spark, sf_dir).select("case_id", "sla_breach")
-    cv = vr.attach_variants(cases, _variants(spark, sf_dir), _ranks(spark, sf_dir))
+    variants = _variants(spark, sf_dir, materialise=True)
+    cv = vr.attach_variants(cases, variants, vr.variant_ranks(vr.variant_counts(variants)))
     return rounded(vr.breach_by_rank_bucket(cv))
 
 
