@@ -90,3 +90,10 @@ def test_variants_rank_ties_by_text(spark):
     assert [t for _, t in got] == texts          # every count is 1 -> text order
     assert [k for k, _ in got] == [1, 2, 3, 4]
     assert "A_Create Application → O_Create Offer → A_Complete" in texts
+
+
+def test_completed_only_drops_still_processing(spark):
+    m = M.with_(completed_only=True)
+    ct = cs.build_case_table(golden_log(spark), m)
+    assert sorted(r["case_id"] for r in ct.collect()) == ["A", "C", "D"]
+    assert cs.completed_cases(cs.build_case_table(golden_log(spark), M), M).count() == 3
