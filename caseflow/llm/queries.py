@@ -23,6 +23,26 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer(), SEQUENCE, end_id=0)
 
 
+def op2_re_pair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.repair import read_documents, write_shards
+    from caseflow.session import scratch_path
+
+    path = scratch_path(spark, "token-shards")
+    write_shards(table(spark, sf_dir, "documents"), word_tokenizer(), path, end_id=2)
+    return read_documents(spark, path)
+
+
+def op8_byte_convolution_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.langid import held_out, identify, label_rows, learn
+
+    docs = table(spark, sf_dir, "documents")
+    langs, net = learn(docs, label_rows())
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), langs, net).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
+    "op2_re_pair_shards": op2_re_pair_shards,
+    "op8_byte_convolution_language": op8_byte_convolution_language,
 }
