@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Chunks kept per worker; the table is emptied beyond that (it is only a cache).
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 1_200_000
 _LETTER_SIGN = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseflow.llm.common import table
 
@@ -41,8 +42,39 @@ def op8_byte_convolution_language(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_checksum_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.secret_scan import BASE_KINDS, scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    shown = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return scan(docs).select(
+        "doc_id",
+        *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(F.array_join(F.transform(base, shown), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", shown), ",").alias("spans"))
+
+
+# The rules of the URL query (action, host, path)
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op9_digest_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_re_pair_shards": op2_re_pair_shards,
+    "op6_checksum_secret_scan": op6_checksum_secret_scan,
     "op8_byte_convolution_language": op8_byte_convolution_language,
+    "op9_digest_url_filter": op9_digest_url_filter,
 }
