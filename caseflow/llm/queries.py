@@ -42,6 +42,12 @@ def op8_byte_convolution_language(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 def op6_checksum_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseflow.llm.secret_scan import BASE_KINDS, scan
 
@@ -74,6 +80,7 @@ def op9_digest_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_re_pair_shards": op2_re_pair_shards,
+    "op3_norm_bucketed_top_k": op3_norm_bucketed_top_k,
     "op6_checksum_secret_scan": op6_checksum_secret_scan,
     "op8_byte_convolution_language": op8_byte_convolution_language,
     "op9_digest_url_filter": op9_digest_url_filter,
