@@ -77,6 +77,12 @@ def op9_digest_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_re_pair_shards": op2_re_pair_shards,
@@ -84,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_checksum_secret_scan": op6_checksum_secret_scan,
     "op8_byte_convolution_language": op8_byte_convolution_language,
     "op9_digest_url_filter": op9_digest_url_filter,
+    "op10_learned_partitions": op10_learned_partitions,
 }
