@@ -45,8 +45,8 @@ class WordEncoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, chunks: list[str]) -> np.ndarray:
-        """Rows of new chunks in the table."""
+    def _ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and sizes of chunks by the library, and the order they come in."""
         plain = pc.match_substring_regex(pa.array(chunks, pa.string()),
                                          "^[a-zà-öø-ÿ]+$").to_numpy(zero_copy_only=False)
         words, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
@@ -59,6 +59,11 @@ class WordEncoder:
             [chunks[i] for i in rest], add_special_tokens=False)]
         sizes = np.r_[sizes, [len(x) for x in others]].astype(np.int64)
         ids = np.r_[ids, np.array([i for x in others for i in x], np.uint32)].astype(np.uint32)
+        return ids, sizes, np.r_[words, rest]
+
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        """Rows of new chunks in the table."""
+        ids, sizes, order = self._ids_of(chunks)
         base, n = len(self.index), len(chunks)
         while base + n > len(self.start):
             self.start, self.length = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.length))
@@ -68,15 +73,22 @@ class WordEncoder:
         self.start[base:base + n] = self.used + np.cumsum(sizes) - sizes
         self.length[base:base + n] = sizes
         self.used += len(ids)
-        order = np.r_[words, rest]
         self.index.update(zip([chunks[i] for i in order], range(base, base + n)))
         rows = np.empty(n, np.int64)
         rows[order] = np.arange(base, base + n)
         return rows
 
-    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.ascii_split_whitespace(
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """The chunks of each text."""
+        return pc.ascii_split_whitespace(
             pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_SIGN, r"\1 \2"))
+
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Texts that cannot be cut into chunks."""
+        return pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+
+    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = self._split(texts)
         words = lists.flatten()
         coded = words.dictionary_encode()
         chunks = coded.dictionary.to_pylist()
@@ -98,7 +110,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the texts one after the other, and the number of
         ids of each text.  ``texts`` holds no nulls."""
-        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        special = self._whole(texts)
         if not special.any():
             return self._chunked(texts)
         whole = [self._encode(texts[int(i)].as_py()) for i in np.flatnonzero(special)]

@@ -48,6 +48,19 @@ def op3_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
+def op4_patience_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.licenses import scan
+
+    shown = lambda h: F.concat_ws(
+        ":", h["license"], h["start"].cast("string"), h["end"].cast("string"),
+        F.concat_ws("/", h["matched"].cast("string"), h["words"].cast("string")))
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.size("licenses").cast("long").alias("n_hits"),
+        F.array_max(F.transform("licenses", lambda h: h["matched"] / h["words"])).alias("coverage"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("licenses.license"))), ",").alias("found"),
+        F.array_join(F.transform("licenses", shown), ",").alias("hits"))
+
+
 def op6_checksum_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseflow.llm.secret_scan import BASE_KINDS, scan
 
@@ -62,6 +75,18 @@ def op6_checksum_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("spans", shown), ",").alias("spans"))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_tokenizers_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), piece_model(), threads=2)
+
+
 # The rules of the URL query (action, host, path)
 URL_RULES = [
     ("block", "net", "/"),
@@ -87,7 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_re_pair_shards": op2_re_pair_shards,
     "op3_norm_bucketed_top_k": op3_norm_bucketed_top_k,
+    "op4_patience_license_scan": op4_patience_license_scan,
     "op6_checksum_secret_scan": op6_checksum_secret_scan,
+    "op7_tokenizers_sentencepiece": op7_tokenizers_sentencepiece,
     "op8_byte_convolution_language": op8_byte_convolution_language,
     "op9_digest_url_filter": op9_digest_url_filter,
     "op10_learned_partitions": op10_learned_partitions,
