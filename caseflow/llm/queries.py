@@ -61,6 +61,12 @@ def op4_patience_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("licenses", shown), ",").alias("hits"))
 
 
+def op5_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_checksum_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseflow.llm.secret_scan import BASE_KINDS, scan
 
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_re_pair_shards": op2_re_pair_shards,
     "op3_norm_bucketed_top_k": op3_norm_bucketed_top_k,
     "op4_patience_license_scan": op4_patience_license_scan,
+    "op5_jaccard_metric_join": op5_jaccard_metric_join,
     "op6_checksum_secret_scan": op6_checksum_secret_scan,
     "op7_tokenizers_sentencepiece": op7_tokenizers_sentencepiece,
     "op8_byte_convolution_language": op8_byte_convolution_language,

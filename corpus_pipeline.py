@@ -1,17 +1,73 @@
-"""Document pipeline built from the operators of ``caseflow.llm``."""
+"""Document pipeline: language, near duplicates, secrets, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
+as Parquet and read again as the next stage's ``docs``.  All stages but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caseflow.llm.common import table, written
+from caseflow.llm.jaccard import jaccard_join
+from caseflow.llm.langid import UNKNOWN, identify, label_rows, learn
+from caseflow.llm.packing import pack
+from caseflow.llm.queries import SEQUENCE, word_tokenizer
+from caseflow.llm.secret_scan import redact
+
+# A language answer below this probability counts as no answer.
+LEAST_SCORE = 0.4
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is told: a text with letters and a clear answer.
+    Null and empty texts go; without any labelled row no language is known and
+    nothing is rejected but texts without a letter."""
+    langs, net = learn(docs, label_rows())
+    told = identify(docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))), langs, net, text_col="_text")
+    if net is None:
+        return told.where(F.col("_text").rlike(r"\p{L}")).select(*docs.columns)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates (also of repeated rows); rows
+    without words stay.  Rows are told apart by their place in the input."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    told = jaccard_join(rows, id_col="_row")
+    gone = written(told.where("component_id <> doc_id").select(F.col("doc_id").alias("_row")), "near-copies")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
-STAGES: list = []
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the text are replaced; ``n_chars`` counts the new text."""
+    clean = redact(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
+                                 .otherwise(F.length("text").cast("long")))
+    return clean.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents and their places in sequences."""
+    return pack(docs, word_tokenizer(), SEQUENCE, end_id=0)
+
+
+STAGES = [
+    ("language id", known_language),
+    ("n-gram jaccard join", one_of_each_group),
+    ("secret scan", without_secrets),
+    ("best-fit packing", packed),
+]
+
+#: The network and the tokenizer cannot be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
-    from caseflow.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
