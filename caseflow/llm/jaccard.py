@@ -109,11 +109,11 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, set long, n long, shingle long, seen long")
 
 
-def frequent(rows: DataFrame) -> np.ndarray:
+def frequent(rows: DataFrame, least_count: int = HOT_COUNT) -> np.ndarray:
     """The most frequent shingles, at most ``HOT_BYTES``, the bound found from
     a histogram of the counts; ascending."""
     counts = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(
-        F.col("seen") >= HOT_COUNT)
+        F.col("seen") >= least_count)
     counts = written(counts, "frequent")
     level = F.floor(F.log2("seen") * 8).cast("int")  # a few hundred classes
     room, least = HOT_BYTES // 8, None
@@ -210,14 +210,14 @@ def least_overlap(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def region_pairs(e: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def region_pairs(e: list[np.ndarray], percent: int, small: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets in small regions (entries sorted by shingle and set) that
     sizes and places allow."""
     shingle, name, place, size = e
     at = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
     group = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(shingle)]))
     left, right = [], []
-    for step in range(1, SMALL):
+    for step in range(1, small):
         a = np.flatnonzero(group[step:] == group[:-step])
         if not len(a):
             break
@@ -232,9 +232,9 @@ def region_pairs(e: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
     return pairs[:, 0], pairs[:, 1]
 
 
-def first_regions(blocks_: DataFrame, percent: int, parts: int) -> DataFrame:
+def first_regions(blocks_: DataFrame, percent: int, parts: int, small: int) -> DataFrame:
     """(region, a, b): a pair of sets (region null), or a member ``a`` of a
-    region of more than ``SMALL`` sets or of a frequent shingle (b null)."""
+    region of more than ``small`` sets or of a frequent shingle (b null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (np.uint64, np.int64, np.int32, np.int32)
@@ -264,10 +264,10 @@ def first_regions(blocks_: DataFrame, percent: int, parts: int) -> DataFrame:
             at = np.flatnonzero(np.r_[True, e[0][1:] != e[0][:-1]])
             n = np.diff(np.r_[at, len(e[0])])
             n = np.repeat(n, n)
-            large = n > SMALL
+            large = n > small
             yield rows(e[0][large], e[1][large], None)
-            small = (n > 1) & ~large
-            a, b = region_pairs([x[small] for x in e], percent)
+            few = (n > 1) & ~large
+            a, b = region_pairs([x[few] for x in e], percent, small)
             yield rows(None, a, b)
 
     dealt = blocks_.repartitionById(parts, F.col("part"))
@@ -336,7 +336,8 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d double, linked boolean"))
 
 
-def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int,
+                  size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the regions (region, a) that are not yet connected: the pairs of the
     small ones, the members of the large ones, and these regions' pivots
     (region, b)."""
@@ -347,10 +348,10 @@ def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int) -> tu
     state = known.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"),
                                         F.max("comp").alias("y")).where("x <> y").select("region", "n")
     known = written(known.join(state, "region"), "regions")
-    small = known.where(F.col("n") <= SMALL)
+    small = known.where(F.col("n") <= size)
     pairs = small.alias("l").join(small.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").select(
         F.col("l.a").alias("a"), F.col("r.a").alias("b"))
-    large = known.where(F.col("n") > SMALL).drop("n")
+    large = known.where(F.col("n") > size).drop("n")
     salt = F.pmod(F.xxhash64("a", F.lit(round_)), F.lit(PIVOTS if round_ else 1))
     pivots = large.groupBy("region", salt.alias("salt")).agg(F.min("a").alias("b")).drop("salt")
     return pairs, large.drop("comp"), pivots
@@ -376,13 +377,13 @@ def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, r: flo
 
 # ---- 4. the join --------------------------------------------------------------------
 
-def similar_links(docs: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
+def similar_links(docs: DataFrame, hot: np.ndarray, words: int, percent: int, small: int = SMALL) -> DataFrame:
     """Links (a, b) between sets that connect exactly the sets which chains of
     similar pairs connect."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     found = written(first_regions(entries(docs, spark.sparkContext.broadcast(hot), words, percent, parts),
-                                  percent, parts), "regions")
+                                  percent, parts, small), "regions")
     pairs = found.where("region is null").select("a", "b").distinct()
     regions = found.where("region is not null").select("region", "a").distinct()
     alone = regions.groupBy("region").count().where("count = 1").select("region")
@@ -391,7 +392,7 @@ def similar_links(docs: DataFrame, hot: np.ndarray, words: int, percent: int) ->
     sets = written(sets_of(docs, written(needed, "needed"), words), "sets")
     r, comp, links, round_ = 1 - percent / 100, None, None, 0
     while True:
-        more, members, pivots = split_regions(regions, comp, round_)
+        more, members, pivots = split_regions(regions, comp, round_, small)
         members, pivots = written(members, "members"), written(pivots, "pivots")
         left = not members.isEmpty()
         if left and round_ >= ROUNDS:  # an exact way for what is left
@@ -412,11 +413,11 @@ def similar_links(docs: DataFrame, hot: np.ndarray, words: int, percent: int) ->
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", small: int = SMALL, hot_count: int = HOT_COUNT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = id_text(docs, id_col, text_col)
     rows = written(sets_and_counts(docs, words), "sets-and-counts")
-    links = similar_links(docs, frequent(rows), words, percent)
+    links = similar_links(docs, frequent(rows, hot_count), words, percent, small)
     comp = components(links).select(F.col("node").alias("set"), "comp")
     own = rows.where("n is not null").select("doc_id", "set", "n").join(comp, "set", "left").withColumn(
         "comp", F.coalesce("comp", "set"))

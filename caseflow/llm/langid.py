@@ -196,10 +196,11 @@ def learn(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col:
     return langs, ByteNet(len(langs)).fit(x, y)
 
 
-def identify(docs: DataFrame, langs: list[str], net: ByteNet | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``score`` (which replace
-    columns of these names)."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, langs: list[str], net: ByteNet | None, text_col: str = "text",
+             pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the answer with its probability, which
+    replace columns of these names."""
+    docs = docs.drop(pred_col, score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,10 +216,10 @@ def identify(docs: DataFrame, langs: list[str], net: ByteNet | None, text_col: s
                     score[known] = p[np.arange(len(known)), best]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(pred, pa.string()), pa.array(score)],
-                    names=[*part.schema.names, "lang_pred", "score"])
+                    names=[*part.schema.names, pred_col, score_col])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()),
+                           T.StructField(score_col, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import table, written
+from caseflow.llm.common import columns_of, free_name, table, written
 from caseflow.llm.jaccard import jaccard_join
 from caseflow.llm.langid import UNKNOWN, identify, label_rows, learn
 from caseflow.llm.packing import pack
@@ -26,19 +26,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts go; without any labelled row no language is known and
     nothing is rejected but texts without a letter."""
     langs, net = learn(docs, label_rows())
-    told = identify(docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))), langs, net, text_col="_text")
+    pred, score = free_name(docs, "_pred"), free_name(docs, "_score")
+    told = identify(docs, langs, net, pred_col=pred, score_col=score)
     if net is None:
-        return told.where(F.col("_text").rlike(r"\p{L}")).select(*docs.columns)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return told.where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*columns_of(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (also of repeated rows); rows
     without words stay.  Rows are told apart by their place in the input."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    told = jaccard_join(rows, id_col="_row")
-    gone = written(told.where("component_id <> doc_id").select(F.col("doc_id").alias("_row")), "near-copies")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    told = jaccard_join(rows, id_col=row)
+    gone = written(told.where("component_id <> doc_id").select(F.col("doc_id").alias(row)), "near-copies")
+    return rows.join(gone, row, "left_anti").select(*columns_of(docs))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
                                  .otherwise(F.length("text").cast("long")))
-    return clean.select(*docs.columns)
+    return clean.select(*columns_of(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
