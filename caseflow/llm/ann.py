@@ -218,8 +218,8 @@ def search(df: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id",
     def work(left: dict | None, right: dict | None) -> pa.Table:
         found: list[tuple] = []
         if left is not None:
-            (q_ids, q), (c_ids, c) = ((np.frombuffer(r["ids"], "<i8"),
-                                       np.frombuffer(r["vecs"], "<f8").reshape(-1, r["dim"]))
+            (q_ids, q), (c_ids, c) = ((ids := np.frombuffer(r["ids"], "<i8"),
+                                       np.frombuffer(r["vecs"], "<f8").reshape(len(ids), r["dim"]))
                                       for r in (left, right))
             found = rerank(q_ids, q, c_ids, c, k)
         q_, c_, d_ = zip(*found) if found else ((), (), ())

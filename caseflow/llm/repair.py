@@ -41,6 +41,7 @@ SHARD_TOKENS = 1 << 20
 STEP = 256
 MIN_COUNT = 16  # a pair that occurs less often gets no rule
 FALL = 16       # pairs within this factor of the most frequent one share a pass
+LEAST_GAIN = 0.01  # the last pass saves less than this share of the symbols
 SLOTS = 1 << 20  # hash slots for counting pairs
 SPREAD, SPREAD_SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 NO_PAIR = np.uint64(2**64 - 1)
@@ -68,29 +69,31 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     room = max(0, (1 << 16) - first) or (1 << 16)
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
     slot_key, slot_rank = np.full(SLOTS, NO_PAIR), np.zeros(SLOTS, np.int32)
+    limit = len(seq)
     while len(seq) > 1 and len(rules) < room:
         pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         slot = (pair * SPREAD >> SPREAD_SHIFT).view(np.int64)
         # a slot's count bounds the count of each of its pairs from above
-        often = np.bincount(slot, minlength=SLOTS) >= MIN_COUNT
-        ordered = np.sort(pair[often[slot]])
-        at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        count = np.diff(np.r_[at, len(ordered)])
-        top = int(count.max(initial=0))
-        if top < MIN_COUNT:
-            break
-        frequent = np.flatnonzero(count >= max(MIN_COUNT, top // FALL))
+        in_slot = np.bincount(slot, minlength=SLOTS)
+        limit = max(MIN_COUNT, min(limit, int(in_slot.max())) // FALL)
+        at = np.flatnonzero((in_slot >= limit)[slot])
+        pair, slot = pair[at], slot[at]
+        ordered = np.sort(pair)
+        run = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][:len(ordered)])
+        count = np.diff(np.r_[run, len(ordered)])
+        frequent = np.flatnonzero(count >= limit)
         frequent = frequent[np.argsort(-count[frequent], kind="stable")][:room - len(rules)]
-        keys = ordered[at[frequent]]
+        keys = ordered[run[frequent]]
         own = (keys * SPREAD >> SPREAD_SHIFT).view(np.int64)[::-1]
         slot_key[own] = keys[::-1]  # of pairs in one slot the most frequent; others wait a pass
         slot_rank[own] = np.arange(len(keys))[::-1]
-        rank = np.where(slot_key[slot] == pair, slot_rank[slot], len(keys))
+        rank = np.full(len(seq) - 1, len(keys), np.int32)
+        rank[at] = np.where(slot_key[slot] == pair, slot_rank[slot], len(keys))
         slot_key[own] = NO_PAIR
         where = _disjoint(rank, len(keys))
         used = np.bincount(rank[where], minlength=len(keys)) > 2
-        where = where[used[rank[where]]]
-        if not len(where):
+        where = where[used[rank[where]]] if len(keys) else where
+        if len(where) < LEAST_GAIN * len(seq) and limit == MIN_COUNT:
             break
         name = np.cumsum(used) - 1 + first + len(rules)
         seq[where] = name[rank[where]]

@@ -124,8 +124,8 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, scale: float = 256.0,
     def work(left: dict | None, right: dict | None) -> pa.Table:
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
         if left is not None:
-            (q_ids, q), (c_ids, c) = ((np.frombuffer(x["ids"], "<i8"),
-                                       np.frombuffer(x["vecs"], "<i8").reshape(-1, x["dim"]))
+            (q_ids, q), (c_ids, c) = ((ids := np.frombuffer(x["ids"], "<i8"),
+                                       np.frombuffer(x["vecs"], "<i8").reshape(len(ids), x["dim"]))
                                       for x in (left, right))
             best = search(q_ids, q, c_ids, c, k)
             n = [len(s) for s in best.ids]
