@@ -59,9 +59,13 @@ def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
          else columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns, whatever their names."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 def free_name(df: DataFrame, name: str) -> str:

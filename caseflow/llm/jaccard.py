@@ -27,7 +27,7 @@ the join runs in these steps.
 4. Links make components; every row gets the smallest id that it reaches.
 
 Regions are rows, not groups in one task: pivots are found by partial
-aggregates, distances by joins whose hot pivots are dealt in chunks.  After
+aggregates, distances by equality joins that adaptive execution splits.  After
 ``ROUNDS`` rounds what is left is joined pair by pair, so the result is whole.
 
 Defined results: null, empty and blank texts have no shingles, are linked with
@@ -62,7 +62,6 @@ HOT_COUNT = 16        # and in all from so many documents on;
 HOT_BYTES = 1 << 20   # the most frequent ones that fit in so many bytes come last
 ENTRIES_AT = 2 << 20  # entries that a task holds before it passes them on
 FILTER_BITS = 1 << 24
-CHUNK = 128           # pairs of one pivot that share a copy of its set
 
 
 # ---- 1. sets and frequent shingles -------------------------------------------------
@@ -276,11 +275,15 @@ def first_regions(blocks_: DataFrame, percent: int, parts: int, small: int) -> D
 
 # ---- 3. distances and regions with pivots ------------------------------------------
 
-def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(set, shingles) of the sets named in ``needed`` (column ``set``).  A bit
-    map of bounded size drops most other rows before they are shuffled."""
-    slot = F.pmod("set", F.lit(FILTER_BITS)) + 1  # the bit maps number from 1
-    maps = needed.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(
+def sets_of(docs: DataFrame, rows: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(set, shingles) of at least the sets named in ``needed`` (column
+    ``set``), each from its document with the smallest id.  A bit map of
+    bounded size drops most other rows before they are shuffled; what it lets
+    pass by chance drops out in the joins."""
+    pick = (rows.where("set is not null").join(needed, "set", "left_semi").groupBy("set")
+            .agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")))
+    slot = F.pmod(F.col("set").bitwiseXOR(F.col("doc_id")), F.lit(FILTER_BITS)) + 1  # the maps number from 1
+    maps = pick.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for k, m in maps:
@@ -293,28 +296,28 @@ def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 out = {}
-                for s in shingle_sets(texts(part), words):
+                for s, doc in zip(shingle_sets(texts(part), words), part.column("doc_id").to_pylist()):
                     if len(s):
                         name = set_id(s)
-                        k = name % FILTER_BITS
+                        k = (name ^ (doc or 0)) % FILTER_BITS
                         if have[k >> 3] >> (k & 7) & 1:
                             out[name] = s.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())],
                     names=["set", "shingles"])
 
-    found = docs.mapInArrow(run, "set long, shingles binary").join(needed, "set", "left_semi")
+    found = docs.mapInArrow(run, "set long, shingles binary")
     return found.groupBy("set").agg(F.first("shingles").alias("shingles"))
 
 
 def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, d, linked) of distinct pairs: Jaccard distance, and whether the
-    pair is similar, in whole numbers.  The pairs of a hot ``b`` are dealt in
-    chunks, each with its own copy of the set."""
+    """(a, b, d, linked) of pairs: Jaccard distance, and whether the pair is
+    similar, in whole numbers.  Both joins are plain equality joins, so
+    adaptive execution splits the pairs of a hot pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, linked, last, own = [], [], None, None
+            d, linked = [], []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 x = np.frombuffer(x.as_buffer(), np.uint64)
                 y = np.frombuffer(y.as_buffer(), np.uint64)
@@ -327,15 +330,21 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 [batch.column("a"), batch.column("b"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
                 names=["a", "b", "d", "linked"])
 
-    chunks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    left = (pairs.join(chunks, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), "chunks"))
-            .join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a"))
-    right = (chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-             .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b"))
-    return (left.drop("chunks").join(right.drop("chunks"), ["b", "chunk"])
+    return (pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b")
             .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d double, linked boolean"))
 
 
+def different(regions: DataFrame) -> DataFrame:
+    """Regions (region, a) with the same members are one, and those with one
+    member are none.  Members are compared by their number and two 64-bit
+    digests."""
+    own = regions.groupBy("region").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a")).alias("x"),
+        F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y")).where("n > 1")
+    return regions.join(own.groupBy("n", "x", "y").agg(F.min("region").alias("region")), "region").select("region", "a")
+
+
 def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int,
                   size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the regions (region, a) that are not yet connected: the pairs of the
@@ -377,7 +386,8 @@ def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, r: flo
 
 # ---- 4. the join --------------------------------------------------------------------
 
-def similar_links(docs: DataFrame, hot: np.ndarray, words: int, percent: int, small: int = SMALL) -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, words: int, percent: int,
+                  small: int = SMALL) -> DataFrame:
     """Links (a, b) between sets that connect exactly the sets which chains of
     similar pairs connect."""
     spark = docs.sparkSession
@@ -385,12 +395,13 @@ def similar_links(docs: DataFrame, hot: np.ndarray, words: int, percent: int, sm
     found = written(first_regions(entries(docs, spark.sparkContext.broadcast(hot), words, percent, parts),
                                   percent, parts, small), "regions")
     pairs = found.where("region is null").select("a", "b").distinct()
-    regions = found.where("region is not null").select("region", "a").distinct()
-    alone = regions.groupBy("region").count().where("count = 1").select("region")
-    regions = written(regions.join(alone, "region", "left_anti"), "regions")
-    needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(regions.select("a")).distinct()
-    sets = written(sets_of(docs, written(needed, "needed"), words), "sets")
-    r, comp, links, round_ = 1 - percent / 100, None, None, 0
+    regions = written(different(found.where("region is not null").select("region", "a").distinct()), "regions")
+    r, comp, round_ = 1 - percent / 100, None, 0
+    ends = written(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "needed")
+    links = written(distances(pairs, sets_of(docs, rows, ends, words), percent).where("linked").select("a", "b"), "links")
+    if regions.isEmpty():
+        return links
+    sets = written(sets_of(docs, rows, regions.select(F.col("a").alias("set")).distinct(), words), "sets")
     while True:
         more, members, pivots = split_regions(regions, comp, round_, small)
         members, pivots = written(members, "members"), written(pivots, "pivots")
@@ -399,15 +410,15 @@ def similar_links(docs: DataFrame, hot: np.ndarray, words: int, percent: int, sm
             more = more.union(members.alias("l").join(members.alias("r"), "region").where("l.a < r.a").select(
                 F.col("l.a").alias("a"), F.col("r.a").alias("b")))
             left = False
-        todo = more if round_ else pairs.union(more)
+        todo = more
         if left:
             todo = todo.union(members.join(pivots, "region").where("a <> b").select("a", "b"))
         known = written(distances(todo.distinct(), sets, percent), "distances")
         new = known.where("linked").select("a", "b")
-        links = new if links is None else links.union(new)
+        links = links.union(new)
         if not left:
             return links
-        regions = next_regions(members, pivots, known, r)
+        regions = different(next_regions(members, pivots, known, r))
         comp = written(components(links), "components")
         round_ += 1
 
@@ -417,7 +428,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     """doc_id, n_shingles and component_id of every row."""
     docs = id_text(docs, id_col, text_col)
     rows = written(sets_and_counts(docs, words), "sets-and-counts")
-    links = similar_links(docs, frequent(rows, hot_count), words, percent, small)
+    links = similar_links(docs, rows, frequent(rows, hot_count), words, percent, small)
     comp = components(links).select(F.col("node").alias("set"), "comp")
     own = rows.where("n is not null").select("doc_id", "set", "n").join(comp, "set", "left").withColumn(
         "comp", F.coalesce("comp", "set"))

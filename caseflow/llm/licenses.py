@@ -5,7 +5,8 @@ at if it holds at least ``COVERAGE`` of a template's distinct words.  Its words
 that occur in the template form clusters (gaps of up to ``GAP`` other words);
 a cluster is aligned with the template: the words that occur once in both are
 anchors, the longest increasing subsequence of their places is kept, and the
-stretches between the anchors are aligned in the same way.  The share of the
+stretches between the anchors are aligned in the same way (equal words at
+their ends first).  The share of the
 template's words that are aligned is the coverage.  A cluster without an
 anchor (it holds a notice twice) is cut into windows first; what lies before
 and after a hit is looked at again, so a document has any number of hits.
@@ -97,6 +98,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     found, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:  # equal ends need no anchor
+            found.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            found.append((a1, b1))
         if a0 >= a1 or b0 >= b1:
             continue
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
@@ -136,7 +143,7 @@ def hits(words: list[str], template: list[str], need: float = COVERAGE) -> list[
             x, y = a + best[0][0], a + best[-1][0] + 1
             out.append((x, y, len(best)))
             clusters += [(a, x), (y, b)]
-        elif b - a > 2 * len(template):
+        elif b - a > len(template):
             # more than one notice, or other text around: overlapping windows,
             # the first that is a hit decides where to go on
             size = len(template) + len(template) // 4 + 1
