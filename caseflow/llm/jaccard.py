@@ -12,10 +12,11 @@ the join runs in these steps.
    replicated into these regions.  Shingles that many documents hold come last
    in the order (counted over all documents), so regions stay small.  In a
    region, sizes and places in the order bound the overlap of a pair.
-3. A region of at most ``SMALL`` documents is joined pair by pair.  A larger
-   one gets documents as pivots (in the first round the smallest, then the
-   smallest of each of ``PIVOTS`` hash classes), and the distance of every
-   member to them is computed.  Members within ``r`` of a pivot (its core) are
+3. A region of at most ``SMALL`` documents (in the first round: two) is joined
+   pair by pair.  A larger one gets documents as pivots (in the first round
+   the smallest, then the smallest of each of ``PIVOTS`` hash classes), and the
+   distance of every member to them is computed, unless the sizes alone put
+   it beyond ``2r``.  Members within ``r`` of a pivot (its core) are
    linked with it, so pairs inside a core need no more looking at.  By the
    triangle inequality a member of the core can only be linked to documents in
    the window ``r < d <= 2r`` around its pivot, and only members with
@@ -232,25 +233,28 @@ def region_pairs(e: list[np.ndarray], percent: int, small: int) -> tuple[np.ndar
 
 
 def first_regions(blocks_: DataFrame, percent: int, parts: int, small: int) -> DataFrame:
-    """(region, a, b): a pair of sets (region null), or a member ``a`` of a
-    region of more than ``small`` sets or of a frequent shingle (b null)."""
+    """(region, a, b, size): a pair of sets (region null), or a member ``a`` of
+    a region of more than ``small`` sets or of a frequent shingle (b null) and
+    its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (np.uint64, np.int64, np.int32, np.int32)
         held: list[list[np.ndarray]] = []
 
-        def rows(region, a, b):
+        def rows(region, a, b, size):
             n = len(a)
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(n, pa.int64()) if region is None else pa.array(region.view(np.int64)), pa.array(a),
-                 pa.nulls(n, pa.int64()) if b is None else pa.array(b)], names=["region", "a", "b"])
+                 pa.nulls(n, pa.int64()) if b is None else pa.array(b),
+                 pa.nulls(n, pa.int64()) if size is None else pa.array(size.astype(np.int64))],
+                names=["region", "a", "b", "size"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 e = [np.frombuffer(batch.column(c)[i].as_py(), k) for c, k in
                      zip(("shingle", "set", "place", "size"), kinds)]
                 if batch.column("hot")[i].as_py():
-                    yield rows(e[0], e[1], None)
+                    yield rows(e[0], e[1], None, e[3])
                 else:
                     held.append(e)
         if held:
@@ -264,13 +268,13 @@ def first_regions(blocks_: DataFrame, percent: int, parts: int, small: int) -> D
             n = np.diff(np.r_[at, len(e[0])])
             n = np.repeat(n, n)
             large = n > small
-            yield rows(e[0][large], e[1][large], None)
+            yield rows(e[0][large], e[1][large], None, e[3][large])
             few = (n > 1) & ~large
             a, b = region_pairs([x[few] for x in e], percent, small)
-            yield rows(None, a, b)
+            yield rows(None, a, b, None)
 
     dealt = blocks_.repartitionById(parts, F.col("part"))
-    return dealt.drop("part").mapInArrow(run, "region long, a long, b long")
+    return dealt.drop("part").mapInArrow(run, "region long, a long, b long, size long")
 
 
 # ---- 3. distances and regions with pivots ------------------------------------------
@@ -336,52 +340,57 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def different(regions: DataFrame) -> DataFrame:
-    """Regions (region, a) with the same members are one, and those with one
+    """Regions (region, a, size) with the same members are one, and those with one
     member are none.  Members are compared by their number and two 64-bit
     digests."""
     own = regions.groupBy("region").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a")).alias("x"),
         F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y")).where("n > 1")
-    return regions.join(own.groupBy("n", "x", "y").agg(F.min("region").alias("region")), "region").select("region", "a")
-
-
-def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int,
-                  size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the regions (region, a) that are not yet connected: the pairs of the
-    small ones, the members of the large ones, and these regions' pivots
-    (region, b)."""
-    known = regions.withColumn("comp", F.col("a"))
-    if comp is not None:
-        known = regions.join(comp.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn(
-            "comp", F.coalesce("comp", "a"))
+    return regions.join(own.groupBy("n", "x", "y").agg(F.min("region").alias("region")), "region").select("region", "a", "size")
+
+
+def split_regions(regions: DataFrame, comp: DataFrame, round_: int,
+                  size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the regions (region, a, size) that are not yet connected: the pairs
+    of the small ones that sizes allow, the members of the large ones, and
+    these regions' pivots (region, b, b_size)."""
+    known = regions.join(comp.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn(
+        "comp", F.coalesce("comp", "a"))
     state = known.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"),
                                         F.max("comp").alias("y")).where("x <> y").select("region", "n")
     known = written(known.join(state, "region"), "regions")
     small = known.where(F.col("n") <= size)
-    pairs = small.alias("l").join(small.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").select(
-        F.col("l.a").alias("a"), F.col("r.a").alias("b"))
+    pairs = small.alias("l").join(small.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").where(
+        close("l.size", "r.size", percent / 100)).select(F.col("l.a").alias("a"), F.col("r.a").alias("b"))
     large = known.where(F.col("n") > size).drop("n")
     salt = F.pmod(F.xxhash64("a", F.lit(round_)), F.lit(PIVOTS if round_ else 1))
-    pivots = large.groupBy("region", salt.alias("salt")).agg(F.min("a").alias("b")).drop("salt")
+    pivots = large.groupBy("region", salt.alias("salt")).agg(F.min(F.struct("a", "size")).alias("p")).select(
+        "region", F.col("p.a").alias("b"), F.col("p.size").alias("b_size"))
     return pairs, large.drop("comp"), pivots
 
 
+def close(n: str, m: str, least: float):
+    """Can sets of these sizes have a similarity of ``least``?"""
+    return F.least(n, m) >= F.greatest(n, m) * (least - 1e-9)
+
+
 def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, r: float) -> DataFrame:
     """Regions after the distances (``known``) to the pivots are there, see the
     module text.  ``slack`` keeps rounding from dropping a pair."""
     slack = 1e-9
-    to = (members.join(pivots, "region").where("a <> b").join(known, ["a", "b"])
+    to = (members.join(pivots, "region").where("a <> b").drop("b_size").join(known, ["a", "b"], "left")
+          .fillna(1.0, subset=["d"]).fillna(False, subset=["linked"])  # sizes too far apart
           .join(pivots.select("region", F.col("b").alias("a"), F.lit(True).alias("is_pivot")), ["region", "a"], "left")
           .where("is_pivot is null").drop("is_pivot"))
     to = written(to, "to-pivots")
-    home = to.groupBy("region", "a").agg(F.max("linked").alias("in_core"), F.min(F.struct("d", "b")).alias("h"))
-    outer = home.where("not in_core").select(F.xxhash64("region", F.lit(-1)).alias("region"), "a")
+    home = to.groupBy("region", "a", "size").agg(F.max("linked").alias("in_core"), F.min(F.struct("d", "b")).alias("h"))
+    outer = home.where("not in_core").select(F.xxhash64("region", F.lit(-1)).alias("region"), "a", "size")
     window = to.where(~F.col("linked") & (F.col("d") <= 2 * r + slack))
     inner = F.xxhash64("region", "b").alias("region")
     least = window.groupBy("region", "b").agg(F.min("d").alias("m"))
-    core = (home.where("in_core").select("region", "a", F.col("h.b").alias("b"), F.col("h.d").alias("d"))
+    core = (home.where("in_core").select("region", "a", "size", F.col("h.b").alias("b"), F.col("h.d").alias("d"))
             .join(least, ["region", "b"]).where(F.col("d") >= F.col("m") - r - slack))
-    return outer.union(core.select(inner, "a")).union(window.select(inner, "a")).distinct()
+    return outer.union(core.select(inner, "a", "size")).union(window.select(inner, "a", "size")).distinct()
 
 
 # ---- 4. the join --------------------------------------------------------------------
@@ -395,15 +404,16 @@ def similar_links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, words: int,
     found = written(first_regions(entries(docs, spark.sparkContext.broadcast(hot), words, percent, parts),
                                   percent, parts, small), "regions")
     pairs = found.where("region is null").select("a", "b").distinct()
-    regions = written(different(found.where("region is not null").select("region", "a").distinct()), "regions")
-    r, comp, round_ = 1 - percent / 100, None, 0
+    regions = written(different(found.where("region is not null").select("region", "a", "size").distinct()), "regions")
+    r, round_ = 1 - percent / 100, 0
     ends = written(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "needed")
     links = written(distances(pairs, sets_of(docs, rows, ends, words), percent).where("linked").select("a", "b"), "links")
     if regions.isEmpty():
         return links
+    comp = written(components(links), "components")
     sets = written(sets_of(docs, rows, regions.select(F.col("a").alias("set")).distinct(), words), "sets")
     while True:
-        more, members, pivots = split_regions(regions, comp, round_, small)
+        more, members, pivots = split_regions(regions, comp, round_, small if round_ else 2, percent)
         members, pivots = written(members, "members"), written(pivots, "pivots")
         left = not members.isEmpty()
         if left and round_ >= ROUNDS:  # an exact way for what is left
@@ -412,7 +422,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, words: int,
             left = False
         todo = more
         if left:
-            todo = todo.union(members.join(pivots, "region").where("a <> b").select("a", "b"))
+            todo = todo.union(members.join(pivots, "region").where("a <> b").where(
+                close("size", "b_size", 1 - 2 * r)).select("a", "b"))
         known = written(distances(todo.distinct(), sets, percent), "distances")
         new = known.where("linked").select("a", "b")
         links = links.union(new)
