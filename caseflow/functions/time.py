@@ -34,11 +34,6 @@ def ts_slice(ts=TS, hours: int = 24) -> Column:
     return F.coalesce(F.floor(h / F.lit(int(hours))).cast("long"), F.lit(0).cast("long"))
 
 
-def order_key(ts=TS, seq=SEQ) -> Column:
-    """Total order of events inside a case: timestamp, then position."""
-    return F.struct(_c(ts).alias("ts"), _c(seq).alias("seq"))
-
-
 def format_ts(ts, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.date_format(_c(ts), fmt)
 
@@ -49,8 +44,3 @@ def weekday_name(ts) -> Column:
 
 def month_short_name(ts) -> Column:
     return F.date_format(_c(ts), "MMM")
-
-
-def weekday_code(ts) -> Column:
-    """Monday = 0 ... Sunday = 6."""
-    return F.weekday(_c(ts))

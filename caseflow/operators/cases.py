@@ -4,8 +4,9 @@ All per-case facts -- times, counts, resources, first/last activity, first
 non-NULL business attributes, conformance facts -- come from ONE
 ``groupBy(case_id)`` whose aggregates (min/max/count/min_by/max_by/bool_or)
 all combine map-side, so a hot case reaches the final stage as one partial
-row per map task.  Distinct counts are planned by Catalyst as a two-phase
-aggregation over (case, value), again combined map-side.
+row per map task.  Distinct counts are the sizes of value sets: a case has at
+most as many activities as the process, and as many resources as the company,
+so the sets are small, and no row is expanded.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from caseflow.functions.text import squeeze_whitespace
 from caseflow.functions.time import (format_ts, hours_between, month_short_name,
                                      weekday_name)
 from caseflow.model import REFERENCE_MODEL, ProcessModel
+from caseflow.operators.util import share_of_all
 from caseflow.schema import (ACTIVITY, AMOUNT, APP_TYPE, CASE, LOAN_GOAL, RESOURCE, SEQ,
                              TS)
 
@@ -31,8 +33,14 @@ def _first_non_null(col: str):
     return F.min_by(F.col(col), F.when(F.col(col).isNotNull(), _order()))
 
 
-def case_aggregates(log: DataFrame, model: ProcessModel = REFERENCE_MODEL) -> DataFrame:
-    """One row per case with every raw per-case fact (one shuffle)."""
+def _distinct(col: str, approx: bool):
+    return F.approx_count_distinct(col) if approx else F.size(F.collect_set(col))
+
+
+def case_aggregates(log: DataFrame, model: ProcessModel = REFERENCE_MODEL,
+                    approx_resources: bool = False) -> DataFrame:
+    """One row per case with every raw per-case fact (one shuffle).
+    ``approx_resources`` counts resources by a sketch (AGG-4)."""
     o = _order()
     is_a = in_group(F.col(ACTIVITY), model.a_prefix, model.a_activities)
     is_o = in_group(F.col(ACTIVITY), model.o_prefix, model.o_activities)
@@ -41,8 +49,8 @@ def case_aggregates(log: DataFrame, model: ProcessModel = REFERENCE_MODEL) -> Da
         F.min(TS).alias("case_start"),
         F.max(TS).alias("case_end"),
         F.count(ACTIVITY).alias("n_events"),
-        F.count_distinct(ACTIVITY).alias("n_unique_activities"),
-        (F.count_distinct(RESOURCE) if has_res else F.lit(0).cast("long")).alias("n_resources"),
+        F.size(F.collect_set(ACTIVITY)).cast("long").alias("n_unique_activities"),
+        (_distinct(RESOURCE, approx_resources) if has_res else F.lit(0)).cast("long").alias("n_resources"),
         F.max_by(ACTIVITY, o).alias("last_activity"),
         F.min_by(ACTIVITY, o).alias("first_activity"),
         F.bool_or(F.col(ACTIVITY).isin(list(model.rework_markers))).alias("has_marker"),
@@ -103,7 +111,7 @@ def completed_cases(cases: DataFrame, model: ProcessModel = REFERENCE_MODEL) ->
     return cases.filter(F.col("outcome") != F.lit(model.still_processing_label))
 
 
-def duration_profile(cases: DataFrame) -> DataFrame:
+def duration_profile(cases: DataFrame, exact: bool = True) -> DataFrame:
     """FEA-7: cases, breaches, breach %, mean/median/min/max days (1 row)."""
     from caseflow.operators.ranking import scalar_quantile
 
@@ -115,7 +123,7 @@ def duration_profile(cases: DataFrame) -> DataFrame:
         F.avg("duration_days").alias("mean_days"),
         F.min("duration_days").alias("min_days"),
         F.max("duration_days").alias("max_days"))
-    med = scalar_quantile(cases, "duration_days", 0.5).withColumnRenamed("q", "median_days")
+    med = scalar_quantile(cases, "duration_days", 0.5, exact).withColumnRenamed("q", "median_days")
     return F.broadcast(base).crossJoin(F.broadcast(med)).select(
         "n_cases", "sla_breaches", "breach_pct", "met_pct", "mean_days", "median_days",
         "min_days", "max_days")
@@ -123,8 +131,5 @@ def duration_profile(cases: DataFrame) -> DataFrame:
 
 def outcome_distribution(cases: DataFrame) -> DataFrame:
     """FEA-8: cases per outcome and share of all cases."""
-    total = cases.agg(F.count(F.lit(1)).alias("_total"))
-    return (cases.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_cases"))
-            .crossJoin(F.broadcast(total))
-            .select("outcome", "n_cases",
-                    (F.col("n_cases") / F.col("_total") * 100).alias("share_pct")))
+    per = cases.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_cases"))
+    return share_of_all(per, "outcome", "n_cases")

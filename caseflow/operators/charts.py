@@ -12,15 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.operators.ranking import quantiles, scalar_quantile
-from caseflow.operators.util import broadcast_if_small, checkpointed
 
 
 def histogram(df: DataFrame, value: str, bins: int, clip_upper: float | None = None,
-              with_median: bool = True) -> DataFrame:
+              with_median: bool = True, exact: bool = True) -> DataFrame:
     """Equal-width histogram between the min and max of the (clipped) values;
     the last bin is closed.  Empty bins are present with count 0.  When
     ``with_median`` is set, the median of the *unclipped* values is attached."""
-    raw = checkpointed(df.select(F.col(value).cast("double").alias("_m")))  # read 3 times
+    raw = df.select(F.col(value).cast("double").alias("_m"))
     x = F.col("_m")
     if clip_upper is not None:
         x = F.least(x, F.lit(float(clip_upper)))
@@ -43,7 +42,7 @@ def histogram(df: DataFrame, value: str, bins: int, clip_upper: float | None = N
                    (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_end"),
                    F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_cases")))
     if with_median:
-        med = scalar_quantile(raw, "_m", 0.5)
+        med = scalar_quantile(raw, "_m", 0.5, exact)
         out = out.crossJoin(F.broadcast(med.withColumnRenamed("q", "median")))
     return out
 
@@ -52,29 +51,30 @@ def box_stats(df: DataFrame, value: str, group: list | tuple = (), exact: bool =
     """Quartiles, 1.5*IQR whiskers (the most extreme values inside the
     fences) and outlier count per group."""
     group = list(group)
-    # one row per group, read by the size check and the whisker pass
-    q = checkpointed(quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group,
-                               exact, extra={"n": F.count}))
+    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group, exact,
+                  extra={"n": F.count})
     q = q.withColumn("_iqr", F.col("q3") - F.col("q1")) \
          .withColumn("_lo_f", F.col("q1") - 1.5 * F.col("_iqr")) \
          .withColumn("_hi_f", F.col("q3") + 1.5 * F.col("_iqr"))
     base = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    joined = (base.join(broadcast_if_small(q), group, "inner") if group
-              else base.crossJoin(F.broadcast(q)))
+    # equal values collapse first, so a hot group meets its row of quartiles
+    # as (value, count) rows
+    base = base.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    joined = base.join(q, group, "inner") if group else base.crossJoin(F.broadcast(q))
     inside = (F.col("_v") >= F.col("_lo_f")) & (F.col("_v") <= F.col("_hi_f"))
     return joined.groupBy(*group).agg(
         F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"),
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.sum((~inside).cast("long")).alias("n_outliers"))
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_c"))).cast("long").alias("n_outliers"))
 
 
-def duration_box_by_outcome(cases: DataFrame, clip_days: float = 60.0) -> DataFrame:
+def duration_box_by_outcome(cases: DataFrame, clip_days: float = 60.0, exact: bool = True) -> DataFrame:
     """CHT-5 on durations clipped at ``clip_days`` per outcome."""
     clipped = cases.select("outcome", F.least(F.col("duration_days"), F.lit(clip_days))
                            .alias("duration_clipped"))
-    return box_stats(clipped, "duration_clipped", ["outcome"])
+    return box_stats(clipped, "duration_clipped", ["outcome"], exact)
 
 
 def breach_by_month(cases: DataFrame) -> DataFrame:
@@ -89,19 +89,19 @@ def breach_by_month(cases: DataFrame) -> DataFrame:
                     F.coalesce("is_peak", F.lit(0)).cast("int").alias("is_peak")))
 
 
-def quantile_edges(df: DataFrame, value: str, q: int = 5) -> DataFrame:
+def quantile_edges(df: DataFrame, value: str, q: int = 5, exact: bool = True) -> DataFrame:
     """Equal-frequency edges (1 row, array ``edges``), duplicates merged."""
     probs = {f"e{i}": i / q for i in range(q + 1)}
-    qs = quantiles(df, value, probs, ())
+    qs = quantiles(df, value, probs, (), exact)
     return qs.select(F.array_distinct(F.array(*[F.col(k) for k in probs])).alias("edges"))
 
 
 def breach_by_amount_quintile(cases: DataFrame, value: str = "requested_amount",
-                              q: int = 5) -> DataFrame:
+                              q: int = 5, exact: bool = True) -> DataFrame:
     """CHT-6: breach rate per equal-frequency amount bucket (right-closed,
     lowest value included, duplicate edges merged)."""
     base = cases.filter(F.col(value).isNotNull())
-    edges = quantile_edges(base, value, q)
+    edges = quantile_edges(base, value, q, exact)
     x = F.col(value).cast("double")
     bucket = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < x)))
     return (base.crossJoin(F.broadcast(edges))

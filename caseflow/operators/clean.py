@@ -120,18 +120,21 @@ def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24
 def clean_profile(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     """One row: original, removed, clean events, cases, activities, first/last date.
 
-    Two 1-row aggregates joined by a cross join of single rows (no shuffle of
-    event data beyond the aggregates' own partial/final exchange).
+    Distinct values are counted as groups; the aggregates are single rows
+    joined with each other.
     """
     before = raw.agg(F.count(F.lit(1)).alias("original_events"))
-    after = cleaned.agg(
-        F.count(F.lit(1)).alias("clean_events"),
-        F.count_distinct(CASE).alias("unique_cases"),
-        F.count_distinct(ACTIVITY).alias("unique_activities"),
-        F.to_date(F.min(TS)).alias("first_date"),
-        F.to_date(F.max(TS)).alias("last_date"),
+    per_case = cleaned.groupBy(CASE).agg(F.count(F.lit(1)).alias("n"), F.min(TS).alias("lo"),
+                                         F.max(TS).alias("hi"))
+    after = per_case.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("clean_events"),
+        F.count(F.lit(1)).alias("unique_cases"),
+        F.to_date(F.min("lo")).alias("first_date"),
+        F.to_date(F.max("hi")).alias("last_date"),
     )
-    return (F.broadcast(before).crossJoin(F.broadcast(after))
+    names = cleaned.groupBy(ACTIVITY).agg(F.lit(1).alias("n")).agg(
+        F.count(F.lit(1)).alias("unique_activities"))
+    return (F.broadcast(before).crossJoin(F.broadcast(after)).crossJoin(F.broadcast(names))
             .withColumn("removed_events", F.col("original_events") - F.col("clean_events"))
             .select("original_events", "removed_events", "clean_events", "unique_cases",
                     "unique_activities", "first_date", "last_date"))

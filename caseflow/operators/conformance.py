@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.time import hours_between
 from caseflow.model import DEVIATION_NAMES, NO_DEVIATION, REFERENCE_MODEL, ProcessModel
 from caseflow.schema import CASE
 
@@ -20,8 +21,10 @@ FLAGS = ["is_conformant", "starts_correctly", "ends_correctly", "no_rework_conf"
          "correct_order"]
 
 
-def conformance(aggs: DataFrame, model: ProcessModel = REFERENCE_MODEL) -> DataFrame:
-    """CNF-1..5: five 0/1 flags, the deviation list and its joined text."""
+def conformance(aggs: DataFrame, model: ProcessModel = REFERENCE_MODEL,
+                keep: tuple = ()) -> DataFrame:
+    """CNF-1..5: five 0/1 flags, the deviation list and its joined text;
+    ``keep`` names further columns to carry."""
     starts = F.coalesce(F.col("first_activity").isin(list(model.start_activities)), F.lit(False))
     ends = F.coalesce(F.col("last_activity").isin(list(model.end_activities)), F.lit(False))
     no_rework = ~F.coalesce(F.col("has_marker"), F.lit(False))
@@ -39,6 +42,7 @@ def conformance(aggs: DataFrame, model: ProcessModel = REFERENCE_MODEL) -> DataF
         no_rework.cast("int").alias("no_rework_conf"),
         order_ok.cast("int").alias("correct_order"),
         devs.alias("deviations"),
+        *keep,
     ).withColumn("deviation_types",
                  F.when(F.size("deviations") == 0, F.lit(NO_DEVIATION))
                  .otherwise(F.array_join("deviations", ",")))
@@ -68,7 +72,18 @@ def attach_conformance(cases: DataFrame, conf: DataFrame) -> DataFrame:
 def breach_by_conformance(cases: DataFrame, conf: DataFrame) -> DataFrame:
     """CNF-8 (1 row): breach % of conforming and of other cases, and their
     ratio (NULL unless the conforming rate is above 0)."""
-    m = attach_conformance(cases.select(CASE, "sla_breach"), conf)
+    return _breach_rates(attach_conformance(cases.select(CASE, "sla_breach"), conf))
+
+
+def breach_by_conformance_of(aggs: DataFrame, model: ProcessModel = REFERENCE_MODEL) -> DataFrame:
+    """CNF-8 from the case aggregates: flags and breach are columns of one
+    row, so nothing is joined."""
+    days = hours_between("case_start", "case_end") / 24
+    breach = (days > F.lit(model.sla_days)).cast("int")
+    return _breach_rates(conformance(aggs.withColumn("sla_breach", breach), model, ("sla_breach",)))
+
+
+def _breach_rates(m: DataFrame) -> DataFrame:
     r = m.agg(
         (F.avg(F.when(F.col("is_conformant") == 1, F.col("sla_breach"))) * 100)
         .alias("breach_pct_conformant"),

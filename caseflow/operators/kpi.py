@@ -16,15 +16,17 @@ from caseflow.operators.variants import variant_coverage
 from caseflow.schema import ACTIVITY, TS
 
 
-def discovery_summary(log: DataFrame, cases: DataFrame, counts: DataFrame) -> DataFrame:
+def discovery_summary(log: DataFrame, cases: DataFrame, counts: DataFrame,
+                      exact: bool = True) -> DataFrame:
     """KPI-1: events, cases, activities, dates, variants, top-3 share,
     duration profile, breaches."""
-    ev = log.agg(F.count(F.lit(1)).alias("n_events"),
-                 F.count_distinct(ACTIVITY).alias("n_activities"),
-                 F.date_format(F.min(TS), "yyyy-MM-dd").alias("first_date"),
-                 F.date_format(F.max(TS), "yyyy-MM-dd").alias("last_date"))
+    per = log.groupBy(ACTIVITY).agg(F.count(F.lit(1)).alias("n"), F.min(TS).alias("lo"),
+                                    F.max(TS).alias("hi"))
+    ev = per.agg(F.sum("n").alias("n_events"), F.count(ACTIVITY).alias("n_activities"),
+                 F.date_format(F.min("lo"), "yyyy-MM-dd").alias("first_date"),
+                 F.date_format(F.max("hi"), "yyyy-MM-dd").alias("last_date"))
     cov = variant_coverage(counts).select("n_variants", "top3_share_pct", "tail_share_pct")
-    prof = duration_profile(cases)
+    prof = duration_profile(cases, exact)
     return (F.broadcast(ev).crossJoin(F.broadcast(cov)).crossJoin(F.broadcast(prof))
             .select("n_events", "n_cases", "n_activities", "first_date", "last_date",
                     "n_variants", "top3_share_pct", "tail_share_pct", "mean_days",
@@ -66,9 +68,8 @@ def outcome_sla_matrix(cases: DataFrame) -> DataFrame:
                     F.coalesce(F.col("1"), F.lit(0)).cast("long").alias("sla_breached")))
 
 
-def complexity_vs_duration(cases: DataFrame) -> DataFrame:
+def complexity_vs_duration(cases: DataFrame, exact: bool = True) -> DataFrame:
     """KPI-5: per distinct-activity count: cases, mean and median days."""
-    base = cases.groupBy("n_unique_activities").agg(
-        F.count(F.lit(1)).alias("n_cases"), F.avg("duration_days").alias("mean_days"))
-    med = quantiles(cases, "duration_days", {"median_days": 0.5}, ["n_unique_activities"])
-    return base.join(med, "n_unique_activities", "left")
+    return quantiles(cases, "duration_days", {"median_days": 0.5}, ["n_unique_activities"], exact,
+                     extra={"n_cases": F.count, "mean_days": F.avg}).select(
+        "n_unique_activities", "n_cases", "mean_days", "median_days")

@@ -22,16 +22,15 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.model import (GB_DEPTH, GB_RATE, GB_ROUNDS, LR_MAX_ITER, ML_FOLDS, ML_SEED,
                             ML_TEST_FRACTION, RF_DEPTH, RF_MIN_LEAF, RF_TREES, WEEKDAY_NAMES)
 from caseflow.operators.ranking import positions, running_sums
+from caseflow.operators.util import share_of_all
 from caseflow.schema import CASE
 
-ROWS_PER_PARTITION = 1_000_000
-
 NUMERIC = ["n_events", "n_unique_activities", "n_resources", "has_rework", "rework_events",
            "start_month"]
 
@@ -86,19 +85,15 @@ def feature_names(features: DataFrame) -> list:
 
 def class_balance(features: DataFrame) -> DataFrame:
     """ML-5: cases and share per label."""
-    total = features.agg(F.count(F.lit(1)).alias("_t"))
-    return (features.groupBy("label").agg(F.count(F.lit(1)).alias("n_cases"))
-            .crossJoin(F.broadcast(total))
-            .select("label", "n_cases", (F.col("n_cases") / F.col("_t") * 100).alias("share_pct")))
+    return share_of_all(features.groupBy("label").agg(F.count(F.lit(1)).alias("n_cases")),
+                        "label", "n_cases")
 
 
 def balanced_weights(features: DataFrame) -> DataFrame:
     """ML-10: weight = n / (2 * n_label) per label (2-row table)."""
     per = features.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
-    total = features.agg(F.count(F.lit(1)).alias("_n"))
-    return (per.crossJoin(F.broadcast(total))
-            .select("label", "n_label",
-                    (F.col("_n") / (2.0 * F.col("n_label"))).alias("weight")))
+    total = F.sum("n_label").over(Window.partitionBy(F.lit(0)))  # over 2 rows
+    return per.select("label", "n_label", (total / (2.0 * F.col("n_label"))).alias("weight"))
 
 
 def split_and_folds(features: DataFrame, test_fraction: float = ML_TEST_FRACTION,
@@ -160,22 +155,23 @@ def fit_models(prepared: DataFrame, select_by: str = "test_auc", parallelism: in
     (test AUC as in the original; 'cv_auc' is the sounder choice)."""
     feats = feature_names(prepared)
     n_train = prepared.filter(F.col("is_test") == 0).count()
-    # Iterative learners pay a job per round; size partitions by rows
-    # (about ROWS_PER_PARTITION each) instead of the shuffle default.
-    parts = max(1, -(-n_train // ROWS_PER_PARTITION))
+    # all cores share the training rows
+    parts = prepared.sparkSession.sparkContext.defaultParallelism
     train = prepared.filter(F.col("is_test") == 0).repartition(parts).cache()
-    test = prepared.filter(F.col("is_test") == 1).cache()
+    test = prepared.filter(F.col("is_test") == 1)
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC")
     res = FitResult(feats=feats, test=test)
+    in_folds = model_specs(feats, n_train * (ML_FOLDS - 1) // ML_FOLDS, rf_trees, gb_rounds)
     for name, pipe in model_specs(feats, n_train, rf_trees, gb_rounds).items():
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
+        # a fold trains on (k - 1) / k of the rows, and its penalty scales so
+        cv = CrossValidator(estimator=in_folds[name], estimatorParamMaps=ParamGridBuilder().build(),
                             evaluator=ev, foldCol="fold", numFolds=ML_FOLDS,
                             parallelism=parallelism, seed=ML_SEED)
         cvm = cv.fit(train)
         # with a single parameter map the best model is the pipeline refitted
-        # on the whole training part
-        fitted = cvm.bestModel
+        # on the whole training part; the penalty of the logistic one differs
+        fitted = pipe.fit(train) if name == "Logistic Regression" else cvm.bestModel
         pred = fitted.transform(test)
         test_auc = ev.evaluate(pred)
         acc = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
@@ -183,6 +179,7 @@ def fit_models(prepared: DataFrame, select_by: str = "test_auc", parallelism: in
         res.metrics.append({"model": name, "cv_auc": float(cvm.avgMetrics[0]),
                             "cv_std": float(cvm.stdMetrics[0]) if cvm.stdMetrics else None,
                             "test_auc": float(test_auc), "test_acc": float(acc or 0.0)})
+    train.unpersist()
     key = "cv_auc" if select_by == "cv_auc" else "test_auc"
     res.best = max(res.metrics, key=lambda m: m[key])["model"]
     for m in res.metrics:
@@ -248,6 +245,15 @@ def auc_from_roc(points: DataFrame) -> DataFrame:
                    .alias("auc"))
 
 
+def roc_points_by_model(res: FitResult) -> DataFrame:
+    """ML-15 for every fitted model, with its name in ``model``."""
+    out = None
+    for name in res.models:
+        pts = roc_points(scored(res, name)).select(F.lit(name).alias("model"), "threshold", "fpr", "tpr")
+        out = pts if out is None else out.unionByName(pts)
+    return out
+
+
 def confusion(scores: DataFrame) -> DataFrame:
     """ML-16: counts for the four (label, prediction) cells, zero-filled."""
     spark = scores.sparkSession
@@ -263,9 +269,11 @@ def confusion(scores: DataFrame) -> DataFrame:
 
 def prepare(cases: DataFrame) -> DataFrame:
     """Features + balanced weight + split/folds, ready for :func:`fit_models`."""
-    feats = feature_table(cases)
-    w = balanced_weights(feats).select("label", "weight")
-    return split_and_folds(feats.join(F.broadcast(w), "label", "inner"))
+    split = split_and_folds(feature_table(cases))
+    # weights come from the training part alone
+    w = balanced_weights(split.filter(F.col("is_test") == 0)).select("label", "weight")
+    return (split.join(F.broadcast(w), "label", "left")  # 2 rows
+            .fillna(1.0, subset=["weight"]))
 
 
 __all__ = ["feature_table", "class_balance", "balanced_weights", "split_and_folds",

@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.operators.util import broadcast_if_small, checkpointed
+from caseflow.operators.util import checkpointed
 from caseflow.session import shuffle_partitions
 
 
@@ -32,7 +32,7 @@ def positions(df: DataFrame, order: list, group: list | tuple = (),
               num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of the row inside its ``group`` under
     ``order`` (a list of column names or sort expressions such as
-    ``F.desc('n')``).  ``order`` should be total; among exact ties the
+    ``F.desc('n')``); ``group`` is a key with few values (a label).  ``order`` should be total; among exact ties the
     positions are a permutation of the tied rows.  ``total`` optionally
     names a column receiving the group size."""
     group = list(group)
@@ -63,91 +63,96 @@ def positions(df: DataFrame, order: list, group: list | tuple = (),
         wt = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
         stats = stats.withColumn(total, F.sum("_cnt").over(wt))
     stats = stats.drop("_cnt")
-    # ungrouped: one stats row per range partition, a proven bound of n rows;
-    # grouped: groups x n rows, broadcast only after counting them
-    small = F.broadcast(stats) if not group else broadcast_if_small(stats)
-    out = keyed.join(small, [*group, "_pid"], "inner")
+    # ranges keep a group together, so there are at most groups + n rows
+    out = keyed.join(F.broadcast(stats), [*group, "_pid"], "inner")
     out = out.withColumn(name, (F.col("_before") + F.col("_mid") - F.col("_base") + 1).cast("long"))
     return out.drop("_pid", "_mid", "_base", "_before")
 
 
-# Groups up to this many values use Spark's exact ``percentile`` aggregate,
-# whose buffer holds at most one entry per value of the group; larger groups
-# take the distributed-rank path.  The split rests on a counted group size.
-SMALL_GROUP_ROWS = 1_000_000
+# Value buckets per factor of two; a bucket spans a relative width of 0.02 %.
+BUCKETS_PER_OCTAVE = 4096
+_OFFSET = 8_000_000  # above the largest bucket number of a finite double
+
+
+def _bucket(v: Column) -> Column:
+    """An order-preserving whole number for a double: values in order never
+    have buckets out of order, so buckets can be counted before values."""
+    size = F.least(F.greatest(F.floor(F.log2(F.abs(v)) * BUCKETS_PER_OCTAVE), F.lit(1 - _OFFSET)),
+                   F.lit(_OFFSET - 1)) + _OFFSET
+    return (F.when(F.isnan(v), F.lit(2 * _OFFSET + 1)).when(v == 0, F.lit(0))
+            .when(v > 0, size).otherwise(-size).cast("long"))
+
+
+_WEIGHTED = {  # aggregates of the values from (value, count) rows
+    "count": lambda: F.sum("_c"),
+    "sum": lambda: F.sum(F.col("_v") * F.col("_c")),
+    "avg": lambda: F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"),
+}
 
 
 def quantiles(df: DataFrame, value: str, probs: dict, group: list | tuple = (),
-              exact: bool = True, accuracy: int = 100_000, extra: dict | None = None,
-              ranked: DataFrame | None = None,
-              small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+              exact: bool = True, accuracy: int = 100_000, extra: dict | None = None) -> DataFrame:
     """One row per group with one DOUBLE column per entry of ``probs``
     (``{'median': 0.5, 'p90': 0.9}``), linear interpolation between the two
     nearest ranks (numpy's default).  NULL values are ignored.
 
-    ``extra`` adds plain aggregates of the value in the same pass
+    ``extra`` adds ``F.avg``, ``F.sum`` or ``F.count`` of the value
     (``{'mean': F.avg}``).  ``exact=False`` uses ``percentile_approx`` (a
-    bounded sketch per group).  ``ranked`` reuses the output of
-    :func:`ranked_values`.
-
-    Exact results: groups of at most ``small_group_rows`` values (checked by
-    a count per group) are answered by ``percentile`` in one aggregation;
-    bigger groups -- a hot activity holding a third of the log -- by the
-    distributed rank path, which never gathers a group in one task.
+    bounded sketch per group).
+
+    Exact results come from one lazy plan of any size: (group, value) counts
+    (ties collapse map-side), counts per value bucket, the buckets that hold
+    a wanted rank (at most two per probability), and the ranks inside those
+    buckets only.  No window is wider than the buckets of a group or the
+    distinct values of a bucket, so neither a hot group nor ties gather in
+    one task, and no job runs before the result is asked for.
     """
     group = list(group)
     names = list(probs)
     extra = extra or {}
+    vals = _values(df, value, group)
     if not exact:
-        vals = _values(df, value, group)
         arr = F.percentile_approx("_v", [float(probs[k]) for k in names], accuracy)
         agg = vals.groupBy(*group).agg(arr.alias("_q"),
                                        *[fn(F.col("_v")).alias(k) for k, fn in extra.items()])
         return agg.select(*group, *[F.col("_q")[i].alias(k) for i, k in enumerate(names)],
                           *extra.keys())
-    if ranked is not None:
-        return _from_ranked(ranked, probs, group, extra)
-
-    # the narrow (group, value) input is read by the size check and again by
-    # the answer: materialise it once instead of recomputing what feeds it
-    vals = checkpointed(_values(df, value, group))
-    sizes = vals.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.filter(F.col("_n") > small_group_rows).select(*group)
-    if big.limit(1).count() == 0:
-        return _from_percentile(vals, probs, group, extra)
-    if not group:
-        return _from_ranked(ranked_values(vals, "_v", group), probs, group, extra)
-    big = broadcast_if_small(big)   # at most total / small_group_rows groups
-    small_part = _from_percentile(vals.join(big, group, "left_anti"), probs, group, extra)
-    big_part = _from_ranked(ranked_values(vals.join(big, group, "left_semi"), "_v", group),
-                            probs, group, extra)
-    return small_part.unionByName(big_part)
-
-
-def _from_percentile(vals: DataFrame, probs: dict, group: list, extra: dict) -> DataFrame:
-    names = list(probs)
-    agg = vals.groupBy(*group).agg(
-        F.percentile("_v", [float(probs[k]) for k in names]).alias("_q"),
-        *[fn(F.col("_v")).alias(k) for k, fn in extra.items()])
-    return agg.select(*group, *[F.col("_q")[i].alias(k) for i, k in enumerate(names)],
-                      *extra.keys())
-
-
-def _from_ranked(ranked: DataFrame, probs: dict, group: list, extra: dict) -> DataFrame:
-    names = list(probs)
-    idx = F.col("_pos") - 1
-    aggs = [fn(F.col("_v")).alias(k) for k, fn in extra.items()]
+    # group keys as one struct: joins treat NULL keys as equal, like groupBy
+    key = F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0).alias("_all"))
+    counts = (vals.select(key.alias("_g"), "_v").groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_b", _bucket(F.col("_v"))))
+    buckets = counts.groupBy("_g", "_b").agg(F.sum("_c").alias("_c"))
+    whole = Window.partitionBy("_g")
+    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor((F.col("_n") - 1) * float(p)), F.ceil((F.col("_n") - 1) * float(p)))
+        for p in probs.values()])))
+    wanted = (buckets.withColumn("_n", F.sum("_c").over(whole))
+              .withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+              .withColumn("_ks", F.filter(ranks, lambda k: (k >= F.col("_before"))
+                                          & (k < F.col("_before") + F.col("_c"))))
+              .filter(F.size("_ks") > 0)
+              .select(F.col("_g").alias("_wg"), F.col("_b").alias("_wb"), "_n", "_before", "_ks"))
+    inside = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = (counts.join(wanted, F.col("_g").eqNullSafe(F.col("_wg")) & (F.col("_b") == F.col("_wb")))
+             .withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
+             .select("_g", "_n", "_v", F.explode(F.filter(
+                 "_ks", lambda k: (k < F.col("_to")) & (k >= F.col("_to") - F.col("_c")))).alias("_k")))
+    aggs = [F.max("_n").alias("_n")]
+    for k in names:
+        h = (F.col("_n") - 1) * F.lit(float(probs[k]))
+        aggs += [F.max(F.when(F.col("_k") == F.floor(h), F.col("_v"))).alias(f"_lo_{k}"),
+                 F.max(F.when(F.col("_k") == F.ceil(h), F.col("_v"))).alias(f"_hi_{k}")]
+    picked = found.groupBy("_g").agg(*aggs)
+    if extra:
+        more = counts.groupBy("_g").agg(*[_WEIGHTED[fn.__name__]().alias(k) for k, fn in extra.items()])
+        more = more.withColumnRenamed("_g", "_eg")
+        picked = picked.join(more, F.col("_g").eqNullSafe(F.col("_eg")))
+    cols = []
     for k in names:
         h = (F.col("_n") - 1) * F.lit(float(probs[k]))
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs += [F.max(F.when(idx == lo, F.col("_v"))).alias(f"_lo_{k}"),
-                 F.max(F.when(idx == hi, F.col("_v"))).alias(f"_hi_{k}"),
-                 F.max(h - lo).alias(f"_f_{k}")]
-    # one pass over the ranked rows; every aggregate combines map-side
-    picked = ranked.groupBy(*group).agg(*aggs)
-    cols = [F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_f_{k}")
-            for k in names]
-    return picked.select(*group, *[c.alias(k) for c, k in zip(cols, names)], *extra.keys())
+        cols.append((F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * (h - F.floor(h))).alias(k))
+    return picked.select(*[F.col("_g")[g].alias(g) for g in group], *cols, *extra.keys())
 
 
 def _values(df: DataFrame, value: str, group: list) -> DataFrame:
@@ -155,13 +160,6 @@ def _values(df: DataFrame, value: str, group: list) -> DataFrame:
             .filter(F.col("_v").isNotNull()))
 
 
-def ranked_values(df: DataFrame, value: str, group: list | tuple = ()) -> DataFrame:
-    """Non-NULL values as ``_v`` with 1-based rank ``_pos`` and group size
-    ``_n`` (checkpointed; reusable for several statistics)."""
-    group = list(group)
-    return positions(_values(df, value, group), [F.col("_v")], group, name="_pos", total="_n")
-
-
 def scalar_quantile(df: DataFrame, value: str, p: float, exact: bool = True) -> DataFrame:
     """1-row DataFrame with column ``q``: the ``p`` quantile over all rows."""
     return quantiles(df, value, {"q": p}, (), exact)

@@ -2,33 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Largest side we broadcast after an explicit row count.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check is a bounded ``limit(max_rows + 1).count()``; beyond the bound
-    the plain DataFrame is returned and Spark plans a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every DOUBLE column (report hygiene for oracle comparison)."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), places).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -38,3 +13,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share_of_all(per: DataFrame, key: str, count: str, share: str = "share_pct") -> DataFrame:
+    """``key, count`` and the share of all in per cent.  The total is the sum
+    of the grouped rows (one per value of ``key``), not another pass."""
+    total = F.sum(count).over(Window.partitionBy(F.lit(0)))
+    return per.select(key, count, (F.col(count) / total * 100).alias(share))
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet below the shared checkpoint folder and
+    read back: readers prune its columns, and its plan is one scan."""
+    from caseflow.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

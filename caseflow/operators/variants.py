@@ -18,14 +18,9 @@ from caseflow.functions.text import short_text
 from caseflow.model import VARIANT_SEPARATOR
 from caseflow.operators.ranking import positions
 from caseflow.operators.sequence import with_slice
+from caseflow.operators.util import share_of_all
 from caseflow.schema import ACTIVITY, CASE, SEQ, SLICE, TS
 
-# Variants ranked at or above this bound are attached by broadcast; they are
-# the only ones that can be hot.  Any variant below it has at most
-# n_cases / HOT_VARIANTS cases, so the shuffle join on the rest is balanced.
-# (Rank positions are consecutive, so ranks <= HOT_VARIANTS is <= 1000 rows.)
-HOT_VARIANTS = 1000
-
 
 def case_variants(log: DataFrame, slice_hours: int = 24,
                   separator: str = VARIANT_SEPARATOR) -> DataFrame:
@@ -55,41 +50,38 @@ def variant_ranks(counts: DataFrame) -> DataFrame:
     return positions(counts, [F.desc("n_cases"), F.asc("variant")], name="variant_rank")
 
 
-def attach_variants(cases: DataFrame, variants: DataFrame, ranks: DataFrame,
-                    hot: int = HOT_VARIANTS) -> DataFrame:
+def _variant_key() -> list:
+    """128 bits that stand for a variant text in joins."""
+    return [F.xxhash64("variant").alias("_h1"), F.xxhash64("variant", F.lit(1)).alias("_h2")]
+
+
+def attach_variants(cases: DataFrame, variants: DataFrame, ranks: DataFrame) -> DataFrame:
     """JN-2/JN-3 and WIN-5: variant, rank and top-3/top-10 flags per case.
 
-    Ranks 1..``hot`` (a proven bound) come from a broadcast join; they hold
-    every variant that can be hot.  The remaining ranks come from one shuffle
-    join on the key (0, variant text); rows already ranked carry the key
-    (1, case_id) instead, which matches nothing and spreads evenly, so no
-    hot variant ever lands in one task and the input is read once.
-    """
-    cv = cases.join(variants, CASE, "left")
-    top = F.broadcast(ranks.filter(F.col("variant_rank") <= hot)
-                      .select("variant", F.col("variant_rank").alias("_r_top")))
-    rest = ranks.filter(F.col("variant_rank") > hot).select(
-        F.lit(0).alias("_kf"), F.col("variant").alias("_kt"),
-        F.col("variant_rank").alias("_r_rest"))
-    ranked_here = F.col("_r_top").isNotNull() | F.col("variant").isNull()
-    step = (cv.join(top, "variant", "left")
-            .withColumn("_kf", F.when(ranked_here, F.lit(1)).otherwise(F.lit(0)))
-            .withColumn("_kt", F.when(ranked_here, F.col(CASE)).otherwise(F.col("variant"))))
-    out = (step.join(rest, ["_kf", "_kt"], "left")
-           .withColumn("variant_rank", F.coalesce(F.col("_r_top"), F.col("_r_rest")))
-           .drop("_kf", "_kt", "_r_top", "_r_rest"))
+    Ranks are joined by a 128-bit hash of the variant, never by its text, and
+    the text is attached last, so the join a hot variant skews moves case
+    keys and two numbers only; adaptive execution splits its partition."""
+    key = ["_h1", "_h2"]
+    ranked = (variants.select(CASE, *_variant_key())
+              .join(ranks.select("variant_rank", *_variant_key()), key, "left").select(CASE, "variant_rank"))
+    out = cases.join(variants, CASE, "left").join(ranked, CASE, "left")
     out = (out.withColumn("is_top3_variant", (F.col("variant_rank") <= 3).cast("int"))
               .withColumn("is_top10_variant", (F.col("variant_rank") <= 10).cast("int")))
-    return out.fillna(0, subset=["is_top3_variant", "is_top10_variant"])
-
-
-def activity_frequency(log: DataFrame) -> DataFrame:
-    """DSC-3: events per activity and share of all events."""
-    total = log.agg(F.count(F.lit(1)).alias("_total"))
-    return (log.groupBy(ACTIVITY).agg(F.count(F.lit(1)).alias("n_events"))
-            .crossJoin(F.broadcast(total))
-            .select(ACTIVITY, "n_events",
-                    (F.col("n_events") / F.col("_total") * 100).alias("share_pct")))
+    out = out.fillna(0, subset=["is_top3_variant", "is_top10_variant"])
+    # the case key stays first
+    return out.select(*cases.columns, "variant", "variant_rank", "is_top3_variant", "is_top10_variant")
+
+
+def activity_frequency(log: DataFrame, k: int | None = None) -> DataFrame:
+    """DSC-3: events per activity and share of all events; with ``k`` the k
+    most frequent ones, ties by name, with their rank."""
+    per = log.groupBy(ACTIVITY).agg(F.count(F.lit(1)).alias("n_events"))
+    out = share_of_all(per, ACTIVITY, "n_events")
+    if k is None:
+        return out
+    w = Window.orderBy(F.desc("n_events"), F.asc(ACTIVITY))  # over k rows
+    return (out.orderBy(F.desc("n_events"), F.asc(ACTIVITY)).limit(k)
+            .withColumn("activity_rank", F.row_number().over(w).cast("long")))
 
 
 def _top(counts: DataFrame, k: int) -> DataFrame:

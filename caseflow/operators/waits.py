@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from caseflow.functions.time import hours_between
 from caseflow.model import REFERENCE_MODEL, ProcessModel
 from caseflow.operators.ranking import quantiles, scalar_quantile
-from caseflow.operators.util import checkpointed
 from caseflow.operators.sequence import with_previous
 from caseflow.schema import ACTIVITY, TS
 
@@ -67,13 +66,13 @@ def wait_box_top(valid: DataFrame, stats: DataFrame | None = None, k: int = 5, c
     global ``cap_p`` quantile of all valid waits."""
     from caseflow.operators.charts import box_stats
 
-    # the waits feed three statistics: materialise the narrow input once
-    valid = checkpointed(valid.select(ACTIVITY, "waiting_hours"))
-    stats = stats if stats is not None else bottleneck_stats(valid)
-    # small results read by several jobs below: materialise them once so
-    # the later size checks do not recompute the statistics behind them
-    cap = checkpointed(scalar_quantile(valid, "waiting_hours", cap_p, exact))
-    top = F.broadcast(checkpointed(top_bottlenecks(stats, k).select(ACTIVITY, "bottleneck_rank")))
+    if stats is None:
+        # the ranking needs mean and count only
+        stats = valid.groupBy(ACTIVITY).agg(
+            (F.avg("waiting_hours") * F.count("waiting_hours")).alias("bottleneck_score"))
+    cap = scalar_quantile(valid, "waiting_hours", cap_p, exact)
+    # k rows
+    top = F.broadcast(top_bottlenecks(stats, k).select(ACTIVITY, "bottleneck_rank"))
     clipped = (valid.join(top, ACTIVITY, "inner")
                .crossJoin(F.broadcast(cap))
                .select(ACTIVITY, "bottleneck_rank",

@@ -11,7 +11,7 @@ from __future__ import annotations
 # Adapter (events as user-weeks) and cleaning: nulls out, first copy kept.
 LOG_CTE = """
 raw_log AS (
-  SELECT CAST(user_id AS VARCHAR) || '-' || CAST(week(ts) AS VARCHAR) AS case_id,
+  SELECT CAST(user_id AS VARCHAR) || '-' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS case_id,
          event_type AS activity,
          CAST(ts AS TIMESTAMP) AS ts,
          json_extract_string(props, '$.k') AS resource,
@@ -443,8 +443,10 @@ SELECT case_id, strftime(case_start, '%Y-%m-%d %H:%M:%S') AS case_start,
        CAST(NULL AS VARCHAR) AS loan_goal, round(requested_amount, 6) AS requested_amount,
        CAST(NULL AS VARCHAR) AS application_type, outcome, sla_breach, sla_days,
        start_month, start_quarter, start_dow, start_month_name, duration_bucket,
-       has_rework, rework_events
-FROM cases""", CASES_CTE)
+       has_rework, rework_events, variant, CAST(variant_rank AS BIGINT) AS variant_rank,
+       CAST(coalesce(variant_rank <= 3, false) AS INTEGER) AS is_top3_variant,
+       CAST(coalesce(variant_rank <= 10, false) AS INTEGER) AS is_top10_variant
+FROM cases JOIN (SELECT case_id, variant, variant_rank FROM cvar) USING (case_id)""", CASES_CTE)
 
 ORACLE["snk_sanitized_cases"] = _w("""
 SELECT case_id, strftime(case_start, '%Y-%m-%d %H:%M:%S') AS case_start,
@@ -597,3 +599,113 @@ SELECT case_id, event_seq, lag(activity) OVER w AS prev_activity,
        round(date_diff('microsecond', lag(ts) OVER w, ts) / 3600000000.0, 6) AS waiting_hours,
        CAST(row_number() OVER w - 1 AS BIGINT) AS position
 FROM ulog WINDOW w AS (PARTITION BY case_id ORDER BY ts, event_seq, activity)"""
+
+
+# --- further rows ---------------------------------------------------------------------
+
+ORACLE["var_top10_activities"] = _w("""
+SELECT activity, n_events, round(n_events * 100.0 / total, 6) AS share_pct,
+       row_number() OVER (ORDER BY n_events DESC, activity) AS activity_rank
+FROM (SELECT activity, count(*) AS n_events, sum(count(*)) OVER () AS total FROM log GROUP BY activity)
+ORDER BY n_events DESC, activity LIMIT 10""")
+
+ORACLE["rwk_attached_cases"] = _w("""
+SELECT case_id, n_events, has_rework, rework_events FROM cases""", CASES_CTE)
+
+ORACLE["src_csv_conversation_roundtrip"] = """
+SELECT CAST(conv_id AS VARCHAR) AS case_id, CAST(turn AS BIGINT) AS event_seq, role AS activity,
+       text AS resource
+FROM conversations"""
+
+
+# --- the journal of orders: the raw part differs, the rest is the same ----------------
+
+JOURNAL_CTE = """
+raw_log AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS case_id, 'signup' AS activity,
+         CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ts, o_orderstatus AS resource,
+         CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || ' goal' END AS loan_goal,
+         CAST(o_totalprice AS DOUBLE) AS requested_amount,
+         CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS application_type,
+         CAST(0 AS BIGINT) AS event_seq
+  FROM orders
+  UNION ALL
+  SELECT CAST(o_orderkey AS VARCHAR), 'signup', CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP), 'copy',
+         CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || ' goal' END,
+         CAST(o_totalprice AS DOUBLE), CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END,
+         CAST(100 AS BIGINT)
+  FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL
+  SELECT CAST(l_orderkey AS VARCHAR),
+         CASE WHEN l_returnflag = 'A' THEN 'purchase'
+              WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'error'
+              WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'click'
+              WHEN l_returnflag = 'N' AND l_linestatus = 'O' AND l_linenumber = 6 THEN NULL
+              ELSE 'view' END,
+         CASE WHEN l_linenumber <> 7 THEN
+           CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)
+           + to_days(CAST(l_linenumber * 5 + ((date_diff('day', CAST(o_orderdate AS DATE),
+                     CAST(l_shipdate AS DATE)) % 11) + 11) % 11 AS INTEGER))
+           + to_hours(CAST(l_linenumber AS INTEGER)) END,
+         l_returnflag || l_linestatus, NULL, NULL, NULL, CAST(l_linenumber AS BIGINT)
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+),
+""" + LOG_CTE[LOG_CTE.index("log AS (", LOG_CTE.index("FROM events")):]
+
+
+def _journal(sql: str) -> str:
+    return sql.replace(LOG_CTE.strip(), JOURNAL_CTE.strip()).replace(
+        "         bool_or(activity IN ('error'))",
+        """         first(loan_goal ORDER BY ts, event_seq, activity)
+           FILTER (WHERE loan_goal IS NOT NULL) AS loan_goal,
+         first(application_type ORDER BY ts, event_seq, activity)
+           FILTER (WHERE application_type IS NOT NULL) AS application_type,
+         bool_or(activity IN ('error'))""")
+
+
+ORACLE["jrn_clean_profile"] = _journal(ORACLE["cln_profile"])
+ORACLE["jrn_clean_log"] = _journal(_w("""
+SELECT case_id, activity, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, resource,
+       round(requested_amount, 6) AS requested_amount, event_seq
+FROM log"""))
+ORACLE["jrn_case_table"] = _journal(ORACLE["cas_case_table"]).replace(
+    "CAST(NULL AS VARCHAR) AS loan_goal", "loan_goal").replace(
+    "CAST(NULL AS VARCHAR) AS application_type", "application_type")
+ORACLE["jrn_ml_features"] = _journal(ORACLE["ml_features"]).replace(
+    "CAST(0 AS DOUBLE) AS app_type_encoded",
+    "CAST(dense_rank() OVER (ORDER BY coalesce(application_type, 'Unknown')) - 1 AS DOUBLE) AS app_type_encoded")
+ORACLE["jrn_breach_by_month"] = _journal(ORACLE["cht_breach_by_month"])
+ORACLE["jrn_event_volume"] = _journal(ORACLE["cht_event_volume"])
+ORACLE["jrn_monthly_trend"] = _journal(ORACLE["kpi_monthly_trend"])
+ORACLE["jrn_breach_by_conformance"] = _journal(ORACLE["cnf_breach_by_conformance"])
+
+
+# --- model measures on fixed scores ---------------------------------------------------
+
+SCORES_CTE = CASES_CTE + """,
+fixed AS (
+  SELECT case_id, sla_breach AS label,
+         (CAST('0x' || substr(md5(case_id), 1, 6) AS BIGINT) % 101) / 100.0 AS score
+  FROM cases
+),
+roc AS (
+  SELECT score AS threshold,
+         sum(sum(1 - label)) OVER (ORDER BY score DESC) / (SELECT sum(1 - label) FROM fixed) AS fpr,
+         sum(sum(label)) OVER (ORDER BY score DESC) / (SELECT sum(label) FROM fixed) AS tpr
+  FROM fixed GROUP BY score
+  UNION ALL SELECT NULL, 0, 0
+)"""
+
+ORACLE["ml_roc_fixed"] = _w("""
+SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc""", SCORES_CTE)
+
+ORACLE["ml_auc_fixed"] = _w("""
+SELECT round(sum((fpr - pf) * (tpr + pt) / 2), 6) AS auc
+FROM (SELECT fpr, tpr, lag(fpr) OVER w AS pf, lag(tpr) OVER w AS pt FROM roc
+      WINDOW w AS (ORDER BY fpr, tpr))""", SCORES_CTE)
+
+ORACLE["ml_confusion_fixed"] = _w("""
+SELECT CAST(l.label AS INTEGER) AS label, CAST(p.prediction AS INTEGER) AS prediction,
+       (SELECT count(*) FROM fixed f WHERE f.label = l.label
+          AND CAST(f.score >= 0.5 AS INTEGER) = p.prediction) AS n_cases
+FROM (VALUES (0), (1)) l(label), (VALUES (0), (1)) p(prediction)""", SCORES_CTE)

@@ -1,11 +1,9 @@
 """End-to-end jobs: discovery (clean -> cases -> variants -> chart data ->
 summary) and bottleneck (waits -> rework -> models -> conformance -> summary).
 
-Shared inputs are materialised once with a reliable checkpoint in the
-cluster's ``spark.checkpoint.dir``: the checkpoint keeps the clean log's
-``(case_id, ts_slice)`` hash partitioning, so the many branches reading it
-run their per-case / per-slice work without shuffling the log again, and a
-lost executor only costs re-reading checkpoint files.
+Shared inputs are written once as Parquet below the cluster's
+``spark.checkpoint.dir``: the branches that read them prune columns at the
+scan, plans do not grow, and a lost executor only costs reading files again.
 """
 
 from __future__ import annotations
@@ -23,8 +21,9 @@ from caseflow.operators import ml
 from caseflow.operators import rework as rw
 from caseflow.operators import variants as vr
 from caseflow.operators import waits
-from caseflow.operators.util import checkpointed
-from caseflow.schema import ACTIVITY, CASE, SLICE
+from caseflow.operators.sequence import with_slice
+from caseflow.operators.util import materialised
+from caseflow.schema import ACTIVITY, CASE
 from caseflow.sources import sinks
 
 
@@ -32,16 +31,19 @@ def run_discovery(raw_log: DataFrame, model: ProcessModel = REFERENCE_MODEL,
                   keep: list | tuple | None = None) -> dict:
     """Everything the discovery step produces, as lazy DataFrames (the
     clean log, case table and variant counts are already materialised)."""
-    # laid out on (case_id, ts_slice) once; the checkpoint keeps the layout
-    log = checkpointed(cl.clean(raw_log, keep, model.slice_hours, layout=True))
+    log = materialised(cl.clean(raw_log, keep, model.slice_hours), "clean-log")
     aggs = cs.case_aggregates(log, model)
     cases = cs.case_table(aggs, model)
-    variants = checkpointed(vr.case_variants(log, model.slice_hours))   # read twice
-    counts = checkpointed(vr.variant_counts(variants))
+    if model.completed_only:
+        # one population for the log, the variants and the cases
+        log = log.join(cases.select(CASE), CASE, "left_semi")
+    variants = materialised(vr.case_variants(log, model.slice_hours), "variants")   # read twice
+    counts = materialised(vr.variant_counts(variants), "variant-counts")
     ranks = vr.variant_ranks(counts)
-    cases_v = checkpointed(vr.attach_variants(cases, variants, ranks))
+    cases_v = materialised(vr.attach_variants(cases, variants, ranks), "cases")
+    exact = model.exact_quantiles
     return {
-        "event_log_cleaned": log.drop(SLICE),
+        "event_log_cleaned": log,
         "case_features": cases_v,
         "clean_profile": cl.clean_profile(raw_log, log),
         "variant_counts": ranks,
@@ -50,19 +52,19 @@ def run_discovery(raw_log: DataFrame, model: ProcessModel = REFERENCE_MODEL,
         "top_variants": vr.top_variants(counts, 5),
         "variant_pareto": vr.variant_pareto(counts, 20),
         "breach_by_rank_bucket": vr.breach_by_rank_bucket(cases_v),
-        "duration_profile": cs.duration_profile(cases_v),
+        "duration_profile": cs.duration_profile(cases_v, exact),
         "outcome_distribution": cs.outcome_distribution(cases_v),
-        "duration_histogram": ch.histogram(cases_v, "duration_days", 40, 60.0),
-        "events_histogram": ch.histogram(cases_v, "n_events", 30, 50.0),
-        "activities_histogram": ch.histogram(cases_v, "n_unique_activities", 20, 20.0),
+        "duration_histogram": ch.histogram(cases_v, "duration_days", 40, 60.0, exact=exact),
+        "events_histogram": ch.histogram(cases_v, "n_events", 30, 50.0, exact=exact),
+        "activities_histogram": ch.histogram(cases_v, "n_unique_activities", 20, 20.0, exact=exact),
         "breach_by_month": ch.breach_by_month(cases_v),
-        "duration_box_by_outcome": ch.duration_box_by_outcome(cases_v),
-        "breach_by_amount_quintile": ch.breach_by_amount_quintile(cases_v),
+        "duration_box_by_outcome": ch.duration_box_by_outcome(cases_v, exact=exact),
+        "breach_by_amount_quintile": ch.breach_by_amount_quintile(cases_v, exact=exact),
         "event_volume_by_month": ch.event_volume_by_month(log),
-        "discovery_summary": kpi.discovery_summary(log, cases_v, counts),
+        "discovery_summary": kpi.discovery_summary(log, cases_v, counts, exact),
         "monthly_trend": kpi.monthly_trend(cases_v),
         "outcome_sla_matrix": kpi.outcome_sla_matrix(cases_v),
-        "complexity_vs_duration": kpi.complexity_vs_duration(cases_v),
+        "complexity_vs_duration": kpi.complexity_vs_duration(cases_v, exact),
     }
 
 
@@ -70,16 +72,15 @@ def run_bottleneck(log: DataFrame, cases: DataFrame, model: ProcessModel = REFER
                    fit: bool = True, select_by: str = "test_auc") -> dict:
     """Everything the bottleneck step produces.  ``log`` is the clean log
     (``event_log_cleaned``), ``cases`` the case table."""
-    if SLICE not in log.columns:
-        # a log read back from files: restore the layout once
-        log = checkpointed(cl.clean(log, None, model.slice_hours, layout=True))
-    valid = checkpointed(waits.valid_transitions(waits.transitions(log, model), model)
-                         .select(CASE, ACTIVITY, "prev_activity", "waiting_hours"))
-    stats = checkpointed(waits.bottleneck_stats(valid, model))   # feeds four outputs
+    # a clean log is not cleaned again; only its slice may have to be added
+    log = with_slice(log, model.slice_hours)
+    valid = materialised(waits.valid_transitions(waits.transitions(log, model), model)
+                         .select(CASE, ACTIVITY, "prev_activity", "waiting_hours"), "waits")
+    stats = materialised(waits.bottleneck_stats(valid, model), "wait-stats")   # feeds four outputs
     counts = rw.activity_counts(log)
     flags = rw.case_rework_flags(counts)
     aggs = cs.case_aggregates(log, model)
-    conf = checkpointed(cf.conformance(aggs, model))
+    conf = materialised(cf.conformance(aggs, model), "conformance")
     enriched = cf.attach_conformance(rw.attach_rework(cases, flags), conf)
     prevalence = rw.rework_prevalence(counts)
     rate = cf.conformance_rate(conf)
@@ -99,7 +100,7 @@ def run_bottleneck(log: DataFrame, cases: DataFrame, model: ProcessModel = REFER
     ml_row = None
     if fit:
         spark = log.sparkSession
-        prepared = ml.prepare(cases).cache()
+        prepared = materialised(ml.prepare(cases), "prepared")
         res = ml.fit_models(prepared, select_by)
         comp = ml.comparison(spark, res)
         imps = ml.importances(spark, res)
@@ -108,7 +109,7 @@ def run_bottleneck(log: DataFrame, cases: DataFrame, model: ProcessModel = REFER
             "class_balance": ml.class_balance(prepared),
             "model_comparison": comp,
             "feature_importance": imps,
-            "roc_points": ml.roc_points(scored),
+            "roc_points": ml.roc_points_by_model(res),
             "confusion_matrix": ml.confusion(scored),
         })
         best_imp = (imps.join(comp.filter("is_best = 1").select("model"), "model")

@@ -15,7 +15,7 @@ from caseflow.functions.time import format_ts
 from caseflow.model import EVENTS_MODEL
 from caseflow.operators import clean as cl
 from caseflow.operators import waits
-from caseflow.operators.util import checkpointed
+from caseflow.operators.util import materialised
 from caseflow.sources import adapters
 
 MODEL = EVENTS_MODEL
@@ -110,13 +110,15 @@ def _aggs(spark, sf_dir, keep=CASE_ATTRS):
     return cs.case_aggregates(clean_log(spark, sf_dir, keep), MODEL)
 
 
-def _cases(spark, sf_dir):
-    return cs.case_table(_aggs(spark, sf_dir), MODEL)
+def _cases(spark, sf_dir, keep=NO_ATTRS):
+    """The case table with what ``keep`` names beyond times and activities:
+    the scan reads only the columns that these need."""
+    return cs.case_table(_aggs(spark, sf_dir, keep), MODEL)
 
 
 @register("cas_case_table")
 def q_case_table(spark, sf_dir):
-    df = cs.case_table(_aggs(spark, sf_dir), MODEL, format_times=True)
+    df = cs.case_table(_aggs(spark, sf_dir, CASE_ATTRS), MODEL, format_times=True)
     return rounded(df)
 
 
@@ -141,7 +143,7 @@ def q_completed(spark, sf_dir):
 def _variants(spark, sf_dir, materialise: bool = False):
     v = vr.case_variants(clean_log(spark, sf_dir, NO_ATTRS), MODEL.slice_hours)
     # read twice (counts/ranks and the per-case attach): build it once
-    return checkpointed(v) if materialise else v
+    return materialised(v, "variants") if materialise else v
 
 
 def _ranks(spark, sf_dir):
@@ -239,9 +241,7 @@ def q_deviations(spark, sf_dir):
 
 @register("cnf_breach_by_conformance")
 def q_breach_by_conformance(spark, sf_dir):
-    aggs = _aggs(spark, sf_dir)
-    return rounded(cf.breach_by_conformance(cs.case_table(aggs, MODEL),
-                                            cf.conformance(aggs, MODEL)))
+    return rounded(cf.breach_by_conformance_of(_aggs(spark, sf_dir, NO_ATTRS), MODEL))
 
 
 @register("btn_top_bottlenecks")
@@ -286,7 +286,7 @@ def q_duration_box(spark, sf_dir):
 
 @register("cht_breach_by_amount_quintile")
 def q_amount_quintile(spark, sf_dir):
-    return rounded(ch.breach_by_amount_quintile(_cases(spark, sf_dir)))
+    return rounded(ch.breach_by_amount_quintile(_cases(spark, sf_dir, ("requested_amount",))))
 
 
 @register("cht_event_volume")
@@ -296,9 +296,7 @@ def q_event_volume(spark, sf_dir):
 
 @register("btn_wait_box_top5")
 def q_wait_box(spark, sf_dir):
-    valid = _valid(spark, sf_dir)
-    st = waits.bottleneck_stats(valid, MODEL)
-    return rounded(waits.wait_box_top(valid, st, 5, 0.95).select(
+    return rounded(waits.wait_box_top(_valid(spark, sf_dir), None, 5, 0.95).select(
         "activity", "bottleneck_rank", "n", "q1", "median", "q3", "whisker_low",
         "whisker_high", "n_outliers"))
 
@@ -307,17 +305,23 @@ def q_wait_box(spark, sf_dir):
 
 @register("kpi_discovery_summary")
 def q_kpi_discovery(spark, sf_dir):
-    log = clean_log(spark, sf_dir, NO_ATTRS)
-    return rounded(kpi.discovery_summary(log, _cases(spark, sf_dir),
-                                         vr.variant_counts(_variants(spark, sf_dir))))
+    log = materialised(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")  # three branches read it
+    cases = cs.case_table(cs.case_aggregates(log, MODEL), MODEL)
+    variants = vr.case_variants(log, MODEL.slice_hours)
+    return rounded(kpi.discovery_summary(log, cases, vr.variant_counts(variants)))
+
+
+def _bottleneck_report(spark, sf_dir, ml_row=None):
+    log = materialised(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")  # three branches read it
+    st = waits.bottleneck_stats(waits.valid_transitions(waits.transitions(log, MODEL), MODEL), MODEL)
+    conf = cf.conformance(cs.case_aggregates(log, MODEL), MODEL)
+    return kpi.bottleneck_summary(st, rw.rework_prevalence(rw.activity_counts(log)),
+                                  cf.conformance_rate(conf), ml_row)
 
 
 @register("kpi_bottleneck_summary")
 def q_kpi_bottleneck(spark, sf_dir):
-    st = waits.bottleneck_stats(_valid(spark, sf_dir), MODEL)
-    out = kpi.bottleneck_summary(st, rw.rework_prevalence(_acounts(spark, sf_dir)),
-                                 cf.conformance_rate(_conf(spark, sf_dir)))
-    return rounded(out, sums=("top_total_wait_days",))
+    return rounded(_bottleneck_report(spark, sf_dir), sums=("top_total_wait_days",))
 
 
 @register("kpi_monthly_trend")
@@ -363,8 +367,12 @@ def q_csv_event_roundtrip(spark, sf_dir):
 
 @register("src_csv_case_roundtrip")
 def q_csv_case_roundtrip(spark, sf_dir):
-    """SNK-1 (CSV) then SRC-3: the case table through CSV."""
-    path = sinks.write_table(_cases(spark, sf_dir), scratch_path(spark, "casecsv"), "csv")
+    """SNK-1 (CSV) then SRC-3: the case table with its variants, as the
+    discovery job writes it, through CSV."""
+    variants = _variants(spark, sf_dir, materialise=True)
+    full = vr.attach_variants(_cases(spark, sf_dir, CASE_ATTRS), variants,
+                              vr.variant_ranks(vr.variant_counts(variants)))
+    path = sinks.write_table(full, scratch_path(spark, "casecsv"), "csv")
     back = csv_src.read_case_csv(spark, path)
     return rounded(back.withColumn("case_start", format_ts("case_start"))
                    .withColumn("case_end", format_ts("case_end")))
@@ -373,7 +381,7 @@ def q_csv_case_roundtrip(spark, sf_dir):
 @register("snk_sanitized_cases")
 def q_sanitized_cases(spark, sf_dir):
     """SNK-3 on the case table (strings cleaned, timestamps as text)."""
-    return rounded(sinks.sanitize_for_export(_cases(spark, sf_dir)))
+    return rounded(sinks.sanitize_for_export(_cases(spark, sf_dir, CASE_ATTRS)))
 
 
 @register("snk_sanitize_conversations")
@@ -418,40 +426,33 @@ def q_user_cases(spark, sf_dir):
 
 from caseflow.operators import ml  # noqa: E402
 
-_FITS: dict = {}
-
-
 def _prepared(spark, sf_dir):
-    return ml.prepare(_cases(spark, sf_dir))
+    return ml.prepare(_cases(spark, sf_dir, CASE_ATTRS))
 
 
 def _fit(spark, sf_dir):
-    """One fit per (session, data folder), shared by the model queries."""
-    key = (id(spark), sf_dir)
-    if key not in _FITS:
-        prepared = _prepared(spark, sf_dir).cache()
-        _FITS[key] = ml.fit_models(prepared)
-    return _FITS[key]
+    return ml.fit_models(materialised(_prepared(spark, sf_dir), "prepared"))
 
 
 @register("ml_features")
 def q_ml_features(spark, sf_dir):
-    return rounded(ml.feature_table(_cases(spark, sf_dir)))
+    return rounded(ml.feature_table(_cases(spark, sf_dir, CASE_ATTRS)))
 
 
 @register("ml_class_balance")
 def q_ml_balance(spark, sf_dir):
-    return rounded(ml.class_balance(ml.feature_table(_cases(spark, sf_dir))))
+    return rounded(ml.class_balance(ml.feature_table(_cases(spark, sf_dir, CASE_ATTRS))))
 
 
 @register("ml_balanced_weights")
 def q_ml_weights(spark, sf_dir):
-    return rounded(ml.balanced_weights(ml.feature_table(_cases(spark, sf_dir))))
+    return rounded(ml.balanced_weights(ml.feature_table(_cases(spark, sf_dir, CASE_ATTRS))))
 
 
 @register("ml_split")
 def q_ml_split(spark, sf_dir):
-    return _prepared(spark, sf_dir).select("case_id", "label", "is_test", "fold")
+    return ml.split_and_folds(ml.feature_table(_cases(spark, sf_dir))).select(
+        "case_id", "label", "is_test", "fold")
 
 
 @register("ml_model_comparison")
@@ -466,8 +467,7 @@ def q_ml_importance(spark, sf_dir):
 
 @register("ml_roc_points")
 def q_ml_roc(spark, sf_dir):
-    res = _fit(spark, sf_dir)
-    return ml.roc_points(ml.scored(res, res.best))
+    return ml.roc_points_by_model(_fit(spark, sf_dir))
 
 
 @register("ml_confusion")
@@ -490,15 +490,13 @@ def _event_stream(spark, sf_dir):
 @register("stm_live_activity_frequency")
 def q_live_activity_frequency(spark, sf_dir):
     agg = live.live_activity_frequency(_event_stream(spark, sf_dir))
-    name = f"caseflow_live_act_{abs(hash(scratch_path(spark, 'q'))) % 10**9}"
-    return live.run_to_table(agg, name, scratch_path(spark, "stream-ckpt"))
+    return live.run_to_table(agg, scratch_path(spark, "live"), scratch_path(spark, "stream-ckpt"))
 
 
 @register("stm_live_event_volume")
 def q_live_event_volume(spark, sf_dir):
     agg = live.live_event_volume(_event_stream(spark, sf_dir))
-    name = f"caseflow_live_vol_{abs(hash(scratch_path(spark, 'q'))) % 10**9}"
-    return live.run_to_table(agg, name, scratch_path(spark, "stream-ckpt"))
+    return live.run_to_table(agg, scratch_path(spark, "live"), scratch_path(spark, "stream-ckpt"))
 
 
 @register("adp_user_transitions")
@@ -511,3 +509,131 @@ def q_user_transitions(spark, sf_dir):
     tr = waits.transitions(log, MODEL)
     return rounded(tr.select("case_id", "event_seq", "prev_activity", "waiting_hours",
                              "position"))
+
+
+# --- rows the reference's users run that have their own query ------------------------
+
+@register("var_top10_activities")
+def q_top_activities(spark, sf_dir):
+    """DSC-3: the ten most frequent activities in order, with rank."""
+    return rounded(vr.activity_frequency(clean_log(spark, sf_dir, NO_ATTRS), 10))
+
+
+@register("rwk_attached_cases")
+def q_attached_rework(spark, sf_dir):
+    """JN-4: rework columns joined to the case table."""
+    log = clean_log(spark, sf_dir, NO_ATTRS)
+    cases = cs.case_table(cs.case_aggregates(log, MODEL), MODEL).drop("has_rework", "rework_events")
+    out = rw.attach_rework(cases, rw.case_rework_flags(rw.activity_counts(log)))
+    return out.select("case_id", "n_events", "has_rework", "rework_events")
+
+
+@register("src_csv_conversation_roundtrip")
+def q_csv_conversations(spark, sf_dir):
+    """SRC-2 / SNK-1 on whole conversation texts (line breaks, quotes) as the
+    resource of an event."""
+    conv = adapters.table(spark, sf_dir, "conversations")
+    log = adapters.conversations_log(conv)
+    text = conv.select(F.col("conv_id").cast("string").alias("case_id"),
+                       F.col("turn").cast("long").alias("event_seq"), "text")
+    log = log.join(text, ["case_id", "event_seq"]).withColumn("resource", F.col("text")).drop("text")
+    path = sinks.write_event_log(log, scratch_path(spark, "convcsv"), "csv")
+    return csv_src.read_event_csv(spark, path).select("case_id", "event_seq", "activity", "resource")
+
+
+# --- the declared journal of orders: every cleaning rule has work to do ---------------
+
+def _journal(spark, sf_dir):
+    return adapters.orders_journal(adapters.table(spark, sf_dir, "orders"),
+                                   adapters.table(spark, sf_dir, "lineitem"))
+
+
+def _journal_log(spark, sf_dir, keep=NO_ATTRS):
+    return cl.clean(_journal(spark, sf_dir), keep, MODEL.slice_hours)
+
+
+def _journal_cases(spark, sf_dir, keep=NO_ATTRS):
+    return cs.case_table(cs.case_aggregates(_journal_log(spark, sf_dir, keep), MODEL), MODEL)
+
+
+@register("jrn_clean_profile")
+def q_journal_profile(spark, sf_dir):
+    prof = cl.clean_profile(_journal(spark, sf_dir), _journal_log(spark, sf_dir))
+    return prof.withColumn("first_date", F.date_format("first_date", "yyyy-MM-dd")) \
+               .withColumn("last_date", F.date_format("last_date", "yyyy-MM-dd"))
+
+
+@register("jrn_clean_log")
+def q_journal_log(spark, sf_dir):
+    df = _journal_log(spark, sf_dir, CASE_ATTRS)
+    return rounded(df.select("case_id", "activity", format_ts("ts").alias("ts"), "resource",
+                             F.col("requested_amount"), "event_seq"))
+
+
+@register("jrn_case_table")
+def q_journal_cases(spark, sf_dir):
+    log = cl.squeeze_loan_goal(_journal_log(spark, sf_dir, CASE_ATTRS))
+    return rounded(cs.case_table(cs.case_aggregates(log, MODEL), MODEL, format_times=True))
+
+
+@register("jrn_breach_by_month")
+def q_journal_breach(spark, sf_dir):
+    return rounded(ch.breach_by_month(_journal_cases(spark, sf_dir)))
+
+
+@register("jrn_event_volume")
+def q_journal_volume(spark, sf_dir):
+    return ch.event_volume_by_month(_journal_log(spark, sf_dir))
+
+
+@register("jrn_monthly_trend")
+def q_journal_trend(spark, sf_dir):
+    return rounded(kpi.monthly_trend(_journal_cases(spark, sf_dir)))
+
+
+@register("jrn_breach_by_conformance")
+def q_journal_conformance(spark, sf_dir):
+    aggs = cs.case_aggregates(_journal_log(spark, sf_dir), MODEL)
+    return rounded(cf.breach_by_conformance_of(aggs, MODEL))
+
+
+@register("jrn_ml_features")
+def q_journal_features(spark, sf_dir):
+    return rounded(ml.feature_table(_journal_cases(spark, sf_dir, CASE_ATTRS)))
+
+
+# --- model measures on fixed scores (no fit), so that SQL can check them --------------
+
+def _fixed_scores(spark, sf_dir):
+    """A score in hundredths from the md5 of the case, and the label."""
+    h = F.conv(F.substring(F.md5("case_id"), 1, 6), 16, 10).cast("long")
+    return _cases(spark, sf_dir).select(
+        "case_id", F.col("sla_breach").alias("label"), (F.pmod(h, F.lit(101)) / 100.0).alias("score")
+    ).withColumn("prediction", (F.col("score") >= 0.5).cast("double"))
+
+
+@register("ml_roc_fixed")
+def q_roc_fixed(spark, sf_dir):
+    return rounded(ml.roc_points(_fixed_scores(spark, sf_dir)))
+
+
+@register("ml_auc_fixed")
+def q_auc_fixed(spark, sf_dir):
+    return rounded(ml.auc_from_roc(ml.roc_points(_fixed_scores(spark, sf_dir))))
+
+
+@register("ml_confusion_fixed")
+def q_confusion_fixed(spark, sf_dir):
+    return ml.confusion(_fixed_scores(spark, sf_dir))
+
+
+@register("kpi_bottleneck_report_models")
+def q_report_models(spark, sf_dir):
+    """KPI-2 with the best model's measures (rows only: it depends on a fit)."""
+    res = _fit(spark, sf_dir)
+    comp = ml.comparison(spark, res)
+    best = comp.filter("is_best = 1").select(F.col("model").alias("best_model"), "cv_auc", "test_auc", "test_acc")
+    top = (ml.importances(spark, res).filter(F.col("model") == res.best)
+           .orderBy(F.desc("importance"), F.asc("feature")).limit(1)
+           .select(F.col("feature").alias("top_feature"), F.col("importance").alias("top_feature_importance")))
+    return _bottleneck_report(spark, sf_dir, best.crossJoin(top))

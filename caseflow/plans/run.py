@@ -50,9 +50,8 @@ def main(argv=None) -> dict:
 
     disc = run_discovery(raw, model)
     paths = write_outputs(disc, a.out, a.fmt)
-    bott = run_bottleneck(disc["event_log_cleaned"].sparkSession.read.parquet(
-        paths["event_log_cleaned"]) if a.fmt == "parquet" else disc["event_log_cleaned"],
-        disc["case_features"], model, fit=not a.no_ml, select_by=a.select_by)
+    bott = run_bottleneck(disc["event_log_cleaned"], disc["case_features"], model,
+                          fit=not a.no_ml, select_by=a.select_by)
     paths.update(write_outputs(bott, a.out, a.fmt))
     return paths
 

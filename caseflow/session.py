@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_SCRATCH: list[str] = []  # scratch paths of this application
+
 # Settings every caseflow job relies on.  Timestamps are naive UTC
 # (TIMESTAMP_NTZ), so the session zone must not shift them when a
 # TIMESTAMP_LTZ sneaks in from a source.
@@ -47,8 +49,9 @@ def get_session(master: str | None = None, app: str = "caseflow",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) do we create one of our own.
+    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
+    and the master is this machine (tests) do we create a folder of our own;
+    on a cluster a machine-local folder would lose data, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,25 +60,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all "
+                             "executors share")
         conf_dir = tempfile.mkdtemp(prefix="caseflow-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
+    """A fresh, unique path under the shared checkpoint folder.  It is deleted
+    when the application ends or by :func:`release_scratch`."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/caseflow-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/caseflow-{name}-{uuid.uuid4().hex[:12]}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _SCRATCH.append(path)
+    return path
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch paths handed out so far; the number of them.  Call it
+    once the results that read them are written."""
+    n = 0
+    while _SCRATCH:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return n
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (test helpers only)."""
-    return path[5:] if path.startswith("file:") else path
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path",
-           "shuffle_partitions", "local_path", "DEFAULT_CONF"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "release_scratch",
+           "shuffle_partitions", "DEFAULT_CONF"]

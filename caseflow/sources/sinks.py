@@ -26,7 +26,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True).option("timestampNTZFormat", CSV_TS_FORMAT)
+        w = (w.option("header", True).option("timestampNTZFormat", CSV_TS_FORMAT)
+             .option("quote", '"').option("escape", '"').option("emptyValue", '""')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     w.format(fmt).save(path)
     return path
 
@@ -58,6 +60,18 @@ def _kv(pairs: list) -> F.Column:
     return F.array_compact(F.array(*items))
 
 
+def _more_attrs(log: DataFrame, of_case: bool) -> F.Column:
+    """The further attributes (JSON column ``attributes``) of a case or of an
+    event as key/value pairs."""
+    if "attributes" not in log.columns:
+        return F.array().cast("array<struct<_key:string,_value:string>>")
+    pairs = F.map_entries(F.coalesce(F.from_json("attributes", "map<string,string>"),
+                                     F.create_map().cast("map<string,string>")))
+    own = F.filter(pairs, lambda p: p["key"].startswith("case:") if of_case else ~p["key"].startswith("case:"))
+    return F.transform(own, lambda p: F.struct(
+        F.regexp_replace(p["key"], "^case:", "").alias("_key"), p["value"].alias("_value")))
+
+
 def write_xes(log: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Write a canonical log as XES (one ``<trace>`` per case).
 
@@ -67,11 +81,12 @@ def write_xes(log: DataFrame, path: str, mode: str = "overwrite") -> str:
     ts_text = F.concat(F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     order = F.struct(F.col(TS), F.col(SEQ), F.col(ACTIVITY))
     ev = F.struct(
-        F.col(SEQ).alias("_o"),
-        _kv([("concept:name", F.col(ACTIVITY)),
-             ("org:resource", F.col(RESOURCE) if RESOURCE in log.columns else F.lit(None)),
-             ("lifecycle:transition",
-              F.col(LIFECYCLE) if LIFECYCLE in log.columns else F.lit(None))]).alias("string"),
+        order.alias("_o"),  # time, position, activity: also right without a position
+        F.concat(_kv([("concept:name", F.col(ACTIVITY)),
+                      ("org:resource", F.col(RESOURCE) if RESOURCE in log.columns else F.lit(None)),
+                      ("lifecycle:transition",
+                       F.col(LIFECYCLE) if LIFECYCLE in log.columns else F.lit(None))]),
+                 _more_attrs(log, of_case=False)).alias("string"),
         _kv([("time:timestamp", ts_text)]).alias("date"))
     # trace attributes: first non-NULL value per case
     trace_attrs = [(k, c, kind) for k, c, kind in (
@@ -80,9 +95,11 @@ def write_xes(log: DataFrame, path: str, mode: str = "overwrite") -> str:
     traces = log.groupBy(CASE).agg(
         F.array_sort(F.collect_list(ev)).alias("_evs"),
         *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
-          for _, c, _ in trace_attrs])
+          for _, c, _ in trace_attrs],
+        F.min_by(_more_attrs(log, of_case=True), order).alias("_more"))
     t_str = _kv([("concept:name", F.col(CASE))]
                 + [(k, F.col(c)) for k, c, kind in trace_attrs if kind == "string"])
+    t_str = F.concat(t_str, F.col("_more"))
     t_float = _kv([(k, F.col(c)) for k, c, kind in trace_attrs if kind == "float"])
     out = traces.select(t_str.alias("string"), t_float.alias("float"),
                         F.transform("_evs", lambda e: F.struct(e["string"].alias("string"),

@@ -56,8 +56,16 @@ def read_xes_raw(spark: SparkSession, path: str) -> DataFrame:
             .select("trace_attrs", "event_pos", _attr_map(F.col("ev")).alias("event_attrs")))
 
 
+# Attributes that have a column of their own.
+_TRACE_NAMED = ["concept:name", "LoanGoal", "RequestedAmount", "ApplicationType"]
+_EVENT_NAMED = ["concept:name", "time:timestamp", "org:resource", "lifecycle:transition"]
+
+
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
-    """XES file(s) -> canonical event log (not yet cleaned)."""
+    """XES file(s) -> canonical event log (not yet cleaned).  All attributes
+    without a column of their own are kept in ``attributes``, a JSON object
+    (trace attributes under ``case:<key>``; NULL if there are none); use
+    :func:`attribute` to read one.  Analyses that do not use it never build it."""
     raw = read_xes_raw(spark, path)
     t, e = F.col("trace_attrs"), F.col("event_attrs")
     df = raw.select(
@@ -69,5 +77,19 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
         t["LoanGoal"].alias("loan_goal"),
         t["RequestedAmount"].try_cast("double").alias("requested_amount"),
         t["ApplicationType"].alias("application_type"),
-        F.col("event_pos").cast("long").alias("event_seq"))
+        F.col("event_pos").cast("long").alias("event_seq"),
+        _others(t, e).alias("attributes"))
     return conform(df)
+
+
+def _others(trace: F.Column, event: F.Column) -> F.Column:
+    rest = F.map_concat(
+        F.transform_keys(F.map_filter(trace, lambda k, v: ~k.isin(_TRACE_NAMED)),
+                         lambda k, v: F.concat(F.lit("case:"), k)),
+        F.map_filter(event, lambda k, v: ~k.isin(_EVENT_NAMED)))
+    return F.when(F.size(rest) > 0, F.to_json(rest))
+
+
+def attribute(key: str, column: str = "attributes") -> F.Column:
+    """One further attribute, as text."""
+    return F.from_json(F.col(column), "map<string,string>")[key]

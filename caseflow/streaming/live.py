@@ -1,31 +1,27 @@
-"""Structured Streaming versions of the log operators.
-
-The original analyses are batch jobs feeding a dashboard.  Here the same
-operators run on a growing log:
+"""The log operators on a growing log (Structured Streaming).
 
 * :func:`live_activity_frequency` / :func:`live_event_volume` -- DSC-3 and
   CHT-7 as streaming aggregations.  Exact copies (case, activity, ts) are
-  dropped with ``dropDuplicatesWithinWatermark``; state is bounded by the
-  activity vocabulary / month count.  A copy arriving later than the
-  watermark delay is counted again -- the batch job has no such limit.
-* :func:`start_refresh` -- every micro-batch is appended to the log store
-  (one folder per epoch, overwritten on retry, so a replayed epoch never
-  doubles events) and the dashboard tables are recomputed from the whole
-  store with the batch operators.
+  dropped however late they come, and no event is dropped for being late:
+  the state holds the keys seen (keep it in the RocksDB state store on a
+  cluster), so the result always equals the batch job's.
+* :func:`append_new` -- every micro-batch is appended to the log store (one
+  folder per epoch, overwritten on retry, so a replayed epoch never doubles
+  events).
+* :func:`refresh` -- appends what has arrived, then runs the batch jobs once
+  over the store; meant to be scheduled, not to run at every trigger.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from caseflow.model import REFERENCE_MODEL, ProcessModel
 from caseflow.schema import ACTIVITY, CASE, TS
 
 
-def file_stream(spark: SparkSession, folder: str, fmt: str = "parquet",
-                schema=None, glob: str | None = None,
+def file_stream(spark, folder: str, fmt: str = "parquet", schema=None, glob: str | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     """New files in ``folder`` (optionally only names matching ``glob``) as a
     stream; the schema is taken from the files when not given."""
@@ -42,72 +38,59 @@ def file_stream(spark: SparkSession, folder: str, fmt: str = "parquet",
     return s.load(folder)
 
 
-def _dedup(log: DataFrame, delay: str) -> DataFrame:
-    """Drop incomplete rows and exact copies (case, activity, ts).  Watermarks
-    need a zoned TIMESTAMP, so event time is the naive-UTC ``ts`` read as
-    UTC; ``ts`` itself stays naive."""
-    log = log.dropna(subset=[CASE, ACTIVITY, TS]).withColumn(
-        "_event_time", F.to_utc_timestamp(F.col(TS).cast("string"), "UTC"))
-    return (log.withWatermark("_event_time", delay)
-            .dropDuplicatesWithinWatermark([CASE, ACTIVITY, TS]))
+def _events(log: DataFrame) -> DataFrame:
+    """Complete events, exact copies (case, activity, ts) dropped."""
+    return log.dropna(subset=[CASE, ACTIVITY, TS]).dropDuplicates([CASE, ACTIVITY, TS])
 
 
-def live_activity_frequency(log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """DSC-3 on a stream: events per activity (complete/update mode)."""
-    return _dedup(log, delay).groupBy(ACTIVITY).agg(F.count(F.lit(1)).alias("n_events"))
+def live_activity_frequency(log: DataFrame) -> DataFrame:
+    """DSC-3 on a stream: events per activity (complete mode)."""
+    return _events(log).groupBy(ACTIVITY).agg(F.count(F.lit(1)).alias("n_events"))
 
 
-def live_event_volume(log: DataFrame, delay: str = "1 day") -> DataFrame:
+def live_event_volume(log: DataFrame) -> DataFrame:
     """CHT-7 on a stream: events per calendar month."""
-    return (_dedup(log, delay)
+    return (_events(log)
             .groupBy(F.date_format(F.date_trunc("month", TS), "yyyy-MM").alias("month"))
             .agg(F.count(F.lit(1)).alias("n_events")))
 
 
-def run_to_table(stream_df: DataFrame, name: str, checkpoint: str,
-                 mode: str = "complete", state_partitions: int | None = None) -> DataFrame:
-    """Drive a bounded-state streaming aggregate over everything available,
-    then return the result as a batch DataFrame (tests and the registered
-    query; the memory sink holds only the aggregate rows)."""
+def run_to_table(stream_df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process everything available; the aggregate after the last micro-batch
+    as a table under ``path`` (one folder per micro-batch)."""
+    done: list[int] = []
+
+    def keep(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
+        done.append(epoch)
+
+    q = (stream_df.writeStream.foreachBatch(keep).outputMode("complete")
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
     spark = stream_df.sparkSession
-    # A stateful query fixes its state partitions from spark.sql.shuffle.partitions
-    # when it first starts; size them by the cores of the cluster (the default
-    # parallelism) rather than a batch-oriented session default.
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions",
-                   str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
-        q = (stream_df.writeStream.format("memory").queryName(name).outputMode(mode)
-             .option("checkpointLocation", checkpoint).start())
-        try:
-            q.processAllAvailable()
-        finally:
-            q.stop()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    return spark.table(name)
-
-
-def start_refresh(raw_stream: DataFrame, store: str, out_dir: str, checkpoint: str,
-                  model: ProcessModel = REFERENCE_MODEL, trigger: str = "1 minute",
-                  fit_models: bool = False) -> StreamingQuery:
-    """Keep the dashboard tables current as event files arrive."""
+    if not done:
+        return spark.createDataFrame([], stream_df.schema)
+    return spark.read.parquet(f"{path.rstrip('/')}/epoch={max(done)}")
+
+
+def append_new(raw_stream: DataFrame, store: str, checkpoint: str) -> None:
+    """Append every event file that has arrived to the log store."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{store.rstrip('/')}/epoch={epoch}")
+
+    (raw_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def refresh(raw_stream: DataFrame, store: str, out_dir: str, checkpoint: str,
+            model: ProcessModel = REFERENCE_MODEL, fit_models: bool = False) -> dict:
+    """Append what has arrived, then write all tables from the store."""
     from caseflow.plans.pipelines import run_bottleneck, run_discovery, write_outputs
 
-    def batch(df: DataFrame, epoch_id: int) -> None:
-        if df.isEmpty():
-            return
-        # idempotent append: a replayed epoch overwrites its own folder
-        df.write.mode("overwrite").parquet(f"{store.rstrip('/')}/epoch={epoch_id}")
-        spark = df.sparkSession
-        whole = spark.read.parquet(store).drop("epoch")
-        disc = run_discovery(whole, model)
-        paths = write_outputs(disc, out_dir)
-        bott = run_bottleneck(spark.read.parquet(paths["event_log_cleaned"]),
-                              disc["case_features"], model, fit=fit_models)
-        write_outputs(bott, out_dir)
-
-    w = raw_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if trigger == "availableNow" else \
-        w.trigger(processingTime=trigger)
-    return w.start()
+    append_new(raw_stream, store, checkpoint)
+    whole = raw_stream.sparkSession.read.parquet(store).drop("epoch")
+    disc = run_discovery(whole, model)
+    paths = write_outputs(disc, out_dir)
+    bott = run_bottleneck(disc["event_log_cleaned"], disc["case_features"], model, fit=fit_models)
+    return {**paths, **write_outputs(bott, out_dir)}

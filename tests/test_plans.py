@@ -58,10 +58,61 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_model(spark):
-    qs, sql = E.queries(), E.oracle_sql()
-    missing = [k for k in qs if k not in sql and not k.startswith("ml_")]
-    assert missing == [] or set(missing) <= {"ml_model_comparison", "ml_feature_importance",
-                                              "ml_roc_points", "ml_confusion"}
+    from caseflow.plans.queries import QUERIES
+
+    sql = E.oracle_sql()
+    assert {k for k in QUERIES if k not in sql} == {
+        "ml_model_comparison", "ml_feature_importance", "ml_roc_points", "ml_confusion",
+        "kpi_bottleneck_report_models"}
+
+
+def test_entry_without_the_optional_subpackage():
+    """The training-data folders can be missing: the rest is registered."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    import tempfile
+
+    top = os.path.dirname(os.path.abspath(E.__file__))
+    copy = tempfile.mkdtemp(prefix="caseflow-part-")
+    shutil.copytree(os.path.join(top, "caseflow"), os.path.join(copy, "caseflow"),
+                    ignore=lambda d, names: [n for n in names if n in ("llm", "__pycache__")])
+    shutil.copy(os.path.join(top, "__spark_entry__.py"), copy)
+    code = ("import __spark_entry__ as e; from caseflow.plans.queries import QUERIES; "
+            "assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) <= set(QUERIES)")
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True,
+                   env={**os.environ, "PYTHONPATH": copy})
+
+
+@pytest.mark.parametrize("name", ["cas_case_table", "cas_duration_profile", "kpi_complexity",
+                                  "cnf_breach_by_conformance", "cht_duration_box_by_outcome"])
+def test_case_queries_expand_no_rows(spark, name):
+    assert "Expand" not in plan_text(E.queries()[name](spark, SF001))
+
+
+@pytest.mark.parametrize("name", ["cas_outcome_distribution", "cnf_breach_by_conformance",
+                                  "ml_class_balance", "kpi_outcome_sla", "cas_completed_cases"])
+def test_one_pruned_scan(spark, name):
+    """Totals come from grouped rows and flags from the same row as breaches:
+    the log is scanned once, without the columns only attributes need."""
+    txt = plan_text(E.queries()[name](spark, SF001))
+    schemas = [ln for ln in txt.splitlines() if "ReadSchema" in ln]
+    assert len(schemas) == 1, txt
+    if not name.startswith("ml_"):
+        assert "props" not in schemas[0] and "value" not in schemas[0]
+
+
+def test_variant_ranks_are_joined_without_a_broadcast_hint(spark):
+    from caseflow.operators import variants as vr
+
+    v = spark.createDataFrame([(str(i), "a" if i % 3 else "b") for i in range(30)], "case_id string, variant string")
+    ranks = spark.createDataFrame([("a", 20, 1), ("b", 10, 2)], "variant string, n_cases long, variant_rank long")
+    out = vr.attach_variants(v.select("case_id"), v, ranks)
+    logical = out._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in logical and "UnresolvedHint" not in logical
+    assert out.columns[0] == "case_id"
+    assert {(r.variant, r.variant_rank, r.is_top3_variant) for r in out.collect()} == {("a", 1, 1), ("b", 2, 1)}
 
 
 def test_entry_in_session_without_time_zone(spark):

@@ -62,19 +62,44 @@ def test_sketch_quantiles_close_to_exact(spark):
         assert abs(ex[g] - ap[g]) < 1.0
 
 
-def test_quantiles_big_groups_take_distributed_path(spark):
-    """Both paths agree: a tiny small-group bound forces the rank path for
-    the big group while the small one uses percentile."""
-    rows = [("big", float(i % 97)) for i in range(900)] + [("small", float(i)) for i in range(9)]
+def test_quantiles_of_ties_signs_and_extremes(spark):
+    """Half of the values tie; zeros, negative, tiny and huge ones."""
+    rnd = random.Random(5)
+    rows = [("big", rnd.choice([0.0, float(i % 97), -float(i % 13), 1e-300 * i, 1e300 * i]))
+            for i in range(1, 1500)]
+    rows += [("tied", 4.25)] * 500 + [("one", -3.5), (None, 1.0), (None, 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    mixed = {r["g"]: (r["m"], r["p9"]) for r in
-             quantiles(df, "v", {"m": .5, "p9": .9}, ["g"], small_group_rows=100).collect()}
-    plain = {r["g"]: (r["m"], r["p9"]) for r in
-             quantiles(df, "v", {"m": .5, "p9": .9}, ["g"]).collect()}
-    for g in ("big", "small"):
+    probs = {"p0": 0, "m": .5, "p9": .9, "p1": 1}
+    got = {r["g"]: r for r in quantiles(df, "v", probs, ["g"], extra={
+        "n": F.count, "mean": F.avg, "total": F.sum}).collect()}
+    for g in ("big", "tied", "one", None):
         vals = [v for gg, v in rows if gg == g]
-        want = (np.percentile(vals, 50), np.percentile(vals, 90))
-        assert abs(mixed[g][0] - want[0]) < 1e-9 and abs(mixed[g][1] - want[1]) < 1e-9
-        assert abs(plain[g][0] - want[0]) < 1e-9 and abs(plain[g][1] - want[1]) < 1e-9
-    glob = quantiles(df, "v", {"m": .5}, (), small_group_rows=10).first()["m"]
-    assert abs(glob - np.percentile([v for _, v in rows], 50)) < 1e-9
+        for k, p in probs.items():
+            assert np.isclose(got[g][k], np.percentile(vals, 100 * p), rtol=1e-12, atol=0)
+        assert got[g]["n"] == len(vals) and np.isclose(got[g]["mean"], np.mean(vals))
+    glob = quantiles(df, "v", {"m": .5}).first()["m"]
+    assert np.isclose(glob, np.percentile([v for _, v in rows], 50))
+
+
+def test_building_a_quantile_starts_no_job(spark):
+    df = spark.range(1000).selectExpr("id % 3 as g", "cast(id as double) as v")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy-quantiles", "no job expected")
+    try:
+        q = quantiles(df, "v", {"m": .5}, ["g"])
+        assert list(tracker.getJobIdsForGroup("lazy-quantiles")) == []
+        assert q.count() == 3
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_half_tied_values_make_no_hot_window(spark):
+    """The rows that windows and joins see are distinct values, so a value
+    that half of the rows hold is one row there."""
+    df = spark.range(40_000).selectExpr("id % 3 as g", "if(id % 2 = 0, 0.0, cast(id as double)) as v")
+    q = quantiles(df, "v", {"m": .5}, ["g"])
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "partial_count" in plan and "SinglePartition" not in plan
+    for r in q.collect():
+        want = np.percentile([0.0 if i % 2 == 0 else float(i) for i in range(40_000) if i % 3 == r.g], 50)
+        assert r.m == want
