@@ -14,9 +14,10 @@ the join runs in these steps.
    region, sizes and places in the order bound the overlap of a pair.
 3. A region of at most ``SMALL`` documents (in the first round: two) is joined
    pair by pair.  A larger one gets documents as pivots (in the first round
-   the smallest, then the smallest of each of ``PIVOTS`` hash classes), and the
+   the smallest, then the smallest of each of 4, 16, ... hash classes), and the
    distance of every member to them is computed, unless the sizes alone put
-   it beyond ``2r``.  Members within ``r`` of a pivot (its core) are
+   it beyond ``2r``.  Members that cannot be similar to any other member by
+   size and place leave first.  Members within ``r`` of a pivot (its core) are
    linked with it, so pairs inside a core need no more looking at.  By the
    triangle inequality a member of the core can only be linked to documents in
    the window ``r < d <= 2r`` around its pivot, and only members with
@@ -44,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import id_text, slices, texts, written
@@ -55,14 +56,15 @@ from caseflow.session import shuffle_partitions
 WORDS = 5
 PERCENT = 80          # similarity
 SMALL = 32            # members of a region that is joined pair by pair
-PIVOTS = 4            # of a region in each round but the first
+PIVOTS = 4            # a region has 1, 4, 16, ... pivots in its rounds
 ROUNDS = 8
-COUNT_AT = 4 << 20    # shingles that a task counts together
+COUNT_AT = 2 << 20    # shingles that a task counts together
 LOCAL_COUNT = 4       # a shingle counts as frequent from so many of them on,
 HOT_COUNT = 16        # and in all from so many documents on;
 HOT_BYTES = 1 << 20   # the most frequent ones that fit in so many bytes come last
-ENTRIES_AT = 2 << 20  # entries that a task holds before it passes them on
+ENTRIES_AT = 1 << 20  # entries that a task holds before it passes them on
 FILTER_BITS = 1 << 24
+SLICE = 2 << 20       # bytes of text in one vectorised step
 
 
 # ---- 1. sets and frequent shingles -------------------------------------------------
@@ -90,7 +92,7 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
             return out([], [], [], found[keep].view(np.int64).tolist(), count[keep].tolist())
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 sets, sizes = [], []
                 for s in shingle_sets(texts(part), words):
                     name = set_id(s) if len(s) else None
@@ -161,7 +163,7 @@ def entries(docs: DataFrame, hot, words: int, percent: int, parts: int) -> DataF
                     names=["part", "hot", *names])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 fresh = []
                 for s in shingle_sets(texts(part), words):
                     name = set_id(s) if len(s) else None
@@ -233,28 +235,29 @@ def region_pairs(e: list[np.ndarray], percent: int, small: int) -> tuple[np.ndar
 
 
 def first_regions(blocks_: DataFrame, percent: int, parts: int, small: int) -> DataFrame:
-    """(region, a, b, size): a pair of sets (region null), or a member ``a`` of
-    a region of more than ``small`` sets or of a frequent shingle (b null) and
-    its size."""
+    """(region, a, b, size, rest): a pair of sets (region null), or a member
+    ``a`` of a region of more than ``small`` sets or of a frequent shingle
+    (b null), its size and the number of its shingles from this one on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (np.uint64, np.int64, np.int32, np.int32)
         held: list[list[np.ndarray]] = []
 
-        def rows(region, a, b, size):
+        def rows(region, a, b, size, place):
             n = len(a)
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(n, pa.int64()) if region is None else pa.array(region.view(np.int64)), pa.array(a),
                  pa.nulls(n, pa.int64()) if b is None else pa.array(b),
-                 pa.nulls(n, pa.int64()) if size is None else pa.array(size.astype(np.int64))],
-                names=["region", "a", "b", "size"])
+                 pa.nulls(n, pa.int64()) if size is None else pa.array(size.astype(np.int64)),
+                 pa.nulls(n, pa.int64()) if size is None else pa.array((size - place).astype(np.int64))],
+                names=["region", "a", "b", "size", "rest"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 e = [np.frombuffer(batch.column(c)[i].as_py(), k) for c, k in
                      zip(("shingle", "set", "place", "size"), kinds)]
                 if batch.column("hot")[i].as_py():
-                    yield rows(e[0], e[1], None, e[3])
+                    yield rows(e[0], e[1], None, e[3], e[2])
                 else:
                     held.append(e)
         if held:
@@ -268,13 +271,13 @@ def first_regions(blocks_: DataFrame, percent: int, parts: int, small: int) -> D
             n = np.diff(np.r_[at, len(e[0])])
             n = np.repeat(n, n)
             large = n > small
-            yield rows(e[0][large], e[1][large], None, e[3][large])
+            yield rows(e[0][large], e[1][large], None, e[3][large], e[2][large])
             few = (n > 1) & ~large
             a, b = region_pairs([x[few] for x in e], percent, small)
-            yield rows(None, a, b, None)
+            yield rows(None, a, b, None, None)
 
     dealt = blocks_.repartitionById(parts, F.col("part"))
-    return dealt.drop("part").mapInArrow(run, "region long, a long, b long, size long")
+    return dealt.drop("part").mapInArrow(run, "region long, a long, b long, size long, rest long")
 
 
 # ---- 3. distances and regions with pivots ------------------------------------------
@@ -298,7 +301,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, needed: DataFrame, words: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = wide.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 out = {}
                 for s, doc in zip(shingle_sets(texts(part), words), part.column("doc_id").to_pylist()):
                     if len(s):
@@ -339,14 +342,27 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d double, linked boolean"))
 
 
+def useful(regions: DataFrame, percent: int) -> DataFrame:
+    """Members that sizes and places let be similar to some member.  A pair
+    that meets first in this region needs an overlap that both its members
+    still hold from here on; another member is no smaller than the region's
+    smallest and holds no more than the region's largest rest."""
+    bound = regions.groupBy("region").agg(F.min("size").alias("least"), F.max("rest").alias("most"))
+    need = percent * (F.col("size") + F.greatest("least", F.ceil(F.col("size") * percent / 100)))
+    return (regions.join(bound, "region").where(F.least("rest", "most") * (100 + percent) >= need)
+            .select("region", "a", "size", "rest"))
+
+
 def different(regions: DataFrame) -> DataFrame:
-    """Regions (region, a, size) with the same members are one, and those with one
-    member are none.  Members are compared by their number and two 64-bit
-    digests."""
+    """Regions (region, a, size, rest) with the same members are one, and those
+    with one member are none.  Members are compared by their number and two
+    64-bit digests; of its rests a member keeps the largest."""
     own = regions.groupBy("region").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a")).alias("x"),
         F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y")).where("n > 1")
-    return regions.join(own.groupBy("n", "x", "y").agg(F.min("region").alias("region")), "region").select("region", "a", "size")
+    same = own.withColumn("first", F.min("region").over(Window.partitionBy("n", "x", "y"))).select("region", "first")
+    return (regions.join(same, "region").groupBy(F.col("first").alias("region"), "a", "size")
+            .agg(F.max("rest").alias("rest")))
 
 
 def split_regions(regions: DataFrame, comp: DataFrame, round_: int,
@@ -361,9 +377,10 @@ def split_regions(regions: DataFrame, comp: DataFrame, round_: int,
     known = written(known.join(state, "region"), "regions")
     small = known.where(F.col("n") <= size)
     pairs = small.alias("l").join(small.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").where(
-        close("l.size", "r.size", percent / 100)).select(F.col("l.a").alias("a"), F.col("r.a").alias("b"))
+        (F.least("l.rest", "r.rest") * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size")))
+        & close("l.size", "r.size", percent / 100)).select(F.col("l.a").alias("a"), F.col("r.a").alias("b"))
     large = known.where(F.col("n") > size).drop("n")
-    salt = F.pmod(F.xxhash64("a", F.lit(round_)), F.lit(PIVOTS if round_ else 1))
+    salt = F.pmod(F.xxhash64("a", F.lit(round_)), F.lit(PIVOTS ** round_))
     pivots = large.groupBy("region", salt.alias("salt")).agg(F.min(F.struct("a", "size")).alias("p")).select(
         "region", F.col("p.a").alias("b"), F.col("p.size").alias("b_size"))
     return pairs, large.drop("comp"), pivots
@@ -383,14 +400,15 @@ def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, r: flo
           .join(pivots.select("region", F.col("b").alias("a"), F.lit(True).alias("is_pivot")), ["region", "a"], "left")
           .where("is_pivot is null").drop("is_pivot"))
     to = written(to, "to-pivots")
-    home = to.groupBy("region", "a", "size").agg(F.max("linked").alias("in_core"), F.min(F.struct("d", "b")).alias("h"))
-    outer = home.where("not in_core").select(F.xxhash64("region", F.lit(-1)).alias("region"), "a", "size")
+    home = to.groupBy("region", "a", "size", "rest").agg(F.max("linked").alias("in_core"), F.min(F.struct("d", "b")).alias("h"))
+    outer = home.where("not in_core").select(F.xxhash64("region", F.lit(-1)).alias("region"), "a", "size", "rest")
     window = to.where(~F.col("linked") & (F.col("d") <= 2 * r + slack))
     inner = F.xxhash64("region", "b").alias("region")
     least = window.groupBy("region", "b").agg(F.min("d").alias("m"))
-    core = (home.where("in_core").select("region", "a", "size", F.col("h.b").alias("b"), F.col("h.d").alias("d"))
+    core = (home.where("in_core").select("region", "a", "size", "rest", F.col("h.b").alias("b"), F.col("h.d").alias("d"))
             .join(least, ["region", "b"]).where(F.col("d") >= F.col("m") - r - slack))
-    return outer.union(core.select(inner, "a", "size")).union(window.select(inner, "a", "size")).distinct()
+    return outer.union(core.select(inner, "a", "size", "rest")).union(
+        window.select(inner, "a", "size", "rest")).distinct()
 
 
 # ---- 4. the join --------------------------------------------------------------------
@@ -404,7 +422,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, words: int,
     found = written(first_regions(entries(docs, spark.sparkContext.broadcast(hot), words, percent, parts),
                                   percent, parts, small), "regions")
     pairs = found.where("region is null").select("a", "b").distinct()
-    regions = written(different(found.where("region is not null").select("region", "a", "size").distinct()), "regions")
+    regions = written(different(useful(
+        found.where("region is not null").select("region", "a", "size", "rest").distinct(), percent)), "regions")
     r, round_ = 1 - percent / 100, 0
     ends = written(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "needed")
     links = written(distances(pairs, sets_of(docs, rows, ends, words), percent).where("linked").select("a", "b"), "links")
@@ -429,7 +448,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, words: int,
         links = links.union(new)
         if not left:
             return links
-        regions = different(next_regions(members, pivots, known, r))
+        regions = different(useful(next_regions(members, pivots, known, r), percent))
         comp = written(components(links), "components")
         round_ += 1
 

@@ -17,8 +17,8 @@ from caseflow.llm.packing import pack
 from caseflow.llm.queries import SEQUENCE, word_tokenizer
 from caseflow.llm.secret_scan import redact
 
-# A language answer below this probability counts as no answer.
-LEAST_SCORE = 0.4
+# A language answer below this probability is little more than a guess.
+LEAST_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
