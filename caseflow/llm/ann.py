@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.llm.common import quoted
 from caseflow.llm.vectors import blocks, cells, vector_rows
 
 SAMPLE = 8000
@@ -164,10 +165,14 @@ def learn(x: np.ndarray, depth: int = DEPTH, target: float = TARGET) -> tuple[Ro
 
 
 def sample(df: DataFrame, id_col: str, vec_col: str) -> np.ndarray:
-    """At most ``SAMPLE`` vectors, those with the smallest hash of their id."""
-    rows = vector_rows(df, id_col, vec_col, lambda ids, m: {
+    """At most ``SAMPLE`` vectors, those with the smallest hash of their id.
+    A share of the hashes, sized by the number of rows, is sent to the driver;
+    it holds a quarter more than wanted."""
+    share = min(1.0, 1.25 * SAMPLE / max(df.count(), 1))
+    some = df.where(F.pmod(F.xxhash64(F.col(quoted(id_col)).cast("long")), F.lit(1_000_000)) < share * 1_000_000)
+    rows = vector_rows(some, id_col, vec_col, lambda ids, m: {
         "key": np.zeros(len(ids), np.int64), "ord": np.zeros(len(ids)), "vec": m.astype("<f8")})
-    got = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("dim", "vec").collect()
+    got = rows.orderBy(F.pmod(F.xxhash64("id"), F.lit(1_000_000)), F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("dim", "vec").collect()
     if not got:
         return np.zeros((0, 0))
     dims = [r.dim for r in got]

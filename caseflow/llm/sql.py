@@ -36,3 +36,33 @@ r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLE["op5_jaccard_metric_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+x AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS m FROM w),
+u AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, i, m, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o,
+                                   lead(word, 3) OVER o, lead(word, 4) OVER o) AS g
+    FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  WHERE i <= greatest(m - 4, 1)),
+n AS (
+  SELECT w.doc_id, count(u.g) AS n FROM w LEFT JOIN u ON u.doc_id = w.doc_id GROUP BY w.doc_id),
+c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (
+  SELECT doc_id, doc_id AS t FROM n
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON r.t = l.a)
+SELECT r.doc_id, n.n AS n_shingles, min(t) AS component_id
+FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id, n.n
+"""

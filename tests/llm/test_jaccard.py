@@ -73,6 +73,15 @@ def test_equals_brute_force(spark, small, hot_count):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_what_the_rounds_leave_is_joined(spark, monkeypatch):
+    from caseflow.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    rows = [(i, t) for i, t in enumerate(family_texts(5)) if i % 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, jaccard_join(df, small=2, hot_count=4).collect()), key=str) == brute(rows)
+
+
 def test_edge_rows(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, " ONE "), (None, "one"), (6, long), (7, long + " x"),
