@@ -12,8 +12,8 @@ the join runs in these steps.
    replicated into these regions.  Shingles that many documents hold come last
    in the order (counted over all documents), so regions stay small.  In a
    region, sizes and places in the order bound the overlap of a pair.
-3. A region of at most ``SMALL`` documents (in the first round: two) is joined
-   pair by pair.  A larger one gets documents as pivots (in the first round
+3. A region of at most ``SMALL`` documents is joined pair by pair, unless it is
+   dense.  The others get documents as pivots (in the first round
    the smallest, then the smallest of each of 4, 16, ... hash classes), and the
    distance of every member to them is computed, unless the sizes alone put
    it beyond ``2r``.  Members that cannot be similar to any other member by
@@ -365,25 +365,38 @@ def different(regions: DataFrame) -> DataFrame:
             .agg(F.max("rest").alias("rest")))
 
 
-def split_regions(regions: DataFrame, comp: DataFrame, round_: int,
-                  size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the regions (region, a, size) that are not yet connected: the pairs
-    of the small ones that sizes allow, the members of the large ones, and
-    these regions' pivots (region, b, b_size)."""
-    known = regions.join(comp.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn(
-        "comp", F.coalesce("comp", "a"))
+def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small: int,
+                  percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the regions (region, a, size, rest) that are not yet connected: the
+    pairs of the small ones that sizes and places allow, the members of the
+    others, and these regions' pivots (region, b, b_size).  A small region in
+    which more than two pairs a member are left is dense; in the first round,
+    where nothing is connected yet, it gets a pivot too."""
+    known = regions.withColumn("comp", F.col("a"))
+    if comp is not None:
+        known = regions.join(comp.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn(
+            "comp", F.coalesce("comp", "a"))
     state = known.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"),
                                         F.max("comp").alias("y")).where("x <> y").select("region", "n")
     known = written(known.join(state, "region"), "regions")
-    small = known.where(F.col("n") <= size)
-    pairs = small.alias("l").join(small.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").where(
+    few = known.where(F.col("n") <= small)
+    pairs = few.alias("l").join(few.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").where(
         (F.least("l.rest", "r.rest") * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size")))
-        & close("l.size", "r.size", percent / 100)).select(F.col("l.a").alias("a"), F.col("r.a").alias("b"))
-    large = known.where(F.col("n") > size).drop("n")
+        & close("l.size", "r.size", percent / 100)).select("region", F.col("l.a").alias("a"), F.col("r.a").alias("b"))
+    large = known.where(F.col("n") > small).select("region", "a", "size", "rest")
+    if not round_:
+        pairs = written(pairs, "small-pairs")
+        ends = pairs.select("region", "a").union(pairs.select("region", "b")).groupBy("region", "a").count()
+        dense = ends.groupBy("region").agg(F.sum("count").alias("c"), F.count(F.lit(1)).alias("m")).where(
+            "c > 4 * m").select("region")
+        inside = few.join(ends.join(dense, "region").select("region", "a"), ["region", "a"], "left_semi")
+        large = large.union(inside.select("region", "a", "size", "rest"))
+        pairs = pairs.join(dense, "region", "left_anti")
+    large = written(large, "members")
     salt = F.pmod(F.xxhash64("a", F.lit(round_)), F.lit(PIVOTS ** round_))
     pivots = large.groupBy("region", salt.alias("salt")).agg(F.min(F.struct("a", "size")).alias("p")).select(
         "region", F.col("p.a").alias("b"), F.col("p.size").alias("b_size"))
-    return pairs, large.drop("comp"), pivots
+    return pairs.select("a", "b"), large, written(pivots, "pivots")
 
 
 def close(n: str, m: str, least: float):
@@ -424,32 +437,30 @@ def similar_links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, words: int,
     pairs = found.where("region is null").select("a", "b").distinct()
     regions = written(different(useful(
         found.where("region is not null").select("region", "a", "size", "rest").distinct(), percent)), "regions")
-    r, round_ = 1 - percent / 100, 0
-    ends = written(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "needed")
-    links = written(distances(pairs, sets_of(docs, rows, ends, words), percent).where("linked").select("a", "b"), "links")
-    if regions.isEmpty():
-        return links
-    comp = written(components(links), "components")
-    sets = written(sets_of(docs, rows, regions.select(F.col("a").alias("set")).distinct(), words), "sets")
+    r, round_, comp, links, sets = 1 - percent / 100, 0, None, None, None
     while True:
-        more, members, pivots = split_regions(regions, comp, round_, small if round_ else 2, percent)
-        members, pivots = written(members, "members"), written(pivots, "pivots")
+        more, members, pivots = split_regions(regions, comp, round_, small, percent)
         left = not members.isEmpty()
         if left and round_ >= ROUNDS:  # an exact way for what is left
             more = more.union(members.alias("l").join(members.alias("r"), "region").where("l.a < r.a").select(
                 F.col("l.a").alias("a"), F.col("r.a").alias("b")))
             left = False
-        todo = more
+        todo = more if round_ else pairs.union(more)
         if left:
             todo = todo.union(members.join(pivots, "region").where("a <> b").where(
                 close("size", "b_size", 1 - 2 * r)).select("a", "b"))
-        known = written(distances(todo.distinct(), sets, percent), "distances")
+        todo = written(todo.distinct(), "pairs")
+        if not round_:  # shuffled once for both ends of the pairs
+            sets = sets_of(docs, rows, todo.select(F.col("a").alias("set")).union(todo.select("b")).distinct(), words)
+        known = written(distances(todo, sets, percent), "distances")
         new = known.where("linked").select("a", "b")
-        links = links.union(new)
+        links = new if links is None else links.union(new)
         if not left:
             return links
-        regions = different(useful(next_regions(members, pivots, known, r), percent))
+        regions = written(different(useful(next_regions(members, pivots, known, r), percent)), "regions")
         comp = written(components(links), "components")
+        if not round_:  # later regions only hold members of these
+            sets = written(sets_of(docs, rows, regions.select(F.col("a").alias("set")).distinct(), words), "sets")
         round_ += 1
 
 
