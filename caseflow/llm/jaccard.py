@@ -365,6 +365,14 @@ def different(regions: DataFrame) -> DataFrame:
             .agg(F.max("rest").alias("rest")))
 
 
+def unconnected(regions: DataFrame, comp: DataFrame) -> DataFrame:
+    """Regions whose members are not all in one component, with ``comp``."""
+    known = regions.join(comp.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn(
+        "comp", F.coalesce("comp", "a"))
+    state = known.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    return known.join(state.where("x <> y").select("region"), "region")
+
+
 def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small: int,
                   percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the regions (region, a, size, rest) that are not yet connected: the
@@ -372,13 +380,9 @@ def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small
     others, and these regions' pivots (region, b, b_size).  A small region in
     which more than two pairs a member are left is dense; in the first round,
     where nothing is connected yet, it gets a pivot too."""
-    known = regions.withColumn("comp", F.col("a"))
-    if comp is not None:
-        known = regions.join(comp.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn(
-            "comp", F.coalesce("comp", "a"))
-    state = known.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"),
-                                        F.max("comp").alias("y")).where("x <> y").select("region", "n")
-    known = written(known.join(state, "region"), "regions")
+    known = regions if comp is not None else regions.withColumn("comp", F.col("a"))
+    count = known.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = written(known.join(count, "region"), "regions")
     few = known.where(F.col("n") <= small)
     pairs = few.alias("l").join(few.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").where(
         (F.least("l.rest", "r.rest") * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size")))
@@ -457,8 +461,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, words: int,
         links = new if links is None else links.union(new)
         if not left:
             return links
-        regions = written(different(useful(next_regions(members, pivots, known, r), percent)), "regions")
         comp = written(components(links), "components")
+        regions = written(unconnected(different(useful(next_regions(members, pivots, known, r), percent)), comp),
+                          "regions")
         if not round_:  # later regions only hold members of these
             sets = written(sets_of(docs, rows, regions.select(F.col("a").alias("set")).distinct(), words), "sets")
         round_ += 1
