@@ -1,9 +1,10 @@
 """License scan by patience alignment of texts with license templates.
 
 Words are runs of ASCII letters and digits, lower-cased.  A document is looked
-at if it holds at least ``COVERAGE`` of a template's distinct words.  Its words
-that occur in the template form clusters (gaps of up to ``GAP`` other words);
-a cluster is aligned with the template: the words that occur once in both are
+at if the words it holds stand at ``COVERAGE`` of a template's places at least,
+since no more can be aligned.  Its words that occur in the template form
+clusters (gaps of up to ``GAP`` other words); a cluster for which the same
+holds is aligned with the template: the words that occur once in both are
 anchors, the longest increasing subsequence of their places is kept, and the
 stretches between the anchors are aligned in the same way (equal words at
 their ends first).  The share of the
@@ -119,7 +120,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 def hits(words: list[str], template: list[str], need: float = COVERAGE) -> list[tuple[int, int, int]]:
     """(first word, last word, aligned words) of the hits of one template."""
-    known, least = set(template), need * len(template)
+    known, least = Counter(template), need * len(template)
     places = [i for i, w in enumerate(words) if w in known]
     clusters, start = [], 0
     for k in range(1, len(places) + 1):
@@ -129,7 +130,7 @@ def hits(words: list[str], template: list[str], need: float = COVERAGE) -> list[
     out = []
     while clusters:
         a, b = clusters.pop()
-        if b - a < least or len(known.intersection(words[a:b])) < need * len(known):
+        if b - a < least or sum(known[w] for w in set(words[a:b])) < least:
             continue
         pairs = align(words[a:b], template)
         # aligned words far from their neighbours belong to other text
@@ -161,14 +162,15 @@ class Scanner:
     def __init__(self, templates: dict[str, str], need: float):
         self.need = need
         self.templates = {k: WORD.findall(v.lower()) for k, v in templates.items()}
-        self.distinct = {k: set(v) for k, v in self.templates.items()}
-        every = sorted(set().union(*self.distinct.values()))
+        places = [Counter(v) for v in self.templates.values()]
+        every = sorted(set().union(*places))
         self.every = pa.array(every)
-        self.member = np.array([[w in self.distinct[k] for k in self.templates] for w in every], bool)
-        self.least = np.array([need * len(self.distinct[k]) for k in self.templates])
+        self.places = np.array([[c[w] for c in places] for w in every], float)
+        self.least = np.array([need * len(v) for v in self.templates.values()])
 
     def candidates(self, data: pa.Array) -> np.ndarray:
-        """Texts by templates: are there enough distinct words of the template?"""
+        """Texts by templates: do the text's words stand at enough of the
+        template's places?  (No alignment has more words than that.)"""
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(data), "[^a-z0-9]+", " "))
         words = lists.flatten().dictionary_encode()
         of_word = pc.fill_null(pc.index_in(words.dictionary, self.every), -1).to_numpy(zero_copy_only=False)
@@ -176,7 +178,7 @@ class Scanner:
         doc = np.repeat(np.arange(len(data)), np.diff(lists.offsets.to_numpy()))
         pair = np.unique(doc[code >= 0].astype(np.int64) * len(self.every) + code[code >= 0])
         count = np.zeros((len(data), len(self.least)))
-        np.add.at(count, pair // len(self.every), self.member[pair % len(self.every)])
+        np.add.at(count, pair // len(self.every), self.places[pair % len(self.every)])
         return count >= self.least
 
     def scan(self, data: pa.Array) -> list[list[dict]]:

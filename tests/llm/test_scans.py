@@ -53,6 +53,17 @@ def test_long_notice_with_edits():
     assert all(f[2] < 0.9 for f in found(swapped) if f[0] == "mit")
 
 
+@pytest.mark.parametrize("name, n", [("mit", 14), ("apache-header", 13), ("gpl-header", 9), ("isc", 8)])
+def test_notice_with_once_only_words_replaced(name, n):
+    words = WORD.findall(TEMPLATES[name].lower())
+    once = [i for i, w in enumerate(words) if words.count(w) == 1]
+    for i in once[::len(once) // n][:n]:
+        words[i] = "changed"
+    assert len(words) - n >= 0.75 * len(words)
+    (span, share), = [f[1:] for f in found("head\n" + " ".join(words) + "\ntail") if f[0] == name]
+    assert share == (len(words) - n) / len(words)
+
+
 def test_hits_do_not_overlap():
     r = np.random.default_rng(0)
     t = WORD.findall(TEMPLATES["gpl-notice"].lower())
