@@ -152,6 +152,11 @@ def test_piece_query(spark):
         assert r.round_trip and r.parity is not False
 
 
+def test_piece_query_checks_every_row(spark):
+    got = QUERIES["op7_tokenizers_sentencepiece"](spark, SF001).collect()
+    assert got and all(r.parity is True and r.round_trip for r in got)
+
+
 # ---- pipeline ---------------------------------------------------------------------------
 
 def test_stages_on_the_documents(spark):
