@@ -35,9 +35,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (also of repeated rows); rows
-    without words stay.  Rows are told apart by their place in the input."""
+    without words stay.  Rows are told apart by their place in the input, a
+    number that is written with them: another scan may be split otherwise."""
     row = free_name(docs, "_row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     told = jaccard_join(rows, id_col=row)
     gone = written(told.where("component_id <> doc_id").select(F.col("doc_id").alias(row)), "near-copies")
     return rows.join(gone, row, "left_anti").select(*columns_of(docs))

@@ -201,3 +201,21 @@ def test_stages_edge_rows(spark, tmp_dir):
             assert "password" not in r.text and "[secret]" in r.text and r.n_chars == len(r.text)
     assert corpus_pipeline.packed(spark, docs, tmp_dir).where("doc_id = 203").count() == 1
     assert corpus_pipeline.packed(spark, docs.limit(0), tmp_dir).collect() == []
+
+
+def test_row_numbers_stay_when_files_are_split_otherwise(spark, tmp_dir):
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(30))) for i in range(40)]
+    df = spark.createDataFrame([x for x in rows for _ in range(1 + x[0] % 2)], "doc_id long, text string")
+    df.repartition(8, "doc_id").write.parquet(f"{tmp_dir}/docs")
+    name, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(name, "64k")
+        docs = spark.read.parquet(f"{tmp_dir}/docs")
+        split = docs.rdd.getNumPartitions()
+        one = corpus_pipeline.one_of_each_group(spark, docs, tmp_dir)
+        spark.conf.set(name, old)
+        assert spark.read.parquet(f"{tmp_dir}/docs").rdd.getNumPartitions() != split
+        assert sorted(x.doc_id for x in one.collect()) == list(range(40))
+    finally:
+        spark.conf.set(name, old)
