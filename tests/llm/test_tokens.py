@@ -35,6 +35,12 @@ def test_encoder_on_odd_texts():
     assert own(["", ""]) == [[], []]
 
 
+def test_encoder_on_capitals_that_compose_in_lower_case_only():
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = pairs + [f"The {p}ABC,{p} End" for p in pairs] + ["J\u0323\u030c", "T\u0344", "E\u0301 I\u0307"]
+    assert own(texts) == library(texts)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" ab.,'!é<|>\n0sS")), max_size=60),
                 min_size=1, max_size=4))
