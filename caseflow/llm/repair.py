@@ -4,7 +4,7 @@ Documents are encoded in ascending order of their id; the ids of a shard (a
 run of whole documents, ``SHARD_TOKENS`` ids or one longer document) are
 compressed by pair replacement: the frequent adjacent pairs of symbols are
 counted, each gets a nonterminal, its occurrences are replaced, and so on with
-the new sequence until no pair is frequent.  A shard stores the rules, the
+the new sequence until no pair occurs ``MIN_COUNT`` times.  A shard stores the rules, the
 expansion length of every nonterminal and the expanded position of every
 ``STEP``-th symbol, so a range of ids is decoded without the rest.
 
@@ -41,7 +41,6 @@ SHARD_TOKENS = 1 << 20
 STEP = 256
 MIN_COUNT = 16  # a pair that occurs less often gets no rule
 FALL = 16       # pairs within this factor of the most frequent one share a pass
-LEAST_GAIN = 0.01  # the last pass saves less than this share of the symbols
 SLOTS = 1 << 20  # hash slots for counting pairs
 SPREAD, SPREAD_SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 NO_PAIR = np.uint64(2**64 - 1)
@@ -66,11 +65,10 @@ def _disjoint(rank: np.ndarray, none: int) -> np.ndarray:
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, rules (pairs of symbols) and the first nonterminal."""
     first = int(ids.max()) + 1 if len(ids) else 0
-    room = max(0, (1 << 16) - first) or (1 << 16)
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
     slot_key, slot_rank = np.full(SLOTS, NO_PAIR), np.zeros(SLOTS, np.int32)
     limit = len(seq)
-    while len(seq) > 1 and len(rules) < room:
+    while len(seq) > 1:
         pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         slot = (pair * SPREAD >> SPREAD_SHIFT).view(np.int64)
         # a slot's count bounds the count of each of its pairs from above
@@ -82,7 +80,7 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         run = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][:len(ordered)])
         count = np.diff(np.r_[run, len(ordered)])
         frequent = np.flatnonzero(count >= limit)
-        frequent = frequent[np.argsort(-count[frequent], kind="stable")][:room - len(rules)]
+        frequent = frequent[np.argsort(-count[frequent], kind="stable")]
         keys = ordered[run[frequent]]
         own = (keys * SPREAD >> SPREAD_SHIFT).view(np.int64)[::-1]
         slot_key[own] = keys[::-1]  # of pairs in one slot the most frequent; others wait a pass
@@ -93,7 +91,7 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         where = _disjoint(rank, len(keys))
         used = np.bincount(rank[where], minlength=len(keys)) > 2
         where = where[used[rank[where]]] if len(keys) else where
-        if len(where) < LEAST_GAIN * len(seq) and limit == MIN_COUNT:
+        if not len(where) and limit == MIN_COUNT:
             break
         name = np.cumsum(used) - 1 + first + len(rules)
         seq[where] = name[rank[where]]

@@ -162,6 +162,19 @@ def test_grammar_compresses_and_stays_whole():
     assert (Shard(to_payload(ids, np.array([0]))).ids() == ids).all()
 
 
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(1)
+    few = r.integers(0, 49408, 40_000).astype(np.uint32)
+    few[np.arange(40) * 1000], few[np.arange(40) * 1000 + 1] = 3, 4  # less than 1 % of the ids
+    many = np.tile(r.permutation(65_500)[:3000].astype(np.uint32), 20)
+    many[0] = 65_530  # leaves five numbers of two bytes
+    for ids in (few, many):
+        seq, rules, first = compress(ids)
+        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        assert np.unique(pairs, return_counts=True)[1].max(initial=0) < repair.MIN_COUNT
+        assert (Shard(to_payload(ids, np.array([0]))).ids() == ids).all()
+
+
 def test_shards_edge_rows(spark, tmp_dir):
     df = spark.createDataFrame(rows_for(TEXTS), "doc_id long, text string, part string, shard long").repartition(4)
     write_shards(df, word_tokenizer(), f"{tmp_dir}/shards")
