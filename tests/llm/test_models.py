@@ -157,6 +157,25 @@ def test_piece_query_checks_every_row(spark):
     assert got and all(r.parity is True and r.round_trip for r in got)
 
 
+def test_threads_stay_on(monkeypatch):
+    import os
+
+    from caseflow.llm import pieces
+
+    class Docs:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+    monkeypatch.setenv("RAYON_NUM_THREADS", "1")
+    monkeypatch.setattr(pieces, "id_text", lambda *a: Docs)
+    codec.cache_clear()
+    run = encode_pieces(None, piece_model(), threads=2)
+    assert list(run([pa.record_batch({"doc_id": [1, 2], "text": ["a b", None]})]))
+    assert parity(piece_model(), ["a b"], threads=2) == []
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "true"
+    codec.cache_clear()
+
+
 # ---- pipeline ---------------------------------------------------------------------------
 
 def test_stages_on_the_documents(spark):
