@@ -7,9 +7,9 @@ the scores of a window; the scores of a document are their mean, weighted by
 the windows' bytes, so every byte of the text counts.
 
 The network is trained in numpy on the driver with a bounded sample of the
-labelled rows (about ``SAMPLE_PER_LANG`` documents for each of the
-``MAX_LANGS`` most frequent values and ``WINDOWS_PER_DOC`` windows each,
-chosen by a hash of the id); everything else runs over all rows.
+labelled rows (about ``SAMPLE_PER_LANG`` documents for each value and
+``WINDOWS_PER_DOC`` windows each, chosen by a hash of the id); everything else
+runs over all rows.
 
 Defined results: null text or one without a letter gives ``und`` and score 0,
 as does a table without any labelled row; a null id is not learned from and
@@ -35,7 +35,6 @@ FILTERS = 16
 BYTE_DIM = 8
 SAMPLE_PER_LANG = 600
 WINDOWS_PER_DOC = 4
-MAX_LANGS = 64
 UNKNOWN = "und"
 
 
@@ -164,8 +163,7 @@ def learn(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col:
     rows = docs.where(learn_from).select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"),
         F.xxhash64(F.col(f"`{key}`")).alias("h")).where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count()
-              .orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return [], None

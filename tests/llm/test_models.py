@@ -65,6 +65,12 @@ def test_language_edge_rows(spark):
     assert identify(df.limit(0), langs, net).collect() == []
 
 
+def test_every_language_is_a_class(spark):
+    rows = [(i, f"word{i % 70} " * 9, f"l{i % 70:02}") for i in range(70 * 8)]
+    langs, net = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), label_rows())
+    assert langs == sorted({r[2] for r in rows}) and net.p["bias"].size == 70
+
+
 def test_scores_of_nothing():
     assert document_scores(ByteNet(2), pa.array([], pa.string())).shape == (0, 2)
 
