@@ -114,6 +114,32 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
 
 
+def op11_ternary_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.prefix_trie import prefix_trie, rebuilt
+
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.whitening import fit, whiten
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit(vectors)).select(
+        "vec_id", F.posexplode("components").alias("place", "c"), "n", "deviation", "identity_error").select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", F.expr("try_cast(deviation AS long)").alias("deviation"),
+        F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+def op13_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseflow.llm.toxicity import held_out, learn, learn_rows, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"), learn_rows())
+    return score(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "log_ratio", "worst_ratio")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_re_pair_shards": op2_re_pair_shards,
@@ -125,4 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_convolution_language": op8_byte_convolution_language,
     "op9_digest_url_filter": op9_digest_url_filter,
     "op10_learned_partitions": op10_learned_partitions,
+    "op11_ternary_prefix_trie": op11_ternary_prefix_trie,
+    "op12_feast_whitening": op12_feast_whitening,
+    "op13_kneser_ney_toxicity": op13_kneser_ney_toxicity,
 }

@@ -66,3 +66,47 @@ r AS (
 SELECT r.doc_id, n.n AS n_shingles, min(t) AS component_id
 FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id, n.n
 """
+
+# crc32 of the decimal id, bit by bit
+ORACLE["op11_ternary_prefix_trie"] = r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii((c::VARCHAR)[i])::BIGINT)),
+      lambda x, y: list_reduce(
+        list_prepend(xor(x, y), list_transform(range(8), lambda i: 0::BIGINT)),
+        lambda a, b: xor(a >> 1, (a & 1) * 3988292384))), 4294967295::BIGINT) % 9 AS h
+  FROM ids),
+reb AS (
+  SELECT h.c, o.i AS p, o.role, o.text FROM h JOIN own o ON o.c = h.base AND o.i <= h.h
+  UNION ALL
+  SELECT h.c, 1000000 + o.i, o.role, o.text FROM h JOIN own o ON o.c = h.c AND o.i > h.h),
+pre AS (
+  SELECT c, row_number() OVER w AS d, strlen(text) AS bytes,
+         md5(string_agg(md5(length(role) || ':' || role || text), ',') OVER (
+           PARTITION BY c ORDER BY p ROWS UNBOUNDED PRECEDING)) AS k
+  FROM reb WINDOW w AS (PARTITION BY c ORDER BY p)),
+path AS (
+  SELECT c, d, k, bytes, lag(k, 1, 'root') OVER (PARTITION BY c ORDER BY d) AS up,
+         count(*) OVER (PARTITION BY c) = d AS ends FROM pre
+  UNION ALL
+  SELECT c, 0, 'root', 0, NULL, NOT EXISTS (SELECT 1 FROM reb WHERE reb.c = ids.c) FROM ids),
+node AS (
+  SELECT k, any_value(d) AS d, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM path GROUP BY k),
+child AS (SELECT up, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+sums AS (
+  SELECT a.k, sum(CASE WHEN child.up IS NULL THEN 1 ELSE 0 END) AS leaves,
+         sum(CASE WHEN x.d = 0 THEN 0 ELSE (x.n - 1) * x.bytes END) AS saved
+  FROM node x LEFT JOIN child ON child.up = x.k JOIN path a ON a.c = x.c AND a.d <= x.d GROUP BY a.k)
+SELECT node.c AS conv_id, node.d::BIGINT AS depth, up.c AS parent_conv_id, node.n::BIGINT AS n_convs,
+       coalesce(child.n, 0)::BIGINT AS n_children, sums.leaves::BIGINT AS n_leaves, sums.saved::BIGINT AS saved_tokens,
+       node.ends_sha256
+FROM node JOIN sums ON sums.k = node.k LEFT JOIN child ON child.up = node.k LEFT JOIN node up ON up.k = node.up
+"""
