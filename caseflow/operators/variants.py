@@ -1,11 +1,11 @@
 """Process variants (DSC-1..6, WIN-4..6, JN-2/3).
 
-The variant of a case is its ordered activity list joined by ' → '.  It is
-built in two levels: each (case, time slice) sorts only its own events, then
-the case concatenates its slices in slice order, so no task sorts a whole
-long case.  Ranks are global positions by (cases desc, variant text asc)
-computed with the distributed position operator (never a single-partition
-window over all variants).
+The variant of a case is its ordered activity list joined by ' → '.  Variants
+are counted, ranked and joined by digest (``operators.digests``): two numbers
+and a length.  The text is built for one case of a variant only, and only
+where it is asked for or decides: by the sinks, and among variants with equally
+many cases, which rank by text.  Building it takes two levels: each (case, time
+slice) sorts only its own events, then the case puts its slices together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.classify import rank_bucket, rank_bucket_order
 from caseflow.functions.text import short_text
-from caseflow.model import VARIANT_SEPARATOR
+from caseflow.model import RANK_BUCKETS, VARIANT_SEPARATOR
+from caseflow.operators.digests import KEY
 from caseflow.operators.ranking import positions
 from caseflow.operators.sequence import with_slice
 from caseflow.operators.util import share_of_all
@@ -39,37 +40,73 @@ def case_variants(log: DataFrame, slice_hours: int = 24,
                                        separator).alias("variant")))
 
 
-def variant_counts(variants: DataFrame) -> DataFrame:
-    """DSC-2: cases per variant (map-side combined; hot variants are fine)."""
-    return variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"))
+def variant_counts(digests: DataFrame) -> DataFrame:
+    """DSC-2: ``d1, d2, n_events, n_cases`` and ``case_id``, the smallest case
+    of the variant, from :func:`case_digests` (map-side combined; hot variants
+    are fine)."""
+    return digests.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_cases"), F.min(CASE).alias(CASE))
 
 
-def variant_ranks(counts: DataFrame) -> DataFrame:
-    """WIN-4: ``variant, n_cases, variant_rank`` -- 1 = most frequent,
-    consecutive positions, ties by variant text ascending."""
-    return positions(counts, [F.desc("n_cases"), F.asc("variant")], name="variant_rank")
+def variant_texts(log: DataFrame, counts: DataFrame, slice_hours: int = 24) -> DataFrame:
+    """``counts`` with ``variant``, built from each variant's smallest case."""
+    chosen = log.join(counts.select(CASE), CASE, "left_semi")
+    return counts.join(case_variants(chosen, slice_hours), CASE)
 
 
-def _variant_key() -> list:
-    """128 bits that stand for a variant text in joins."""
-    return [F.xxhash64("variant").alias("_h1"), F.xxhash64("variant", F.lit(1)).alias("_h2")]
+def _classes(counts: DataFrame) -> DataFrame:
+    """Variants by number of cases, with the variants that come before and how
+    many of those share their number of cases with others.  The numbers of
+    cases that occur are few: k of them need k * k / 2 cases."""
+    per = counts.groupBy("n_cases").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy(F.desc("n_cases")).rowsBetween(Window.unboundedPreceding, -1)
+    tied = F.when(F.col("_size") > 1, F.col("_size")).otherwise(0)
+    return per.select("n_cases", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+                      F.coalesce(F.sum(tied).over(before), F.lit(0)).alias("_tied_before"))
 
 
-def attach_variants(cases: DataFrame, variants: DataFrame, ranks: DataFrame) -> DataFrame:
-    """JN-2/JN-3 and WIN-5: variant, rank and top-3/top-10 flags per case.
+def variant_ranks(counts: DataFrame, log: DataFrame, slice_hours: int = 24) -> DataFrame:
+    """WIN-4: ``counts`` with ``variant_rank`` -- 1 = most frequent, consecutive
+    positions, ties by variant text ascending -- and without a text: that of
+    variants with a number of cases of their own is never built, that of the
+    others is sorted with nothing but its case."""
+    classed = counts.join(_classes(counts), "n_cases")
+    alone = classed.where("_size = 1").select(CASE, (F.col("_before") + 1).cast("long").alias("variant_rank"))
+    tied = classed.where("_size > 1").select(CASE, "n_cases", (F.col("_before") - F.col("_tied_before")).alias("_unique"))
+    placed = positions(variant_texts(log, tied, slice_hours), [F.desc("n_cases"), F.asc("variant")], name="_pos")
+    ranks = alone.unionByName(placed.select(CASE, (F.col("_unique") + F.col("_pos")).alias("variant_rank")))
+    return counts.join(ranks, CASE)
 
-    Ranks are joined by a 128-bit hash of the variant, never by its text, and
-    the text is attached last, so the join a hot variant skews moves case
-    keys and two numbers only; adaptive execution splits its partition."""
-    key = ["_h1", "_h2"]
-    ranked = (variants.select(CASE, *_variant_key())
-              .join(ranks.select("variant_rank", *_variant_key()), key, "left").select(CASE, "variant_rank"))
-    out = cases.join(variants, CASE, "left").join(ranked, CASE, "left")
+
+def ranked_variants(counts: DataFrame, log: DataFrame, slice_hours: int = 24) -> DataFrame:
+    """``variant, n_cases, variant_rank`` for the sink: every text once."""
+    return variant_texts(log, variant_ranks(counts, log, slice_hours), slice_hours).select(
+        "variant", "n_cases", "variant_rank")
+
+
+def first_variants(counts: DataFrame, log: DataFrame, k: int, slice_hours: int = 24) -> DataFrame:
+    """The ``k`` first variants with rank and text.  Texts are built for the
+    variants whose number of cases is among the ``k`` largest only."""
+    least = counts.orderBy(F.desc("n_cases")).limit(k).agg(F.min("n_cases").alias("_least"))
+    near = counts.crossJoin(F.broadcast(least)).where("n_cases >= _least").drop("_least")
+    top = (variant_texts(log, near, slice_hours).orderBy(F.desc("n_cases"), F.asc("variant")).limit(k))
+    w = Window.orderBy(F.desc("n_cases"), F.asc("variant"))  # over k rows
+    return top.withColumn("variant_rank", F.row_number().over(w).cast("long"))
+
+
+def attach_variants(cases: DataFrame, digests: DataFrame, ranks: DataFrame) -> DataFrame:
+    """JN-2/JN-3 and WIN-5: variant (if ``ranks`` has it), rank and top-3/top-10
+    flags per case.
+
+    Ranks are joined by digest; adaptive execution splits the partition of a
+    hot variant."""
+    text = ["variant"] if "variant" in ranks.columns else []
+    known = digests.join(ranks.select(*KEY, "variant_rank", *text), KEY, "left").select(CASE, *text, "variant_rank")
+    out = cases.join(known, CASE, "left")
     out = (out.withColumn("is_top3_variant", (F.col("variant_rank") <= 3).cast("int"))
               .withColumn("is_top10_variant", (F.col("variant_rank") <= 10).cast("int")))
     out = out.fillna(0, subset=["is_top3_variant", "is_top10_variant"])
     # the case key stays first
-    return out.select(*cases.columns, "variant", "variant_rank", "is_top3_variant", "is_top10_variant")
+    return out.select(*cases.columns, *text, "variant_rank", "is_top3_variant", "is_top10_variant")
 
 
 def activity_frequency(log: DataFrame, k: int | None = None) -> DataFrame:
@@ -84,32 +121,31 @@ def activity_frequency(log: DataFrame, k: int | None = None) -> DataFrame:
             .withColumn("activity_rank", F.row_number().over(w).cast("long")))
 
 
-def _top(counts: DataFrame, k: int) -> DataFrame:
-    """Top-k variants (TakeOrderedAndProject: k rows per task, then k)."""
-    return counts.orderBy(F.desc("n_cases"), F.asc("variant")).limit(k)
+def _largest(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` largest numbers of cases (TakeOrderedAndProject: k rows per
+    task, then k); which of equal ones does not matter."""
+    return counts.select("n_cases").orderBy(F.desc("n_cases")).limit(k)
 
 
 def variant_coverage(counts: DataFrame) -> DataFrame:
     """DSC-4: number of variants and cases, share of the top 3 / top 10."""
     tot = counts.agg(F.count(F.lit(1)).alias("n_variants"),
                      F.sum("n_cases").cast("long").alias("n_cases"))
-    t3 = _top(counts, 3).agg(F.sum("n_cases").alias("_t3"))
-    t10 = _top(counts, 10).agg(F.sum("n_cases").alias("_t10"))
-    return (F.broadcast(tot).crossJoin(F.broadcast(t3)).crossJoin(F.broadcast(t10))
+    w = Window.orderBy(F.desc("n_cases"))  # over 10 rows
+    top = _largest(counts, 10).withColumn("_r", F.row_number().over(w)).agg(
+        F.sum(F.when(F.col("_r") <= 3, F.col("n_cases"))).alias("_t3"), F.sum("n_cases").alias("_t10"))
+    return (F.broadcast(tot).crossJoin(F.broadcast(top))
             .select("n_variants", "n_cases",
                     (F.col("_t3") / F.col("n_cases") * 100).alias("top3_share_pct"),
                     (F.col("_t10") / F.col("n_cases") * 100).alias("top10_share_pct"),
                     (100 - F.col("_t3") / F.col("n_cases") * 100).alias("tail_share_pct")))
 
 
-def top_variants(counts: DataFrame, k: int = 5) -> DataFrame:
+def top_variants(counts: DataFrame, log: DataFrame, k: int = 5, slice_hours: int = 24) -> DataFrame:
     """DSC-5: the k most frequent variants with rank, share and short text."""
     tot = counts.agg(F.sum("n_cases").alias("_tot"))
-    top = _top(counts, k)
-    w = Window.orderBy(F.desc("n_cases"), F.asc("variant"))  # over k rows
-    return (top.crossJoin(F.broadcast(tot))
-            .select(F.row_number().over(w).cast("long").alias("variant_rank"),
-                    "variant", "n_cases",
+    return (first_variants(counts, log, k, slice_hours).crossJoin(F.broadcast(tot))
+            .select("variant_rank", "variant", "n_cases",
                     (F.col("n_cases") / F.col("_tot") * 100).alias("share_pct"),
                     short_text("variant").alias("variant_short")))
 
@@ -117,15 +153,22 @@ def top_variants(counts: DataFrame, k: int = 5) -> DataFrame:
 def variant_pareto(counts: DataFrame, k: int = 20) -> DataFrame:
     """WIN-6 / CHT-8: top-k variants with cumulative coverage of all cases."""
     tot = counts.agg(F.sum("n_cases").alias("_tot"))
-    top = _top(counts, k)
-    w = Window.orderBy(F.desc("n_cases"), F.asc("variant"))  # over k rows
-    return (top.crossJoin(F.broadcast(tot))
+    w = Window.orderBy(F.desc("n_cases"))  # over k rows; equal ones are equal in every column
+    return (_largest(counts, k).crossJoin(F.broadcast(tot))
             .select(F.row_number().over(w).cast("long").alias("variant_rank"), "n_cases",
                     (F.sum("n_cases").over(w.rowsBetween(Window.unboundedPreceding, 0))
                      / F.col("_tot") * 100).alias("cumulative_pct"))
             .withColumn("above_80", (F.col("cumulative_pct") >= 80).cast("int")))
 
 
+def bucket_ranks(counts: DataFrame, log: DataFrame, slice_hours: int = 24) -> DataFrame:
+    """``counts`` with a ``variant_rank`` that is right up to the last bounded
+    rank bucket and null beyond: what DSC-6 needs."""
+    last = RANK_BUCKETS[-1][0]
+    first = first_variants(counts, log, last, slice_hours).select(CASE, "variant_rank")
+    return counts.join(F.broadcast(first), CASE, "left")  # at most ``last`` rows
+
+
 def breach_by_rank_bucket(cases_with_rank: DataFrame) -> DataFrame:
     """DSC-6: SLA-breach rate (%) per variant-rank bucket, present buckets
     only, with the display order."""

@@ -16,6 +16,7 @@ from caseflow.operators import cases as cs
 from caseflow.operators import charts as ch
 from caseflow.operators import clean as cl
 from caseflow.operators import conformance as cf
+from caseflow.operators import digests as dg
 from caseflow.operators import kpi
 from caseflow.operators import ml
 from caseflow.operators import rework as rw
@@ -37,19 +38,20 @@ def run_discovery(raw_log: DataFrame, model: ProcessModel = REFERENCE_MODEL,
     if model.completed_only:
         # one population for the log, the variants and the cases
         log = log.join(cases.select(CASE), CASE, "left_semi")
-    variants = materialised(vr.case_variants(log, model.slice_hours), "variants")   # read twice
-    counts = materialised(vr.variant_counts(variants), "variant-counts")
-    ranks = vr.variant_ranks(counts)
-    cases_v = materialised(vr.attach_variants(cases, variants, ranks), "cases")
+    digests = materialised(dg.case_digests(log, model.slice_hours), "digests")   # read twice
+    counts = materialised(vr.variant_counts(digests), "variant-counts")
+    ranks = materialised(vr.variant_texts(log, vr.variant_ranks(counts, log, model.slice_hours),
+                                          model.slice_hours), "variant-ranks")
+    cases_v = materialised(vr.attach_variants(cases, digests, ranks), "cases")
     exact = model.exact_quantiles
     return {
         "event_log_cleaned": log,
         "case_features": cases_v,
         "clean_profile": cl.clean_profile(raw_log, log),
-        "variant_counts": ranks,
+        "variant_counts": ranks.select("variant", "n_cases", "variant_rank"),
         "activity_frequency": vr.activity_frequency(log),
         "variant_coverage": vr.variant_coverage(counts),
-        "top_variants": vr.top_variants(counts, 5),
+        "top_variants": vr.top_variants(counts, log, 5, model.slice_hours),
         "variant_pareto": vr.variant_pareto(counts, 20),
         "breach_by_rank_bucket": vr.breach_by_rank_bucket(cases_v),
         "duration_profile": cs.duration_profile(cases_v, exact),

@@ -102,6 +102,7 @@ def q_transition_waits(spark, sf_dir):
 
 from caseflow.operators import cases as cs  # noqa: E402
 from caseflow.operators import conformance as cf  # noqa: E402
+from caseflow.operators import digests as dg  # noqa: E402
 from caseflow.operators import rework as rw  # noqa: E402
 from caseflow.operators import variants as vr  # noqa: E402
 
@@ -140,27 +141,38 @@ def q_completed(spark, sf_dir):
 
 # --- 2.6 variants ----------------------------------------------------------------
 
-def _variants(spark, sf_dir, materialise: bool = False):
-    v = vr.case_variants(clean_log(spark, sf_dir, NO_ATTRS), MODEL.slice_hours)
-    # read twice (counts/ranks and the per-case attach): build it once
-    return materialised(v, "variants") if materialise else v
+def _digests(spark, sf_dir):
+    return dg.case_digests(clean_log(spark, sf_dir, NO_ATTRS), MODEL.slice_hours)
 
 
-def _ranks(spark, sf_dir):
-    return vr.variant_ranks(vr.variant_counts(_variants(spark, sf_dir)))
+def _counts(spark, sf_dir):
+    return vr.variant_counts(_digests(spark, sf_dir))
+
+
+def _variant_tables(spark, sf_dir):
+    """Clean log, digests and counts, each written once: ranks read all of
+    them more than once."""
+    log = materialised(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")
+    digests = materialised(dg.case_digests(log, MODEL.slice_hours), "digests")
+    return log, digests, materialised(vr.variant_counts(digests), "variant-counts")
+
+
+def _ranked(log, counts):
+    """Ranks and texts of all variants."""
+    return vr.variant_texts(log, vr.variant_ranks(counts, log, MODEL.slice_hours), MODEL.slice_hours)
 
 
 @register("var_case_variants")
 def q_case_variants(spark, sf_dir):
-    variants = _variants(spark, sf_dir, materialise=True)
-    ranks = vr.variant_ranks(vr.variant_counts(variants))
-    out = vr.attach_variants(variants.select("case_id"), variants, ranks)
+    log, digests, counts = _variant_tables(spark, sf_dir)
+    out = vr.attach_variants(digests.select("case_id"), digests, _ranked(log, counts))
     return out.select("case_id", "variant", "variant_rank", "is_top3_variant", "is_top10_variant")
 
 
 @register("var_counts")
 def q_variant_counts(spark, sf_dir):
-    return _ranks(spark, sf_dir).select("variant", "n_cases", "variant_rank")
+    log, _, counts = _variant_tables(spark, sf_dir)
+    return vr.ranked_variants(counts, log, MODEL.slice_hours)
 
 
 @register("var_activity_frequency")
@@ -170,24 +182,25 @@ def q_activity_frequency(spark, sf_dir):
 
 @register("var_coverage")
 def q_coverage(spark, sf_dir):
-    return rounded(vr.variant_coverage(vr.variant_counts(_variants(spark, sf_dir))))
+    return rounded(vr.variant_coverage(_counts(spark, sf_dir)))
 
 
 @register("var_top5")
 def q_top5(spark, sf_dir):
-    return rounded(vr.top_variants(vr.variant_counts(_variants(spark, sf_dir)), 5))
+    log, _, counts = _variant_tables(spark, sf_dir)
+    return rounded(vr.top_variants(counts, log, 5, MODEL.slice_hours))
 
 
 @register("var_pareto")
 def q_pareto(spark, sf_dir):
-    return rounded(vr.variant_pareto(vr.variant_counts(_variants(spark, sf_dir)), 20))
+    return rounded(vr.variant_pareto(_counts(spark, sf_dir), 20))
 
 
 @register("var_breach_by_rank_bucket")
 def q_breach_by_bucket(spark, sf_dir):
-    cases = _cases(spark, sf_dir).select("case_id", "sla_breach")
-    variants = _variants(spark, sf_dir, materialise=True)
-    cv = vr.attach_variants(cases, variants, vr.variant_ranks(vr.variant_counts(variants)))
+    log, digests, counts = _variant_tables(spark, sf_dir)
+    cases = cs.case_table(cs.case_aggregates(log, MODEL), MODEL).select("case_id", "sla_breach")
+    cv = vr.attach_variants(cases, digests, vr.bucket_ranks(counts, log, MODEL.slice_hours))
     return rounded(vr.breach_by_rank_bucket(cv))
 
 
@@ -307,8 +320,8 @@ def q_wait_box(spark, sf_dir):
 def q_kpi_discovery(spark, sf_dir):
     log = materialised(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")  # three branches read it
     cases = cs.case_table(cs.case_aggregates(log, MODEL), MODEL)
-    variants = vr.case_variants(log, MODEL.slice_hours)
-    return rounded(kpi.discovery_summary(log, cases, vr.variant_counts(variants)))
+    counts = vr.variant_counts(dg.case_digests(log, MODEL.slice_hours))
+    return rounded(kpi.discovery_summary(log, cases, counts))
 
 
 def _bottleneck_report(spark, sf_dir, ml_row=None):
@@ -369,9 +382,8 @@ def q_csv_event_roundtrip(spark, sf_dir):
 def q_csv_case_roundtrip(spark, sf_dir):
     """SNK-1 (CSV) then SRC-3: the case table with its variants, as the
     discovery job writes it, through CSV."""
-    variants = _variants(spark, sf_dir, materialise=True)
-    full = vr.attach_variants(_cases(spark, sf_dir, CASE_ATTRS), variants,
-                              vr.variant_ranks(vr.variant_counts(variants)))
+    log, digests, counts = _variant_tables(spark, sf_dir)
+    full = vr.attach_variants(_cases(spark, sf_dir, CASE_ATTRS), digests, _ranked(log, counts))
     path = sinks.write_table(full, scratch_path(spark, "casecsv"), "csv")
     back = csv_src.read_case_csv(spark, path)
     return rounded(back.withColumn("case_start", format_ts("case_start"))
@@ -409,8 +421,9 @@ def q_orders_bottleneck(spark, sf_dir):
 @register("adp_conversation_variants")
 def q_conversation_variants(spark, sf_dir):
     """Conversations as a log (role per turn): variant counts and ranks."""
-    log = cl.clean(adapters.conversations_log(adapters.table(spark, sf_dir, "conversations")), ())
-    return vr.variant_ranks(vr.variant_counts(vr.case_variants(log)))
+    log = materialised(cl.clean(adapters.conversations_log(adapters.table(spark, sf_dir, "conversations")), ()),
+                       "clean-log")
+    return vr.ranked_variants(materialised(vr.variant_counts(dg.case_digests(log)), "variant-counts"), log)
 
 
 @register("adp_user_case_table")

@@ -9,6 +9,7 @@ from caseflow.operators import cases as cs
 from caseflow.operators import charts as ch
 from caseflow.operators import clean as cl
 from caseflow.operators import conformance as cf
+from caseflow.operators import digests as dg
 from caseflow.operators import variants as vr
 from caseflow.operators import waits
 
@@ -22,7 +23,7 @@ def test_empty_log(spark):
     assert cs.build_case_table(log, M).count() == 0
     st = waits.bottleneck_stats(waits.valid_transitions(waits.transitions(log, M), M), M)
     assert st.count() == 0
-    assert vr.variant_ranks(vr.variant_counts(vr.case_variants(log))).count() == 0
+    assert vr.ranked_variants(vr.variant_counts(dg.case_digests(log)), log).count() == 0
     rate = cf.conformance_rate(cf.conformance(cs.case_aggregates(log, M), M)).first()
     assert rate["conformance_rate_pct"] is None and rate["n_cases"] == 0
 

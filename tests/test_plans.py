@@ -106,8 +106,10 @@ def test_one_pruned_scan(spark, name):
 def test_variant_ranks_are_joined_without_a_broadcast_hint(spark):
     from caseflow.operators import variants as vr
 
-    v = spark.createDataFrame([(str(i), "a" if i % 3 else "b") for i in range(30)], "case_id string, variant string")
-    ranks = spark.createDataFrame([("a", 20, 1), ("b", 10, 2)], "variant string, n_cases long, variant_rank long")
+    v = spark.createDataFrame([(str(i), 1 if i % 3 else 2, 0, 1) for i in range(30)],
+                              "case_id string, d1 long, d2 long, n_events long")
+    ranks = spark.createDataFrame([(1, 0, 1, "a", 20, 1), (2, 0, 1, "b", 10, 2)],
+                                  "d1 long, d2 long, n_events long, variant string, n_cases long, variant_rank long")
     out = vr.attach_variants(v.select("case_id"), v, ranks)
     logical = out._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in logical and "UnresolvedHint" not in logical
@@ -125,10 +127,10 @@ def test_entry_in_session_without_time_zone(spark):
 
 
 def test_variant_build_reads_only_needed_columns(spark):
-    """var_case_variants reads a materialised variant table; the build
-    behind it scans only what it needs."""
+    """The queries read materialised tables; the build of the digests behind
+    them scans only what it needs."""
     from caseflow.plans import queries as Q
 
-    txt = plan_text(Q._variants(spark, SF001))
+    txt = plan_text(Q._counts(spark, SF001))
     schemas = [ln for ln in txt.splitlines() if "ReadSchema" in ln]
     assert schemas and all("props" not in ln and "value:double" not in ln for ln in schemas)
