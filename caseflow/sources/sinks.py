@@ -6,7 +6,13 @@ passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import re
+from collections.abc import Iterator
+from xml.sax.saxutils import quoteattr
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,58 +59,64 @@ def sanitize_for_export(df: DataFrame, ts_format: str = "yyyy-MM-dd HH:mm:ss") -
     return df.select(*cols)
 
 
-def _kv(pairs: list) -> F.Column:
-    """array<struct<_key,_value>> of the non-NULL (key, value) pairs."""
-    items = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("_key"), v.cast("string").alias("_value")))
-             for k, v in pairs]
-    return F.array_compact(F.array(*items))
-
-
-def _more_attrs(log: DataFrame, of_case: bool) -> F.Column:
-    """The further attributes (JSON column ``attributes``) of a case or of an
-    event as key/value pairs."""
-    if "attributes" not in log.columns:
-        return F.array().cast("array<struct<_key:string,_value:string>>")
-    pairs = F.map_entries(F.coalesce(F.from_json("attributes", "map<string,string>"),
-                                     F.create_map().cast("map<string,string>")))
-    own = F.filter(pairs, lambda p: p["key"].startswith("case:") if of_case else ~p["key"].startswith("case:"))
-    return F.transform(own, lambda p: F.struct(
-        F.regexp_replace(p["key"], "^case:", "").alias("_key"), p["value"].alias("_value")))
+# columns that become attributes of the trace: key, column, kind
+_TRACE_COLUMNS = (("LoanGoal", "loan_goal", "string"), ("ApplicationType", "application_type", "string"),
+                  ("RequestedAmount", "requested_amount", "float"))
+_XML_BAD = re.compile("[^\\t\\n\\r\\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def _attr(kind: str, key: str, value: str) -> str:
+    """One attribute element; line breaks and tabs as character references."""
+    return f"<{kind} key={quoteattr(_XML_BAD.sub('\ufffd', key))} value={quoteattr(_XML_BAD.sub('\ufffd', value))}/>"
+
+
+def _xes_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events sorted by case and time -> the lines of one XES document.  It
+    opens and closes traces while rows pass and holds one batch at a time."""
+    case, lines = None, ['<?xml version="1.0" encoding="UTF-8"?>', '<log xes.version="1.0">']
+    started = False
+    for batch in batches:
+        rows = batch.to_pylist()
+        started = started or bool(rows)
+        for r in rows:
+            if r["case"] != case:
+                if case is not None:
+                    lines.append("</trace>")
+                case = r["case"]
+                lines += ["<trace>", _attr("string", "concept:name", case)]
+                lines += [_attr(kind, key, r[c]) for key, c, kind in _TRACE_COLUMNS if r.get(c) is not None]
+                lines += [_attr("string", k.removeprefix("case:"), str(v)) for k, v in
+                          json.loads(r["of_case"] or "{}").items() if k.startswith("case:") and v is not None]
+            own = [("string", "concept:name", r["activity"]), ("string", "org:resource", r.get("resource")),
+                   ("string", "lifecycle:transition", r.get("lifecycle")), ("date", "time:timestamp", r["time"])]
+            more = json.loads(r["attributes"] or "{}")
+            own += [("string", k, str(v)) for k, v in more.items() if not k.startswith("case:") and v is not None]
+            lines.append("<event>" + "".join(_attr(*a) for a in own if a[2] is not None) + "</event>")
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        lines = []
+    if started:
+        yield pa.RecordBatch.from_arrays([pa.array([*lines, "</trace>", "</log>"], pa.string())], names=["value"])
 
 
 def write_xes(log: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Write a canonical log as XES (one ``<trace>`` per case).
+    """Write a canonical log as XES, one document a task.
 
-    XES nests the events of a case inside its trace element, so each case
-    becomes one row here; for very large cases prefer the parquet sink.
+    The cases are dealt by key and sorted by time, which spills, and a task
+    writes the lines of its document while the sorted rows pass, so its memory
+    does not depend on the length of a case.  Spark's text writer commits whole
+    files: a task that is tried again leaves no half trace.
     """
-    ts_text = F.concat(F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
-    order = F.struct(F.col(TS), F.col(SEQ), F.col(ACTIVITY))
-    ev = F.struct(
-        order.alias("_o"),  # time, position, activity: also right without a position
-        F.concat(_kv([("concept:name", F.col(ACTIVITY)),
-                      ("org:resource", F.col(RESOURCE) if RESOURCE in log.columns else F.lit(None)),
-                      ("lifecycle:transition",
-                       F.col(LIFECYCLE) if LIFECYCLE in log.columns else F.lit(None))]),
-                 _more_attrs(log, of_case=False)).alias("string"),
-        _kv([("time:timestamp", ts_text)]).alias("date"))
-    # trace attributes: first non-NULL value per case
-    trace_attrs = [(k, c, kind) for k, c, kind in (
-        ("LoanGoal", "loan_goal", "string"), ("ApplicationType", "application_type", "string"),
-        ("RequestedAmount", "requested_amount", "float")) if c in log.columns]
-    traces = log.groupBy(CASE).agg(
-        F.array_sort(F.collect_list(ev)).alias("_evs"),
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
-          for _, c, _ in trace_attrs],
-        F.min_by(_more_attrs(log, of_case=True), order).alias("_more"))
-    t_str = _kv([("concept:name", F.col(CASE))]
-                + [(k, F.col(c)) for k, c, kind in trace_attrs if kind == "string"])
-    t_str = F.concat(t_str, F.col("_more"))
-    t_float = _kv([(k, F.col(c)) for k, c, kind in trace_attrs if kind == "float"])
-    out = traces.select(t_str.alias("string"), t_float.alias("float"),
-                        F.transform("_evs", lambda e: F.struct(e["string"].alias("string"),
-                                                               e["date"].alias("date")))
-                        .alias("event"))
-    (out.write.mode(mode).format("xml").option("rootTag", "log").option("rowTag", "trace")
-     .option("attributePrefix", "_").save(path))
+    text = F.concat(F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    order = [c for c in (TS, SEQ, ACTIVITY) if c in log.columns]
+    dealt = log.repartition(CASE).sortWithinPartitions(CASE, *order)
+    # of a trace: the first value that is not null, over the same partitioning and order
+    whole = Window.partitionBy(CASE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    extra = F.col("attributes") if "attributes" in log.columns else F.lit(None).cast("string")
+    rows = dealt.select(
+        F.col(CASE).alias("case"), F.col(ACTIVITY).alias("activity"), text.alias("time"),
+        *[F.col(c).alias(n) for c, n in ((RESOURCE, "resource"), (LIFECYCLE, "lifecycle")) if c in log.columns],
+        extra.alias("attributes"), F.first(extra).over(whole).alias("of_case"),
+        *[F.first(F.col(c), ignorenulls=True).over(whole).cast("string").alias(c)
+          for _, c, _ in _TRACE_COLUMNS if c in log.columns])
+    rows.mapInArrow(_xes_lines, "value string").write.mode(mode).text(path)
     return path
