@@ -83,8 +83,7 @@ def squeeze_loan_goal(df: DataFrame, col: str = LOAN_GOAL) -> DataFrame:
     return df.withColumn(col, squeeze_whitespace(col))
 
 
-def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24,
-          layout: bool = False) -> DataFrame:
+def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24) -> DataFrame:
     """CLN-1..4 on a canonical or XES-named log.
 
     ``keep`` names the attribute columns to carry besides case, activity, ts
@@ -93,15 +92,9 @@ def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24
     pass only what the analysis needs and the scan/shuffle shrink with it.
 
     The log always carries ``ts_slice`` (the slice is a function of ts, so
-    adding it to the dedup key changes nothing).  With ``layout`` the
-    deduplicated log is also hash-partitioned on ``(case_id, ts_slice)``:
-    worth it when the log is materialised once and feeds many sequence
-    operators (the end-to-end jobs), because the checkpoint keeps that
-    partitioning and every window, slice summary and variant piece reads it
-    without a shuffle.  Aggregation-only analyses skip it (it would be one
-    more full shuffle of the log); a standalone sequence operator gets the
-    same exchange from its own window.  Either way a case holding a large
-    share of the log is spread over as many tasks as it has time slices.
+    adding it to the dedup key changes nothing).  A log that feeds several
+    sequence operators is best written bucketed by case and slice
+    (``util.bucketed``), as the end-to-end jobs do.
     """
     df = rename_to_canonical(standardise_case_column(df))
     if keep is not None:
@@ -112,9 +105,8 @@ def clean(df: DataFrame, keep: list | tuple | None = None, slice_hours: int = 24
     df = df.withColumn(SLICE, ts_slice(TS, slice_hours))
     # Spark plans the dedup with a partial (map-side) aggregation, so a group
     # of copies holding a large share of the rows is collapsed before any
-    # shuffle; only then is the deduplicated log laid out, if asked
-    out = dedup_events(df, key=(CASE, SLICE, ACTIVITY, TS))
-    return out.repartition(CASE, SLICE) if layout else out
+    # shuffle
+    return dedup_events(df, key=(CASE, SLICE, ACTIVITY, TS))
 
 
 def clean_profile(raw: DataFrame, cleaned: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.schema import ACTIVITY, CASE, SEQ, SLICE, TS
+from caseflow.session import scratch_table, shuffle_partitions
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (never a
@@ -30,3 +33,20 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(log: DataFrame, name: str, keys: tuple = (CASE, SLICE), order: tuple = (TS, SEQ, ACTIVITY),
+             buckets: int | None = None) -> DataFrame:
+    """``log`` written once as a table bucketed by ``keys`` and sorted, below the
+    shared checkpoint folder, and read back: windows and aggregations by these
+    keys (or more) read it without a shuffle of the log.  The one shuffle is
+    that of the write.  With case and time slice as keys, a case holding a large
+    share of the log is spread over as many buckets as it has slices."""
+    spark = log.sparkSession
+    n = buckets or shuffle_partitions(spark)
+    table, path = scratch_table(spark, name)
+    order = [c for c in order if c in log.columns and c not in keys]
+    # dealt like the buckets, so that each task writes the files of its own
+    (log.repartition(n, *keys).write.option("path", path).format("parquet")
+     .bucketBy(n, *keys).sortBy(*keys, *order).saveAsTable(table))
+    return spark.table(table)

@@ -4,6 +4,8 @@ summary) and bottleneck (waits -> rework -> models -> conformance -> summary).
 Shared inputs are written once as Parquet below the cluster's
 ``spark.checkpoint.dir``: the branches that read them prune columns at the
 scan, plans do not grow, and a lost executor only costs reading files again.
+The clean log is bucketed by case and time slice, so its sequence operators
+read it without another shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from caseflow.operators import rework as rw
 from caseflow.operators import variants as vr
 from caseflow.operators import waits
 from caseflow.operators.sequence import with_slice
-from caseflow.operators.util import materialised
+from caseflow.operators.util import bucketed, materialised
 from caseflow.schema import ACTIVITY, CASE
 from caseflow.sources import sinks
 
@@ -32,12 +34,12 @@ def run_discovery(raw_log: DataFrame, model: ProcessModel = REFERENCE_MODEL,
                   keep: list | tuple | None = None) -> dict:
     """Everything the discovery step produces, as lazy DataFrames (the
     clean log, case table and variant counts are already materialised)."""
-    log = materialised(cl.clean(raw_log, keep, model.slice_hours), "clean-log")
+    log = bucketed(cl.clean(raw_log, keep, model.slice_hours), "clean-log")
     aggs = cs.case_aggregates(log, model)
     cases = cs.case_table(aggs, model)
     if model.completed_only:
         # one population for the log, the variants and the cases
-        log = log.join(cases.select(CASE), CASE, "left_semi")
+        log = bucketed(log.join(cases.select(CASE), CASE, "left_semi"), "completed-log")
     digests = materialised(dg.case_digests(log, model.slice_hours), "digests")   # read twice
     counts = materialised(vr.variant_counts(digests), "variant-counts")
     ranks = materialised(vr.variant_texts(log, vr.variant_ranks(counts, log, model.slice_hours),

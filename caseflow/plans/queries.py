@@ -15,7 +15,7 @@ from caseflow.functions.time import format_ts
 from caseflow.model import EVENTS_MODEL
 from caseflow.operators import clean as cl
 from caseflow.operators import waits
-from caseflow.operators.util import materialised
+from caseflow.operators.util import bucketed, materialised
 from caseflow.sources import adapters
 
 MODEL = EVENTS_MODEL
@@ -152,7 +152,7 @@ def _counts(spark, sf_dir):
 def _variant_tables(spark, sf_dir):
     """Clean log, digests and counts, each written once: ranks read all of
     them more than once."""
-    log = materialised(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")
+    log = bucketed(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")
     digests = materialised(dg.case_digests(log, MODEL.slice_hours), "digests")
     return log, digests, materialised(vr.variant_counts(digests), "variant-counts")
 
@@ -318,14 +318,14 @@ def q_wait_box(spark, sf_dir):
 
 @register("kpi_discovery_summary")
 def q_kpi_discovery(spark, sf_dir):
-    log = materialised(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")  # three branches read it
+    log = bucketed(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")  # three branches read it
     cases = cs.case_table(cs.case_aggregates(log, MODEL), MODEL)
     counts = vr.variant_counts(dg.case_digests(log, MODEL.slice_hours))
     return rounded(kpi.discovery_summary(log, cases, counts))
 
 
 def _bottleneck_report(spark, sf_dir, ml_row=None):
-    log = materialised(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")  # three branches read it
+    log = bucketed(clean_log(spark, sf_dir, NO_ATTRS), "clean-log")  # three branches read it
     st = waits.bottleneck_stats(waits.valid_transitions(waits.transitions(log, MODEL), MODEL), MODEL)
     conf = cf.conformance(cs.case_aggregates(log, MODEL), MODEL)
     return kpi.bottleneck_summary(st, rw.rework_prevalence(rw.activity_counts(log)),
@@ -421,8 +421,8 @@ def q_orders_bottleneck(spark, sf_dir):
 @register("adp_conversation_variants")
 def q_conversation_variants(spark, sf_dir):
     """Conversations as a log (role per turn): variant counts and ranks."""
-    log = materialised(cl.clean(adapters.conversations_log(adapters.table(spark, sf_dir, "conversations")), ()),
-                       "clean-log")
+    log = bucketed(cl.clean(adapters.conversations_log(adapters.table(spark, sf_dir, "conversations")), ()),
+                   "clean-log")
     return vr.ranked_variants(materialised(vr.variant_counts(dg.case_digests(log)), "variant-counts"), log)
 
 

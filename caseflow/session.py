@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _SCRATCH: list[str] = []  # scratch paths of this application
+_TABLES: list[str] = []   # catalog names of scratch tables
 
 # Settings every caseflow job relies on.  Timestamps are naive UTC
 # (TIMESTAMP_NTZ), so the session zone must not shift them when a
@@ -79,10 +80,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A fresh table name and a scratch path for its files."""
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    _TABLES.append(table)
+    return table, path
+
+
 def release_scratch(spark: SparkSession) -> int:
-    """Delete the scratch paths handed out so far; the number of them.  Call it
-    once the results that read them are written."""
+    """Delete the scratch paths handed out so far (and forget the tables over
+    them); the number of them.  Call it once the results that read them are
+    written."""
     n = 0
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS `{_TABLES.pop()}`")
     while _SCRATCH:
         target = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         n += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
@@ -93,5 +105,5 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "release_scratch",
+__all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "scratch_table", "release_scratch",
            "shuffle_partitions", "DEFAULT_CONF"]

@@ -134,3 +134,55 @@ def test_variant_build_reads_only_needed_columns(spark):
     txt = plan_text(Q._counts(spark, SF001))
     schemas = [ln for ln in txt.splitlines() if "ReadSchema" in ln]
     assert schemas and all("props" not in ln and "value:double" not in ln for ln in schemas)
+
+
+def _initial(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+
+
+def _subtree(node):
+    out = [node]
+    for i in range(node.children().size()):
+        out += _subtree(node.children().apply(i))
+    return out
+
+
+def log_exchanges(df):
+    """Exchanges below which nothing has been aggregated: they move the log."""
+    return [n for n in _subtree(_initial(df)) if n.nodeName() == "Exchange"
+            and not any("Aggregate" in m.nodeName() for m in _subtree(n))]
+
+
+def test_bucketed_log_is_not_shuffled_again(spark):
+    """Readers of the bucketed log: previous events, digests, variant texts and
+    case facts move summaries only."""
+    from caseflow.model import EVENTS_MODEL as M
+    from caseflow.operators import cases as cs
+    from caseflow.operators import clean as cl
+    from caseflow.operators import digests as dg
+    from caseflow.operators import variants as vr
+    from caseflow.operators import waits
+    from caseflow.operators.util import bucketed
+    from caseflow.sources import adapters
+
+    clean = cl.clean(adapters.main_log(spark, SF001), None, M.slice_hours)
+    log = bucketed(clean, "clean-log", buckets=4)
+    assert log.dtypes == clean.dtypes and log.exceptAll(clean).count() == 0 and log.count() == clean.count()
+    plain = waits.transitions(clean, M)
+    for build in (lambda x: waits.transitions(x, M), lambda x: waits.valid_transitions(waits.transitions(x, M), M),
+                  dg.case_digests, vr.case_variants, lambda x: cs.case_aggregates(x, M)):
+        assert not log_exchanges(build(log))
+    assert waits.transitions(log, M).select(plain.columns).exceptAll(plain).count() == 0
+
+
+def test_end_to_end_jobs_read_the_bucketed_log(spark):
+    from caseflow.model import EVENTS_MODEL as M
+    from caseflow.operators import waits
+    from caseflow.plans.pipelines import run_discovery
+    from caseflow.sources import adapters
+
+    disc = run_discovery(adapters.main_log(spark, SF001), M)
+    log = disc["event_log_cleaned"]
+    assert not log_exchanges(waits.transitions(log, M))
+    assert not log_exchanges(disc["activity_frequency"]) and not log_exchanges(disc["discovery_summary"])
