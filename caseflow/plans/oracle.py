@@ -709,3 +709,6 @@ SELECT CAST(l.label AS INTEGER) AS label, CAST(p.prediction AS INTEGER) AS predi
        (SELECT count(*) FROM fixed f WHERE f.label = l.label
           AND CAST(f.score >= 0.5 AS INTEGER) = p.prediction) AS n_cases
 FROM (VALUES (0), (1)) l(label), (VALUES (0), (1)) p(prediction)""", SCORES_CTE)
+
+# the merged states of a growing log give the batch job's case table
+ORACLE["stm_incremental_case_table"] = ORACLE["cas_case_table"]

@@ -650,3 +650,19 @@ def q_report_models(spark, sf_dir):
            .orderBy(F.desc("importance"), F.asc("feature")).limit(1)
            .select(F.col("feature").alias("top_feature"), F.col("importance").alias("top_feature_importance")))
     return _bottleneck_report(spark, sf_dir, best.crossJoin(top))
+
+
+# --- a growing log -------------------------------------------------------------------
+
+from caseflow.streaming.casestore import CaseStore  # noqa: E402
+
+
+@register("stm_incremental_case_table")
+def q_incremental_cases(spark, sf_dir):
+    """The case table from states that three parts of the log (every part holds
+    late events of nearly all cases) and a repeated part were merged into."""
+    raw = raw_log(spark, sf_dir)
+    store = CaseStore(spark, scratch_path(spark, "casestore"), MODEL, buckets=16)
+    for part in (1, 0, 2, 0):
+        store.append(raw.where(F.col("event_seq") % 3 == part))
+    return rounded(cs.case_table(store.aggregates(), MODEL, format_times=True))
