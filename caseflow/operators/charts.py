@@ -47,19 +47,22 @@ def histogram(df: DataFrame, value: str, bins: int, clip_upper: float | None = N
     return out
 
 
-def box_stats(df: DataFrame, value: str, group: list | tuple = (), exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, value: str, group: list | tuple = (), exact: bool = True,
+              weight: str | None = None) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers (the most extreme values inside the
-    fences) and outlier count per group."""
+    fences) and outlier count per group; ``weight`` as for ``quantiles``."""
     group = list(group)
     q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group, exact,
-                  extra={"n": F.count})
+                  extra={"n": F.count}, weight=weight)
     q = q.withColumn("_iqr", F.col("q3") - F.col("q1")) \
          .withColumn("_lo_f", F.col("q1") - 1.5 * F.col("_iqr")) \
          .withColumn("_hi_f", F.col("q3") + 1.5 * F.col("_iqr"))
-    base = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    times = F.col(weight) if weight else F.lit(1)
+    base = df.select(*group, F.col(value).cast("double").alias("_v"), times.alias("_c")).filter(F.col("_v").isNotNull())
     # equal values collapse first, so a hot group meets its row of quartiles
     # as (value, count) rows
-    base = base.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if not weight:
+        base = base.groupBy(*group, "_v").agg(F.sum("_c").alias("_c"))
     joined = base.join(q, group, "inner") if group else base.crossJoin(F.broadcast(q))
     inside = (F.col("_v") >= F.col("_lo_f")) & (F.col("_v") <= F.col("_hi_f"))
     return joined.groupBy(*group).agg(

@@ -83,22 +83,24 @@ def _bucket(v: Column) -> Column:
             .when(v > 0, size).otherwise(-size).cast("long"))
 
 
-_WEIGHTED = {  # aggregates of the values from (value, count) rows
-    "count": lambda: F.sum("_c"),
-    "sum": lambda: F.sum(F.col("_v") * F.col("_c")),
-    "avg": lambda: F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"),
+_FROM_BUCKETS = {  # aggregates of the values from the sums of a group's buckets
+    "count": lambda: F.col("_n"),
+    "sum": lambda: F.col("_sum"),
+    "avg": lambda: F.col("_sum") / F.col("_n"),
 }
 
 
 def quantiles(df: DataFrame, value: str, probs: dict, group: list | tuple = (),
-              exact: bool = True, accuracy: int = 100_000, extra: dict | None = None) -> DataFrame:
+              exact: bool = True, accuracy: int = 100_000, extra: dict | None = None,
+              weight: str | None = None) -> DataFrame:
     """One row per group with one DOUBLE column per entry of ``probs``
     (``{'median': 0.5, 'p90': 0.9}``), linear interpolation between the two
     nearest ranks (numpy's default).  NULL values are ignored.
 
     ``extra`` adds ``F.avg``, ``F.sum`` or ``F.count`` of the value
     (``{'mean': F.avg}``).  ``exact=False`` uses ``percentile_approx`` (a
-    bounded sketch per group).
+    bounded sketch per group).  ``weight`` names a column with the number of
+    times that a row's value counts, for values that are counted already.
 
     Exact results come from one lazy plan of any size: (group, value) counts
     (ties collapse map-side), counts per value bucket, the buckets that hold
@@ -110,8 +112,10 @@ def quantiles(df: DataFrame, value: str, probs: dict, group: list | tuple = (),
     group = list(group)
     names = list(probs)
     extra = extra or {}
-    vals = _values(df, value, group)
+    vals = _values(df, value, group, weight)
     if not exact:
+        if weight:
+            vals = vals.select(*group, "_v", F.explode(F.array_repeat(F.lit(1), F.col("_w").cast("int"))))
         arr = F.percentile_approx("_v", [float(probs[k]) for k in names], accuracy)
         agg = vals.groupBy(*group).agg(arr.alias("_q"),
                                        *[fn(F.col("_v")).alias(k) for k, fn in extra.items()])
@@ -119,50 +123,48 @@ def quantiles(df: DataFrame, value: str, probs: dict, group: list | tuple = (),
                           *extra.keys())
     # group keys as one struct: joins treat NULL keys as equal, like groupBy
     key = F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0).alias("_all"))
-    counts = (vals.select(key.alias("_g"), "_v").groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = (vals.select(key.alias("_g"), "_v", "_w").groupBy("_g", "_v").agg(F.sum("_w").alias("_c"))
               .withColumn("_b", _bucket(F.col("_v"))))
-    buckets = counts.groupBy("_g", "_b").agg(F.sum("_c").alias("_c"))
+    buckets = counts.groupBy("_g", "_b").agg(F.sum("_c").alias("_c"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
     whole = Window.partitionBy("_g")
     upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor((F.col("_n") - 1) * float(p)), F.ceil((F.col("_n") - 1) * float(p)))
         for p in probs.values()])))
-    wanted = (buckets.withColumn("_n", F.sum("_c").over(whole))
+    wanted = (buckets.withColumn("_n", F.sum("_c").over(whole)).withColumn("_sum", F.sum("_s").over(whole))
               .withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
               .withColumn("_ks", F.filter(ranks, lambda k: (k >= F.col("_before"))
                                           & (k < F.col("_before") + F.col("_c"))))
               .filter(F.size("_ks") > 0)
-              .select(F.col("_g").alias("_wg"), F.col("_b").alias("_wb"), "_n", "_before", "_ks"))
+              .select(F.col("_g").alias("_wg"), F.col("_b").alias("_wb"), "_n", "_sum", "_before", "_ks"))
     inside = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (counts.join(wanted, F.col("_g").eqNullSafe(F.col("_wg")) & (F.col("_b") == F.col("_wb")))
              .withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
-             .select("_g", "_n", "_v", F.explode(F.filter(
+             .select("_g", "_n", "_sum", "_v", F.explode(F.filter(
                  "_ks", lambda k: (k < F.col("_to")) & (k >= F.col("_to") - F.col("_c")))).alias("_k")))
-    aggs = [F.max("_n").alias("_n")]
+    aggs = [F.max("_n").alias("_n"), F.max("_sum").alias("_sum")]
     for k in names:
         h = (F.col("_n") - 1) * F.lit(float(probs[k]))
         aggs += [F.max(F.when(F.col("_k") == F.floor(h), F.col("_v"))).alias(f"_lo_{k}"),
                  F.max(F.when(F.col("_k") == F.ceil(h), F.col("_v"))).alias(f"_hi_{k}")]
     picked = found.groupBy("_g").agg(*aggs)
-    if extra:
-        more = counts.groupBy("_g").agg(*[_WEIGHTED[fn.__name__]().alias(k) for k, fn in extra.items()])
-        more = more.withColumnRenamed("_g", "_eg")
-        picked = picked.join(more, F.col("_g").eqNullSafe(F.col("_eg")))
     cols = []
     for k in names:
         h = (F.col("_n") - 1) * F.lit(float(probs[k]))
         cols.append((F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * (h - F.floor(h))).alias(k))
-    return picked.select(*[F.col("_g")[g].alias(g) for g in group], *cols, *extra.keys())
+    return picked.select(*[F.col("_g")[g].alias(g) for g in group], *cols,
+                         *[_FROM_BUCKETS[fn.__name__]().alias(k) for k, fn in extra.items()])
 
 
-def _values(df: DataFrame, value: str, group: list) -> DataFrame:
-    return (df.select(*group, F.col(value).cast("double").alias("_v"))
+def _values(df: DataFrame, value: str, group: list, weight: str | None = None) -> DataFrame:
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    return (df.select(*group, F.col(value).cast("double").alias("_v"), w.alias("_w"))
             .filter(F.col("_v").isNotNull()))
 
 
-def scalar_quantile(df: DataFrame, value: str, p: float, exact: bool = True) -> DataFrame:
+def scalar_quantile(df: DataFrame, value: str, p: float, exact: bool = True, weight: str | None = None) -> DataFrame:
     """1-row DataFrame with column ``q``: the ``p`` quantile over all rows."""
-    return quantiles(df, value, {"q": p}, (), exact)
+    return quantiles(df, value, {"q": p}, (), exact, weight=weight)
 
 
 def running_sums(df: DataFrame, order: list, cols: list, prefix: str = "cum_",

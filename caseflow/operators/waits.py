@@ -9,6 +9,7 @@ from caseflow.functions.time import hours_between
 from caseflow.model import REFERENCE_MODEL, ProcessModel
 from caseflow.operators.ranking import quantiles, scalar_quantile
 from caseflow.operators.sequence import with_previous
+from caseflow.operators.util import materialised
 from caseflow.schema import ACTIVITY, TS
 
 
@@ -63,19 +64,21 @@ def transition_waits(valid: DataFrame) -> DataFrame:
 def wait_box_top(valid: DataFrame, stats: DataFrame | None = None, k: int = 5, cap_p: float = 0.95,
                  exact: bool = True) -> DataFrame:
     """Box statistics of the waits of the top-k bottlenecks, clipped at the
-    global ``cap_p`` quantile of all valid waits."""
+    global ``cap_p`` quantile of all valid waits.  One table of (activity,
+    wait, number) is written and serves the ranking, the cap, the quartiles and
+    the fences."""
     from caseflow.operators.charts import box_stats
 
+    counts = materialised(valid.where("waiting_hours is not null").groupBy(ACTIVITY, "waiting_hours")
+                          .agg(F.count(F.lit(1)).alias("_times")), "wait-counts")
     if stats is None:
-        # the ranking needs mean and count only
-        stats = valid.groupBy(ACTIVITY).agg(
-            (F.avg("waiting_hours") * F.count("waiting_hours")).alias("bottleneck_score"))
-    cap = scalar_quantile(valid, "waiting_hours", cap_p, exact)
+        # the ranking needs mean times count only
+        stats = counts.groupBy(ACTIVITY).agg(F.sum(F.col("waiting_hours") * F.col("_times")).alias("bottleneck_score"))
+    cap = scalar_quantile(counts, "waiting_hours", cap_p, exact, weight="_times")
     # k rows
     top = F.broadcast(top_bottlenecks(stats, k).select(ACTIVITY, "bottleneck_rank"))
-    clipped = (valid.join(top, ACTIVITY, "inner")
+    clipped = (counts.join(top, ACTIVITY, "inner")
                .crossJoin(F.broadcast(cap))
-               .select(ACTIVITY, "bottleneck_rank",
-                       F.least(F.col("waiting_hours"), F.col("q")).alias("wait_clipped")))
-    box = box_stats(clipped, "wait_clipped", [ACTIVITY], exact)
+               .select(ACTIVITY, F.least(F.col("waiting_hours"), F.col("q")).alias("wait_clipped"), "_times"))
+    box = box_stats(clipped, "wait_clipped", [ACTIVITY], exact, weight="_times")
     return box.join(top, ACTIVITY, "inner")
