@@ -9,9 +9,12 @@ the join runs in these steps.
    nearest to the pivots of its own shingles, and under a common order of all
    shingles it can lie within ``r`` of another document only if both are in
    the region of one of their first ``n - ceil(s n) + 1`` shingles; it is
-   replicated into these regions.  Shingles that many documents hold come last
-   in the order (counted over all documents), so regions stay small.  In a
-   region, sizes and places in the order bound the overlap of a pair.
+   replicated into these regions.  The order is by estimated frequency, then by
+   hash: tasks count the shingles of all documents, and the logarithms of the
+   sums go into a table of ``SLOTS`` bytes (shared slots cost order, never a
+   pair), so a document's first shingles are its rare ones and regions stay
+   small at every size of the data.  In a region, sizes and places in the order
+   bound the overlap of a pair.
 3. A region of at most ``SMALL`` documents is joined pair by pair, unless it is
    dense.  The others get documents as pivots (in the first round
    the smallest, then the smallest of each of 4, 16, ... hash classes), and the
@@ -59,9 +62,10 @@ SMALL = 32            # members of a region that is joined pair by pair
 PIVOTS = 4            # a region has 1, 4, 16, ... pivots in its rounds
 ROUNDS = 8
 COUNT_AT = 4 << 20    # shingles that a task counts together
-LOCAL_COUNT = 4       # a shingle counts as frequent from so many of them on,
-HOT_COUNT = 16        # and in all from so many documents on;
-HOT_BYTES = 1 << 20   # the most frequent ones that fit in so many bytes come last
+LOCAL_COUNT = 2       # and report from so many of one kind on
+SLOTS = 1 << 24       # slots of estimated frequencies, a byte each
+LEVELS = 4            # levels for each factor of two
+HOT_COUNT = 64        # the region of a shingle with so many documents is not held in a task
 ENTRIES_AT = 1 << 20  # entries that a task holds before it passes them on
 FILTER_BITS = 1 << 24
 SLICE = 2 << 20       # bytes of text in one vectorised step
@@ -69,27 +73,31 @@ SLICE = 2 << 20       # bytes of text in one vectorised step
 
 # ---- 1. sets and frequent shingles -------------------------------------------------
 
+def slot_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(11)).astype(np.int64) & (SLOTS - 1)
+
+
 def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
     """Rows of two kinds: (doc_id, set, n) of a document, where ``set`` is null
-    without shingles, and (shingle, count) of shingles that are frequent in
-    what one task has seen."""
+    without shingles, and (slot, seen) of the slots that hold a shingle which a
+    task has seen repeatedly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         held = 0
 
-        def out(ids, sets, sizes, shingles=(), counts=()):
-            n, m = len(ids), len(shingles)
+        def out(ids, sets, sizes, slots=(), counts=()):
+            n, m = len(ids), len(slots)
             none = lambda k: [None] * k
             return pa.RecordBatch.from_arrays([
                 pa.array([*ids, *none(m)], pa.int64()), pa.array([*sets, *none(m)], pa.int64()),
-                pa.array([*sizes, *none(m)], pa.int64()), pa.array([*none(n), *shingles], pa.int64()),
-                pa.array([*none(n), *counts], pa.int64())], names=["doc_id", "set", "n", "shingle", "seen"])
+                pa.array([*sizes, *none(m)], pa.int64()), pa.array([*none(n), *slots], pa.int64()),
+                pa.array([*none(n), *counts], pa.int64())], names=["doc_id", "set", "n", "slot", "seen"])
 
         def counted():
             found, count = np.unique(np.concatenate(list(seen.values())), return_counts=True)
             keep = count >= LOCAL_COUNT
-            return out([], [], [], found[keep].view(np.int64).tolist(), count[keep].tolist())
+            return out([], [], [], slot_of(found[keep]).tolist(), count[keep].tolist())
 
         for batch in batches:
             for part in slices(batch, max_bytes=SLICE):
@@ -108,44 +116,41 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
         if seen:
             yield counted()
 
-    return docs.mapInArrow(run, "doc_id long, set long, n long, shingle long, seen long")
+    return docs.mapInArrow(run, "doc_id long, set long, n long, slot long, seen long")
 
 
-def frequent(rows: DataFrame, least_count: int = HOT_COUNT) -> np.ndarray:
-    """The most frequent shingles, at most ``HOT_BYTES``, the bound found from
-    a histogram of the counts; ascending."""
-    counts = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(
-        F.col("seen") >= least_count)
-    counts = written(counts, "frequent")
-    level = F.floor(F.log2("seen") * 8).cast("int")  # a few hundred classes
-    room, least = HOT_BYTES // 8, None
-    for at, n in sorted(counts.groupBy(level.alias("l")).count().collect(), reverse=True):
-        room -= n
-        if room < 0:
-            break
-        least = at
-    if least is None:
-        return np.zeros(0, np.uint64)
-    got = counts.where(level >= least).select("shingle").toArrow()["shingle"].to_numpy()
-    return np.sort(got.view(np.uint64))
+def level(count):
+    """Level of a number of documents; 0 for fewer than two."""
+    return np.floor(np.log2(np.maximum(count, 1)) * LEVELS).astype(np.uint8)
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """The level of every slot.  At most ``SLOTS`` numbers reach the driver."""
+    got = (rows.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen"))
+           .select(F.col("slot").cast("int").alias("slot"), F.col("seen")).toArrow())
+    table = np.zeros(SLOTS, np.uint8)
+    if got.num_rows:
+        table[got["slot"].to_numpy()] = level(got["seen"].to_numpy())
+    return table
 
 
 # ---- 2. first regions ---------------------------------------------------------------
 
-def ordered_prefix(s: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The first shingles of a set, frequent ones last, and how many are not
-    frequent."""
+def ordered_prefix(s: np.ndarray, levels: np.ndarray, percent: int, hot: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, rare ones first, and how many are below
+    the level ``hot``."""
     take = len(s) - -(-percent * len(s) // 100) + 1
-    return np.concatenate([s[~hot], s[hot]])[:take], min(take, int((~hot).sum()))
+    order = np.argsort(levels, kind="stable")[:take]  # a set is sorted by hash
+    return s[order], int((levels[order] < hot).sum())
 
 
-def entries(docs: DataFrame, hot, words: int, percent: int, parts: int) -> DataFrame:
+def entries(docs: DataFrame, levels, words: int, percent: int, parts: int, hot: int) -> DataFrame:
     """Blocks of entries (shingle, set, place, size) for each part.  Entries of
     frequent shingles are only passed on, so they go to any part."""
     names = ("shingle", "set", "place", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, done, held, count = hot.value, set(), [], 0
+        known, done, held, count = levels.value, set(), [], 0
 
         def flush():
             for is_hot in (False, True):
@@ -173,13 +178,11 @@ def entries(docs: DataFrame, hot, words: int, percent: int, parts: int) -> DataF
                 if not fresh:
                     continue
                 flat = np.concatenate([s for _, s in fresh])
-                is_hot = np.zeros(len(flat), bool)
-                if len(known):
-                    is_hot = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+                of = known[slot_of(flat)]
                 out: tuple = ([], [])
                 at = 0
                 for name, s in fresh:
-                    first, cold = ordered_prefix(s, is_hot[at:at + len(s)], percent)
+                    first, cold = ordered_prefix(s, of[at:at + len(s)], percent, hot)
                     at += len(s)
                     place = np.arange(len(first), dtype=np.int32)
                     for h, (a, b) in enumerate(((0, cold), (cold, len(first)))):
@@ -430,14 +433,14 @@ def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, r: flo
 
 # ---- 4. the join --------------------------------------------------------------------
 
-def similar_links(docs: DataFrame, rows: DataFrame, hot: np.ndarray, words: int, percent: int,
-                  small: int = SMALL) -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: int, percent: int,
+                  small: int = SMALL, hot_count: int = HOT_COUNT) -> DataFrame:
     """Links (a, b) between sets that connect exactly the sets which chains of
     similar pairs connect."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    found = written(first_regions(entries(docs, spark.sparkContext.broadcast(hot), words, percent, parts),
-                                  percent, parts, small), "regions")
+    found = written(first_regions(entries(docs, spark.sparkContext.broadcast(levels), words, percent, parts,
+                                          int(level(hot_count))), percent, parts, small), "regions")
     pairs = found.where("region is null").select("a", "b").distinct()
     regions = written(different(useful(
         found.where("region is not null").select("region", "a", "size", "rest").distinct(), percent)), "regions")
@@ -474,7 +477,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     """doc_id, n_shingles and component_id of every row."""
     docs = id_text(docs, id_col, text_col)
     rows = written(sets_and_counts(docs, words), "sets-and-counts")
-    links = similar_links(docs, rows, frequent(rows, hot_count), words, percent, small)
+    links = similar_links(docs, rows, frequencies(rows), words, percent, small, hot_count)
     comp = components(links).select(F.col("node").alias("set"), "comp")
     own = rows.where("n is not null").select("doc_id", "set", "n").join(comp, "set", "left").withColumn(
         "comp", F.coalesce("comp", "set"))
