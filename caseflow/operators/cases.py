@@ -38,9 +38,10 @@ def _distinct(col: str, approx: bool):
 
 
 def case_aggregates(log: DataFrame, model: ProcessModel = REFERENCE_MODEL,
-                    approx_resources: bool = False) -> DataFrame:
+                    approx_resources: bool = False, approx_activities: bool = False) -> DataFrame:
     """One row per case with every raw per-case fact (one shuffle).
-    ``approx_resources`` counts resources by a sketch (AGG-4)."""
+    ``approx_resources`` and ``approx_activities`` count by a sketch (AGG-4/5);
+    ``operators.sketches`` has the same as stored states."""
     o = _order()
     is_a = in_group(F.col(ACTIVITY), model.a_prefix, model.a_activities)
     is_o = in_group(F.col(ACTIVITY), model.o_prefix, model.o_activities)
@@ -49,7 +50,7 @@ def case_aggregates(log: DataFrame, model: ProcessModel = REFERENCE_MODEL,
         F.min(TS).alias("case_start"),
         F.max(TS).alias("case_end"),
         F.count(ACTIVITY).alias("n_events"),
-        F.size(F.collect_set(ACTIVITY)).cast("long").alias("n_unique_activities"),
+        _distinct(ACTIVITY, approx_activities).cast("long").alias("n_unique_activities"),
         (_distinct(RESOURCE, approx_resources) if has_res else F.lit(0)).cast("long").alias("n_resources"),
         F.max_by(ACTIVITY, o).alias("last_activity"),
         F.min_by(ACTIVITY, o).alias("first_activity"),

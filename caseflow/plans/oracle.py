@@ -712,3 +712,15 @@ FROM (VALUES (0), (1)) l(label), (VALUES (0), (1)) p(prediction)""", SCORES_CTE)
 
 # the merged states of a growing log give the batch job's case table
 ORACLE["stm_incremental_case_table"] = ORACLE["cas_case_table"]
+
+# sketches: exact sizes, and every answer within the stated bound
+ORACLE["btn_sketch_waits"] = _w("""
+SELECT activity, count(*) AS n, true AS median_wait_hours_ok, true AS p90_wait_hours_ok
+FROM valid GROUP BY activity""", TRANS_CTE)
+
+ORACLE["cht_sketch_durations"] = _w("""
+SELECT outcome, count(*) AS n, true AS q1_ok, true AS median_ok, true AS q3_ok
+FROM cases GROUP BY outcome""", CASES_CTE)
+
+ORACLE["cas_sketch_distinct"] = _w("""
+SELECT case_id, n_unique_activities, n_resources FROM cases""", CASES_CTE)

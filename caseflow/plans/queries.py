@@ -666,3 +666,39 @@ def q_incremental_cases(spark, sf_dir):
     for part in (1, 0, 2, 0):
         store.append(raw.where(F.col("event_seq") % 3 == part))
     return rounded(cs.case_table(store.aggregates(), MODEL, format_times=True))
+
+
+# --- stored sketches -----------------------------------------------------------------
+
+from caseflow.operators import sketches as sk  # noqa: E402
+
+
+def _sketch_report(stored, df, value, group, probs):
+    """The sketches of all days as one, and whether each answer's rank is
+    within the bound of the exact one."""
+    answers = sk.sketch_quantiles(sk.merged_quantile_sketches(stored, group), probs)
+    return sk.rank_checked(df, value, group, answers, probs).select(*group, "n", *[f"{p}_ok" for p in probs])
+
+
+@register("btn_sketch_waits")
+def q_sketch_waits(spark, sf_dir):
+    """BTN-1 from daily sketches that were stored and merged."""
+    valid = materialised(_valid(spark, sf_dir).select("activity", "ts", "waiting_hours"), "waits")
+    stored = materialised(sk.daily_quantile_sketches(valid, "waiting_hours", ["activity"]), "sketches")
+    return _sketch_report(stored, valid, "waiting_hours", ["activity"],
+                          {"median_wait_hours": 0.5, "p90_wait_hours": 0.9})
+
+
+@register("cht_sketch_durations")
+def q_sketch_durations(spark, sf_dir):
+    """CHT-5 quartiles by outcome from sketches of the cases of a start day."""
+    cases = materialised(_cases(spark, sf_dir).select("outcome", "case_start", "duration_days"), "cases")
+    stored = materialised(sk.daily_quantile_sketches(cases, "duration_days", ["outcome"], "case_start"), "sketches")
+    return _sketch_report(stored, cases, "duration_days", ["outcome"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+
+
+@register("cas_sketch_distinct")
+def q_sketch_distinct(spark, sf_dir):
+    """AGG-4/5 of cases from daily distinct sketches."""
+    stored = materialised(sk.daily_distinct_sketches(clean_log(spark, sf_dir, ("resource",))), "distinct-sketches")
+    return sk.distinct_counts(stored, ["case_id"])
