@@ -13,9 +13,11 @@ forecast them.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -148,15 +150,20 @@ class FitResult:
     best: str | None = None
 
 
-def fit_models(prepared: DataFrame, select_by: str = "test_auc", parallelism: int = 4,
+# Training rows worth a task of their own: a round of boosting is a job per
+# level, and with fewer rows starting tasks costs more than they do.
+ROWS_A_TASK = 20_000
+
+
+def fit_models(prepared: DataFrame, select_by: str = "test_auc", parallelism: int = ML_FOLDS + 1,
                rf_trees: int = RF_TREES, gb_rounds: int = GB_ROUNDS) -> FitResult:
     """ML-11..13: 5-fold CV AUC (mean, std) on the training part, fit on the
     whole training part, test AUC and accuracy; best model by ``select_by``
     (test AUC as in the original; 'cv_auc' is the sounder choice)."""
     feats = feature_names(prepared)
     n_train = prepared.filter(F.col("is_test") == 0).count()
-    # all cores share the training rows
-    parts = prepared.sparkSession.sparkContext.defaultParallelism
+    # all cores share the training rows, if there are enough of them; the folds run side by side
+    parts = max(1, min(prepared.sparkSession.sparkContext.defaultParallelism, n_train // ROWS_A_TASK))
     train = prepared.filter(F.col("is_test") == 0).repartition(parts).cache()
     test = prepared.filter(F.col("is_test") == 1)
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
@@ -187,6 +194,44 @@ def fit_models(prepared: DataFrame, select_by: str = "test_auc", parallelism: in
     return res
 
 
+# ---- stored models -----------------------------------------------------------------
+
+def table_digest(df: DataFrame) -> str:
+    """Number and hashes of the rows of a table, whatever their order: equal for
+    equal tables, so that a changed input is another key."""
+    cols = sorted(df.columns)
+    h = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]))
+    row = df.agg(F.count(F.lit(1)), h(0), h(1)).first()
+    text = f"{tuple(row)}" + ",".join(f"{c}:{t}" for c, t in sorted(df.dtypes))
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def fit_or_load(prepared: DataFrame, store: str, select_by: str = "test_auc", **params) -> FitResult:
+    """:func:`fit_models`, once for each table and set of parameters: fitted
+    pipelines are saved by Spark's ML writer below ``store``, in a folder named
+    by the digest of ``prepared`` and the parameters, with their measures as
+    Parquet, written last.  Later calls, also of other applications, read them."""
+    spark = prepared.sparkSession
+    settings = {"select_by": select_by, "seed": ML_SEED, "folds": ML_FOLDS, **params}
+    key = hashlib.md5((table_digest(prepared) + json.dumps(settings, sort_keys=True)).encode()).hexdigest()
+    path = f"{store.rstrip('/')}/{key}"
+    if not _exists(spark, f"{path}/measures/_SUCCESS"):
+        res = fit_models(prepared, select_by, **params)
+        for name, model in res.models.items():
+            model.write().overwrite().save(f"{path}/{name.replace(' ', '-')}")
+        comparison(spark, res).coalesce(1).write.mode("overwrite").parquet(f"{path}/measures")
+        return res
+    metrics = [r.asDict() for r in spark.read.parquet(f"{path}/measures").collect()]
+    models = {m["model"]: PipelineModel.load(f"{path}/{m['model'].replace(' ', '-')}") for m in metrics}
+    return FitResult(models, metrics, feature_names(prepared), prepared.filter(F.col("is_test") == 1),
+                     next(m["model"] for m in metrics if m["is_best"]))
+
+
 def comparison(spark, res: FitResult) -> DataFrame:
     """ML-13: model x metric table (3 rows of scalars)."""
     return spark.createDataFrame(
@@ -277,5 +322,5 @@ def prepare(cases: DataFrame) -> DataFrame:
 
 
 __all__ = ["feature_table", "class_balance", "balanced_weights", "split_and_folds",
-           "model_specs", "fit_models", "comparison", "importances", "scored", "roc_points",
+           "model_specs", "fit_models", "fit_or_load", "table_digest", "comparison", "importances", "scored", "roc_points",
            "auc_from_roc", "confusion", "prepare"]

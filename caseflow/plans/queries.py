@@ -443,8 +443,15 @@ def _prepared(spark, sf_dir):
     return ml.prepare(_cases(spark, sf_dir, CASE_ATTRS))
 
 
+_MODEL_STORE: dict = {}  # of each application: where its queries keep fitted models
+
+
 def _fit(spark, sf_dir):
-    return ml.fit_models(materialised(_prepared(spark, sf_dir), "prepared"))
+    """One fit for all queries of an application over the same cases."""
+    app = spark.sparkContext.applicationId
+    if app not in _MODEL_STORE:
+        _MODEL_STORE[app] = scratch_path(spark, "models")
+    return ml.fit_or_load(materialised(_prepared(spark, sf_dir), "prepared"), _MODEL_STORE[app])
 
 
 @register("ml_features")

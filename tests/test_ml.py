@@ -49,3 +49,43 @@ def test_fit_small(spark, prepared):
     assert abs(auc_roc - best["test_auc"]) < 0.02
     cm = ml.confusion(sc).collect()
     assert len(cm) == 4 and sum(r["n_cases"] for r in cm) == sc.count()
+
+
+def test_models_are_fitted_once_and_read_again(spark, prepared, tmp_dir, monkeypatch):
+    calls = []
+    fit = ml.fit_models
+    monkeypatch.setattr(ml, "fit_models", lambda *a, **k: calls.append(1) or fit(*a, **k))
+    small = dict(rf_trees=3, gb_rounds=2)
+    first = ml.fit_or_load(prepared, tmp_dir, **small)
+    again = ml.fit_or_load(prepared.repartition(3), tmp_dir, **small)  # equal rows in another order
+    assert len(calls) == 1 and again.best == first.best and again.feats == first.feats
+    key = lambda r: r["model"]
+    assert sorted(again.metrics, key=key) == sorted(first.metrics, key=key)
+    for name in first.models:
+        a, b = (sorted(map(tuple, ml.scored(x, name).collect())) for x in (first, again))
+        assert a == b
+    assert sorted(map(tuple, ml.importances(spark, again).collect())) == \
+        sorted(map(tuple, ml.importances(spark, first).collect()))
+    # other parameters, or one changed row, are another key
+    ml.fit_or_load(prepared, tmp_dir, rf_trees=4, gb_rounds=2)
+    from pyspark.sql import functions as F
+    one = prepared.agg(F.min("case_id")).first()[0]
+    ml.fit_or_load(prepared.withColumn("n_events", F.col("n_events") + (F.col("case_id") == one).cast("double")),
+                   tmp_dir, **small)
+    assert len(calls) == 3
+
+
+def test_an_unfinished_fit_is_done_again(spark, prepared, tmp_dir, monkeypatch):
+    fit, calls = ml.fit_models, []
+    monkeypatch.setattr(ml, "fit_models", lambda *a, **k: calls.append(1) or fit(*a, **k))
+    real = ml.comparison
+
+    def lost(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ml, "comparison", lost)
+    with pytest.raises(RuntimeError):
+        ml.fit_or_load(prepared, tmp_dir, rf_trees=2, gb_rounds=1)
+    monkeypatch.setattr(ml, "comparison", real)
+    res = ml.fit_or_load(prepared, tmp_dir, rf_trees=2, gb_rounds=1)
+    assert len(calls) == 2 and len(res.models) == 3
