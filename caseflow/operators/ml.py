@@ -98,6 +98,9 @@ def balanced_weights(features: DataFrame) -> DataFrame:
     return per.select("label", "n_label", (total / (2.0 * F.col("n_label"))).alias("weight"))
 
 
+RADIX = 4  # hex digits: 65,536 buckets a label
+
+
 def split_and_folds(features: DataFrame, test_fraction: float = ML_TEST_FRACTION,
                     folds: int = ML_FOLDS, seed: int = ML_SEED) -> DataFrame:
     """ML-6 / ML-11: deterministic stratified split and folds.
@@ -105,15 +108,30 @@ def split_and_folds(features: DataFrame, test_fraction: float = ML_TEST_FRACTION
     Each case gets ``h`` = md5(case_id # seed) (hex text; the text order is
     the number order).  Inside each label the first ceil(fraction * n) cases
     by (h, case_id) are the test part; the training cases are dealt round
-    the folds in the same order.  Positions come from the distributed
-    position operator, so no label group is ever gathered in one task."""
+    the folds in the same order.
+
+    The position of a case is a radix rank: cases are counted by label and the
+    first ``RADIX`` hex digits of h, running sums of these counts (at most
+    16 ** RADIX rows a label, broadcast) give every bucket its offset, and a case
+    is ranked inside its bucket only.  A hash spreads any cases evenly, so
+    nothing is sampled, range-partitioned or checkpointed, and no label is ever
+    gathered in one task."""
     h = F.md5(F.concat(F.col(CASE).cast("string"), F.lit(f"#{seed}")))
-    ranked = positions(features.withColumn("_h", h), ["_h", CASE], ["label"],
-                       name="_p", total="_n")
+    rows = features.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, RADIX), 16, 10).cast("int"))
+    label = Window.partitionBy("label")
+    buckets = rows.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = buckets.select(
+        F.col("label").alias("_l"), F.col("_b").alias("_ob"), F.sum("_c").over(label).alias("_n"),
+        F.coalesce(F.sum("_c").over(label.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("label", "_b").orderBy("_h", CASE))
+    ranked = rows.withColumn("_i", inside).join(
+        F.broadcast(offsets), F.col("label").eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_ob")))
+    p = F.col("_before") + F.col("_i")
     n_test = F.ceil(F.col("_n") * F.lit(float(test_fraction)))
-    is_test = (F.col("_p") <= n_test).cast("int")
-    fold = F.when(is_test == 0, F.pmod(F.col("_p") - n_test - 1, F.lit(folds))).cast("int")
-    return ranked.withColumn("is_test", is_test).withColumn("fold", fold).drop("_p", "_n", "_h")
+    is_test = (p <= n_test).cast("int")
+    fold = F.when(is_test == 0, F.pmod(p - n_test - 1, F.lit(folds))).cast("int")
+    return ranked.select(*features.columns, is_test.alias("is_test"), fold.alias("fold"))
 
 
 def _assembler(feats):

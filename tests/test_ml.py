@@ -89,3 +89,31 @@ def test_an_unfinished_fit_is_done_again(spark, prepared, tmp_dir, monkeypatch):
     monkeypatch.setattr(ml, "comparison", real)
     res = ml.fit_or_load(prepared, tmp_dir, rf_trees=2, gb_rounds=1)
     assert len(calls) == 2 and len(res.models) == 3
+
+
+def test_split_by_radix_rank_equals_a_sort(spark, monkeypatch):
+    """Positions from counted hash digits, also with a few cases a bucket."""
+    import hashlib
+    import math
+
+    rows = [(f"c{i}", i % 3 == 0, float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "case_id string, b boolean, x double").selectExpr("case_id", "cast(b as int) label", "x")
+    for digits in (1, 4):
+        monkeypatch.setattr(ml, "RADIX", digits)
+        out = ml.split_and_folds(df)
+        assert out.columns == ["case_id", "label", "x", "is_test", "fold"]
+        got = {r.case_id: (r.is_test, r.fold) for r in out.collect()}
+        want = {}
+        for label in (0, 1):
+            own = sorted((c for c, b, _ in rows if b == bool(label)), key=lambda c: (hashlib.md5(f"{c}#{ml.ML_SEED}".encode()).hexdigest(), c))
+            n = math.ceil(len(own) * ml.ML_TEST_FRACTION)
+            want |= {c: (1, None) if i < n else (0, (i - n) % ml.ML_FOLDS) for i, c in enumerate(own)}
+        assert got == want
+    assert ml.split_and_folds(df.where("x < 0")).count() == 0
+
+
+def test_split_needs_no_range_exchange_and_no_checkpoint(spark):
+    import __spark_entry__ as E
+
+    plan = E.queries()["ml_split"](spark, SF01)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "ExistingRDD" not in plan
