@@ -16,6 +16,7 @@ from caseflow.model import EVENTS_MODEL
 from caseflow.operators import clean as cl
 from caseflow.operators import waits
 from caseflow.operators.util import bucketed, materialised
+from caseflow.plans import journal
 from caseflow.sources import adapters
 
 MODEL = EVENTS_MODEL
@@ -564,7 +565,7 @@ def q_csv_conversations(spark, sf_dir):
 # --- the declared journal of orders: every cleaning rule has work to do ---------------
 
 def _journal(spark, sf_dir):
-    return adapters.orders_journal(adapters.table(spark, sf_dir, "orders"),
+    return journal.orders_journal(adapters.table(spark, sf_dir, "orders"),
                                    adapters.table(spark, sf_dir, "lineitem"))
 
 
