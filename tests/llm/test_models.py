@@ -244,3 +244,24 @@ def test_row_numbers_stay_when_files_are_split_otherwise(spark, tmp_dir):
         assert sorted(x.doc_id for x in one.collect()) == list(range(40))
     finally:
         spark.conf.set(name, old)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab é▁ \x00😀日,.-'\n", max_size=30), min_size=1, max_size=6))
+def test_decoding_by_parts_equals_the_library(items):
+    c = codec(piece_model())
+    data = pa.array(items, pa.string())
+    ids, sizes = c.encode(data)
+    runs = np.split(ids, np.cumsum(sizes)[:-1])
+    assert c.decoded(data, ids, sizes) == c.decode_batch([x.tolist() for x in runs]) and c.by_parts
+
+
+def test_a_part_that_decodes_otherwise_goes_to_the_library():
+    from caseflow.llm.pieces import PieceCodec
+
+    c = PieceCodec(piece_model())
+    real = c.decode_batch
+    c.decode_batch = lambda ids: [t + "!" for t in real(ids)]
+    data = pa.array(["some words", "more"])
+    ids, sizes = c.encode(data)
+    assert not c.by_parts and c.decoded(data, ids, sizes) == ["some words!", "more!"]
