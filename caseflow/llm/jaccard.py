@@ -59,7 +59,8 @@ from caseflow.session import shuffle_partitions
 WORDS = 5
 PERCENT = 80          # similarity
 SMALL = 32            # members of a region that is joined pair by pair
-PIVOTS = 4            # a region has 1, 4, 16, ... pivots in its rounds
+PIVOTS = 4            # a region has 1, 4, 16, ... pivots in its rounds,
+PER_PIVOT = 8         # but one for so many members at most
 ROUNDS = 8
 COUNT_AT = 4 << 20    # shingles that a task counts together
 LOCAL_COUNT = 2       # and report from so many of one kind on
@@ -390,20 +391,22 @@ def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small
     pairs = few.alias("l").join(few.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").where(
         (F.least("l.rest", "r.rest") * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size")))
         & close("l.size", "r.size", percent / 100)).select("region", F.col("l.a").alias("a"), F.col("r.a").alias("b"))
-    large = known.where(F.col("n") > small).select("region", "a", "size", "rest")
+    large = known.where(F.col("n") > small).select("region", "a", "size", "rest", "n")
     if not round_:
         pairs = written(pairs, "small-pairs")
         ends = pairs.select("region", "a").union(pairs.select("region", "b")).groupBy("region", "a").count()
         dense = ends.groupBy("region").agg(F.sum("count").alias("c"), F.count(F.lit(1)).alias("m")).where(
             "c > 4 * m").select("region")
         inside = few.join(ends.join(dense, "region").select("region", "a"), ["region", "a"], "left_semi")
-        large = large.union(inside.select("region", "a", "size", "rest"))
+        large = large.union(inside.select("region", "a", "size", "rest", "n"))
         pairs = pairs.join(dense, "region", "left_anti")
     large = written(large, "members")
-    salt = F.pmod(F.xxhash64("a", F.lit(round_)), F.lit(PIVOTS ** round_))
+    # no more than one pivot for so many members
+    most = F.greatest(F.lit(1), F.least(F.lit(PIVOTS ** round_), F.floor(F.col("n") / PER_PIVOT)))
+    salt = F.pmod(F.xxhash64("a", F.lit(round_)), most)
     pivots = large.groupBy("region", salt.alias("salt")).agg(F.min(F.struct("a", "size")).alias("p")).select(
         "region", F.col("p.a").alias("b"), F.col("p.size").alias("b_size"))
-    return pairs.select("a", "b"), large, written(pivots, "pivots")
+    return pairs.select("a", "b"), large.drop("n"), written(pivots, "pivots")
 
 
 def close(n: str, m: str, least: float):
@@ -415,17 +418,19 @@ def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, r: flo
     """Regions after the distances (``known``) to the pivots are there, see the
     module text.  ``slack`` keeps rounding from dropping a pair."""
     slack = 1e-9
-    to = (members.join(pivots, "region").where("a <> b").drop("b_size").join(known, ["a", "b"], "left")
-          .fillna(1.0, subset=["d"]).fillna(False, subset=["linked"])  # sizes too far apart
-          .join(pivots.select("region", F.col("b").alias("a"), F.lit(True).alias("is_pivot")), ["region", "a"], "left")
-          .where("is_pivot is null").drop("is_pivot"))
+    # only distances up to 2r matter: other members of a region are outside this pivot's core and window
+    near = known.where(F.col("d") <= 2 * r + slack).join(pivots.select("region", "b"), "b")
+    to = near.join(members, ["region", "a"]).join(
+        pivots.select("region", F.col("b").alias("a")), ["region", "a"], "left_anti")
     to = written(to, "to-pivots")
-    home = to.groupBy("region", "a", "size", "rest").agg(F.max("linked").alias("in_core"), F.min(F.struct("d", "b")).alias("h"))
-    outer = home.where("not in_core").select(F.xxhash64("region", F.lit(-1)).alias("region"), "a", "size", "rest")
+    home = to.where("linked").groupBy("region", "a", "size", "rest").agg(F.min(F.struct("d", "b")).alias("h"))
+    taken = home.select("region", "a").union(pivots.select("region", F.col("b").alias("a")))
+    outer = members.join(taken, ["region", "a"], "left_anti").select(
+        F.xxhash64("region", F.lit(-1)).alias("region"), "a", "size", "rest")
     window = to.where(~F.col("linked") & (F.col("d") <= 2 * r + slack))
     inner = F.xxhash64("region", "b").alias("region")
     least = window.groupBy("region", "b").agg(F.min("d").alias("m"))
-    core = (home.where("in_core").select("region", "a", "size", "rest", F.col("h.b").alias("b"), F.col("h.d").alias("d"))
+    core = (home.select("region", "a", "size", "rest", F.col("h.b").alias("b"), F.col("h.d").alias("d"))
             .join(least, ["region", "b"]).where(F.col("d") >= F.col("m") - r - slack))
     return outer.union(core.select(inner, "a", "size", "rest")).union(
         window.select(inner, "a", "size", "rest")).distinct()
