@@ -123,7 +123,8 @@ def quantiles(df: DataFrame, value: str, probs: dict, group: list | tuple = (),
                           *extra.keys())
     # group keys as one struct: joins treat NULL keys as equal, like groupBy
     key = F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0).alias("_all"))
-    counts = (vals.select(key.alias("_g"), "_v", "_w").groupBy("_g", "_v").agg(F.sum("_w").alias("_c"))
+    times = F.sum("_w") if weight else F.count(F.lit(1))
+    counts = (vals.select(key.alias("_g"), "_v", "_w").groupBy("_g", "_v").agg(times.alias("_c"))
               .withColumn("_b", _bucket(F.col("_v"))))
     buckets = counts.groupBy("_g", "_b").agg(F.sum("_c").alias("_c"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
     whole = Window.partitionBy("_g")

@@ -43,7 +43,10 @@ def case_variants(log: DataFrame, slice_hours: int = 24,
 def variant_counts(digests: DataFrame) -> DataFrame:
     """DSC-2: ``d1, d2, n_events, n_cases`` and ``case_id``, the smallest case
     of the variant, from :func:`case_digests` (map-side combined; hot variants
-    are fine)."""
+    are fine).  A table of :func:`case_variants` is counted by its texts:
+    ``variant, n_cases``."""
+    if "variant" in digests.columns:
+        return digests.groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"))
     return digests.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_cases"), F.min(CASE).alias(CASE))
 
 
@@ -64,11 +67,14 @@ def _classes(counts: DataFrame) -> DataFrame:
                       F.coalesce(F.sum(tied).over(before), F.lit(0)).alias("_tied_before"))
 
 
-def variant_ranks(counts: DataFrame, log: DataFrame, slice_hours: int = 24) -> DataFrame:
+def variant_ranks(counts: DataFrame, log: DataFrame | None = None, slice_hours: int = 24) -> DataFrame:
     """WIN-4: ``counts`` with ``variant_rank`` -- 1 = most frequent, consecutive
     positions, ties by variant text ascending -- and without a text: that of
     variants with a number of cases of their own is never built, that of the
-    others is sorted with nothing but its case."""
+    others is sorted with nothing but its case.  Counts that have their texts
+    already are ranked by them and need no log."""
+    if "variant" in counts.columns:
+        return positions(counts, [F.desc("n_cases"), F.asc("variant")], name="variant_rank")
     classed = counts.join(_classes(counts), "n_cases")
     alone = classed.where("_size = 1").select(CASE, (F.col("_before") + 1).cast("long").alias("variant_rank"))
     tied = classed.where("_size > 1").select(CASE, "n_cases", (F.col("_before") - F.col("_tied_before")).alias("_unique"))

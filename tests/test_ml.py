@@ -51,11 +51,17 @@ def test_fit_small(spark, prepared):
     assert len(cm) == 4 and sum(r["n_cases"] for r in cm) == sc.count()
 
 
-def test_models_are_fitted_once_and_read_again(spark, prepared, tmp_dir, monkeypatch):
-    calls = []
+@pytest.fixture()
+def two_folds(prepared, monkeypatch):
+    monkeypatch.setattr(ml, "ML_FOLDS", 2)
+    return prepared.withColumn("fold", prepared.fold % 2).cache()
+
+
+def test_models_are_fitted_once_and_read_again(spark, two_folds, tmp_dir, monkeypatch):
+    prepared, calls = two_folds, []
     fit = ml.fit_models
     monkeypatch.setattr(ml, "fit_models", lambda *a, **k: calls.append(1) or fit(*a, **k))
-    small = dict(rf_trees=3, gb_rounds=2)
+    small = dict(rf_trees=2, gb_rounds=1)
     first = ml.fit_or_load(prepared, tmp_dir, **small)
     again = ml.fit_or_load(prepared.repartition(3), tmp_dir, **small)  # equal rows in another order
     assert len(calls) == 1 and again.best == first.best and again.feats == first.feats
@@ -67,7 +73,7 @@ def test_models_are_fitted_once_and_read_again(spark, prepared, tmp_dir, monkeyp
     assert sorted(map(tuple, ml.importances(spark, again).collect())) == \
         sorted(map(tuple, ml.importances(spark, first).collect()))
     # other parameters, or one changed row, are another key
-    ml.fit_or_load(prepared, tmp_dir, rf_trees=4, gb_rounds=2)
+    ml.fit_or_load(prepared, tmp_dir, rf_trees=3, gb_rounds=1)
     from pyspark.sql import functions as F
     one = prepared.agg(F.min("case_id")).first()[0]
     ml.fit_or_load(prepared.withColumn("n_events", F.col("n_events") + (F.col("case_id") == one).cast("double")),
@@ -75,8 +81,8 @@ def test_models_are_fitted_once_and_read_again(spark, prepared, tmp_dir, monkeyp
     assert len(calls) == 3
 
 
-def test_an_unfinished_fit_is_done_again(spark, prepared, tmp_dir, monkeypatch):
-    fit, calls = ml.fit_models, []
+def test_an_unfinished_fit_is_done_again(spark, two_folds, tmp_dir, monkeypatch):
+    prepared, fit, calls = two_folds, ml.fit_models, []
     monkeypatch.setattr(ml, "fit_models", lambda *a, **k: calls.append(1) or fit(*a, **k))
     real = ml.comparison
 
