@@ -15,8 +15,12 @@ the join runs in these steps.
    pair), so a document's first shingles are its rare ones and regions stay
    small at every size of the data.  In a region, sizes and places in the order
    bound the overlap of a pair.
-3. A region of at most ``SMALL`` documents is joined pair by pair, unless it is
-   dense.  The others get documents as pivots (in the first round
+   Regions with the same smallest member, by a hash of the members, become one
+   region, under ``MERGES`` hashes in turn: nearly equal regions (all those of
+   a family of copies) fall together, members never become more.
+3. A region in which at most ``SMALL / 2`` pairs a member are not yet connected
+   (so any region of at most ``SMALL`` members) is joined pair by pair, unless it
+   is dense.  The others get documents as pivots (in the first round
    the smallest, then the smallest of each of 4, 16, ... hash classes), and the
    distance of every member to them is computed, unless the sizes alone put
    it beyond ``2r``.  Members that cannot be similar to any other member by
@@ -59,6 +63,7 @@ from caseflow.session import shuffle_partitions
 WORDS = 5
 PERCENT = 80          # similarity
 SMALL = 32            # members of a region that is joined pair by pair
+MERGES = 3            # hashes of the members under which regions become one
 PIVOTS = 4            # a region has 1, 4, 16, ... pivots in its rounds,
 PER_PIVOT = 8         # but one for so many members at most
 ROUNDS = 8
@@ -357,6 +362,20 @@ def useful(regions: DataFrame, percent: int) -> DataFrame:
             .select("region", "a", "size", "rest"))
 
 
+def merged(regions: DataFrame, hashes: int = MERGES) -> DataFrame:
+    """Regions (region, a, size, rest) whose smallest members, by a hash, are the
+    same become one, for several hashes in turn; regions with one member are
+    none.  Two regions meet with the share of members they have in common as
+    probability, so nearly equal ones do; a union holds every pair of its
+    regions and no more members than they.  Of its rests a member keeps the
+    largest."""
+    for salt in range(hashes):
+        own = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("a", F.lit(salt))).alias("m"))
+        regions = (regions.join(own.where("n > 1").select("region", "m"), "region")
+                   .groupBy(F.col("m").alias("region"), "a", "size").agg(F.max("rest").alias("rest")))
+    return regions
+
+
 def different(regions: DataFrame) -> DataFrame:
     """Regions (region, a, size, rest) with the same members are one, and those
     with one member are none.  Members are compared by their number and two
@@ -380,18 +399,26 @@ def unconnected(regions: DataFrame, comp: DataFrame) -> DataFrame:
 def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small: int,
                   percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the regions (region, a, size, rest) that are not yet connected: the
-    pairs of the small ones that sizes and places allow, the members of the
-    others, and these regions' pivots (region, b, b_size).  A small region in
-    which more than two pairs a member are left is dense; in the first round,
-    where nothing is connected yet, it gets a pivot too."""
+    pairs of different components that sizes and places allow in those with few
+    such pairs a member, the members of the others, and these regions' pivots
+    (region, b, b_size).  A region of the first kind with more than two allowed
+    pairs a member is dense; in the first round, where nothing is connected
+    yet, it gets a pivot too."""
     known = regions if comp is not None else regions.withColumn("comp", F.col("a"))
-    count = known.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    known = written(known.join(count, "region"), "regions")
-    few = known.where(F.col("n") <= small)
-    pairs = few.alias("l").join(few.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").where(
+    count = known.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", "c").alias("main"))
+    # pairs of different components are (n * n - squares) / 2
+    count = count.where("n > 1").withColumn(
+        "few", F.col("n").cast("double") * F.col("n") - F.col("squares") <= F.col("n") * (small - 1))
+    known = written(known.join(count.drop("squares"), "region"), "regions")
+    few = known.where("few")
+    # all members meet those outside the region's main component, so the work is about the pairs wanted
+    pairs = few.where("comp <> main").alias("l").join(few.alias("r"), "region").where(
+        "l.comp <> r.comp and (r.comp = r.main or l.a < r.a)").where(
         (F.least("l.rest", "r.rest") * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size")))
-        & close("l.size", "r.size", percent / 100)).select("region", F.col("l.a").alias("a"), F.col("r.a").alias("b"))
-    large = known.where(F.col("n") > small).select("region", "a", "size", "rest", "n")
+        & close("l.size", "r.size", percent / 100)).select(
+        "region", F.least("l.a", "r.a").alias("a"), F.greatest("l.a", "r.a").alias("b"))
+    large = known.where("not few").select("region", "a", "size", "rest", "n")
     if not round_:
         pairs = written(pairs, "small-pairs")
         ends = pairs.select("region", "a").union(pairs.select("region", "b")).groupBy("region", "a").count()
@@ -447,7 +474,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: i
     found = written(first_regions(entries(docs, spark.sparkContext.broadcast(levels), words, percent, parts,
                                           int(level(hot_count))), percent, parts, small), "regions")
     pairs = found.where("region is null").select("a", "b").distinct()
-    regions = written(different(useful(
+    regions = written(merged(useful(
         found.where("region is not null").select("region", "a", "size", "rest").distinct(), percent)), "regions")
     r, round_, comp, links, sets = 1 - percent / 100, 0, None, None, None
     while True:
@@ -463,7 +490,10 @@ def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: i
                 close("size", "b_size", 1 - 2 * r)).select("a", "b"))
         todo = written(todo.distinct(), "pairs")
         if not round_:  # shuffled once for both ends of the pairs
-            sets = sets_of(docs, rows, todo.select(F.col("a").alias("set")).union(todo.select("b")).distinct(), words)
+            names = todo.select(F.col("a").alias("set")).union(todo.select("b"))
+            sets = sets_of(docs, rows, names.union(members.select("a")).distinct(), words)
+            if left:  # the rounds read them again
+                sets = written(sets, "sets")
         known = written(distances(todo, sets, percent), "distances")
         new = known.where("linked").select("a", "b")
         links = new if links is None else links.union(new)
@@ -472,8 +502,6 @@ def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: i
         comp = written(components(links), "components")
         regions = written(unconnected(different(useful(next_regions(members, pivots, known, r), percent)), comp),
                           "regions")
-        if not round_:  # later regions only hold members of these
-            sets = written(sets_of(docs, rows, regions.select(F.col("a").alias("set")).distinct(), words), "sets")
         round_ += 1
 
 
