@@ -20,8 +20,9 @@ the join runs in these steps.
    a family of copies) fall together, members never become more.
 3. A region in which at most ``SMALL / 2`` pairs a member are not yet connected
    (so any region of at most ``SMALL`` members) is joined pair by pair, unless it
-   is dense.  The others get documents as pivots (in the first round
-   the smallest, then the smallest of each of 4, 16, ... hash classes), and the
+   is dense.  The others get documents as pivots (in the first round the one
+   with the most first regions, which is in the middle of a family, then that of
+   each of 4, 16, ... hash classes), and the
    distance of every member to them is computed, unless the sizes alone put
    it beyond ``2r``.  Members that cannot be similar to any other member by
    size and place leave first.  Members within ``r`` of a pivot (its core) are
@@ -359,33 +360,35 @@ def useful(regions: DataFrame, percent: int) -> DataFrame:
     bound = regions.groupBy("region").agg(F.min("size").alias("least"), F.max("rest").alias("most"))
     need = percent * (F.col("size") + F.greatest("least", F.ceil(F.col("size") * percent / 100)))
     return (regions.join(bound, "region").where(F.least("rest", "most") * (100 + percent) >= need)
-            .select("region", "a", "size", "rest"))
+            .select("region", "a", "size", "rest", "weight"))
 
 
 def merged(regions: DataFrame, hashes: int = MERGES) -> DataFrame:
-    """Regions (region, a, size, rest) whose smallest members, by a hash, are the
+    """Regions (region, a, size, rest, weight) whose smallest members, by a hash, are the
     same become one, for several hashes in turn; regions with one member are
     none.  Two regions meet with the share of members they have in common as
     probability, so nearly equal ones do; a union holds every pair of its
     regions and no more members than they.  Of its rests a member keeps the
-    largest."""
+    largest; its weight is the number of first regions that it was in, most for
+    members in the middle of a family, whose first shingles are all common."""
     for salt in range(hashes):
         own = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("a", F.lit(salt))).alias("m"))
         regions = (regions.join(own.where("n > 1").select("region", "m"), "region")
-                   .groupBy(F.col("m").alias("region"), "a", "size").agg(F.max("rest").alias("rest")))
+                   .groupBy(F.col("m").alias("region"), "a", "size").agg(
+                       F.max("rest").alias("rest"), F.sum("weight").alias("weight")))
     return regions
 
 
 def different(regions: DataFrame) -> DataFrame:
-    """Regions (region, a, size, rest) with the same members are one, and those
+    """Regions (region, a, size, rest, weight) with the same members are one, and those
     with one member are none.  Members are compared by their number and two
-    64-bit digests; of its rests a member keeps the largest."""
+    64-bit digests; of its rests and weights a member keeps the largest."""
     own = regions.groupBy("region").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a")).alias("x"),
         F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y")).where("n > 1")
     same = own.withColumn("first", F.min("region").over(Window.partitionBy("n", "x", "y"))).select("region", "first")
     return (regions.join(same, "region").groupBy(F.col("first").alias("region"), "a", "size")
-            .agg(F.max("rest").alias("rest")))
+            .agg(F.max("rest").alias("rest"), F.max("weight").alias("weight")))
 
 
 def unconnected(regions: DataFrame, comp: DataFrame) -> DataFrame:
@@ -398,7 +401,7 @@ def unconnected(regions: DataFrame, comp: DataFrame) -> DataFrame:
 
 def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small: int,
                   percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the regions (region, a, size, rest) that are not yet connected: the
+    """Of the regions (region, a, size, rest, weight) that are not yet connected: the
     pairs of different components that sizes and places allow in those with few
     such pairs a member, the members of the others, and these regions' pivots
     (region, b, b_size).  A region of the first kind with more than two allowed
@@ -418,20 +421,21 @@ def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small
         (F.least("l.rest", "r.rest") * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size")))
         & close("l.size", "r.size", percent / 100)).select(
         "region", F.least("l.a", "r.a").alias("a"), F.greatest("l.a", "r.a").alias("b"))
-    large = known.where("not few").select("region", "a", "size", "rest", "n")
+    large = known.where("not few").select("region", "a", "size", "rest", "weight", "n")
     if not round_:
         pairs = written(pairs, "small-pairs")
         ends = pairs.select("region", "a").union(pairs.select("region", "b")).groupBy("region", "a").count()
         dense = ends.groupBy("region").agg(F.sum("count").alias("c"), F.count(F.lit(1)).alias("m")).where(
             "c > 4 * m").select("region")
         inside = few.join(ends.join(dense, "region").select("region", "a"), ["region", "a"], "left_semi")
-        large = large.union(inside.select("region", "a", "size", "rest", "n"))
+        large = large.union(inside.select("region", "a", "size", "rest", "weight", "n"))
         pairs = pairs.join(dense, "region", "left_anti")
     large = written(large, "members")
     # no more than one pivot for so many members
     most = F.greatest(F.lit(1), F.least(F.lit(PIVOTS ** round_), F.floor(F.col("n") / PER_PIVOT)))
     salt = F.pmod(F.xxhash64("a", F.lit(round_)), most)
-    pivots = large.groupBy("region", salt.alias("salt")).agg(F.min(F.struct("a", "size")).alias("p")).select(
+    pivots = large.groupBy("region", salt.alias("salt")).agg(
+        F.min(F.struct(-F.col("weight"), F.col("a"), F.col("size"))).alias("p")).select(
         "region", F.col("p.a").alias("b"), F.col("p.size").alias("b_size"))
     return pairs.select("a", "b"), large.drop("n"), written(pivots, "pivots")
 
@@ -450,17 +454,17 @@ def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, r: flo
     to = near.join(members, ["region", "a"]).join(
         pivots.select("region", F.col("b").alias("a")), ["region", "a"], "left_anti")
     to = written(to, "to-pivots")
-    home = to.where("linked").groupBy("region", "a", "size", "rest").agg(F.min(F.struct("d", "b")).alias("h"))
+    home = to.where("linked").groupBy("region", "a", "size", "rest", "weight").agg(F.min(F.struct("d", "b")).alias("h"))
     taken = home.select("region", "a").union(pivots.select("region", F.col("b").alias("a")))
     outer = members.join(taken, ["region", "a"], "left_anti").select(
-        F.xxhash64("region", F.lit(-1)).alias("region"), "a", "size", "rest")
+        F.xxhash64("region", F.lit(-1)).alias("region"), "a", "size", "rest", "weight")
     window = to.where(~F.col("linked") & (F.col("d") <= 2 * r + slack))
     inner = F.xxhash64("region", "b").alias("region")
     least = window.groupBy("region", "b").agg(F.min("d").alias("m"))
-    core = (home.select("region", "a", "size", "rest", F.col("h.b").alias("b"), F.col("h.d").alias("d"))
+    core = (home.select("region", "a", "size", "rest", "weight", F.col("h.b").alias("b"), F.col("h.d").alias("d"))
             .join(least, ["region", "b"]).where(F.col("d") >= F.col("m") - r - slack))
-    return outer.union(core.select(inner, "a", "size", "rest")).union(
-        window.select(inner, "a", "size", "rest")).distinct()
+    return outer.union(core.select(inner, "a", "size", "rest", "weight")).union(
+        window.select(inner, "a", "size", "rest", "weight")).distinct()
 
 
 # ---- 4. the join --------------------------------------------------------------------
@@ -475,7 +479,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: i
                                           int(level(hot_count))), percent, parts, small), "regions")
     pairs = found.where("region is null").select("a", "b").distinct()
     regions = written(merged(useful(
-        found.where("region is not null").select("region", "a", "size", "rest").distinct(), percent)), "regions")
+        found.where("region is not null").select("region", "a", "size", "rest", F.lit(1).cast("long").alias("weight"))
+        .distinct(), percent)), "regions")
     r, round_, comp, links, sets = 1 - percent / 100, 0, None, None, None
     while True:
         more, members, pivots = split_regions(regions, comp, round_, small, percent)
@@ -492,7 +497,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: i
         if not round_:  # shuffled once for both ends of the pairs
             names = todo.select(F.col("a").alias("set")).union(todo.select("b"))
             sets = sets_of(docs, rows, names.union(members.select("a")).distinct(), words)
-            if left:  # the rounds read them again
+            if left:  # read again after this round
                 sets = written(sets, "sets")
         known = written(distances(todo, sets, percent), "distances")
         new = known.where("linked").select("a", "b")
@@ -502,6 +507,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: i
         comp = written(components(links), "components")
         regions = written(unconnected(different(useful(next_regions(members, pivots, known, r), percent)), comp),
                           "regions")
+        if not round_:  # later regions only hold members of these
+            sets = written(sets.join(regions.select(F.col("a").alias("set")).distinct(), "set", "left_semi"), "sets")
         round_ += 1
 
 
