@@ -20,7 +20,8 @@ the join runs in these steps.
    a family of copies) fall together, members never become more.
 3. A region in which at most ``SMALL / 2`` pairs a member are not yet connected
    (so any region of at most ``SMALL`` members) is joined pair by pair, unless it
-   is dense.  The others get documents as pivots (in the first round the one
+   is dense; after the first round up to ``LATER`` times as many, since several
+   rounds of pivots cost about as much.  The others get documents as pivots (in the first round the one
    with the most first regions, which is in the middle of a family, then that of
    each of 4, 16, ... hash classes), and the
    distance of every member to them is computed, unless the sizes alone put
@@ -64,6 +65,7 @@ from caseflow.session import shuffle_partitions
 WORDS = 5
 PERCENT = 80          # similarity
 SMALL = 32            # members of a region that is joined pair by pair
+LATER = 8             # times as many pairs a member are joined at once in later rounds
 MERGES = 3            # hashes of the members under which regions become one
 PIVOTS = 4            # a region has 1, 4, 16, ... pivots in its rounds,
 PER_PIVOT = 8         # but one for so many members at most
@@ -412,7 +414,7 @@ def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small
         F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", "c").alias("main"))
     # pairs of different components are (n * n - squares) / 2
     count = count.where("n > 1").withColumn(
-        "few", F.col("n").cast("double") * F.col("n") - F.col("squares") <= F.col("n") * (small - 1))
+        "few", F.col("n").cast("double") * F.col("n") - F.col("squares") <= F.col("n") * (small * (LATER if round_ else 1) - 1))
     known = written(known.join(count.drop("squares"), "region"), "regions")
     few = known.where("few")
     # all members meet those outside the region's main component, so the work is about the pairs wanted
