@@ -134,6 +134,21 @@ def build(model: Model, whole: bool = True):
     return out
 
 
+def build_decoder(model: Model):
+    """A tokenizer that only decodes, as that of ``build`` does: its vocabulary
+    holds spaces for the markers, so the library need not look for them in every
+    piece.  None where two pieces differ in that only."""
+    from tokenizers import Tokenizer, decoders, models
+
+    spaced = {p.replace(MARK, " "): i for i, p in enumerate(model.pieces)}
+    if len(spaced) < len(model.pieces):
+        return None
+    out = Tokenizer(models.WordLevel(spaced, unk_token=model.pieces[model.unk]))
+    out.decoder = decoders.Sequence([decoders.ByteFallback()] * model.byte_fallback + [decoders.Fuse()]
+                                    + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
+    return out
+
+
 class PieceCodec(WordEncoder):
     """Encoder and decoder of a model file."""
 
@@ -144,6 +159,7 @@ class PieceCodec(WordEncoder):
             self.model = Model(f.read())
         self.tokenizer = build(self.model)
         self.parts = build(self.model, whole=False)
+        self.decoder = build_decoder(self.model) or self.tokenizer
         self.separable = self.model.separable()
         # ASCII signs that follow a letter in no piece: a part can end before them
         inner = {p[k:k + 2] for p in self.model.pieces for k in range(len(p) - 1)}
@@ -157,7 +173,7 @@ class PieceCodec(WordEncoder):
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
         self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.is_byte = np.array(self.model.types) == BYTE
-        self.by_parts = True  # until the library decodes a part otherwise
+        self.by_parts = True  # until the library decodes a learned part to something else
         self.lead = next(i for i, (x, t) in enumerate(zip(self.model.pieces, self.model.types))
                          if t == NORMAL and x.isalnum())
         self._empty()
@@ -194,23 +210,13 @@ class PieceCodec(WordEncoder):
         return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
     def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return self.decoder.decode_batch(ids, skip_special_tokens=False)
 
     def decoded(self, texts: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
-        """Texts of the ids of ``texts`` as the library decodes them.  The
-        decoder works piece by piece, joins, and drops one space at the start,
-        so the text of an encoded text is that of its parts in a row; the library
-        has decoded every part to itself.  (Bytes of fallback form whole
-        characters in every part, so runs of them across parts do too.)  Texts
-        encoded as they stand, and all if a part differed, are decoded by the
-        library."""
-        by_library = self._whole(texts) | (not self.by_parts)
-        back = [t.replace(MARK, " ") for t in texts.to_pylist()]
-        left = np.flatnonzero(by_library).tolist()
-        runs = np.split(ids, np.cumsum(sizes)[:-1]) if left else []
-        for i, t in zip(left, self.decode_batch([runs[i].tolist() for i in left])):
-            back[i] = t
-        return back
+        """What the library decodes all ids of each text to, from the ids alone."""
+        if not len(texts):
+            return []
+        return self.decode_batch([x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])])
 
     def decoded_bytes(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """UTF-8 of the texts of consecutive runs of ids, by look-up (equal to
@@ -250,7 +256,7 @@ def parity(path: str, items: list[str], threads: int = 1) -> list[int]:
     c = codec(path, threads)
     ids, sizes = c.encode(pa.array(items, pa.string()))
     own = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if items else []
-    return differing(path, own, c.decoded(pa.array(items, pa.string()), ids, sizes), items, threads)
+    return differing(path, own, c.decode_batch(own), items, threads)
 
 
 def encode_pieces(docs: DataFrame, model_path: str, threads: int = 1, id_col: str = "doc_id",
@@ -270,7 +276,7 @@ def encode_pieces(docs: DataFrame, model_path: str, threads: int = 1, id_col: st
                 own = np.split(ids, np.cumsum(sizes)[:-1])
                 items = data.to_pylist()
                 lists = [x.tolist() for x in own]
-                back = c.decoded(data, ids, sizes)
+                back = c.decode_batch(lists)
                 checked = list(range(0, len(items), verify_every))
                 wrong = {checked[i] for i in differing(
                     model_path, *([x[i] for i in checked] for x in (lists, back, items)), threads)}

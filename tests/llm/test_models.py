@@ -265,3 +265,37 @@ def test_a_part_that_decodes_otherwise_goes_to_the_library():
     data = pa.array(["some words", "more"])
     ids, sizes = c.encode(data)
     assert not c.by_parts and c.decoded(data, ids, sizes) == ["some words!", "more!"]
+
+
+def test_decoded_texts_come_from_the_ids():
+    c = codec(piece_model())
+    data, other = pa.array(["some words", "more"]), pa.array(["quite different", "x é 日"])
+    ids, sizes = c.encode(other)
+    assert c.decoded(data, ids, sizes) == other.to_pylist()  # not the texts themselves
+    assert c.decoded(data[:0], ids[:0], sizes[:0]) == []
+
+
+def test_a_wrong_id_shows_in_the_round_trip(monkeypatch):
+    from caseflow.llm import pieces
+
+    class Docs:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    class Wrong(pieces.PieceCodec):
+        def encode(self, texts):
+            ids, sizes = super().encode(texts)
+            return np.where(ids == ids[0], ids[-1], ids), sizes
+
+    wrong = Wrong(piece_model())
+    monkeypatch.setattr(pieces, "id_text", lambda *a: Docs)
+    monkeypatch.setattr(pieces, "codec", lambda *a: wrong)
+    out = list(encode_pieces(None, piece_model())([pa.record_batch({"doc_id": [1], "text": ["some other words"]})]))
+    assert out[0].column("round_trip").to_pylist() == [False] and out[0].column("parity").to_pylist() == [False]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31_999)), max_size=12), min_size=1, max_size=5))
+def test_the_decoder_equals_that_of_the_tokenizer(ids):
+    c = codec(piece_model())
+    assert c.decoder is not c.tokenizer
+    assert c.decode_batch(ids) == c.tokenizer.decode_batch(ids, skip_special_tokens=False)
