@@ -14,12 +14,17 @@ by ratios divided by length: of the whole text, of its most toxic passage of
 ``PASSAGE`` words and of its ``TOP`` most toxic words, so that an insult in a
 long text counts.  A logistic function of these numbers (``features``) gives
 the score.  It is fitted on at most about ``CALIBRATE`` texts of each label,
-each rated by a model of the other half of the labelled texts.
+each rated by a model of the other half of the labelled texts; numbers beyond
+those of these texts count as the outermost of them.
 
 All labelled texts are counted, in Spark; the counts grow with them.  What the
-tasks look up is a table of at most ``SLOTS`` sequences (12 bytes each); where
-two sequences meet in a slot, the more frequent one stays and the other one
-counts as never seen.
+tasks look up is a table of at most ``SLOTS`` sequences (12 bytes each), one a
+slot; where sequences meet in a slot, the most frequent one has it, and the
+others, at most ``MORE``, are found in a sorted list.  Sequences beyond both stay
+in Spark: words with a sequence that the table does not hold are spelled and
+joined with them, and their texts take those words' ratios from the join
+(``with_rest_words``).  So every sequence counts, and the results depend on
+neither bound.
 
 Defined results: a null text is the empty text; a text without words gets the
 share of toxic labels; without labelled rows every score is 0, with labels of
@@ -31,16 +36,16 @@ scores.  Further columns of any name are ignored or, in ``score``, kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.common import quoted, slices, texts, written
+from caseflow.llm.common import free_name, quoted, slices, texts, written
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -49,6 +54,8 @@ SHARED = 2          # orders estimated for all sequences at once
 PASSAGE, TOP, USED = 8, 5, 4
 CALIBRATE = 3000
 SLOTS = 1 << 22
+MORE = 1 << 21      # sequences beside the slots
+MANY = 1 << 16      # occurrences told apart when the most frequent of those are chosen
 BITS, EDGE = 6, 61  # bits of a symbol; the symbol between words (0: nothing)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS, BUCKET = 1 << 26, 1 << 15
@@ -219,56 +226,168 @@ def slot(keys: np.ndarray, slots: int) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Sequences by slot: ``keys`` (-1: free) and ``values``."""
+    """Sequences by slot: ``keys`` (-1: free) and ``values``; those without a
+    slot of their own in the order of ``more_keys``; ``partial``: others are left."""
 
     keys: np.ndarray
     values: np.ndarray
+    more_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    more_values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    partial: bool = False
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = slot(keys, len(self.keys))
         hit = self.keys[at] == keys
-        return hit, np.where(hit, self.values[at], 0.0)
+        value = np.where(hit, self.values[at], 0.0)
+        if len(self.more_keys):
+            left = np.flatnonzero(~hit)
+            at = np.minimum(np.searchsorted(self.more_keys, keys[left]), len(self.more_keys) - 1)
+            found = self.more_keys[at] == keys[left]
+            hit[left[found]], value[left[found]] = True, self.more_values[at[found]]
+        return hit, value
 
     def ratios(self, known: list[str]) -> np.ndarray:
         """Log ratio of each word: toxic against ordinary."""
         g, of = grams(known)
         hit, value = self.find(g)
         new = np.flatnonzero(~hit)
-        value[new] = self.find(g[new] >> BITS | 1 << BITS * ORDER)[1]
+        value[new] = self.find(context(g[new]))[1]
         return np.bincount(of, value, len(known))
 
+    def unsure(self, known: list[str]) -> np.ndarray:
+        """Whether a word has a sequence that the table does not hold."""
+        g, of = grams(known)
+        return np.bincount(of, ~self.find(g)[0], len(known)) > 0
+
+
+def context(g: np.ndarray) -> np.ndarray:
+    """Keys of the contexts of sequences."""
+    return g >> BITS | 1 << BITS * ORDER
+
 
-def _tables(entries: DataFrame, models: tuple[int, ...], slots: int) -> dict[int, Table]:
-    """At most one entry of each slot reaches the driver."""
+def _placed(entries: DataFrame, slots: int, more: int) -> DataFrame:
+    """The entries with their ``slot`` and ``place``: 0 has the slot, 1 is among
+    the (at most ``more`` a model) most frequent of the others, 2 is left."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = slot(b.column("key").to_numpy(), slots)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=[*b.schema.names, "slot"])
 
-    kept = (entries.mapInArrow(put, "model int, key long, value double, n long, slot long")
-            .groupBy("model", "slot").agg(F.max(F.struct("n", "key", "value")).alias("e"))
-            .select("model", "slot", "e.key", "e.value"))
+    first = Window.partitionBy("model", "slot").orderBy(F.desc("n"), F.desc("key"), F.desc("value"))
+    ranked = written(entries.select("model", "key", "value", "n")
+                     .mapInArrow(put, "model int, key long, value double, n long, slot long")
+                     .withColumn("own", F.row_number().over(first) == 1), "gram-slots")
+    # at most MANY rows a model
+    times = (ranked.where(~F.col("own")).groupBy("model", F.least("n", F.lit(MANY)).alias("n"))
+             .agg(F.count(F.lit(1)).alias("c")).toArrow())
+    model, n, c = (times.column(x).to_numpy() for x in ("model", "n", "c"))
+    place = F.lit(1)
+    for m in np.unique(model).tolist():
+        order = np.flatnonzero(model == m)[np.argsort(-n[model == m])]
+        fit = int((np.cumsum(c[order]) <= more).sum())
+        if fit < len(order):
+            place = F.when((F.col("model") == m) & (F.least("n", F.lit(MANY)) <= int(n[order[fit]])), 2).otherwise(place)
+    return ranked.select("model", "key", "value", "slot", F.when(F.col("own"), 0).otherwise(place).alias("place"))
+
+
+def _read(placed: DataFrame, models: tuple[int, ...], slots: int) -> dict[int, Table]:
+    """One entry of each slot and at most ``more`` others reach the driver."""
+    left = {r[0] for r in placed.where("place = 2").select("model").distinct().collect()}
     out = {}
     for m in models:
-        got = kept.where(F.col("model") == m).toArrow()
-        table = Table(np.full(slots, -1, np.int64), np.zeros(slots, np.float32))
-        at = got.column("slot").to_numpy()
-        table.keys[at], table.values[at] = got.column("key").to_numpy(), got.column("value").to_numpy()
+        got = placed.where((F.col("model") == m) & (F.col("place") < 2)).select("key", "value", "slot", "place").toArrow()
+        key, value, at, place = (got.column(c).to_numpy() for c in ("key", "value", "slot", "place"))
+        own, more = place == 0, np.flatnonzero(place == 1)
+        more = more[np.argsort(key[more])]
+        table = Table(np.full(slots, -1, np.int64), np.zeros(slots, np.float32), key[more],
+                      value[more].astype(np.float32), m in left)
+        table.keys[at[own]], table.values[at[own]] = key[own], value[own]
         out[m] = table
     return out
 
 
-def features(table: Table, data: pa.Array, cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _tables(entries: DataFrame, models: tuple[int, ...], slots: int, more: int = MORE) -> dict[int, Table]:
+    return _read(_placed(entries, slots, more), models, slots)
+
+
+def with_rest_words(rows: DataFrame, tables, rest: DataFrame, model: Column, name: str,
+                    text_col: str = "text") -> DataFrame:
+    """``rows`` with the column ``name``: ``word`` and ``ratio`` of those words of
+    the text that have a sequence which the table of their ``model`` (broadcast
+    ``tables``) does not hold, by joins with the entries ``rest``."""
+
+    def unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                codes, offsets, known = words(texts(part))
+                of = np.repeat(part.column("model").to_numpy(), np.diff(offsets))
+                row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                for m in np.unique(of).tolist():
+                    open_ = tables.value[m].unsure(known)[codes] & (of == m)
+                    r, c = np.unique(np.stack([row[open_], codes[open_]]), axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("digest").take(pa.array(r)), pa.array(np.full(len(r), m), pa.int32()),
+                         pa.array(known, pa.string()).take(pa.array(c))], names=["digest", "model", "word"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "word"):
+                model_of = part.column("model").to_numpy()
+                for m in np.unique(model_of).tolist():
+                    known = part.column("word").take(pa.array(np.flatnonzero(model_of == m)))
+                    g, of = grams(known.to_pylist())
+                    hit, value = tables.value[m].find(g)
+                    back, other = tables.value[m].find(context(g))
+                    none = -1 - np.arange(len(g))  # keys of no entry, spread over the tasks
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(g), m), pa.int32()), known.take(pa.array(of)), pa.array(np.arange(len(g))),
+                         pa.array(np.where(hit, none, g)), pa.array(np.where(hit | back, none, context(g))),
+                         pa.array(value, pa.float64(), mask=~hit), pa.array(other, pa.float64(), mask=~back)],
+                        names=["model", "word", "at", "key", "context", "value", "back"])
+
+    one = F.col("value").cast("float").cast("double")  # as the table holds them
+    by_key = rest.select("model", "key", one.alias("rest_value"))
+    by_context = rest.select("model", F.col("key").alias("context"), one.alias("rest_back"))
+    digest = F.sha2(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), 256)
+    found = (rows.select(digest.alias("digest"), model.cast("int").alias("model"),
+                         F.col(quoted(text_col)).cast("string").alias("text"))
+             .mapInArrow(unsure, "digest string, model int, word string").distinct())
+    # summed in the order of the letters, as ``ratios`` does
+    ratios = (found.select("model", "word").distinct()
+              .mapInArrow(spell, "model int, word string, at long, key long, context long, value double, back double")
+              .join(by_key, ["model", "key"], "left").join(by_context, ["model", "context"], "left")
+              .select("model", "word", "at", F.coalesce("value", "rest_value", "back", "rest_back", F.lit(0.0)).alias("v"))
+              .groupBy("model", "word").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("all"))
+              .select("model", "word", F.aggregate("all", F.lit(0.0), lambda total, x: total + x["v"]).alias("ratio")))
+    d, m = free_name(rows, "_digest"), free_name(rows, "_model")
+    of_text = (found.join(ratios, ["model", "word"]).groupBy("digest", "model")
+               .agg(F.collect_list(F.struct("word", "ratio")).alias(name))
+               .select(F.col("digest").alias(d), F.col("model").alias(m), name))
+    return rows.withColumn(d, digest).withColumn(m, model.cast("int")).join(of_text, [d, m], "left").drop(d, m)
+
+
+def rest_words(batch: pa.RecordBatch, name: str) -> dict[str, float]:
+    """Ratios of the words that ``with_rest_words`` has added to a batch."""
+    flat = batch.column(name).flatten()
+    return dict(zip(pc.struct_field(flat, "word").to_pylist(), pc.struct_field(flat, "ratio").to_pylist()))
+
+
+def features(table: Table, data: pa.Array, cache: dict[str, float],
+             rest: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Rows of ``USED`` numbers, the ratios of the texts, and the most toxic
     passages.  The numbers: ratio of that passage for each symbol, mean ratio
     of the ``TOP`` most toxic words, root mean square of what words have above
-    a ratio of 1, and the logarithm of the number of words (-1: no word)."""
+    a ratio of 1, and the logarithm of the number of words (-1: no word).
+    ``rest``: ratios of words that the table alone cannot give."""
     codes, offsets, known = words(data)
+    rest = rest or {}
+    cache.update(rest)
     new = [w for w in known if w not in cache]
     if len(cache) + len(new) > 1_000_000:
         cache.clear()
-        new = known
+        cache.update(rest)
+        new = [w for w in known if w not in cache]
     cache.update(zip(new, table.ratios(new).tolist()))
     ratio = np.fromiter((cache[w] for w in known), float, len(known))[codes]
     size = (np.fromiter(map(len, known), float, len(known)) + 1)[codes]
@@ -311,14 +430,17 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 class ToxicModel:
     prior: float
     table: Table | None = None
+    rest: DataFrame | None = None  # entries that the table does not hold
     centre: np.ndarray = field(default_factory=lambda: np.zeros(USED))
     scale: np.ndarray = field(default_factory=lambda: np.ones(USED))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(USED + 1))
+    low: np.ndarray = field(default_factory=lambda: np.full(USED, -np.inf))
+    high: np.ndarray = field(default_factory=lambda: np.full(USED, np.inf))
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         if self.table is None:
             return np.full(len(rows), self.prior)
-        z = np.c_[(rows - self.centre) / self.scale, np.ones(len(rows))] @ self.weights
+        z = np.c_[(np.clip(rows, self.low, self.high) - self.centre) / self.scale, np.ones(len(rows))] @ self.weights
         return np.where(rows[:, 3] >= 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), self.prior)
 
 
@@ -351,7 +473,7 @@ def labelled(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", calibrate: int = CALIBRATE, slots: int = SLOTS) -> ToxicModel:
+          label_col: str = "toxic", calibrate: int = CALIBRATE, slots: int = SLOTS, more: int = MORE) -> ToxicModel:
     """The model of the texts whose id satisfies ``learn_from`` (a condition on
     ``doc_id``) and that have a label."""
     rows = written(labelled(docs, labels, learn_from, id_col, text_col, label_col), "labelled-texts")
@@ -362,7 +484,10 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     entries = written(table_entries(written(count_grams(rows), "gram-counts")), "gram-table")
     most = max(1, *(r[1] for r in entries.groupBy("model").count().collect()))
     slots = min(slots, 1 << max(10, (4 * most).bit_length()))
-    tables = _tables(entries, (0, 1, 2), slots)
+    placed = _placed(entries, slots, more)
+    tables = _read(placed, (0, 1, 2), slots)
+    rest = placed.where("place = 2").select("model", "key", "value")
+    by_join = any(tables[m].partial for m in (1, 2))
     held = docs.sparkSession.sparkContext.broadcast({m: tables.pop(m) for m in (1, 2)})
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,13 +498,16 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
                 for f in (0, 1):  # a text is rated by the model without its fold
                     own = part.take(pa.array(np.flatnonzero(fold == f)))
                     if own.num_rows:
-                        x, _, _ = features(held.value[f + 1], texts(own), caches[f + 1])
+                        x, _, _ = features(held.value[f + 1], texts(own), caches[f + 1],
+                                           rest_words(own, "rest_words") if by_join else None)
                         yield pa.RecordBatch.from_arrays([own.column("label"), own.column("h"), *map(pa.array, x.T)],
                                                          names=["label", "h", "a", "b", "c", "d"])
 
     part = F.when(F.col("label") == 1, min(1.0, calibrate / n[1])).otherwise(min(1.0, calibrate / n[0]))
-    sample = (rows.where(F.col("h") < part * float(1 << 40))
-              .mapInArrow(rate, "label int, h long, a double, b double, c double, d double")
+    rated = rows.where(F.col("h") < part * float(1 << 40))
+    if by_join:
+        rated = with_rest_words(rated, held, rest, F.col("fold") + 1, "rest_words")
+    sample = (rated.mapInArrow(rate, "label int, h long, a double, b double, c double, d double")
               .where("d >= 0").toArrow())
     held.unpersist()
     x = np.stack([sample.column(c).to_numpy() for c in "abcd"], 1) if sample.num_rows else np.zeros((0, USED))
@@ -391,7 +519,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     centre, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     weight = np.where(y == 1, n[1] / y.sum(), n[0] / (1 - y).sum())
     w = logistic((x - centre) / scale, y, weight / weight.mean())
-    return ToxicModel(prior, tables[0], centre, scale, w)
+    return ToxicModel(prior, tables[0], rest if tables[0].partial else None, centre, scale, w, x.min(0), x.max(0))
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
@@ -399,7 +527,12 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFra
     symbol), ``worst_ratio`` and ``worst_passage``, which replace columns of
     these names."""
     docs = docs.drop("score", "log_ratio", "worst_ratio", "worst_passage")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sc = docs.sparkSession.sparkContext
+    held = sc.broadcast(replace(model, rest=None))
+    schema, added = docs.schema, None
+    if model.rest is not None:
+        added = free_name(docs, "_rest_words")
+        docs = with_rest_words(docs, sc.broadcast({0: model.table}), model.rest, F.lit(0), added, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
@@ -407,15 +540,17 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFra
         for batch in batches:
             for part in slices(batch, text_col):
                 data = texts(part, text_col)
-                x, mean, worst = features(own.table, data, cache) if own.table is not None else (
+                rest = rest_words(part, added) if added else None
+                kept = part.select(schema.names)
+                x, mean, worst = features(own.table, data, cache, rest) if own.table is not None else (
                     np.full((len(data), USED), -1.0), np.zeros(len(data)), [""] * len(data))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(own.score(x)), pa.array(mean), pa.array(x[:, 0]),
+                    [*kept.columns, pa.array(own.score(x)), pa.array(mean), pa.array(x[:, 0]),
                      pa.array(worst, pa.string())],
-                    names=[*part.schema.names, "score", "log_ratio", "worst_ratio", "worst_passage"])
+                    names=[*kept.schema.names, "score", "log_ratio", "worst_ratio", "worst_passage"])
 
     real = [T.StructField(c, T.DoubleType()) for c in ("score", "log_ratio", "worst_ratio")]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *real, T.StructField("worst_passage", T.StringType())]))
+    return docs.mapInArrow(run, T.StructType([*schema.fields, *real, T.StructField("worst_passage", T.StringType())]))
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -140,6 +140,31 @@ def test_planted_words_in_held_out_texts(spark):
     assert np.mean(["grob" in got[i].worst_passage for i in held if i % 4 == 0]) > 0.8
 
 
+@pytest.mark.parametrize("slots, more", [(16, 1 << 21), (16, 40), (16, 0)])
+def test_every_sequence_counts_whatever_the_bounds(spark, slots, more):
+    rows, labels = corpus(120)
+    rows += [(1000, None), (1001, ""), (None, "river grobnik"), (1003, "unseen grobnak 日本"), (1003, "unseen grobnak 日本")]
+    docs = spark.createDataFrame([(*r, "y", 1) for r in rows], DOCS + ", model string, _digest int")
+    lab = spark.createDataFrame(labels, LABELS)
+    wide, own = tx.learn(docs, lab, tx.learn_rows()), tx.learn(docs, lab, tx.learn_rows(), slots=slots, more=more)
+    assert wide.rest is None and (own.rest is not None) == (more < 1 << 21)
+    assert own.weights == pytest.approx(wide.weights, abs=1e-9)
+    a, b = (sorted(tx.score(docs, m).collect(), key=lambda r: (str(r.doc_id), r.text or "")) for m in (wide, own))
+    assert len(a) == len(rows) and a[0].asDict().keys() == b[0].asDict().keys()
+    for x, y in zip(a, b):
+        assert (x.doc_id, x.text, x.model, x._digest) == (y.doc_id, y.text, y.model, y._digest)
+        assert (y.score, y.log_ratio, y.worst_ratio) == pytest.approx((x.score, x.log_ratio, x.worst_ratio), abs=1e-9)
+
+
+def test_entries_that_meet_in_a_slot_are_found(spark):
+    entries = spark.createDataFrame([(0, k, k / 4, 100 - k) for k in range(100)], "model int, key long, value double, n long")
+    table = tx._tables(entries, (0,), 16)[0]
+    hit, value = table.find(np.arange(110))
+    assert hit.tolist() == [True] * 100 + [False] * 10 and value[:100].tolist() == [k / 4 for k in range(100)]
+    table = tx._tables(entries, (0,), 16, 30)[0]
+    assert len(table.more_keys) == 30 and table.partial and table.find(np.arange(100))[0].sum() == 46
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     rows, labels = corpus(120)
     docs = spark.createDataFrame(rows, DOCS)
