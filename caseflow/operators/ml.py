@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from caseflow.model import (GB_DEPTH, GB_RATE, GB_ROUNDS, LR_MAX_ITER, ML_FOLDS, ML_SEED,
                             ML_TEST_FRACTION, RF_DEPTH, RF_MIN_LEAF, RF_TREES, WEEKDAY_NAMES)
 from caseflow.operators.ranking import positions, running_sums
-from caseflow.operators.util import share_of_all
+from caseflow.operators.util import materialised, share_of_all
 from caseflow.schema import CASE
 
 NUMERIC = ["n_events", "n_unique_activities", "n_resources", "has_rework", "rework_events",
@@ -61,23 +61,21 @@ def feature_table(cases: DataFrame) -> DataFrame:
         cols.append(F.coalesce(F.col("application_type"), F.lit("Unknown")).alias("_app_type"))
     cols.append(F.coalesce(F.col("sla_breach"), F.lit(0)).cast("int").alias("label"))
     df = cases.select(*cols)
-    if "_outcome" in df.columns:
-        df = _label_encode(df, "_outcome", "outcome_encoded")
-        feats.append("outcome_encoded")
-    if "dow_encoded" in df.columns:
-        feats.append("dow_encoded")
-    if "_app_type" in df.columns:
-        df = _label_encode(df, "_app_type", "app_type_encoded")
-        feats.append("app_type_encoded")
+    coded = {src: dst for src, dst in (("_outcome", "outcome_encoded"), ("_app_type", "app_type_encoded"))
+             if src in df.columns}
+    if coded:
+        # written once: the codes are fitted on all cases before any is encoded
+        df = _label_encode(materialised(df, "uncoded-features"), coded)
+    feats += [c for c in ("outcome_encoded", "dow_encoded", "app_type_encoded") if c in df.columns]
     return df.select(CASE, *feats, "label")
 
 
-def _label_encode(df: DataFrame, src: str, dst: str) -> DataFrame:
-    """Alphabetical codes 0..k-1 (the vocabulary, not the data, reaches the
-    driver when the indexer is fitted)."""
-    idx = StringIndexer(inputCol=src, outputCol=dst, stringOrderType="alphabetAsc",
+def _label_encode(df: DataFrame, coded: dict[str, str]) -> DataFrame:
+    """Alphabetical codes 0..k-1 of several columns, fitted in one pass (the
+    vocabularies, not the data, reach the driver)."""
+    idx = StringIndexer(inputCols=list(coded), outputCols=list(coded.values()), stringOrderType="alphabetAsc",
                         handleInvalid="keep").fit(df)
-    return idx.transform(df).drop(src)
+    return idx.transform(df).drop(*coded)
 
 
 def feature_names(features: DataFrame) -> list:

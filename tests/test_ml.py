@@ -123,3 +123,21 @@ def test_split_needs_no_range_exchange_and_no_checkpoint(spark):
 
     plan = E.queries()["ml_split"](spark, SF01)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "ExistingRDD" not in plan
+
+
+def test_features_read_the_cases_once(spark):
+    rows = [(f"c{i}", ["Won", None, "Lost"][i % 3], ["New", "Old", None][i % 3], i % 2) for i in range(30)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "case_id string, outcome string, application_type string, sla_breach int"
+    cases = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    got = {r.case_id: r for r in ml.feature_table(cases).collect()}
+    assert seen.value == len(rows)
+    assert [got[f"c{i}"].outcome_encoded for i in range(3)] == [2.0, 1.0, 0.0]   # Lost, Other, Won
+    assert [got[f"c{i}"].app_type_encoded for i in range(3)] == [0.0, 1.0, 2.0]  # New, Old, Unknown
+    assert ml.feature_table(cases.limit(0)).collect() == []
