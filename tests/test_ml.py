@@ -81,6 +81,39 @@ def test_models_are_fitted_once_and_read_again(spark, two_folds, tmp_dir, monkey
     assert len(calls) == 3
 
 
+def test_each_fold_and_the_whole_part_are_fitted_once(spark, two_folds, monkeypatch):
+    """Side by side, with the measures that folds fitted in turn have."""
+    import threading
+
+    import numpy as np
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    fit, calls, one, at_once = Pipeline.fit, [], threading.Lock(), threading.Barrier(2, timeout=60)
+
+    def seen(self, *a):
+        with one:
+            first = len(calls) < 2
+            calls.append(type(self.getStages()[-1]).__name__)
+        if first:  # fails unless two fits run at a time
+            at_once.wait()
+        return fit(self, *a)
+
+    monkeypatch.setattr(Pipeline, "fit", seen)
+    res = ml.fit_models(two_folds, rf_trees=2, gb_rounds=1, parallelism=4)
+    assert sorted(calls) == sorted(3 * ["GBTClassifier", "LogisticRegression", "RandomForestClassifier"])
+    monkeypatch.setattr(Pipeline, "fit", fit)
+    train = two_folds.filter("is_test = 0")
+    pipe = ml.model_specs(res.feats, train.count() // 2)["Logistic Regression"]
+    aucs = [BinaryClassificationEvaluator().evaluate(pipe.fit(train.filter(f"fold <> {i}")).transform(
+        train.filter(f"fold = {i}"))) for i in (0, 1)]
+    got = next(m for m in res.metrics if m["model"] == "Logistic Regression")
+    assert got["cv_auc"] == pytest.approx(np.mean(aucs), abs=1e-6)
+    assert got["cv_std"] == pytest.approx(np.std(aucs), abs=1e-6)
+    with pytest.raises(ValueError):  # a fold without rows
+        ml.fit_models(two_folds.filter("fold is null or fold = 1"), rf_trees=2, gb_rounds=1)
+
+
 def test_an_unfinished_fit_is_done_again(spark, two_folds, tmp_dir, monkeypatch):
     prepared, fit, calls = two_folds, ml.fit_models, []
     monkeypatch.setattr(ml, "fit_models", lambda *a, **k: calls.append(1) or fit(*a, **k))
