@@ -20,7 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Chunks kept per worker; the table is emptied beyond that (it is only a cache).
-MAX_CHUNKS = 1_200_000
+MAX_CHUNKS = 400_000
+# Words given to the library at once; bounds what it holds on each token.
+WORDS_AT = 1 << 14
 _CAPITAL_MARK = r"[A-Z]\p{M}"
 _LETTER_SIGN = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
 
@@ -46,14 +48,16 @@ class WordEncoder:
         self.used = 0
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        # the fast kind keeps no offsets
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and sizes of chunks by the library, and the order they come in."""
         plain = pc.match_substring_regex(pa.array(chunks, pa.string()),
                                          "^[a-zà-öø-ÿ]+$").to_numpy(zero_copy_only=False)
         words, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
-        ids = self._encode(" ".join([chunks[i] for i in words])) if len(words) else np.zeros(0, np.uint32)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(
+            self._encode(" ".join([chunks[i] for i in words[k:k + WORDS_AT]])) for k in range(0, len(words), WORDS_AT))])
         ends = np.flatnonzero(self.ends[ids])
         if len(ends) != len(words):  # not one word end per chunk: take them one by one
             words, rest, ids, ends = words[:0], np.arange(len(chunks)), ids[:0], ends[:0]
@@ -95,7 +99,7 @@ class WordEncoder:
         lists = self._split(texts)
         words = lists.flatten()
         coded = words.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.index) + len(chunks) > MAX_CHUNKS:
             self._empty()
         rows = np.fromiter(map(self.index.get, chunks, [-1] * len(chunks)), np.int64, len(chunks))

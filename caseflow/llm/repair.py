@@ -48,17 +48,23 @@ HEADER = struct.Struct("<8sIIIIQQ")
 MAGIC = b"RPSHARD1"
 
 
-def _disjoint(rank: np.ndarray, none: int) -> np.ndarray:
-    """Positions of pairs to replace, no two of them overlapping: first those
-    that rank before both neighbours, then every second one of what is left."""
-    left, right = np.r_[none, rank[:-1]], np.r_[rank[1:], none]
+def _disjoint(at: np.ndarray, rank: np.ndarray, none: int) -> np.ndarray:
+    """Which of the pairs at the places ``at`` (ascending) to replace, no two of
+    them overlapping: first those that rank before both neighbours, then every
+    second one of what is left."""
+    next_ = np.diff(at) == 1
+    left, right = np.full(len(rank), none), np.full(len(rank), none)
+    left[1:][next_], right[:-1][next_] = rank[:-1][next_], rank[1:][next_]
     chosen = (rank < none) & (rank < left) & (rank < right)
-    free = (rank < none) & ~chosen & ~np.r_[False, chosen[:-1]] & ~np.r_[chosen[1:], False]
-    at = np.flatnonzero(free)
-    if len(at):
-        new = np.r_[True, np.diff(at) > 1]
-        first = at[new][np.cumsum(new) - 1]
-        chosen[at[(at - first) % 2 == 0]] = True
+    free = (rank < none) & ~chosen
+    free[1:] &= ~(chosen[:-1] & next_)
+    free[:-1] &= ~(chosen[1:] & next_)
+    some = np.flatnonzero(free)
+    if len(some):
+        place = at[some]
+        new = np.r_[True, np.diff(place) > 1]
+        first = place[new][np.cumsum(new) - 1]
+        chosen[some[(place - first) % 2 == 0]] = True
     return np.flatnonzero(chosen)
 
 
@@ -67,15 +73,20 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     first = int(ids.max()) + 1 if len(ids) else 0
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
     slot_key, slot_rank = np.full(SLOTS, NO_PAIR), np.zeros(SLOTS, np.int32)
-    limit = len(seq)
+    slot_open = np.zeros(SLOTS, bool)
+    limit, at = len(seq), None
     while len(seq) > 1:
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        slot = (pair * SPREAD >> SPREAD_SHIFT).view(np.int64)
-        # a slot's count bounds the count of each of its pairs from above
-        in_slot = np.bincount(slot, minlength=SLOTS)
-        limit = max(MIN_COUNT, min(limit, int(in_slot.max())) // FALL)
-        at = np.flatnonzero((in_slot >= limit)[slot])
-        pair, slot = pair[at], slot[at]
+        if at is None:
+            pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+            slot = (pair * SPREAD >> SPREAD_SHIFT).view(np.int64)
+            # a slot's count bounds the count of each of its pairs from above
+            in_slot = np.bincount(slot, minlength=SLOTS)
+            limit = max(MIN_COUNT, min(limit, int(in_slot.max())) // FALL)
+            at = np.flatnonzero((in_slot >= limit)[slot])
+            pair, slot = pair[at], slot[at]
+        else:
+            pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+            slot = (pair * SPREAD >> SPREAD_SHIFT).view(np.int64)
         ordered = np.sort(pair)
         run = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][:len(ordered)])
         count = np.diff(np.r_[run, len(ordered)])
@@ -85,19 +96,33 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         own = (keys * SPREAD >> SPREAD_SHIFT).view(np.int64)[::-1]
         slot_key[own] = keys[::-1]  # of pairs in one slot the most frequent; others wait a pass
         slot_rank[own] = np.arange(len(keys))[::-1]
-        rank = np.full(len(seq) - 1, len(keys), np.int32)
-        rank[at] = np.where(slot_key[slot] == pair, slot_rank[slot], len(keys))
+        rank = np.where(slot_key[slot] == pair, slot_rank[slot], len(keys))
         slot_key[own] = NO_PAIR
-        where = _disjoint(rank, len(keys))
-        used = np.bincount(rank[where], minlength=len(keys)) > 2
-        where = where[used[rank[where]]] if len(keys) else where
+        chosen = _disjoint(at, rank, len(keys))
+        where, rank_at = at[chosen], rank[chosen]
+        used = np.bincount(rank_at, minlength=len(keys)) > 2
+        if len(keys):
+            where, rank_at = where[used[rank_at]], rank_at[used[rank_at]]
         if not len(where) and limit == MIN_COUNT:
             break
         name = np.cumsum(used) - 1 + first + len(rules)
-        seq[where] = name[rank[where]]
+        seq[where] = name[rank_at]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
+        if limit > MIN_COUNT:
+            at = None
+        else:
+            # from here on only pairs that were frequent, and those of a new
+            # symbol, can be: every occurrence of either is among these places
+            slot_open[own] = True
+            open_ = np.zeros(len(keep), bool)
+            open_[at[slot_open[slot]]] = True
+            slot_open[own] = False
+            open_ = open_[keep]
+            made = where - np.arange(len(where))
+            open_[made], open_[made[made > 0] - 1] = True, True
+            at = np.flatnonzero(open_[:-1])
         rules = np.r_[rules, np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)],
                                       1).astype(np.uint32)]
     return seq, rules, first
@@ -198,7 +223,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2,
                 pa.array([to_payload(ids, np.cumsum(sizes) - sizes)], pa.binary())], schema=SHARDS)
 
         for batch in batches:
-            for rows in slices(batch, max_bytes=1 << 21):
+            for rows in slices(batch):
                 ids, sizes = enc.encode(texts(rows))
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id)

@@ -152,6 +152,41 @@ def test_grammar_round_trip(ids, times, least):
         assert (shard.ids(a, b) == ids[a:b]).all()
 
 
+def test_late_passes_look_only_where_a_pair_can_be_frequent(monkeypatch):
+    """The grammar of all places, from a look at a few of them."""
+    from collections import Counter
+
+    seen, disjoint = [], repair._disjoint
+
+    def spy(*args):
+        seen.append(len(args[-2]))  # ranks of the places looked at
+        return disjoint(*args)
+
+    monkeypatch.setattr(repair, "_disjoint", spy)
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.permutation(4000) + 100 if i % 2 else np.tile(np.arange(i % 6, i % 6 + 9), 8)
+                          for i in range(40)]).astype(np.uint32)
+    seq, rules, first = repair.compress(ids)
+    assert max(seen[-2:]) < len(seq) / 10
+    assert np.array_equal(Shard(to_payload(ids, np.array([0]))).ids(), ids)
+    left = Counter(zip(seq[::2].tolist(), seq[1::2].tolist()))  # disjoint occurrences
+    assert max(left.values()) < repair.MIN_COUNT
+
+
+def test_words_go_to_the_library_in_parts(monkeypatch):
+    from caseflow.llm import encode
+
+    monkeypatch.setattr(encode, "WORDS_AT", 4)
+    enc = encode.WordEncoder(word_tokenizer())
+    most, own = [], enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda text: most.append(len(text.split())) or own(text))
+    data = ["the quick brown fox jumps over the lazy dog", "", "seven words that no one wrote before"]
+    ids, sizes = enc.encode(pa.array(data))
+    assert 0 < max(most) <= 4
+    want = [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in data]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
 def test_grammar_compresses_and_stays_whole():
     r = np.random.default_rng(0)
     phrase = r.integers(0, 49408, 40)
