@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from caseflow.llm.common import id_text, record_batch, slices, texts, written
 from caseflow.session import shuffle_partitions
 
+SLICE = 2 << 20  # bytes of text in one vectorised step
 PROFILE = 1 << 16
 BASE = 4
 
@@ -49,9 +50,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     def run(batches):
         from caseflow.llm.encode import encoder
 
+        pa.default_memory_pool().release_unused()  # of earlier stages in this worker
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 ids, sizes = enc.encode(texts(part))
                 ends = np.cumsum(sizes)
                 doc, piece, length, crc = [], [], [], []

@@ -26,7 +26,7 @@ def shingle_sets(data: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     runs of characters other than ASCII white space, A-Z lower-cased."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(data))
     words = lists.flatten().dictionary_encode()
-    known = words.dictionary.to_pylist()
+    known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
     codes = words.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int64)
     offsets = lists.offsets.to_numpy().astype(np.int64)

@@ -187,6 +187,19 @@ def test_words_go_to_the_library_in_parts(monkeypatch):
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
 
 
+def test_a_worker_keeps_few_words():
+    """More distinct words than are kept, in slices: the table stays small and
+    the ids right."""
+    from caseflow.llm import encode
+
+    enc, letters = encode.WordEncoder(word_tokenizer()), "abcdefghij"
+    for k in range(0, 450_000, 50_000):
+        words = ["".join(letters[int(d)] for d in str(i)) for i in range(k, k + 50_000)]
+        ids, sizes = enc.encode(pa.array([" ".join(words), words[-1]]))
+        assert ids[-sizes[1]:].tolist() == enc.tokenizer.encode(words[-1], add_special_tokens=False).ids
+    assert len(enc.index) <= 400_000
+
+
 def test_grammar_compresses_and_stays_whole():
     r = np.random.default_rng(0)
     phrase = r.integers(0, 49408, 40)
