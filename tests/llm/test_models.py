@@ -299,3 +299,25 @@ def test_the_decoder_equals_that_of_the_tokenizer(ids):
     c = codec(piece_model())
     assert c.decoder is not c.tokenizer
     assert c.decode_batch(ids) == c.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab éÀÿ×÷▁▀с😀日,.-'\n!Z", max_size=14), max_size=6), st.integers(0, 2))
+def test_parts_end_before_markers_and_signs(items, skipped):
+    import re
+
+    c = codec(piece_model())
+    signs = re.escape("".join(chr(i) for i in np.flatnonzero(c.signs)))
+    want = []
+    for t in items[skipped:]:
+        cut = re.sub(f"([^ {MARK}])([ {MARK}])", "\\1\x00\\2", " " + t)
+        want.append(re.sub(f"([a-zA-ZÀ-ÖØ-öø-ÿ])([{signs}])", "\\1\x00\\2", cut).split("\x00") if t else [])
+    assert c._split(pa.array(items, pa.string())[skipped:]).to_pylist() == want
+
+
+def test_encoding_decodes_no_part(monkeypatch):
+    from caseflow.llm.pieces import PieceCodec
+
+    c = PieceCodec(piece_model())
+    monkeypatch.setattr(c, "decode_batch", None)
+    assert len(c.encode(pa.array(["some words", "more"]))[1]) == 2
