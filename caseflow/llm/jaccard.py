@@ -78,6 +78,7 @@ HOT_COUNT = 64        # the region of a shingle with so many documents is not he
 ENTRIES_AT = 1 << 20  # entries that a task holds before it passes them on
 FILTER_BITS = 1 << 24
 SLICE = 2 << 20       # bytes of text in one vectorised step
+CODEC = pa.Codec("zstd")  # of the texts that go to pairs
 
 
 # ---- 1. sets and frequent shingles -------------------------------------------------
@@ -294,8 +295,29 @@ def first_regions(blocks_: DataFrame, percent: int, parts: int, small: int) -> D
 
 # ---- 3. distances and regions with pivots ------------------------------------------
 
+def packed(text: pa.Buffer, shingles: np.ndarray) -> bytes:
+    """A set on its way to its pairs: the number of bytes of its text and the
+    compressed text, or 0 and the shingles where these take less."""
+    short = CODEC.compress(text, asbytes=True)
+    if shingles.nbytes <= len(short):
+        return bytes(8) + shingles.tobytes()
+    return text.size.to_bytes(8, "little") + short
+
+
+def text_size(data: pa.Buffer) -> int:
+    return int.from_bytes(data[:8], "little")
+
+
+def unpacked(items: list[pa.Buffer], words: int) -> list[np.ndarray]:
+    """The shingles of packed sets."""
+    sizes = [text_size(x) for x in items]
+    found = [CODEC.decompress(x[8:], n, asbytes=True) for x, n in zip(items, sizes) if n]
+    sets = shingle_sets(pa.array(found, pa.binary()).view(pa.string()), words)
+    return [next(sets) if n else np.frombuffer(x, np.uint64, offset=8) for x, n in zip(items, sizes)]
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(set, shingles) of at least the sets named in ``needed`` (column
+    """(set, packed) of at least the sets named in ``needed`` (column
     ``set``), each from its document with the smallest id.  A bit map of
     bounded size drops most other rows before they are shuffled; what it lets
     pass by chance drops out in the joins."""
@@ -314,44 +336,62 @@ def sets_of(docs: DataFrame, rows: DataFrame, needed: DataFrame, words: int) ->
         have = wide.value
         for batch in batches:
             for part in slices(batch, max_bytes=SLICE):
-                out = {}
-                for s, doc in zip(shingle_sets(texts(part), words), part.column("doc_id").to_pylist()):
+                out, data = {}, texts(part)
+                for i, (s, doc) in enumerate(zip(shingle_sets(data, words), part.column("doc_id").to_pylist())):
                     if len(s):
                         name = set_id(s)
                         k = (name ^ (doc or 0)) % FILTER_BITS
-                        if have[k >> 3] >> (k & 7) & 1:
-                            out[name] = s.tobytes()
+                        if name not in out and have[k >> 3] >> (k & 7) & 1:
+                            out[name] = packed(data[i].as_buffer(), s)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())],
-                    names=["set", "shingles"])
+                    names=["set", "packed"])
 
-    found = docs.mapInArrow(run, "set long, shingles binary")
-    return found.groupBy("set").agg(F.first("shingles").alias("shingles"))
+    found = docs.mapInArrow(run, "set long, packed binary")
+    return found.groupBy("set").agg(F.first("packed").alias("packed"))
 
 
-def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def distances(pairs: DataFrame, sets: DataFrame, percent: int, words: int) -> DataFrame:
     """(a, b, d, linked) of pairs: Jaccard distance, and whether the pair is
     similar, in whole numbers.  Both joins are plain equality joins, so
-    adaptive execution splits the pairs of a hot pivot."""
+    adaptive execution splits the pairs of a hot pivot; the sets go through
+    them as compressed texts, about a third of their shingles."""
+
+    def told(rows: list[tuple[int, int]], need: dict[int, pa.Buffer]) -> pa.RecordBatch:
+        sets = dict(zip(need, unpacked(list(need.values()), words)))
+        d, linked = [], []
+        for a, b in rows:
+            x, y = sets[a], sets[b]
+            both = np.searchsorted(y, x)
+            same = int((y[np.minimum(both, len(y) - 1)] == x).sum())
+            union = len(x) + len(y) - same
+            d.append(1 - same / union)
+            linked.append(100 * same >= percent * union)
+        a, b = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
+            names=["a", "b", "d", "linked"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, linked = [], []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.searchsorted(y, x)
-                same = int((y[np.minimum(both, len(y) - 1)] == x).sum())
-                union = len(x) + len(y) - same
-                d.append(1 - same / union)
-                linked.append(100 * same >= percent * union)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
-                names=["a", "b", "d", "linked"])
-
-    return (pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d double, linked boolean"))
+            # a set is unpacked once for a run of pairs with about SLICE bytes of text
+            rows, need, held = [], {}, 0
+            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "pa", "pb"))):
+                a, b = a.as_py(), b.as_py()
+                for name, value in ((a, x), (b, y)):
+                    if name not in need:
+                        need[name] = value.as_buffer()
+                        held += text_size(need[name]) or need[name].size
+                rows.append((a, b))
+                if held >= SLICE:
+                    yield told(rows, need)
+                    rows, need, held = [], {}, 0
+            if rows:
+                yield told(rows, need)
+
+    return (pairs.join(sets.select(F.col("set").alias("a"), F.col("packed").alias("pa")), "a")
+            .join(sets.select(F.col("set").alias("b"), F.col("packed").alias("pb")), "b")
+            .select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long, d double, linked boolean"))
 
 
 def useful(regions: DataFrame, percent: int) -> DataFrame:
@@ -501,7 +541,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: i
             sets = sets_of(docs, rows, names.union(members.select("a")).distinct(), words)
             if left:  # read again after this round
                 sets = written(sets, "sets")
-        known = written(distances(todo, sets, percent), "distances")
+        known = written(distances(todo, sets, percent, words), "distances")
         new = known.where("linked").select("a", "b")
         links = new if links is None else links.union(new)
         if not left:

@@ -7,7 +7,8 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import columns_of, free_name, table, written
@@ -33,12 +34,31 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*columns_of(docs))
 
 
+def numbered(spark: SparkSession, docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number of each row that every scan gives again, however
+    it is split: the number of the file and the place in it.  Only where
+    ``docs`` is not exactly the rows of its Parquet files, the rows are written
+    with their numbers."""
+    try:
+        of = docs.metadataColumn("_metadata")
+        file, path = free_name(docs, "_file"), free_name(docs, "_path")
+        names = written(docs.select(of["file_path"].alias(path)).distinct().select(
+            path, F.row_number().over(Window.orderBy(path)).cast("long").alias(file)), "files")
+        rows = docs.withColumn(row, of["row_index"]).withColumn(path, of["file_path"]).join(
+            F.broadcast(names), path).select(*columns_of(docs), (F.col(file) * (1 << 40) + F.col(row)).alias(row))
+        n, most = rows.groupBy(row).count().agg(F.sum("count"), F.max("count")).first()
+        if most == 1 and n == spark.read.parquet(*docs.inputFiles()).count():
+            return rows
+    except AnalysisException:  # not from Parquet files
+        pass
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (also of repeated rows); rows
-    without words stay.  Rows are told apart by their place in the input, a
-    number that is written with them: another scan may be split otherwise."""
+    without words stay.  Rows are told apart by their place in the input."""
     row = free_name(docs, "_row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = numbered(spark, docs, row)
     told = jaccard_join(rows, id_col=row)
     gone = written(told.where("component_id <> doc_id").select(F.col("doc_id").alias(row)), "near-copies")
     return rows.join(gone, row, "left_anti").select(*columns_of(docs))

@@ -130,3 +130,16 @@ def test_query(spark):
     assert [f.dataType.simpleString() for f in got.schema] == ["bigint"] * 3
     assert sorted(map(tuple, got.collect()), key=str) == brute(
         [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()])
+
+
+def test_sets_travel_as_compressed_texts():
+    from caseflow.llm.jaccard import packed, unpacked
+
+    r = random.Random(5)
+    known = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    data = pa.array([" ".join(r.choices(known, k=400)), "One two\tTHREE four five six é", "again " * 5000, "x", " a b  "])
+    sets = list(shingle_sets(data))
+    items = [pa.py_buffer(packed(t.as_buffer(), s)) for t, s in zip(data, sets)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(unpacked(items, 5), sets))
+    assert items[0].size < sets[0].nbytes / 2 and items[2].size == 8 + sets[2].nbytes
+    assert unpacked([], 5) == []

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from caseflow.llm.langid import ByteNet, document_scores, held_out, identify, label_rows, learn, window_bytes, windows
@@ -321,3 +322,18 @@ def test_encoding_decodes_no_part(monkeypatch):
     c = PieceCodec(piece_model())
     monkeypatch.setattr(c, "decode_batch", None)
     assert len(c.encode(pa.array(["some words", "more"]))[1]) == 2
+
+
+def test_rows_of_files_are_numbered_without_a_copy(spark, tmp_dir):
+    df = spark.createDataFrame([(i // 2, f"text {i}", i) for i in range(30)], "doc_id long, text string, _file int")
+    df.repartition(3).write.parquet(f"{tmp_dir}/docs")
+    docs = spark.read.parquet(f"{tmp_dir}/docs")
+    rows = corpus_pipeline.numbered(spark, docs, "_row")
+    assert set(docs.inputFiles()) <= set(rows.inputFiles())
+    assert rows.columns == [*docs.columns, "_row"] and rows.select("_row").distinct().count() == rows.count() == 30
+    # what is not exactly the rows of files is written
+    for other, n in ((docs.limit(4), 4), (docs.where("doc_id < 5"), 10), (docs.union(docs), 60), (df, 30),
+                     (docs.withColumn("doc_id", F.explode(F.array("doc_id", F.lit(None)))), 60), (docs.limit(0), 0)):
+        rows = corpus_pipeline.numbered(spark, other, "_row")
+        assert not set(docs.inputFiles()) & set(rows.inputFiles())
+        assert rows.select("_row").distinct().count() == rows.count() == n
