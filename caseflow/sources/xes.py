@@ -115,26 +115,30 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_xes_raw(spark: SparkSession, path: str) -> DataFrame:
     """Every event with two maps: ``trace_attrs`` and ``event_attrs``.  The
     records are written once below the checkpoint folder: the blocks' rows and
-    the events' rows must come from one and the same cutting of the files."""
+    the events' rows must come from one and the same cutting of the files.
+    Events are parsed before that, so no later filter or column parses again."""
     text = spark.read.option("lineSep", "<event").text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    records = materialised(text.mapInArrow(_records, _RECORDS), "xes-records")
+    event = F.from_xml("event", EVENT_SCHEMA, {"attributePrefix": "_"})
+    parsed = text.mapInArrow(_records, _RECORDS).withColumn("_ev", event)
+    records = materialised(parsed.select(
+        "file", "block", "trace", "pos", "attrs",
+        F.when(F.col("event").isNotNull(), _attr_map(F.col("_ev"))).alias("event_attrs")), "xes-records")
     # what a block's first events carry on: attributes and events of the trace so far
-    blocks = records.where("event is null").select("file", "block", "pos", "attrs")
+    blocks = records.where("event_attrs is null").select("file", "block", "pos", "attrs")
     upto = Window.partitionBy("file").orderBy("block")
     blocks = blocks.withColumn("_g", F.count("attrs").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
     within = Window.partitionBy("file", "_g").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     blocks = blocks.withColumn("_pos", F.sum("pos").over(within)).withColumn(
         "_attrs", F.first("attrs", ignorenulls=True).over(within))
     carried = blocks.select("file", "block", F.lag("_pos").over(upto).alias("_pos"), F.lag("_attrs").over(upto).alias("_attrs"))
-    events = records.where("event is not null").join(carried, ["file", "block"], "left")
+    events = records.where("event_attrs is not null").join(carried, ["file", "block"], "left")
     open_ = F.col("trace") == 0
-    event = F.from_xml("event", EVENT_SCHEMA, {"attributePrefix": "_"})
     none = F.create_map().cast("map<string,string>")
     return events.select(
         F.coalesce(F.when(open_, F.col("_attrs")).otherwise(F.col("attrs")), none).alias("trace_attrs"),
         (F.col("pos") + F.when(open_, F.coalesce("_pos", F.lit(0))).otherwise(0)).alias("event_pos"),
-        event.alias("ev")).select("trace_attrs", "event_pos", _attr_map(F.col("ev")).alias("event_attrs"))
+        "event_attrs")
 
 
 # Attributes that have a column of their own.

@@ -162,3 +162,15 @@ def test_damaged_rows_can_be_kept(spark, tmp_dir):
     log = csv_src.read_event_csv(spark, path, keep_damaged=True)
     assert {r.case_id: r.damaged_row for r in log.collect()} == {"c1": None, "c2": "c2,y,no time", "c3": "c3"}
     assert cl.clean(csv_src.read_event_csv(spark, path)).count() == 1
+
+
+def test_events_of_an_xes_file_are_parsed_once(spark, tmp_dir, capsys):
+    path = os.path.join(tmp_dir, "once.xes")
+    with open(path, "w") as f:
+        f.write('<log><trace><string key="concept:name" value="c"/><event><string key="concept:name" value="a"/>'
+                '<date key="time:timestamp" value="2020-01-01T00:00:00Z"/></event><event/></trace></log>')
+    back = cl.clean(xes.read_xes(spark, path))
+    back.explain()
+    assert "from_xml" not in capsys.readouterr().out  # every filter and column had parsed again
+    assert [r.activity for r in back.collect()] == ["a"]
+    assert [r.event_pos for r in xes.read_xes_raw(spark, path).orderBy("event_pos").collect()] == [0, 1]
