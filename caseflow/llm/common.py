@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,9 @@ from caseflow.session import scratch_path
 # Bytes of text that one vectorised step works on; bounds a worker's memory.
 SLICE_BYTES = 4 << 20
 
+# Empty what operators keep in a worker for its next task, by the operator's name.
+KEPT: dict[str, Callable[[], None]] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -53,6 +57,32 @@ def texts(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(text), "")
 
 
+def give_back(keep: str = "") -> None:
+    """Memory that this worker does not use goes back to the system: what other
+    operators than ``keep`` have kept, and the free memory of Arrow and malloc."""
+    for name, empty in KEPT.items():
+        if name != keep:
+            empty()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def lean(run: Callable, keep: str = "") -> Callable:
+    """``run`` of a ``mapInArrow`` that gives memory back before and after its
+    task.  Workers outlive their tasks, and what stays in them adds up with the
+    memory of the JVM."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(keep)
+        try:
+            yield from run(batches)
+        finally:
+            give_back(keep)
+
+    return task
+
+
 def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array)

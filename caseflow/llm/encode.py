@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from caseflow.llm.common import KEPT
+
 # Chunks kept per worker; the table is emptied beyond that (it is only a cache).
 MAX_CHUNKS = 400_000
 # Words given to the library at once; bounds what it holds on each token.
@@ -133,3 +135,6 @@ class WordEncoder:
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process and tokenizer file."""
     return WordEncoder(path)
+
+
+KEPT["encoder"] = encoder.cache_clear

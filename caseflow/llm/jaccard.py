@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import id_text, slices, texts, written
+from caseflow.llm.common import id_text, lean, slices, texts, written
 from caseflow.llm.components import components
 from caseflow.llm.shingles import set_id, shingle_sets
 from caseflow.session import shuffle_partitions
@@ -71,7 +71,7 @@ PIVOTS = 4            # a region has 1, 4, 16, ... pivots in its rounds,
 PER_PIVOT = 8         # but one for so many members at most
 ROUNDS = 8
 COUNT_AT = 4 << 20    # shingles that a task counts together
-LOCAL_COUNT = 2       # and report from so many of one kind on
+LOCAL_COUNT = 2       # and report from so many of one kind on (2 at least)
 SLOTS = 1 << 24       # slots of estimated frequencies, a byte each
 LEVELS = 4            # levels for each factor of two
 HOT_COUNT = 64        # the region of a shingle with so many documents is not held in a task
@@ -105,9 +105,13 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
                 pa.array([*none(n), *counts], pa.int64())], names=["doc_id", "set", "n", "slot", "seen"])
 
         def counted():
-            found, count = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-            keep = count >= LOCAL_COUNT
-            return out([], [], [], slot_of(found[keep]).tolist(), count[keep].tolist())
+            flat = np.concatenate(list(seen.values()))
+            seen.clear()
+            flat.sort()
+            # only what comes again is counted, which takes far less memory than all shingles
+            found, more = np.unique(flat[1:][flat[1:] == flat[:-1]], return_counts=True)
+            keep = more + 1 >= LOCAL_COUNT
+            return out([], [], [], slot_of(found[keep]).tolist(), (more[keep] + 1).tolist())
 
         for batch in batches:
             for part in slices(batch, max_bytes=SLICE):
@@ -122,11 +126,11 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
                 yield out(part.column("doc_id").to_pylist(), sets, sizes)
                 if held >= COUNT_AT:
                     yield counted()
-                    seen, held = {}, 0
+                    held = 0
         if seen:
             yield counted()
 
-    return docs.mapInArrow(run, "doc_id long, set long, n long, slot long, seen long")
+    return docs.mapInArrow(lean(run), "doc_id long, set long, n long, slot long, seen long")
 
 
 def level(count):
@@ -212,7 +216,7 @@ def entries(docs: DataFrame, levels, words: int, percent: int, parts: int, hot:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "part int, hot boolean, shingle binary, set binary, place binary, size binary")
+    return docs.mapInArrow(lean(run), "part int, hot boolean, shingle binary, set binary, place binary, size binary")
 
 
 def mixed_part(x: np.ndarray, parts: int) -> np.ndarray:
@@ -290,7 +294,7 @@ def first_regions(blocks_: DataFrame, percent: int, parts: int, small: int) -> D
             yield rows(None, a, b, None, None)
 
     dealt = blocks_.repartitionById(parts, F.col("part"))
-    return dealt.drop("part").mapInArrow(run, "region long, a long, b long, size long, rest long")
+    return dealt.drop("part").mapInArrow(lean(run), "region long, a long, b long, size long, rest long")
 
 
 # ---- 3. distances and regions with pivots ------------------------------------------
@@ -347,7 +351,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, needed: DataFrame, words: int) ->
                     [pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())],
                     names=["set", "packed"])
 
-    found = docs.mapInArrow(run, "set long, packed binary")
+    found = docs.mapInArrow(lean(run), "set long, packed binary")
     return found.groupBy("set").agg(F.first("packed").alias("packed"))
 
 
@@ -391,7 +395,7 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int, words: int) -> Da
 
     return (pairs.join(sets.select(F.col("set").alias("a"), F.col("packed").alias("pa")), "a")
             .join(sets.select(F.col("set").alias("b"), F.col("packed").alias("pb")), "b")
-            .select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long, d double, linked boolean"))
+            .select("a", "b", "pa", "pb").mapInArrow(lean(run), "a long, b long, d double, linked boolean"))
 
 
 def useful(regions: DataFrame, percent: int) -> DataFrame:

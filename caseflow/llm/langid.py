@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.llm.common import slices, texts
+from caseflow.llm.common import lean, slices, texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -186,7 +186,7 @@ def learn(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col:
                      pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "k", "x"])
 
     got = (rows.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000)
-           .mapInArrow(pick, "lang string, h long, k long, x binary").orderBy("h", "k", "lang", "x").collect())
+           .mapInArrow(lean(pick), "lang string, h long, k long, x binary").orderBy("h", "k", "lang", "x").collect())
     if not got:
         return [], None
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.uint8).reshape(-1, WINDOW)
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, langs: list[str], net: ByteNet | None, text_col: s
 
     schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()),
                            T.StructField(score_col, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import id_text, record_batch, slices, texts, written
+from caseflow.llm.common import give_back, id_text, lean, record_batch, slices, texts, written
 from caseflow.session import shuffle_partitions
 
-SLICE = 2 << 20  # bytes of text in one vectorised step
+SLICE = 1 << 20  # bytes of text in one vectorised step
 PROFILE = 1 << 16
 BASE = 4
 
@@ -50,10 +50,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     def run(batches):
         from caseflow.llm.encode import encoder
 
-        pa.default_memory_pool().release_unused()  # of earlier stages in this worker
         enc = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, max_bytes=SLICE):
+                give_back(keep="encoder")  # or the library's free memory adds up within the task
                 ids, sizes = enc.encode(texts(part))
                 ends = np.cumsum(sizes)
                 doc, piece, length, crc = [], [], [], []
@@ -70,7 +70,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
                                    length=length, ids_crc32=crc)
 
     return id_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        lean(run, keep="encoder"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(pieces: list[int], capacity: int) -> list[list[int]]:
@@ -220,5 +220,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
                 [batch.column(f.name) for f in PIECES] + [pa.array(seq), pa.array(offset)],
                 names=[f.name for f in PIECES] + ["sequence_id", "offset"])
 
-    return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, "
+    return dealt.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, "
                                  "ids_crc32 long, sequence_id long, offset long")

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from caseflow.llm.common import slices, texts
+from caseflow.llm.common import lean, slices, texts
 
 # Kinds, keywords (lower case) and patterns
 KEYWORDS = {
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, SPAN_ARROW)],
                                                  names=[*part.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, SPAN)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(out, SPAN)]))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -175,4 +175,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
                 at = part.schema.get_field_index(text_col)
                 yield part.set_column(at, part.schema.field(at), pa.array(new, data.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

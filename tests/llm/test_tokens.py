@@ -251,3 +251,30 @@ def test_shards_query(spark):
         assert (i, start, n, crc) == (d, at, len(x), zlib.crc32(x.tobytes()))
         at += len(x)
     assert len(got) == len(docs)
+
+
+class Task:
+    """Stands for a DataFrame and keeps what a worker would run."""
+
+    schema = None
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_later_stages_drop_the_encoder_of_a_worker(spark):
+    from caseflow.llm.jaccard import sets_and_counts
+    from caseflow.llm.packing import token_pieces
+    from caseflow.llm.secret_scan import redact
+
+    batch = pa.record_batch({"doc_id": pa.array([1, 2]), "text": ["one two three four five six", "one two"]})
+    pieces = token_pieces(Task(), word_tokenizer(), 8)
+    for task in (sets_and_counts(Task(), 5), redact(Task())):
+        list(pieces.run(iter([batch])))
+        assert encoder.cache_info().currsize == 1  # for the next task of this stage
+        assert len(list(task.run(iter([batch])))) > 0
+        assert encoder.cache_info().currsize == 0
