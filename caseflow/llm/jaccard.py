@@ -21,7 +21,10 @@ the join runs in these steps.
 3. A region in which at most ``SMALL / 2`` pairs a member are not yet connected
    (so any region of at most ``SMALL`` members) is joined pair by pair, unless it
    is dense; after the first round up to ``LATER`` times as many, since several
-   rounds of pivots cost about as much.  The others get documents as pivots (in the first round the one
+   rounds of pivots cost about as much.  From then on the ``BITS`` bits of two sets
+   must allow the pair as well (parities of their shingles, which bound the
+   difference), each member's nearest candidates come first, and pairs that are
+   connected by then are not compared.  The others get documents as pivots (in the first round the one
    with the most first regions, which is in the middle of a family, then that of
    each of 4, 16, ... hash classes), and the
    distance of every member to them is computed, unless the sizes alone put
@@ -38,7 +41,8 @@ the join runs in these steps.
 4. Links make components; every row gets the smallest id that it reaches.
 
 Regions are rows, not groups in one task: pivots are found by partial
-aggregates, distances by equality joins that adaptive execution splits.  After
+aggregates, distances in blocks of bounded size, to which a set goes once for
+all its pairs.  After
 ``ROUNDS`` rounds what is left is joined pair by pair, so the result is whole.
 
 Defined results: null, empty and blank texts have no shingles, are linked with
@@ -65,7 +69,14 @@ from caseflow.session import shuffle_partitions
 WORDS = 5
 PERCENT = 80          # similarity
 SMALL = 32            # members of a region that is joined pair by pair
-LATER = 8             # times as many pairs a member are joined at once in later rounds
+LATER = 1024          # times as many pairs a member are joined at once in later rounds
+PAIRS_AT = 1 << 20    # pairs of members that one task compares by their bits
+NEAREST = 2           # a member's nearest candidates that are checked first
+WIDER = 8             # and so many times as many in the next step,
+STEPS = 3             # all others after so many steps,
+AT_ONCE = 1 << 17     # or once so few are left
+BITS = 1024           # of a set, to bound the difference of two sets
+BLOCK = 512           # sets at either end of the pairs of a block
 MERGES = 3            # hashes of the members under which regions become one
 PIVOTS = 4            # a region has 1, 4, 16, ... pivots in its rounds,
 PER_PIVOT = 8         # but one for so many members at most
@@ -78,6 +89,7 @@ HOT_COUNT = 64        # the region of a shingle with so many documents is not he
 ENTRIES_AT = 1 << 20  # entries that a task holds before it passes them on
 FILTER_BITS = 1 << 24
 SLICE = 2 << 20       # bytes of text in one vectorised step
+RUN = 8 << 20         # bytes of text whose sets are unpacked together
 CODEC = pa.Codec("zstd")  # of the texts that go to pairs
 
 
@@ -247,8 +259,12 @@ def region_pairs(e: list[np.ndarray], percent: int, small: int) -> tuple[np.ndar
         right.append(name[b[ok]])
     if not left:
         return name[:0], name[:0]
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    a, b = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[first], b[first]
 
 
 def first_regions(blocks_: DataFrame, percent: int, parts: int, small: int) -> DataFrame:
@@ -320,8 +336,15 @@ def unpacked(items: list[pa.Buffer], words: int) -> list[np.ndarray]:
     return [next(sets) if n else np.frombuffer(x, np.uint64, offset=8) for x, n in zip(items, sizes)]
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """``BITS`` bits of a set, each the parity of the shingles that fall on it.
+    Two sets differ in at least as many shingles as their bits differ."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(set, packed) of at least the sets named in ``needed`` (column
+    """(set, packed, bits) of at least the sets named in ``needed`` (column
     ``set``), each from its document with the smallest id.  A bit map of
     bounded size drops most other rows before they are shuffled; what it lets
     pass by chance drops out in the joins."""
@@ -346,56 +369,111 @@ def sets_of(docs: DataFrame, rows: DataFrame, needed: DataFrame, words: int) ->
                         name = set_id(s)
                         k = (name ^ (doc or 0)) % FILTER_BITS
                         if name not in out and have[k >> 3] >> (k & 7) & 1:
-                            out[name] = packed(data[i].as_buffer(), s)
+                            out[name] = packed(data[i].as_buffer(), s), parities(s)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())],
-                    names=["set", "packed"])
-
-    found = docs.mapInArrow(lean(run), "set long, packed binary")
-    return found.groupBy("set").agg(F.first("packed").alias("packed"))
+                    [pa.array(list(out), pa.int64()), pa.array([x for x, _ in out.values()], pa.binary()),
+                     pa.array([x for _, x in out.values()], pa.list_(pa.int64()))], names=["set", "packed", "bits"])
+
+    found = docs.mapInArrow(lean(run), "set long, packed binary, bits array<long>")
+    return found.groupBy("set").agg(F.first("packed").alias("packed"), F.first("bits").alias("bits"))
+
+
+def blocks(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with a ``block``.  Pairs whose sets meet the same sets come
+    together: a set's home is the smallest set that it meets, and a pair goes to
+    the smaller of its homes; where that has many sets, they are dealt out."""
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    home = ends.union(ends.select("y", "x")).groupBy("x").agg(F.min(F.least("x", "y")).alias("h"))
+    at = (pairs.join(home.select(F.col("x").alias("a"), F.col("h").alias("ha")), "a")
+          .join(home.select(F.col("x").alias("b"), F.col("h").alias("hb")), "b")
+          .withColumn("home", F.least("ha", "hb")).drop("ha", "hb"))
+    at = written(at, "homes")
+    big = at.groupBy("home").count().where(F.col("count") > BLOCK).select("home")
+    if big.isEmpty():
+        return at.withColumnRenamed("home", "block")
+    big = at.join(big, "home", "left_semi")
+    side = lambda c: big.select("home", c).distinct().groupBy("home").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias(f"n{c}"))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.coalesce(f"n{c}", F.lit(1)))
+    return at.join(side("a").join(side("b"), "home"), "home", "left").withColumn(
+        "block", F.xxhash64("home", deal("a"), deal("b"))).drop("home", "na", "nb")
 
 
 def distances(pairs: DataFrame, sets: DataFrame, percent: int, words: int) -> DataFrame:
-    """(a, b, d, linked) of pairs: Jaccard distance, and whether the pair is
-    similar, in whole numbers.  Both joins are plain equality joins, so
-    adaptive execution splits the pairs of a hot pivot; the sets go through
-    them as compressed texts, about a third of their shingles."""
-
-    def told(rows: list[tuple[int, int]], need: dict[int, pa.Buffer]) -> pa.RecordBatch:
-        sets = dict(zip(need, unpacked(list(need.values()), words)))
-        d, linked = [], []
-        for a, b in rows:
+    """(a, b, d, linked) of pairs (a, b, exact): Jaccard distance, and whether
+    the pair is similar, in whole numbers.  All pairs that are ``exact`` come
+    back, and of the others the similar ones, but for those whose sets are
+    already connected in their block.  A set goes once to each block that needs
+    it, as its compressed text, about a third of its shingles."""
+
+    def told(rows: list[tuple[int, int, bool]], need: dict[int, bytes], up: dict[int, int]) -> tuple:
+        sets = dict(zip(need, unpacked([pa.py_buffer(x) for x in need.values()], words)))
+        out: tuple = ([], [], [], [])
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for a, b, exact in rows:
+            if not exact and top(a) == top(b):
+                continue
             x, y = sets[a], sets[b]
             both = np.searchsorted(y, x)
             same = int((y[np.minimum(both, len(y) - 1)] == x).sum())
             union = len(x) + len(y) - same
-            d.append(1 - same / union)
-            linked.append(100 * same >= percent * union)
-        a, b = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
-            names=["a", "b", "d", "linked"])
+            linked = 100 * same >= percent * union
+            if linked:
+                up[top(a)] = top(b)
+            if linked or exact:
+                for o, v in zip(out, (a, b, 1 - same / union, linked)):
+                    o.append(v)
+        return out
+
+    def runs(rows: list[tuple[int, int, bool]], have: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        # a set is unpacked once for a run of pairs with about RUN bytes of text
+        run, need, held, up = [], {}, 0, {}
+        for n, row in enumerate(rows, 1):
+            for name in row[:2]:
+                if name not in need:
+                    need[name] = have[name]
+                    held += text_size(need[name]) or len(need[name])
+            run.append(row)
+            if held >= RUN or n == len(rows):
+                a, b, d, linked = told(run, need, up)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()),
+                     pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
+                run, need, held = [], {}, 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, have, held, last = [], {}, 0, None
         for batch in batches:
-            # a set is unpacked once for a run of pairs with about SLICE bytes of text
-            rows, need, held = [], {}, 0
-            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "pa", "pb"))):
-                a, b = a.as_py(), b.as_py()
-                for name, value in ((a, x), (b, y)):
-                    if name not in need:
-                        need[name] = value.as_buffer()
-                        held += text_size(need[name]) or need[name].size
-                rows.append((a, b))
-                if held >= SLICE:
-                    yield told(rows, need)
-                    rows, need, held = [], {}, 0
-            if rows:
-                yield told(rows, need)
-
-    return (pairs.join(sets.select(F.col("set").alias("a"), F.col("packed").alias("pa")), "a")
-            .join(sets.select(F.col("set").alias("b"), F.col("packed").alias("pb")), "b")
-            .select("a", "b", "pa", "pb").mapInArrow(lean(run), "a long, b long, d double, linked boolean"))
+            block, a, b, exact = (batch.column(c).to_pylist() for c in ("block", "a", "b", "exact"))
+            data = batch.column("packed")
+            for i in range(batch.num_rows):
+                if block[i] != last:
+                    if held >= SLICE:  # several small blocks at once
+                        yield from runs(rows, have)
+                        rows, have, held = [], {}, 0
+                    last = block[i]
+                if b[i] is not None:
+                    rows.append((a[i], b[i], exact[i]))
+                elif a[i] not in have:
+                    have[a[i]] = data[i].as_py()
+                    held += text_size(have[a[i]]) or len(have[a[i]])
+        if rows:
+            yield from runs(rows, have)
+
+    pairs = blocks(pairs)
+    where = pairs.select("block", F.col("a").alias("set")).union(pairs.select("block", "b")).distinct()
+    sent = where.join(sets.select("set", "packed"), "set").select(
+        "block", F.col("set").alias("a"), F.lit(None).cast("long").alias("b"),
+        F.lit(False).alias("exact"), "packed")
+    met = pairs.select("block", "a", "b", "exact", F.lit(None).cast("binary").alias("packed"))
+    # sets before pairs, exact pairs before others
+    return (sent.union(met).repartition("block").sortWithinPartitions("block", F.col("b").isNotNull(), F.desc("exact"))
+            .mapInArrow(lean(run), "a long, b long, d double, linked boolean"))
 
 
 def useful(regions: DataFrame, percent: int) -> DataFrame:
@@ -445,28 +523,48 @@ def unconnected(regions: DataFrame, comp: DataFrame) -> DataFrame:
     return known.join(state.where("x <> y").select("region"), "region")
 
 
-def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small: int,
-                  percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def member_pairs(few: DataFrame, percent: int, bits: DataFrame | None) -> DataFrame:
+    """Pairs (region, a, b, ca, cb, apart) of members of different components
+    that sizes, places and, with ``bits``, these allow; ``a`` is outside its
+    region's main component.  All members meet those outside, so the work is
+    about the pairs wanted; large regions are compared by several tasks."""
+    apart = F.lit(0)
+    allowed = F.least("l.rest", "r.rest") * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size"))
+    left, right, on = few.where("comp <> main"), few, ["region"]
+    if bits is not None:
+        longs = range(BITS // 64)
+        few = few.join(bits.select("a", *[F.col("bits")[i].alias(f"w{i}") for i in longs]), "a")
+        n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("all") / PAIRS_AT))).cast("int")
+        own, each = F.pmod(F.xxhash64("a"), n).cast("int"), F.explode(F.sequence(F.lit(0), n - 1))
+        on, parts = ["region", "row", "col"], shuffle_partitions(few.sparkSession)
+        left = few.where("comp <> main").withColumn("row", own).withColumn("col", each).repartition(parts, *on)
+        right = few.withColumn("row", each).withColumn("col", own).repartition(parts, *on)
+        apart = F.expr(" + ".join(f"bit_count(l.w{i} ^ r.w{i})" for i in longs))
+        # so many shingles at most are in one of two similar sets only
+        allowed = allowed & (apart * (100 + percent) <= (F.col("l.size") + F.col("r.size")) * (100 - percent))
+    return left.alias("l").join(right.alias("r"), on).where(
+        "l.comp <> r.comp and (r.comp = r.main or l.a < r.a)").where(close("l.size", "r.size", percent / 100)).where(
+        allowed).select("region", F.col("l.a").alias("a"), F.col("r.a").alias("b"), F.col("l.comp").alias("ca"),
+                        F.col("r.comp").alias("cb"), apart.cast("int").alias("apart"))
+
+
+def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small: int, percent: int,
+                  bits: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the regions (region, a, size, rest, weight) that are not yet connected: the
     pairs of different components that sizes and places allow in those with few
-    such pairs a member, the members of the others, and these regions' pivots
-    (region, b, b_size).  A region of the first kind with more than two allowed
-    pairs a member is dense; in the first round, where nothing is connected
-    yet, it gets a pivot too."""
+    such pairs a member (see ``member_pairs``), the members of the others, and these
+    regions' pivots (region, b, b_size).  A region of the first kind with more than
+    two allowed pairs a member is dense; in the first round, where nothing is
+    connected yet, it gets a pivot too."""
     known = regions if comp is not None else regions.withColumn("comp", F.col("a"))
     count = known.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(
         F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", "c").alias("main"))
     # pairs of different components are (n * n - squares) / 2
-    count = count.where("n > 1").withColumn(
-        "few", F.col("n").cast("double") * F.col("n") - F.col("squares") <= F.col("n") * (small * (LATER if round_ else 1) - 1))
+    count = count.where("n > 1").withColumn("all", F.col("n").cast("double") * F.col("n") - F.col("squares")).withColumn(
+        "few", F.col("all") <= F.col("n") * (small * (LATER if round_ else 1) - 1))
     known = written(known.join(count.drop("squares"), "region"), "regions")
     few = known.where("few")
-    # all members meet those outside the region's main component, so the work is about the pairs wanted
-    pairs = few.where("comp <> main").alias("l").join(few.alias("r"), "region").where(
-        "l.comp <> r.comp and (r.comp = r.main or l.a < r.a)").where(
-        (F.least("l.rest", "r.rest") * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size")))
-        & close("l.size", "r.size", percent / 100)).select(
-        "region", F.least("l.a", "r.a").alias("a"), F.greatest("l.a", "r.a").alias("b"))
+    pairs = member_pairs(few, percent, bits)
     large = known.where("not few").select("region", "a", "size", "rest", "weight", "n")
     if not round_:
         pairs = written(pairs, "small-pairs")
@@ -483,7 +581,7 @@ def split_regions(regions: DataFrame, comp: DataFrame | None, round_: int, small
     pivots = large.groupBy("region", salt.alias("salt")).agg(
         F.min(F.struct(-F.col("weight"), F.col("a"), F.col("size"))).alias("p")).select(
         "region", F.col("p.a").alias("b"), F.col("p.size").alias("b_size"))
-    return pairs.select("a", "b"), large.drop("n"), written(pivots, "pivots")
+    return pairs.drop("region"), large.drop("n"), written(pivots, "pivots")
 
 
 def close(n: str, m: str, least: float):
@@ -515,6 +613,33 @@ def next_regions(members: DataFrame, pivots: DataFrame, known: DataFrame, r: flo
 
 # ---- 4. the join --------------------------------------------------------------------
 
+def connecting(pairs: DataFrame, sets: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (a, b) that connect what the similar ones of all ``pairs`` (see
+    ``member_pairs``) connect.  A member's nearest candidates by bits are checked
+    first; pairs whose components these have connected are not checked."""
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+    todo = pairs.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.first("ca").alias("ca"),
+                                       F.first("cb").alias("cb")).withColumn("rank", rank).drop("apart")
+    todo, links = written(todo, "candidates"), pairs.select("a", "b").limit(0)
+    for step in range(STEPS + 1):
+        if not (n := todo.count()):
+            break
+        last = step == STEPS or n <= AT_ONCE
+        near = F.lit(True) if last else F.col("rank") <= NEAREST * WIDER ** step
+        known = written(distances(todo.where(near).select("a", "b", F.lit(False).alias("exact")), sets, percent, words),
+                        "distances").select("a", "b")
+        links = links.union(known)
+        if last:
+            break
+        comp = written(components(todo.join(known, ["a", "b"], "left_semi").select(
+            F.col("ca").alias("a"), F.col("cb").alias("b"))), "components")
+        for c in ("ca", "cb"):
+            todo = todo.join(comp.select(F.col("node").alias(c), F.col("comp").alias("to")), c, "left").withColumn(
+                c, F.coalesce("to", c)).drop("to")
+        todo = written(todo.where(~near & (F.col("ca") != F.col("cb"))), "candidates")
+    return links
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: int, percent: int,
                   small: int = SMALL, hot_count: int = HOT_COUNT) -> DataFrame:
     """Links (a, b) between sets that connect exactly the sets which chains of
@@ -527,27 +652,35 @@ def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: i
     regions = written(merged(useful(
         found.where("region is not null").select("region", "a", "size", "rest", F.lit(1).cast("long").alias("weight"))
         .distinct(), percent)), "regions")
-    r, round_, comp, links, sets = 1 - percent / 100, 0, None, None, None
+    r, round_, comp, links, sets, bits = 1 - percent / 100, 0, None, None, None, None
     while True:
-        more, members, pivots = split_regions(regions, comp, round_, small, percent)
+        more, members, pivots = split_regions(regions, comp, round_, small, percent, bits)
         left = not members.isEmpty()
         if left and round_ >= ROUNDS:  # an exact way for what is left
-            more = more.union(members.alias("l").join(members.alias("r"), "region").where("l.a < r.a").select(
-                F.col("l.a").alias("a"), F.col("r.a").alias("b")))
+            own = members.join(comp.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn(
+                "comp", F.coalesce("comp", "a"))
+            more = more.union(own.alias("l").join(own.alias("r"), "region").where("l.a < r.a and l.comp <> r.comp").select(
+                F.col("l.a").alias("a"), F.col("r.a").alias("b"), F.col("l.comp").alias("ca"),
+                F.col("r.comp").alias("cb"), F.lit(0).alias("apart")))
             left = False
-        todo = more if round_ else pairs.union(more)
+        exact = lambda df, yes: df.select("a", "b", F.lit(yes).alias("exact"))
+        todo = None if round_ else exact(pairs.union(more.select(F.least("a", "b"), F.greatest("a", "b"))), False)
         if left:
-            todo = todo.union(members.join(pivots, "region").where("a <> b").where(
-                close("size", "b_size", 1 - 2 * r)).select("a", "b"))
-        todo = written(todo.distinct(), "pairs")
-        if not round_:  # shuffled once for both ends of the pairs
+            to = exact(members.join(pivots, "region").where("a <> b").where(close("size", "b_size", 1 - 2 * r)), True)
+            todo = todo.union(to) if todo is not None else to
+        if todo is not None:
+            todo = written(todo.groupBy("a", "b").agg(F.max("exact").alias("exact")), "pairs")
+        if not round_:  # shuffled once for all pairs
             names = todo.select(F.col("a").alias("set")).union(todo.select("b"))
             sets = sets_of(docs, rows, names.union(members.select("a")).distinct(), words)
             if left:  # read again after this round
                 sets = written(sets, "sets")
-        known = written(distances(todo, sets, percent, words), "distances")
-        new = known.where("linked").select("a", "b")
-        links = new if links is None else links.union(new)
+        else:
+            links = links.union(connecting(more, sets, percent, words))
+        if todo is not None:
+            known = written(distances(todo, sets, percent, words), "distances")
+            new = known.where("linked").select("a", "b")
+            links = new if links is None else links.union(new)
         if not left:
             return links
         comp = written(components(links), "components")
@@ -555,6 +688,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, levels: np.ndarray, words: i
                           "regions")
         if not round_:  # later regions only hold members of these
             sets = written(sets.join(regions.select(F.col("a").alias("set")).distinct(), "set", "left_semi"), "sets")
+            bits = sets.select(F.col("set").alias("a"), "bits")
         round_ += 1
 
 

@@ -143,3 +143,65 @@ def test_sets_travel_as_compressed_texts():
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(unpacked(items, 5), sets))
     assert items[0].size < sets[0].nbytes / 2 and items[2].size == 8 + sets[2].nbytes
     assert unpacked([], 5) == []
+
+
+def near_copies(n, seed=2):
+    """Copies of one text with up to nine changed words each: most are similar
+    to the text, few to all others."""
+    import random
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(400)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for j in r.sample(range(400), r.randint(2, 9)):
+            t[j] = f"x{i}_{j}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_a_large_family_takes_pairs_in_proportion(spark, monkeypatch):
+    from caseflow.llm import jaccard
+
+    rows, seen = list(enumerate(near_copies(500))), {}
+
+    def counted(df, name):
+        out = written(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    written = jaccard.written
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(jaccard, "AT_ONCE", 100, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(map(tuple, jaccard_join(df, small=2).collect()), key=str)
+    assert sum(seen["pairs"]) + sum(seen.get("homes", [])) <= 10 * len(rows)  # pairs whose sets are read
+    assert sum(seen["to-pivots"]) <= 2 * len(rows)
+    assert got == brute(rows)
+
+
+def test_a_set_goes_once_to_the_pairs_of_a_group(spark, monkeypatch):
+    from caseflow.llm import jaccard
+
+    groups = [(10 * g + i, 10 * g + j) for g in range(20) for i in range(8) for j in range(i)]
+    star = [(1000 + i, 999) for i in range(1, 60)]
+    monkeypatch.setattr(jaccard, "BLOCK", 30)
+    pairs = spark.createDataFrame([(a, b, False) for a, b in groups + star], "a long, b long, exact boolean")
+    got = jaccard.blocks(pairs).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(groups + star)
+    sent = {(r.block, x) for r in got for x in (r.a, r.b)}
+    assert len([1 for _, x in sent if x < 999]) == 20 * 8
+    hub = [r.block for r in got if r.b == 999]
+    assert len(set(hub)) > 1 and max(hub.count(x) for x in set(hub)) < 59
+
+
+def test_bits_bound_the_difference_of_sets():
+    from caseflow.llm.jaccard import BITS, parities
+
+    r = np.random.default_rng(4)
+    for n, m in ((1, 1), (50, 50), (400, 380), (3000, 2900)):
+        both = r.integers(0, 2 ** 63, 5000).astype(np.uint64)
+        x, y = np.unique(both[:n]), np.unique(both[n // 3:n // 3 + m])
+        differ = int(np.bitwise_count(parities(x).view(np.uint64) ^ parities(y).view(np.uint64)).sum())
+        assert len(parities(x)) == BITS // 64 and differ <= len(np.setxor1d(x, y))
+        assert not (parities(x) ^ parities(x)).any()
