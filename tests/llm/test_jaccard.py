@@ -205,3 +205,25 @@ def test_bits_bound_the_difference_of_sets():
         differ = int(np.bitwise_count(parities(x).view(np.uint64) ^ parities(y).view(np.uint64)).sum())
         assert len(parities(x)) == BITS // 64 and differ <= len(np.setxor1d(x, y))
         assert not (parities(x) ^ parities(x)).any()
+
+
+def test_pipeline_stage_does_not_compare_connected_copies(spark, monkeypatch):
+    import corpus_pipeline
+    from caseflow.llm import jaccard
+
+    groups, copies, seen = 15, 12, []
+    rows = [(g * copies + i, " ".join([f"g{g}w{j}" for j in range(60)] + [f"copy{i}"]))
+            for g in range(groups) for i in range(copies)]
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "distances":
+            seen.append(out.count())
+        return out
+
+    written = jaccard.written
+    monkeypatch.setattr(jaccard, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = [r.text.split()[0] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    assert sorted(got) == sorted(f"g{g}w0" for g in range(groups))
+    assert sum(seen) == groups * (copies - 1)  # of copies * (copies - 1) / 2 pairs each
